@@ -9,6 +9,18 @@ def _read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), *tokenizer_paths(), capacity=1024, end_id=0, with_ids=False)
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     from .ngram_join import ngram_jaccard_join
 
