@@ -21,12 +21,35 @@ def op1_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), *tokenizer_paths(), capacity=1024, end_id=0, with_ids=False)
 
 
+def _crc_mod(column: str, n: int):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def op3_language_id(spark, sf_dir):
+    from .langid import fit, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     from .ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op6_quality(spark, sf_dir):
+    from .quality import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    held_out = F.coalesce(_crc_mod("doc_id", 4) == 2, F.lit(False))
+    weights = fit(docs.where(~held_out), labels)
+    out = score(docs.withColumn("held_out", held_out), weights)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
