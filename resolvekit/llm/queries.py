@@ -34,6 +34,12 @@ def op3_language_id(spark, sf_dir):
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
 
 
+def op4_warc(spark, sf_dir):
+    from .warc import archive_pages
+
+    return archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_chunks")
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     from .ngram_join import ngram_jaccard_join
 
