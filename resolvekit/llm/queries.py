@@ -56,6 +56,12 @@ def op6_quality(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    from .substring import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), width=50, text=False)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
