@@ -1,9 +1,12 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-1. Each text becomes a set of hashed n-grams. Texts with equal sets are one row of the incidence from here on.
-2. Columns are put in one order, rare ones first (by a coarse count over all texts; the order affects speed
-   only). Two sets with Jaccard >= t share one of the first n - ceil(t*n) + 1 columns of each, so these
-   columns alone say which rows can meet; rows that meet form a block.
+1. Each text becomes a set of hashed n-grams: a row of the incidence.
+2. Rows that can link form blocks. The columns are dealt into m parts by hash. Two sets with Jaccard >= t
+   differ in k columns at most, so a row with more than k parts that aren't empty has one that both share
+   whole: equal parts are the keys on which rows meet. m and k come from the rows' size class; columns that
+   very many texts have are left out of parts (a coarse count over all texts tells; it affects speed only).
+   A row with too few parts also gives its rarest n - ceil(t*n) + 1 columns as keys: of two such rows that
+   link, both have one of these.
 3. Within a block, overlap counts are accumulated row by row over the shared columns. Rows whose sizes rule
    the threshold out, and rows already in the same component, are left out.
 
@@ -28,8 +31,9 @@ from .text import Words, mix, ngrams, pieces, windows_in
 
 #: Rows of a block, or of a panel of a larger block, that one task joins.
 PANEL = 2000
-#: The coarse column counts have between 2**16 and 2**24 cells, about four per text.
-CELLS = (16, 24)
+#: The coarse column counts have between 2**16 and 2**24 cells, about 16 per text; a column is common if its
+#: cell has COMMON times the mean count.
+CELLS, COMMON = (16, 24), 6
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -57,43 +61,78 @@ def _print(grams: np.ndarray) -> tuple[int, int]:
         return int(mix(grams + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)), int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-def column_classes(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """log2 of how many n-grams fall into each of 2**bits cells, over all texts: at most 16 MB, whatever the input."""
-    seg = 14 if bits > 14 else bits
+def column_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
+    """How many n-grams fall into each of 2**bits cells, over all texts, in eighths of a power of two: at most 16 MB, whatever the input."""
+    seg = 1 << 16
 
     def count(batches):
         total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, grams, _ in shingle_sets(batch, n):
-                total += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-        for k, x in enumerate(total.reshape(-1, 1 << seg)):
+                np.add.at(total, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
+        for k, x in enumerate(total.reshape(-1, seg)):
             if x.any():
-                yield pa.RecordBatch.from_pydict({"seg": pa.array([k], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+                kind = np.uint16 if x.max() < 1 << 16 else np.int32
+                yield pa.RecordBatch.from_pydict({"seg": pa.array([k], pa.int32()), "counts": pa.array([x.astype(kind).tobytes()], pa.binary())})
 
     def add(key, pdf):
-        total = np.zeros(1 << seg, np.int64)
+        total = np.zeros(seg, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int32)
-        return pd.DataFrame({"seg": [key[0]], "classes": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+            total += np.frombuffer(x, np.uint16 if len(x) == 2 * seg else np.int32)
+        return pd.DataFrame({"seg": [key[0]], "sums": [np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8).tobytes()]})
 
-    out = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << seg)
-    for row in docs.select("text").mapInArrow(count, "seg int, counts binary").groupBy("seg").applyInPandas(add, "seg int, classes binary").collect():
-        out[row.seg] = np.frombuffer(row.classes, np.uint8)
+    out = np.zeros(1 << bits, np.uint8).reshape(-1, seg)
+    for row in docs.select("text").mapInArrow(count, "seg int, counts binary").groupBy("seg").applyInPandas(add, "seg int, sums binary").collect():
+        out[row.seg] = np.frombuffer(row.sums, np.uint8)
     return out.ravel()
 
 
-def _chain(h: np.ndarray, size: np.ndarray, node: np.ndarray, num: int, den: int):
-    """Edges between rows that share a column with sizes that allow a link, and what of each run others must see: its ends."""
-    order = np.lexsort((node, size, h))
-    h, size, node = h[order], size[order], node[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (size[:-1] * den < size[1:] * num)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(h)) - 1
-    head = node[at][np.cumsum(new) - 1]
-    edge = head != node
-    ends = np.unique(np.concatenate([at, last]))
-    return node[edge], head[edge], (h[ends], size[ends], node[ends])
+class Windows:
+    """Size classes of ratio 1/t, and for each the number of parts; window c has the classes c and c + 1."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.parts = num, den, {}
+        self.step = math.log(den / num) if num < den else 1e-9
+
+    def classes(self, size: np.ndarray) -> np.ndarray:
+        return size if self.num == self.den else np.floor(np.log(np.maximum(size, 1)) / self.step + 1e-9).astype(np.int64)
+
+    def m(self, c: int) -> int:
+        """Parts enough that a row of class c that lacks a tenth of its columns still has more than k of them."""
+        if c not in self.parts:
+            hi = c if self.num == self.den else math.ceil(math.exp((c + 1) * self.step))
+            lo = c if self.num == self.den else math.floor(math.exp(c * self.step))
+            m = (self.den - self.num) * hi // self.num + 1
+            while m < 4 * hi:
+                ok = True
+                for n in (lo, hi):
+                    x = math.exp(-0.9 * n / m)
+                    ok &= m * (1 - x) - 3 * math.sqrt(m * (x - (1 + 0.9 * n / m) * x * x)) > (self.den - self.num) * n / self.num
+                if ok:
+                    break
+                m += 1 + m // 32
+            self.parts[c] = m
+        return self.parts[c]
+
+    def keys(self, grams: np.ndarray, count: np.ndarray, common: int) -> np.ndarray:
+        """The keys of one row."""
+        n, c = len(grams), int(self.classes(np.array([len(grams)]))[0])
+        cold, out, few = grams[count < common], [], False
+        with np.errstate(over="ignore"):
+            for w in range(c, max(c - 2, -1), -1):
+                part = mix(cold + np.uint64(w + 7)) % np.uint64(self.m(w))
+                order = np.argsort(part, kind="stable")
+                part, own = part[order], mix(cold[order])
+                at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                if len(at):
+                    out.append(mix(np.add.reduceat(own, at) + mix(part[at] + np.uint64(w << 32))))
+                # the smaller of a pair is in class w; the larger then differs in (t' - 1) / (t' + 1) of both at most
+                k = (self.den - self.num) * n // self.num if w == c else 2 * (self.den - self.num) * n // (self.den + self.num)
+                few |= len(at) <= k
+            if few:
+                first = np.lexsort((grams, count))[: n - -(-self.num * n // self.den) + 1]
+                out.append(mix(grams[first] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +153,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def join_block(node: np.ndarray, first: np.ndarray, second: np.ndarray | None, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a block's rows, enough to give their components; with second, only those between the two panels."""
+def join_block(node: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of a block's rows, enough to give their components; with side, only those between rows of different sides."""
     size = np.array([len(s) for s in sets])
     order = np.lexsort((node, size))
-    node, size, sets, side = node[order], size[order], [sets[i] for i in order], None if second is None else second[order]
+    node, size, sets, side = node[order], size[order], [sets[i] for i in order], None if side is None else side[order]
     flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
@@ -164,68 +203,90 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     links nothing. Rows that repeat a doc_id are one node, so the texts under it link. Other columns are
     ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = min(max(math.ceil(math.log2(docs.count() + 1)) + 2, CELLS[0]), CELLS[1])
-    classes = spark.sparkContext.broadcast(column_classes(docs, n, bits))
 
     def describe(batches):
         for batch in batches:
             for part, grams, at in shingle_sets(batch, n):
-                order_key = classes.value[(grams >> np.uint64(64 - bits)).astype(np.int64)]
-                size = np.diff(at)
-                sort = np.lexsort((grams, order_key, np.repeat(np.arange(len(size)), size)))
-                grams_by = grams[sort]
-                take = size - -(-num * size // den) + 1
-                prints = [_print(grams[at[i] : at[i + 1]]) if size[i] else (0, 0) for i in range(len(size))]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "n_shingles": pa.array(size, pa.int64()),
-                    "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64()),
-                    "head": pa.array([grams_by[at[i] : at[i] + take[i]].tobytes() if size[i] else b"" for i in range(len(size))], pa.binary()),
-                })
-
-    rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, p1 long, p2 long, head binary"), "rows")
+                prints = [_print(grams[at[i] : at[i + 1]]) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(at), pa.int64()), "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64())})
+
+    rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, p1 long, p2 long"), "rows")
+    blocks = keep(components(candidate_edges(docs, rows.count(), n, num, den)), "blocks")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("head").alias("head"))
-    buckets = max(8, docs.count() // 4000)
+    first = keep(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node")), "first")
+    links = block_links(docs, first.join(blocks, "node"), n, num, den)
+    # a doc_id with several texts links them
+    same = full.join(first, ["p1", "p2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    repeated = full.groupBy("doc_id").agg(F.countDistinct("p1", "p2", "n_shingles").alias("k")).where("k > 1").select("doc_id")
+    links = links.unionByName(same.join(repeated, same.a == repeated.doc_id, "left_semi"))
+    roots = components(links)
+    of = first.join(roots, "node", "left").select("p1", "p2", "n_shingles", F.coalesce("root", "node").alias("component"))
+    out = rows.join(of, ["p1", "p2", "n_shingles"], "left")
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def candidate_edges(docs: DataFrame, n_rows: int, n: int, num: int, den: int) -> DataFrame:
+    """(a, b) doc_ids that share a key: enough edges for the blocks."""
+    spark = docs.sparkSession
+    bits = min(max(math.ceil(math.log2(n_rows + 1)) + 4, CELLS[0]), CELLS[1])
+    sums = column_counts(docs, n, bits)
+    mean = float(np.mean(np.exp2(sums / 8) - 1)) if sums.any() else 0
+    common = int(min(255, 8 * math.log2(COMMON * (mean + 4) + 1)))
+    counts, windows = spark.sparkContext.broadcast(sums), Windows(num, den)
+    buckets = max(8, n_rows // 4000)
+
+    def edges_of(a, b, bucket):
+        a, b = _forest(a, b)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - bucket], pa.int32()), "h": pa.array([a.tobytes()], pa.binary()), "node": pa.array([b.tobytes()], pa.binary())})
 
     def spread(batches):
         for batch in batches:
-            heads = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("head")]
-            length = [len(x) for x in heads]
-            if not sum(length):
+            keys, nodes = [], []
+            for part, grams, at in shingle_sets(batch, n):
+                level = counts.value[(grams >> np.uint64(64 - bits)).astype(np.int64)]
+                for i, node in enumerate(part.column("doc_id").to_pylist()):
+                    if node is not None and at[i + 1] > at[i]:
+                        keys.append(windows.keys(grams[at[i] : at[i + 1]], level[at[i] : at[i + 1]], common))
+                        nodes.append(node)
+            if not keys:
                 continue
-            size, node = (np.repeat(batch.column(c).to_numpy(), length) for c in ("n_shingles", "node"))
-            a, b, (h, size, node) = _chain(np.concatenate(heads), size, node, num, den)
-            bucket = (mix(h) % np.uint64(buckets)).astype(np.int32)
+            # rows of a batch that share a key are linked here; the first of them goes on
+            h, node = np.concatenate(keys), np.repeat(np.array(nodes), [len(k) for k in keys])
+            order = np.lexsort((node, h))
+            h, node = h[order], node[order]
+            new = np.append(True, h[1:] != h[:-1])
+            head = node[new][np.cumsum(new) - 1]
+            if (head != node).any():
+                yield edges_of(node[head != node], head[head != node], int(h[0] % np.uint64(buckets)))
+            h, node = h[new], node[new]
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, start = np.unique(bucket[order], return_index=True)
+            which, start = np.unique(bucket[order], return_index=True)
             cut = lambda x: [y.tobytes() for y in np.split(x[order], start[1:])]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys, pa.int32()), "h": pa.array(cut(h), pa.binary()), "size": pa.array(cut(size), pa.binary()), "node": pa.array(cut(node), pa.binary())})
-            a, b = _forest(a, b)
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "h": pa.array([b""], pa.binary()), "size": pa.array([a.tobytes()], pa.binary()), "node": pa.array([b.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(which, pa.int32()), "h": pa.array(cut((h >> np.uint64(32)).astype(np.uint32)), pa.binary()), "node": pa.array(cut(node), pa.binary())})
 
-    def link(key, table):
+    def meet(key, table):
         join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t)
         if key[0].as_py() < 0:
-            a, b = _forest(join("size", np.int64), join("node", np.int64))
+            a, b = join("h", np.int64), join("node", np.int64)
         else:
-            a, b, _ = _chain(join("h", np.uint64), join("size", np.int64), join("node", np.int64), num, den)
-            a, b = _forest(a, b)
+            h, node = join("h", np.uint32), join("node", np.int64)
+            order = np.lexsort((node, h))
+            h, node = h[order], node[order]
+            new = np.append(True, h[1:] != h[:-1])
+            head = node[new][np.cumsum(new) - 1]
+            a, b = node[head != node], head[head != node]
+        a, b = _forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # the map tasks' own edges (bucket -1) need no meeting; they are dealt by hash so that no task gets all
-    parts = sets.mapInArrow(spread, "bucket int, h binary, size binary, node binary")
-    parts = parts.withColumn("deal", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("size"), F.lit(buckets))).otherwise(F.lit(0)))
-    edges = parts.groupBy("bucket", "deal").applyInArrow(link, "a long, b long")
-    blocks = keep(components(edges), "blocks")
-    return _finish(docs, rows, full, blocks, n, num, den)
+    return docs.mapInArrow(spread, "bucket int, h binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def _finish(docs: DataFrame, rows: DataFrame, full: DataFrame, blocks: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    members = full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    members = keep(members.join(blocks, "node").select("node", "p1", "p2", "n_shingles", F.col("root").alias("block")), "members")
+def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within blocks; members has node, p1, p2, n_shingles and root (its block)."""
+    members = keep(members.select("node", "p1", "p2", "n_shingles", F.col("root").alias("block")), "members")
     # sets of the members alone: a fixed bit table says which texts can be one, the join below decides
     bits = 24
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
@@ -236,19 +297,27 @@ def _finish(docs: DataFrame, rows: DataFrame, full: DataFrame, blocks: DataFrame
     flags = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
     def sets_of(batches):
+        seen = set()  # repeated rows go on once a task
         for batch in batches:
             at = batch.column("slot").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((flags.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for part, grams, first in shingle_sets(batch, n):
-                own = [grams[first[i] : first[i + 1]] for i in range(part.num_rows)]
-                prints = [_print(x) if len(x) else (0, 0) for x in own]
-                yield pa.RecordBatch.from_pydict({"node": part.column("doc_id"), "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64()), "grams": pa.array([x.tobytes() for x in own], pa.binary())})
+                out = {}
+                for i, node in enumerate(part.column("doc_id").to_pylist()):
+                    own = grams[first[i] : first[i + 1]]
+                    key = (node, *_print(own))
+                    if len(own) and key not in seen:
+                        seen.add(key)
+                        out[key] = own.tobytes()
+                yield pa.RecordBatch.from_pydict({**{c: pa.array([k[i] for k in out], pa.int64()) for i, c in enumerate(("node", "p1", "p2"))}, "grams": pa.array(list(out.values()), pa.binary())})
 
     grams = docs.where("doc_id is not null").withColumn("slot", slot).mapInArrow(sets_of, "node long, p1 long, p2 long, grams binary")
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int")
     if num == den:
         level = F.col("n_shingles").cast("int")
     members = members.withColumn("level", level)
+    alone = members.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+    members = members.join(alone, "block", "left_semi")
     sizes = members.groupBy("block", "level").agg(F.count("*").alias("k"))
     totals = sizes.groupBy("block").agg(F.sum("k").alias("total"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("k") / (PANEL // 2)).cast("int")))).alias("panels"))
     members = members.join(totals, "block")
@@ -262,26 +331,26 @@ def _finish(docs: DataFrame, rows: DataFrame, full: DataFrame, blocks: DataFrame
     down = F.when(has(-1), F.transform(other(-1), lambda j: task(level - 1, j, level, F.col("mine"), 2))).otherwise(none)
     whole = F.array(task(-1, 0, -1, 0, 0))
     members = members.withColumn("mine", mine).withColumn("tasks", F.when(F.col("total") <= PANEL, whole).otherwise(F.concat(same, up, down)))
-    work = grams.join(members.select("node", "p1", "p2", "block", "tasks", F.col("total") > PANEL), ["node", "p1", "p2"]).dropDuplicates(["node", "p1", "p2"])
-    work = work.select("node", "grams", "block", F.explode("tasks").alias("t")).select("node", "grams", "block", "t.*")
+    work = grams.join(members.select("node", "p1", "p2", "block", "tasks"), ["node", "p1", "p2"])
+    work = work.select("node", "p1", "grams", "block", F.explode("tasks").alias("t")).select("node", "p1", "grams", "block", "t.*")
 
     def solve(batches):
         """Blocks come one after another in a partition; the rows of one are held at a time."""
-        key, held, found = None, [], []
+        key, held, found = None, {}, []
 
         def done():
             if len(held) > 1:
-                node, side = np.array([r[0] for r in held]), np.array([r[1] for r in held])
-                two = side if side.any() else None
-                found.extend(join_block(node, node, two, [np.frombuffer(r[2], np.uint64) for r in held], num, den))
+                node, side = np.array([r[0] for r in held.values()]), np.array([r[1] for r in held.values()])
+                found.extend(join_block(node, side if side.any() else None, [np.frombuffer(r[2], np.uint64) for r in held.values()], num, den))
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("block", "l1", "i1", "l2", "i2")]
-            for k, node, side, grams in zip(zip(*cols), batch.column("node").to_pylist(), batch.column("side").to_pylist(), batch.column("grams"), strict=True):
+            for k, own, side, grams in zip(zip(*cols, strict=True), zip(batch.column("node").to_pylist(), batch.column("p1").to_pylist(), strict=True), batch.column("side").to_pylist(), batch.column("grams"), strict=True):
                 if k != key:
                     done()
-                    key, held = k, []
-                held.append((node, side, grams.as_py()))
+                    key, held = k, {}
+                if own not in held:
+                    held[own] = (own[0], side, grams.as_py())
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
                 found.clear()
@@ -289,10 +358,4 @@ def _finish(docs: DataFrame, rows: DataFrame, full: DataFrame, blocks: DataFrame
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     keys = ["block", "l1", "i1", "l2", "i2"]
-    links = work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
-    roots = components(links)
-    own = members.select("p1", "p2", "n_shingles", "node").join(roots, "node").select("p1", "p2", "n_shingles", "root")
-    first = full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    first = first.join(own, ["p1", "p2", "n_shingles"], "left").select("p1", "p2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-    out = rows.drop("head").join(first, ["p1", "p2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
