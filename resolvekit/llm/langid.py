@@ -68,7 +68,9 @@ def fit(docs: DataFrame) -> Model:
     the sample (DIM bits each) come to the driver, never a text.
     """
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    some = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "doc_id")  # so that no task ranks a whole language
     ids = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
+    ids = ids.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= SAMPLE)
     ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
     chosen = ids.select("doc_id", "lang", "rank").dropDuplicates(["doc_id"])
 

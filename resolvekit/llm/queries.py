@@ -56,6 +56,12 @@ def op6_quality(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark, sf_dir):
+    from .decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op10_substring_dedup(spark, sf_dir):
     from .substring import remove_repeats
 
