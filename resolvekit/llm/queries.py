@@ -25,6 +25,13 @@ def _crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def op2_lm_score(spark, sf_dir):
+    from .lm_score import cross_entropy_difference, mark_target
+
+    good = _read(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(mark_target(_read(spark, sf_dir, "documents"), good))
+
+
 def op3_language_id(spark, sf_dir):
     from .langid import fit, identify
 
