@@ -63,6 +63,16 @@ def op6_quality(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: The key of a real run comes from a secret store; a fixed one here makes the query repeatable.
+PII_KEY = "public example key"
+
+
+def op7_pii(spark, sf_dir):
+    from .pii import pseudonymise
+
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import find_leaks
 
