@@ -79,6 +79,12 @@ def op8_decontaminate(spark, sf_dir):
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op9_quality_rules(spark, sf_dir):
+    from .quality_rules import apply_rules
+
+    return apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     from .substring import remove_repeats
 
