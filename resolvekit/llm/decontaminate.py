@@ -13,14 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .filters import BITS, bit_table, contains
 from .store import keep
 from .text import Words, mix, ngrams, pieces, powers
 
 WIDTH = 8
 #: Share of an item's windows that a document must have; share of slot values that must correspond.
 COVER, CONSISTENT = 1 / 3, 0.8
-#: Bits of the fixed table of the benchmark's windows (8 MB); the join decides.
-BITS = 26
 #: Unit words that are placeholders after a number.
 UNITS = "km m cm mm miles mile feet foot inches inch kg g mg tons pounds ounces liters litres l ml hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents percent degrees meters metres kilometers kilograms grams".split()
 NUM, NAME, UNIT = (np.uint64(k) for k in (0x11, 0x22, 0x33))
@@ -138,11 +137,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     items = items.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("th"))
     wanted = keep(item_windows(items), "items")
-    table = np.zeros((1 << BITS >> 15, 4096), np.uint8)
     slot = F.shiftrightunsigned("h", 64 - BITS)
-    for row in wanted.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 32768 as int)").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).toLocalIterator():
-        table[row.page] = np.frombuffer(row.bits, np.uint8)
-    flags = docs.sparkSession.sparkContext.broadcast(table.ravel())
+    flags = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(slot.alias("slot"))))
 
     def run(batches):
         for batch in batches:
@@ -150,7 +146,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 t = Template(part.column("text"))
                 at, h = t.windows(WIDTH)
                 place = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                hit = (flags.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                hit = contains(flags.value, place)
                 if hit.any():
                     yield _emit(t, part.column("id"), part.column("th"), at[hit], h[hit], WIDTH, None)
 

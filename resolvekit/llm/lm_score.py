@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .filters import bit_table, slot_of, split
+from .store import keep
 from .text import Words, mix, pieces
 
 KAPPA = 0.05
@@ -92,8 +94,6 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
         order = np.argsort(-n, kind="stable")[:FREQUENT]
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "total": pa.array([n.sum()], pa.int64()), "top": pa.array([_dump(keys[order], n[order], own[order])], pa.binary())})
 
-    from .store import keep
-
     sums = keep(docs.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(total, "bucket int, words long, total long, top binary"), "words")
     v, n = sums.agg(F.sum("words"), F.sum("total")).first()
     least = max(1, (n or 0) // FREQUENT)
@@ -227,20 +227,9 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
 
 
 def mark_target(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs with target: true where doc_id is in chosen. Only texts that a fixed table of bits (8 MB) can't rule out are shuffled."""
-    from .substring import BITS, _bit_table, _in
-
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("slot")
+    """(doc_id, text, target): target is true where doc_id is in chosen. Only texts that may be chosen are shuffled."""
     chosen = chosen.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(chosen.select(slot)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot)
-
-    def part(keep_in: bool):
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(_in(table.value, batch.column("slot").to_numpy(zero_copy_only=False)) == keep_in))
-
-        return docs.mapInArrow(run, docs.schema).select("doc_id", "text")
-
-    maybe = part(True).join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
-    return part(False).withColumn("target", F.lit(False)).unionByName(maybe.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    maybe, clear = split(docs, slot_of("doc_id"), bit_table(chosen.select(slot_of("doc_id").alias("slot"))))
+    maybe = maybe.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
+    return clear.withColumn("target", F.lit(False)).unionByName(maybe.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .filters import bit_table, contains, slot_of, without
 from .graph import components
 from .store import keep
 from .text import Words, mix, ngrams, pieces, windows_in
@@ -288,19 +289,12 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     """Links (a, b) within blocks; members has node, p1, p2, n_shingles and root (its block)."""
     members = keep(members.select("node", "p1", "p2", "n_shingles", F.col("root").alias("block")), "members")
     # sets of the members alone: a fixed bit table says which texts can be one, the join below decides
-    bits = 24
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    table = np.zeros(1 << bits >> 3, np.uint8).reshape(-1, 4096)
-    seen = members.select(F.col("node").alias("doc_id")).select(slot.alias("slot")).groupBy((F.col("slot") / 32768).cast("int").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-    for row in seen.collect():  # at most 512 rows of 4 kB
-        table[row.page] = np.frombuffer(row.bits, np.uint8)
-    flags = docs.sparkSession.sparkContext.broadcast(table.ravel())
+    flags = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(slot_of("node").alias("slot"))))
 
     def sets_of(batches):
         seen = set()  # repeated rows go on once a task
         for batch in batches:
-            at = batch.column("slot").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((flags.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(contains(flags.value, batch.column("slot").to_numpy(zero_copy_only=False))))
             for part, grams, first in shingle_sets(batch, n):
                 out = {}
                 for i, node in enumerate(part.column("doc_id").to_pylist()):
@@ -311,7 +305,7 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
                         out[key] = own.tobytes()
                 yield pa.RecordBatch.from_pydict({**{c: pa.array([k[i] for k in out], pa.int64()) for i, c in enumerate(("node", "p1", "p2"))}, "grams": pa.array(list(out.values()), pa.binary())})
 
-    grams = docs.where("doc_id is not null").withColumn("slot", slot).mapInArrow(sets_of, "node long, p1 long, p2 long, grams binary")
+    grams = docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(sets_of, "node long, p1 long, p2 long, grams binary")
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int")
     if num == den:
         level = F.col("n_shingles").cast("int")
@@ -359,3 +353,16 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
 
     keys = ["block", "l1", "i1", "l2", "i2"]
     return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that with the smallest doc_id; all columns stay.
+
+    Rows that repeat a doc_id are one document, so one of them stays. Rows without a doc_id or words all stay.
+    """
+    groups = keep(ngram_jaccard_join(docs, n, num, den), "groups")
+    out = without(docs, groups.where("doc_id <> component_id"), "doc_id")
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -17,14 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .filters import BITS, bit_table, contains, slot_of, split
 from .store import keep
 from .text import Words, mix, ngrams, pieces, powers, windows_in
 
 GRAM = 10
 #: Words of the runs in a shard, about; different runs of a key above which its windows are joined by hash.
 SHARD, HOT = 1_000_000, 4_000
-#: Bits of the fixed tables that tell which runs and texts are looked at again (8 MB each); joins decide.
-BITS = 26
 
 
 def _runs(part: pa.RecordBatch, width: int):
@@ -54,19 +53,6 @@ def _slot(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
         return (mix(doc_id.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _bit_table(slots: DataFrame) -> np.ndarray:
-    """The set of a column `slot` of 0 to 2**BITS - 1 as bits: fixed size, whatever the input."""
-    table = np.zeros((1 << BITS >> 15, 4096), np.uint8)
-    page = F.expr("cast(slot div 32768 as int)").alias("page")
-    for row in slots.groupBy(page).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).toLocalIterator():
-        table[row.page] = np.frombuffer(row.bits, np.uint8)
-    return table.ravel()
-
-
-def _in(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
-
 class FMIndex:
     """Bit-packed wavelet matrix over the Burrows-Wheeler transform of an integer text."""
 
@@ -179,7 +165,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     whole = runs.join(copies, ["key", "mark"]).where("doc_id > owner").select("doc_id", "th", "start", "windows")
     # owners' runs of keys that have several texts
     several = owned.where("texts > 1").select("key", "own.doc_id", "own.th", "own.start", "own.slot", "own.windows", "texts")
-    table = spark.sparkContext.broadcast(_bit_table(several.select("slot")))
+    table = spark.sparkContext.broadcast(bit_table(several.select("slot")))
 
     def contents(batches):
         for batch in batches:
@@ -188,7 +174,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 doc = words.doc[start]
                 doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
                 own = start - words.first[doc]
-                take = np.flatnonzero(_in(table.value, _slot(doc_id, own)))
+                take = np.flatnonzero(contains(table.value, _slot(doc_id, own)))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id[take]), "th": pa.array(th[take]), "start": pa.array(own[take].astype(np.int64)), "words": pa.array([h[start[i] : start[i] + windows[i] + width - 1].tobytes() for i in take], pa.binary())})
 
     texts = docs.where("doc_id is not null").mapInArrow(contents, "doc_id long, th long, start long, words binary")
@@ -242,8 +228,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataF
     docs = docs.withColumn("th", F.xxhash64("text"))
     spans = find_repeats(docs, width).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     spans = keep(spans, "spans")
-    slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << BITS))
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(spans.select(slot.alias("slot"))))
+    slot = slot_of("doc_id", "th")
+    maybe, clear = split(docs, slot, bit_table(spans.select(slot.alias("slot"))))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
 
     def result(doc_id, values, cuts):
@@ -265,19 +251,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataF
 
     def untouched(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(~_in(table.value, batch.column("slot").to_numpy(zero_copy_only=False))))
             for part in pieces(batch, "text"):
                 yield result(part.column("doc_id"), part.column("text").to_pylist(), [None] * part.num_rows)
 
-    def maybe(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_in(table.value, batch.column("slot").to_numpy(zero_copy_only=False))))
-
     def cut(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 yield result(part.column("doc_id"), part.column("text").to_pylist(), part.column("spans").to_pylist())
 
-    docs = docs.withColumn("slot", slot)
-    touched = docs.mapInArrow(maybe, docs.schema).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return docs.mapInArrow(untouched, schema).unionByName(touched.mapInArrow(cut, schema))
+    touched = maybe.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    return clear.mapInArrow(untouched, schema).unionByName(touched.mapInArrow(cut, schema))
