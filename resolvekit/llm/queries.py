@@ -28,8 +28,8 @@ def _crc_mod(column: str, n: int):
 def op2_lm_score(spark, sf_dir):
     from .lm_score import cross_entropy_difference, mark_target
 
-    good = _read(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(mark_target(_read(spark, sf_dir, "documents"), good))
+    docs, good = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(mark_target(docs, good), rows=docs.count())
 
 
 def op3_language_id(spark, sf_dir):
@@ -96,4 +96,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)
