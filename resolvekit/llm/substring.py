@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import BITS, bit_table, contains, slot_of, split
-from .store import keep
+from .store import keep, small_batches
 from .text import Words, mix, ngrams, pieces, powers, windows_in
 
 GRAM = 10
@@ -164,7 +164,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     copies = owned.where("last > own.doc_id").select("key", "mark", F.col("own.doc_id").alias("owner"))
     whole = runs.join(copies, ["key", "mark"]).where("doc_id > owner").select("doc_id", "th", "start", "windows")
     # owners' runs of keys that have several texts
-    several = owned.where("texts > 1").select("key", "own.doc_id", "own.th", "own.start", "own.slot", "own.windows", "texts")
+    several = owned.where("texts > 1").select("key", "mark", "own.doc_id", "own.th", "own.start", "own.slot", "own.windows", "texts")
     table = spark.sparkContext.broadcast(bit_table(several.select("slot")))
 
     def contents(batches):
@@ -182,36 +182,40 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     total = several.where(F.col("texts") <= HOT).agg(F.sum(F.col("windows") + width)).first()[0] or 0
     shards = max(1, int(total) // SHARD)
 
+    span = "key long, mark long, doc_id long, offset long, windows long"
+
     def search(table):
-        rows = {k: table.column(k).to_pylist() for k in ("doc_id", "th", "start")}
-        order = sorted(range(table.num_rows), key=lambda i: (rows["doc_id"][i], rows["th"][i], rows["start"][i]))
+        rows = {k: table.column(k).to_pylist() for k in ("doc_id", "key", "mark")}
+        order = sorted(range(table.num_rows), key=lambda i: (rows["doc_id"][i], rows["key"][i], rows["mark"][i]))
         order = [i for k, i in enumerate(order) if not k or any(rows[c][i] != rows[c][order[k - 1]] for c in rows)]  # repeated rows
         found = repeated_windows([np.frombuffer(table.column("words")[i].as_buffer(), np.uint64) for i in order], np.array([rows["doc_id"][i] for i in order]), width)
-        out = [(rows["doc_id"][i], rows["th"][i], rows["start"][i] + a, n) for i, f in zip(order, found, strict=True) for a, n in _spans(f)]
-        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("doc_id", "th", "start", "windows"))})
+        out = [(rows["key"][i], rows["mark"][i], rows["doc_id"][i], a, n) for i, f in zip(order, found, strict=True) for a, n in _spans(f)]
+        return pa.table({c.split()[0]: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(span.split(", "))})
 
-    span = "doc_id long, th long, start long, windows long"
     parts = texts.where(F.col("texts") <= HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    indexed = parts.select("shard", "doc_id", "th", "start", "words").groupBy("shard").applyInArrow(search, span)
+    found = parts.select("shard", "doc_id", "key", "mark", "words").groupBy("shard").applyInArrow(search, span)
     hot = keep(several.where(F.col("texts") > HOT), "hot")
-    spans = whole.unionByName(indexed)
     if not hot.isEmpty():
-        spans = spans.unionByName(_hot_windows(texts.where(F.col("texts") > HOT), width))
-    return spans
+        found = found.unionByName(_hot_windows(texts.where(F.col("texts") > HOT), width))
+    # an owner may have a run in several places
+    spots = runs.select("key", "mark", "doc_id", "th", "start").join(found, ["key", "mark", "doc_id"])
+    return whole.unionByName(spots.select("doc_id", "th", (F.col("start") + F.col("offset")).alias("start"), "windows"))
 
 
 def _hot_windows(texts: DataFrame, width: int) -> DataFrame:
+    """Windows of owners' runs that a smaller owner has, by two hashes of each window."""
+
     def windows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 h = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
                 a, b = ngrams(h, width), ngrams(mix(h), width, salt=1)
-                n = len(a)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "doc_id": pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()), "th": pa.array([batch.column("th")[i].as_py()] * n, pa.int64()), "start": pa.array(batch.column("start")[i].as_py() + np.arange(n))})
+                same = {c: pa.array([batch.column(c)[i].as_py()] * len(a), pa.int64()) for c in ("key", "mark", "doc_id")}
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), **same, "offset": pa.array(np.arange(len(a)))})
 
-    rows = texts.select("doc_id", "th", "start", "words").mapInArrow(windows, "a long, b long, doc_id long, th long, start long")
+    rows = texts.select("key", "mark", "doc_id", "words").mapInArrow(windows, "a long, b long, key long, mark long, doc_id long, offset long")
     first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    return rows.join(first, ["a", "b"]).where("doc_id > owner").select("doc_id", "th", "start", F.lit(1).cast("long").alias("windows"))
+    return rows.join(first, ["a", "b"]).where("doc_id > owner").select("key", "mark", "doc_id", "offset", F.lit(1).cast("long").alias("windows")).distinct()
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataFrame:
@@ -224,6 +228,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataF
     a doc_id are judged against smaller ids only, not against each other. Ties don't arise: ids order all.
     Texts of any length are judged whole. Other columns are ignored. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     spans = find_repeats(docs, width).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
