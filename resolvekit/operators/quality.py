@@ -51,3 +51,18 @@ def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one of two tables has more often, with the side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+#: Keys whose values are secret, and where a secret stands in a text.
+SECRET_KEYS = "(?i)(api[_-]?key|client[_-]?secret|access[_-]?token|authorization|bearer)"
+SECRET_URL, SECRET_BEARER = r"(?i)([?&](?:apikey|api_key|access_token|client_secret)=)[^&\s]+", r"(?i)Bearer\s+\S+"
+
+
+def redact_logs(df: DataFrame, texts: list[str] = (), maps: list[str] = ()) -> DataFrame:
+    """df with secrets replaced in text columns (URL parameters, bearer tokens) and in the values of string maps (also by key)."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, SECRET_URL, "$1REDACTED"), SECRET_BEARER, "Bearer REDACTED")
+    for c in texts:
+        df = df.withColumn(c, clean(F.col(c)))
+    for c in maps:
+        df = df.withColumn(c, F.transform_values(c, lambda k, v: F.when(k.rlike(SECRET_KEYS), "REDACTED").otherwise(clean(v))))
+    return df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import name_key
 from ..operators import admission, catalog, claims, cohort, converge, directory, lifecycle, metrics, quality, ranking
-from ..sources import cache, html, readers
+from ..sources import adapters, cache, html, listings, readers
 from ..streaming import streams
 from .inputs import duck, get, read
 
@@ -765,3 +765,146 @@ def t1_candidate_states(spark, sf_dir):
     e.repartition(4, F.rand(1)).write.parquet(f"{folder}/in")
     log = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     return streams.run_now(streams.candidate_states(log), ["candidate_id"], folder)
+
+
+# Sources, over files and nested rows that Spark derives from the tables.
+@query("SELECT cast(p_partkey AS bigint) AS rank, p_name AS name, cast(round(p_retailprice) AS bigint) AS value FROM part")
+def s1_ranking_csv(spark, sf_dir):
+    path = f"{_folder(spark)}/ranking"
+    read(spark, sf_dir, "part").select(F.col("p_partkey").alias("Ranking"), F.col("p_name").alias("Artist"), F.format_number(F.round("p_retailprice"), 0).alias("Listeners")).write.csv(path, header=True, quoteAll=True)
+    return readers.read_ranking_csv(spark, path).select("rank", "name", "value")
+
+
+@query("SELECT cast(c_custkey AS string) AS source_record_id, c_name AS raw_name FROM customer WHERE c_custkey % 5 <> 0")
+def s3_discoveries(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    raw = c.select(F.lit("chart").alias("sourceType"), F.lit("n").alias("sourceName"), F.col("c_custkey").cast("string").alias("sourceRecordId"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("rawArtistName"), F.lit("2026-01-01T00:00:00Z").alias("discoveredAt"))
+    good = readers.normalise_discoveries(raw).where(F.size("faults") == 0)
+    return good.select("source_record_id", "raw_name")
+
+
+@query("SELECT 'o' || l_orderkey || ':' || l_suppkey AS record_id, cast(l_suppkey AS string) AS entity_id, 'o' || l_orderkey AS parent_id FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
+def s4_flatten_listing(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("s")).distinct()
+    albums = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("id"), F.col("s").alias("name")))).alias("artists"))
+    key = F.concat(F.lit("o"), "l_orderkey")
+    pages = albums.select(key.alias("ref"), F.array(F.struct(key.alias("id"), key.alias("name"), "artists")).alias("albums"))
+    return listings.flatten_listing(pages, "albums").select("record_id", "entity_id", "parent_id")
+
+
+@query("SELECT cast(o_orderkey AS string) AS event_id, cast(l_suppkey AS string) AS attraction_id, cast(l_suppkey AS string) AS legacy_id, c_name AS venue, cast(c_nationkey AS double) AS latitude FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+def s5_flatten_events(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("s")).distinct()
+    acts = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("id"), F.col("s").alias("name"), F.concat(F.lit("https://x/artist/"), "s").alias("url")))).alias("attractions"))
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(acts, F.col("o_orderkey") == F.col("l_orderkey"))
+    venue = F.struct(F.col("c_name").alias("name"), F.lit("c").alias("city"), F.lit("x").alias("country"), F.col("c_nationkey").cast("string").alias("latitude"), F.lit("bad").alias("longitude"))
+    event = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("date_time"), F.lit("2026-01-01").alias("local_date"), F.array(venue).alias("venues"), "attractions")
+    return listings.flatten_events(o.select(F.lit("r").alias("ref"), F.array(event).alias("events"))).select("event_id", "attraction_id", F.element_at("legacy_ids", 1).alias("legacy_id"), "venue", "latitude")
+
+
+@query("SELECT p_brand AS id, arg_max('u' || p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END) + p_size * 10000 + p_partkey) AS image_url, count(*) AS upcoming FROM part WHERE p_partkey < 1000 GROUP BY 1")
+def s6_attractions(spark, sf_dir):
+    p = read(spark, sf_dir, "part").where("p_partkey < 1000")
+    k = F.col("p_partkey")
+    image = F.struct(F.when(k % 2 == 0, "16_9").otherwise("4_3").alias("ratio"), F.concat(F.lit("u"), k.cast("string")).alias("url"), (F.col("p_size") * 10000 + k).cast("int").alias("width"))
+    df = p.groupBy(F.col("p_brand").alias("id")).agg(F.collect_list(image).alias("images"), F.count("*").alias("n"))
+    df = df.select("id", F.lit("n").alias("name"), "images", F.array(F.struct(F.lit(True).alias("is_primary"), F.lit("s").alias("segment"), F.lit("g").alias("genre"))).alias("classifications"), F.create_map(F.lit("_total"), "n").alias("upcoming"))
+    return listings.normalise_attractions(df).select("id", "image_url", "upcoming")
+
+
+@query("SELECT l_orderkey AS lookup, count(DISTINCT l_suppkey) AS entities, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 200 ELSE 409 END AS status, count(DISTINCT l_partkey) AS ids FROM lineitem GROUP BY 1")
+def s7_collapse_bindings(spark, sf_dir):
+    rows_ = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lookup"), F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("external_id"), F.concat("l_returnflag", F.lit("Rank")).alias("rank"))
+    return listings.collapse_bindings(rows_).select("lookup", "entities", "status", F.size("external_ids").cast("long").alias("ids"))
+
+
+@query("SELECT 'https://x/' || l_suppkey AS url, cast(l_orderkey AS string) AS id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)")
+def s8_url_relations(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    df = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("official").alias("type"), F.concat(F.lit("https://x/"), "l_suppkey").alias("url"))).alias("relations"))
+    return listings.url_relations(df.select(F.col("l_orderkey").alias("position"), F.col("l_orderkey").cast("string").alias("id"), F.lit("n").alias("name"), "relations")).select("url", "id")
+
+
+@query("SELECT cast(p_size AS string) AS id, count(DISTINCT p_name) AS aliases FROM part GROUP BY 1")
+def s9_discography(spark, sf_dir):
+    p = read(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(F.struct(F.col("p_name").alias("name"))).alias("aliases"))
+    df = p.select(F.col("p_size").alias("id"), F.lit("n").alias("name"), F.lit(" ").alias("realname"), F.array(F.lit("")).alias("urls"), "aliases", F.array().cast("array<string>").alias("namevariations"))
+    return listings.normalise_discography(df).select("id", F.size("aliases").cast("long").alias("aliases"))
+
+
+@query("SELECT event_type, count(*) AS events, cast(sum(user_id) AS bigint) AS users FROM events GROUP BY 1")
+def s11_event_lake(spark, sf_dir):
+    path = f"{_folder(spark)}/lake"
+    read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").write.partitionBy("event_type").json(path)
+    lake = readers.read_event_lake(spark, path, "event_id long, user_id long", multi_line=False)
+    return lake.groupBy(F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type")).agg(F.count("*").alias("events"), F.sum("user_id").alias("users"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT p_name) AS names, 0::BIGINT AS blank_names FROM part")
+def s13_snapshot(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return readers.build_snapshot(p, "snapshot-1", f"{_folder(spark)}/snapshots").select("rows", "names", "blank_names")
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'")
+def p5_in_period(spark, sf_dir):
+    return metrics.in_period(read(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")), "t", START, END).select("event_id")
+
+
+@query("SELECT event_id, 'https://x/?api_key=REDACTED&k=' || user_id AS url, 'REDACTED' AS secret FROM events")
+def p6_redact_logs(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://x/?api_key="), "event_id", F.lit("&k="), "user_id").alias("url"), F.create_map(F.lit("client_secret"), F.col("event_id").cast("string")).alias("m"))
+    return quality.redact_logs(e, ["url"], ["m"]).select("event_id", "url", F.element_at("m", "client_secret").alias("secret"))
+
+
+@query("SELECT d.c_mktsegment AS outcome, count(c.c_custkey) AS rows FROM (SELECT unnest(['BUILDING', 'NONE']) AS c_mktsegment) d LEFT JOIN customer c USING (c_mktsegment) GROUP BY 1")
+def p7_zero_fill(spark, sf_dir):
+    counts = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("outcome")).agg(F.count("*").alias("rows"))
+    return ranking.zero_fill(counts, spark.createDataFrame([("BUILDING",), ("NONE",)], "outcome string"), "outcome", "rows")
+
+
+@query(f"{_METRICS}, e AS (SELECT 'n' || c_custkey AS name, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey END AS artist_id FROM customer) SELECT name, momentum_score, CASE WHEN e.artist_id IS NULL THEN 'missing_identity' WHEN s.artist_id IS NULL THEN 'empty_catalog' END AS error FROM e LEFT JOIN s ON s.artist_id = e.artist_id")
+def j16_enrich_catalog(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_custkey").alias("name"), F.col("c_custkey").cast("long").alias("artist_id"))
+    return catalog.enrich_catalog(c.select("name"), c.where("artist_id % 6 <> 0"), get(spark, sf_dir, "releases"), NOW).select("name", "momentum_score", "error")
+
+
+@query("SELECT c_custkey AS id, '1 conflicts; 2 evidence references' AS evidence_text, CASE WHEN c_custkey % 2 = 0 THEN 'Same name: x' END AS same_name_note FROM customer")
+def e13_evidence_notes(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(k.alias("id"), F.array(F.lit("a")).alias("conflicts"), F.array(F.lit("b"), F.lit("c")).alias("evidence_refs"), F.when(k % 2 == 0, F.array(F.lit("x"))).alias("competitor_ids"), F.array(F.lit("p")).alias("profile_ids"))
+    return cohort.evidence_notes(c).select("id", "evidence_text", "same_name_note")
+
+
+@query("SELECT cast(s_suppkey AS string) AS entity_id, lower(s_name) AS name_key FROM supplier WHERE s_suppkey % 4 <> 0")
+def x1_adapter(spark, sf_dir):
+    k = F.col("s_suppkey")
+    adapters.register("supplier_list", "suppliers", "v1", lambda raw: raw.select(F.when(k % 4 != 0, "suppliers").otherwise("others").alias("provider"), F.lit("chart").alias("source_type"), F.lit("n").alias("source_name"), k.cast("string").alias("source_record_id"), F.col("s_name").alias("raw_name"), F.lit("artist").alias("entity_type"), k.cast("string").alias("entity_id"), F.lit("2026-01-01").cast("timestamp").alias("discovered_at")))
+    return adapters.occurrences("supplier_list", read(spark, sf_dir, "supplier"))[0].select("entity_id", "name_key")
+
+
+@query("SELECT count(DISTINCT user_id) AS rows FROM events")
+def t2_ingest(spark, sf_dir):
+    folder = _folder(spark)
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("occurrence_id"), F.lit("o").alias("name"), F.lit("2026-01-01").cast("timestamp").alias("discovered_at"))
+    for _ in range(2):  # the second run finds nothing new
+        streams.ingest(e, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").agg(F.count("*").alias("rows"))
+
+
+@query("WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS attempt FROM events WHERE event_type = 'error') SELECT cast(user_id AS string) AS candidate_id, attempt, CASE attempt WHEN 1 THEN 15 WHEN 2 THEN 120 WHEN 3 THEN 1440 END IS NOT NULL AS scheduled FROM f")
+def t3_retry_timers(spark, sf_dir):
+    e = _stream(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("candidate_id"), F.col("ts").cast("timestamp").alias("occurred_at"))
+    return streams.run_now(streams.retry_timers(e), ["candidate_id", "attempt"], _folder(spark), "append").select("candidate_id", "attempt", F.col("due_at").isNotNull().alias("scheduled"))
+
+
+@query()
+def t4_stalled_work(spark, sf_dir):
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("item"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("occurred_at"))
+    return streams.run_now(streams.stalled_work(e, ("click",), 5, "1 hour"), ["item"], _folder(spark), "append")
+
+
+@query("SELECT cast(user_id AS string) AS provider FROM events GROUP BY 1")
+def t5_breaker_states(spark, sf_dir):
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("provider"), F.col("ts").cast("timestamp").cast("double").alias("occurred_at"), F.when(F.col("event_type") == "error", "transient").alias("kind"))
+    return streams.run_now(streams.breaker_states(e), ["provider"], _folder(spark)).select("provider")

@@ -61,9 +61,9 @@ def read_discoveries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return df.where(F.size("faults") == 0).drop("faults"), df.where(F.size("faults") > 0)
 
 
-def read_event_lake(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """All JSON documents below a folder, with the file each came from; the schema is given, never inferred."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", True).json(root).withColumn("file", F.col("_metadata.file_path"))
+def read_event_lake(spark: SparkSession, root: str, schema: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
+    """All JSON documents below a folder (one a file, or one a line), with the file each came from; the schema is given, never inferred."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", multi_line).json(root).withColumn("file", F.col("_metadata.file_path"))
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
