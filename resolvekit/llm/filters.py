@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import small_batches
+
 BITS = 26
 
 
@@ -32,6 +34,7 @@ def contains(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 def split(docs: DataFrame, slot: Column, table: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(rows that may be in the set, rows that can't), with the columns of docs."""
+    small_batches(docs.sparkSession)
     fixed = docs.sparkSession.sparkContext.broadcast(table)
     marked = docs.withColumn("_slot", slot)
 

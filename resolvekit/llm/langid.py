@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .store import small_batches
 from .text import pieces
 
 #: Places of the hashed n-grams.
@@ -67,6 +68,7 @@ def fit(docs: DataFrame) -> Model:
     docs: doc_id, text, lang; rows with a null text or lang are left out. Only the hashed presence rows of
     the sample (DIM bits each) come to the driver, never a text.
     """
+    small_batches(docs.sparkSession)
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
     some = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "doc_id")  # so that no task ranks a whole language
     ids = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
@@ -102,6 +104,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language. Ties go to the language that sorts first. The whole text counts, however long. Only the text
     is an input.
     """
+    small_batches(docs.sparkSession)
     fixed = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
 

@@ -27,14 +27,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .filters import bit_table, contains, slot_of, without
 from .graph import components
-from .store import keep
+from .store import keep, small_batches
 from .text import Words, mix, ngrams, pieces, windows_in
 
 #: Rows of a block, or of a panel of a larger block, that one task joins.
 PANEL = 2000
 #: The coarse column counts have between 2**16 and 2**24 cells, about 16 per text; a column is common if its
 #: cell has COMMON times the mean count.
-CELLS, COMMON = (16, 24), 6
+CELLS, COMMON = (16, 24), 2.5
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -204,6 +204,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     links nothing. Rows that repeat a doc_id are one node, so the texts under it link. Other columns are
     ignored. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(batches):
@@ -213,9 +214,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(at), pa.int64()), "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64())})
 
     rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, p1 long, p2 long"), "rows")
-    blocks = keep(components(candidate_edges(docs, rows.count(), n, num, den)), "blocks")
     full = rows.where("n_shingles > 0 and doc_id is not null")
+    # equal sets are one row of the incidence: that of their smallest doc_id
     first = keep(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node")), "first")
+    blocks = keep(components(candidate_edges(docs, first, n, num, den)), "blocks")
     links = block_links(docs, first.join(blocks, "node"), n, num, den)
     # a doc_id with several texts links them
     same = full.join(first, ["p1", "p2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -228,9 +230,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     return out.select("doc_id", "n_shingles", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def candidate_edges(docs: DataFrame, n_rows: int, n: int, num: int, den: int) -> DataFrame:
-    """(a, b) doc_ids that share a key: enough edges for the blocks."""
+def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b) doc_ids that share a key, of those in first(node): enough edges for the blocks."""
     spark = docs.sparkSession
+    n_rows = first.count()
+    flags = spark.sparkContext.broadcast(bit_table(first.select(slot_of("node").alias("slot"))))
     bits = min(max(math.ceil(math.log2(n_rows + 1)) + 4, CELLS[0]), CELLS[1])
     sums = column_counts(docs, n, bits)
     mean = float(np.mean(np.exp2(sums / 8) - 1)) if sums.any() else 0
@@ -244,11 +248,12 @@ def candidate_edges(docs: DataFrame, n_rows: int, n: int, num: int, den: int) ->
 
     def spread(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(contains(flags.value, batch.column("slot").to_numpy(zero_copy_only=False))))
             keys, nodes = [], []
             for part, grams, at in shingle_sets(batch, n):
                 level = counts.value[(grams >> np.uint64(64 - bits)).astype(np.int64)]
                 for i, node in enumerate(part.column("doc_id").to_pylist()):
-                    if node is not None and at[i + 1] > at[i]:
+                    if at[i + 1] > at[i]:
                         keys.append(windows.keys(grams[at[i] : at[i + 1]], level[at[i] : at[i + 1]], common))
                         nodes.append(node)
             if not keys:
@@ -282,6 +287,7 @@ def candidate_edges(docs: DataFrame, n_rows: int, n: int, num: int, den: int) ->
         a, b = _forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    docs = docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id"))
     return docs.mapInArrow(spread, "bucket int, h binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 

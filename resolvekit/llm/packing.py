@@ -13,17 +13,20 @@ import re
 import struct
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .store import small_batches
 from .text import pieces
 
 #: Remainders that are packed together; each group leaves about one window that is not full.
-GROUP = 16_384
+GROUP = 8_192
 #: Distinct chunks of text whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 _cut = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 _double = re.compile(r"\s\s")
 _coders: dict[tuple[str, str], Coder] = {}
@@ -142,16 +145,16 @@ def place(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
     schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def pack(batches):
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "start")])
-        length = table.column("length").to_pylist()
+        column = lambda c: pa.chunked_array([b.column(c) for b in held])
+        order = pc.sort_indices(pa.table({c: column(c) for c in ("length", "doc_id", "start")}), [(c, "ascending") for c in ("length", "doc_id", "start")]).to_pylist()
+        length = column("length").to_pylist()
         rows = defaultdict(list)
-        for i, n in enumerate(length):
-            rows[n].append(i)
-        sequence, offset, next_id = [0] * len(length), [0] * len(length), TaskContext.get().partitionId() << 40
+        for i in order:
+            rows[length[i]].append(i)
+        sequence, offset, next_id = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), TaskContext.get().partitionId() << 40
         for i in rows.pop(capacity, ()):
             sequence[i] = next_id
             next_id += 1
@@ -164,8 +167,11 @@ def place(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
                         sequence[i], offset[i] = next_id, at
                         at += n
                 next_id += 1
-        table = table.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-        yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+        at = 0
+        for b in held:
+            end = at + b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence[at:end]), pa.array(offset[at:end])], names=schema.fieldNames())
+            at = end
 
     # dealt in turn, not by a key, so that repeated rows don't meet; Spark sorts first, so a lost task comes out the same
     return parts.repartition(groups).mapInArrow(pack, schema)
@@ -181,6 +187,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, capacity: int = 1024, end
     Text of any length is cut into as many pieces as it needs. Other columns are ignored. An empty table
     gives an empty result. vocabulary is a tokenizers file, ranks the same vocabulary as byte ranks.
     """
+    small_batches(docs.sparkSession)
     parts = token_pieces(docs, vocabulary, ranks, capacity, end_id)
     if not with_ids:
         parts = parts.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
 from .text import mix, pieces, powers
 
 DIM = 1 << 18
@@ -91,6 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     The sample is bounded: of each label, the SAMPLE texts with the smallest hash of their id. Each text comes
     to the driver as its hashed places alone. Without labelled texts all weights are 0 (every score is 0.5).
     """
+    small_batches(docs.sparkSession)
     labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = docs.where("text is not null").select("doc_id").join(labels, "doc_id").withColumn("key", F.xxhash64("doc_id"))
     take = lambda y: ids.where(F.col("quality") == y).orderBy("key", "doc_id").limit(SAMPLE)
@@ -122,6 +124,7 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
     A null, empty or blank text gets the score of the constant alone. The whole text counts, however long.
     Ties and repeated rows are scored alike. A column named as the score is replaced.
     """
+    small_batches(docs.sparkSession)
     fixed = docs.sparkSession.sparkContext.broadcast(weights)
     kept = [f for f in docs.schema.fields if f.name != column]
 

@@ -16,6 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what goes to and from Python at once: executors hold a few batches each, and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: its lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone, whole.
-SLICE = 2 << 20
+SLICE = 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

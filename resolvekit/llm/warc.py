@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .store import keep, shared_dir
+from .store import keep, shared_dir, small_batches
 
 #: Bytes of a chunk; bytes after which an archive is closed and the next begins.
 CHUNK, ROLL = 1 << 18, 64 << 20
@@ -184,6 +184,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     revisits that. Rows that repeat the largest page_id of a payload are all responses. Url may be null. Other
     columns are ignored. An empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = keep(write_archives(roles(pages), folder), "archives")
     chunks = read_chunks(archives, folder, payload=False)
