@@ -12,7 +12,7 @@ RANKING_ALIASES = {"rank": ("rank", "ranking"), "name": ("artist_name", "artist"
 DISCOVERY_COLUMNS = {
     "source_type": ("source_type", "sourceType"), "source_name": ("source_name", "sourceName"), "source_record_id": ("source_record_id", "sourceRecordId"), "source_url": ("source_url", "sourceUrl"),
     "raw_name": ("raw_artist_name", "rawArtistName", "name"), "spotify_id": ("spotify_artist_id", "spotifyArtistId"), "spotify_url": ("spotify_artist_url", "spotifyArtistUrl"),
-    "discovered_at": ("discovered_at", "discoveredAt"), "asserted_id": ("music_roll_id", "assertedId"),
+    "discovered_at": ("discovered_at", "discoveredAt"), "asserted_id": ("asserted_id", "assertedId"),
 }
 SPOTIFY_ID = "^[A-Za-z0-9]{22}$"
 
@@ -36,10 +36,10 @@ def read_ranking_csv(spark: SparkSession, path: str, aliases: dict = RANKING_ALI
     return df.select(F.trim("rank").try_cast("long").alias("rank"), blank_to_null("name").alias("name"), F.regexp_replace("value", ",", "").try_cast("long").alias("value"), name_key("name").alias("name_key"), F.col("_file").alias("file"))
 
 
-def normalise_discoveries(df: DataFrame) -> DataFrame:
-    """Discoveries with the nine columns under either naming, ids taken from URLs where they are missing, and `faults`."""
-    df = _alias(df, DISCOVERY_COLUMNS, ("raw_name",))
-    df = df.select(*(blank_to_null(F.col(c).cast("string")).alias(c) for c in DISCOVERY_COLUMNS))
+def normalise_discoveries(df: DataFrame, columns: dict[str, tuple[str, ...]] = DISCOVERY_COLUMNS) -> DataFrame:
+    """Discoveries with the nine columns under any of their names, ids taken from URLs where they are missing, and `faults`."""
+    df = _alias(df, columns, ("raw_name",))
+    df = df.select(*(blank_to_null(F.col(c).cast("string")).alias(c) for c in columns))
     of_url = id_from_url("spotify_url", r"open\.spotify\.com/artist/([A-Za-z0-9]{22})")
     df = df.withColumn("_url_id", of_url).withColumn("faults", F.array_compact(F.array(
         F.when(F.col("raw_name").isNull(), "name_missing"), F.when(F.col("source_type").isNull(), "source_type_missing"), F.when(F.try_to_timestamp("discovered_at").isNull(), "discovered_at_invalid"),
@@ -49,7 +49,7 @@ def normalise_discoveries(df: DataFrame) -> DataFrame:
     return df.withColumn("name_key", name_key("raw_name")).withColumn("discovery_id", content_id("source_name", "source_record_id", "source_type", "name_key", "spotify_id"))
 
 
-def read_discoveries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_discoveries(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]] = DISCOVERY_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) of a CSV file, or of JSON: an array, or an object with `discoveries`."""
     if path.lower().endswith(".csv"):
         raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -57,7 +57,7 @@ def read_discoveries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         raw = spark.read.option("primitivesAsString", True).json(path, multiLine=True)
         if "discoveries" in raw.columns:
             raw = raw.select(F.explode("discoveries").alias("d")).select("d.*")
-    df = normalise_discoveries(raw)
+    df = normalise_discoveries(raw, columns)
     return df.where(F.size("faults") == 0).drop("faults"), df.where(F.size("faults") > 0)
 
 
