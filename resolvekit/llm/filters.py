@@ -7,10 +7,9 @@ don't depend on how full it is.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import small_batches
+from .store import keep, small_batches
 
 BITS = 26
 
@@ -32,24 +31,22 @@ def contains(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def split(docs: DataFrame, slot: Column, table: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be in the set, rows that can't), with the columns of docs."""
-    small_batches(docs.sparkSession)
-    fixed = docs.sparkSession.sparkContext.broadcast(table)
-    marked = docs.withColumn("_slot", slot)
-
-    def part(inside: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(contains(fixed.value, batch.column("_slot").to_numpy(zero_copy_only=False)) == inside))
+def split(docs: DataFrame, slot: Column, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be in the set, rows that can't), with the columns of docs; members has the set's column `slot`.
 
-        return marked.mapInArrow(run, marked.schema).drop("_slot")
-
-    return part(True), part(False)
+    The pages of the table (2048 of 4 kB at most, so they are broadcast) are joined to the rows, so no row leaves the JVM.
+    """
+    small_batches(docs.sparkSession)
+    page = F.expr("cast(slot div 32768 as int)").alias("_page")
+    pages = keep(members.groupBy(page).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("_bits")), "pages")
+    marked = docs.withColumn("_slot", slot).withColumn("_page", F.expr("cast(_slot div 32768 as int)")).join(F.broadcast(pages), "_page", "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, cast((_slot % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(_slot % 8 as int)) % 2 = 1")
+    inside = F.coalesce(bit, F.lit(False))
+    return marked.where(inside).select(*docs.columns), marked.where(~inside).select(*docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """docs less the rows whose column is in ids (which has that column); only rows that may be are shuffled."""
     ids = ids.where(F.col(column).isNotNull()).select(column).distinct()
-    maybe, clear = split(docs, F.coalesce(slot_of(column), F.lit(0)), bit_table(ids.select(slot_of(column).alias("slot"))))
+    maybe, clear = split(docs, F.coalesce(slot_of(column), F.lit(0)), ids.select(slot_of(column).alias("slot")))
     return clear.unionByName(maybe.join(ids, column, "left_anti"))

@@ -20,15 +20,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .filters import bit_table, slot_of, split
-from .store import keep
+from .filters import slot_of, split
+from .store import keep, small_batches
 from .text import Words, mix, pieces
 
 KAPPA = 0.05
 #: Words with more than this part of all occurrences have their counts broadcast.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Words of the texts whose n-grams a task merges before sending them.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 START = np.uint64(0x5354415254)
 UNIT = 1_000_000
 
@@ -110,18 +110,20 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
     return max((v or 0) - 1, 0), {"k": k[order], "t": rows.column("t").to_numpy()[order], "o": rows.column("o").to_numpy()[order]}
 
 
-def cross_entropy_difference(docs: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFrame:
     """(doc_id, n_words, ce_target, ce_background, ce_diff) for each row of docs (doc_id, text, target boolean).
 
-    Cross entropies are in nats a word, means of terms in whole millionths.
+    Cross entropies are in nats a word, means of terms in whole millionths. rows is the number of rows of docs,
+    about, where it is known; it sets the size of the shuffle, not the result.
 
     A null or blank text has no words and null scores. A null target is false. A null doc_id is a document like
     others. Repeated rows count as often as they are there and score alike. Other columns are ignored. Without a
     target document the target model is uniform. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    buckets = max(8, docs.count() // 2000)
+    buckets = max(8, (docs.count() if rows is None else rows) // 4000)
     v, frequent = _word_stats(docs, buckets)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -135,15 +137,18 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
             row, doc_id, null, target, words, base_t, base_b = (np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True))
             shift = np.cumsum([0, *(len(h[0][0]) for h in held)])
             keys = np.concatenate([h[1] for h in held])
-            doc = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=False)])
+            doc = np.concatenate([(h[2] + s).astype(np.int32) for h, s in zip(held, shift, strict=False)])
             held.clear()
             for b, (r, i, z, w, t, g) in _by_bucket(row, buckets, doc_id, null, words, base_t, base_b):
                 yield b, 0, _dump(r, i, z, _small(w), t, g)
             order = np.lexsort((doc, keys))
-            keys, doc = keys[order], doc[order]
-            new = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))
-            at = np.flatnonzero(new)
-            times, keys, doc = np.diff(np.append(at, len(keys))), keys[at], doc[at]
+            keys = keys[order]
+            doc = doc[order]
+            at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))
+            times = np.diff(np.append(at, len(keys))).astype(np.int32)
+            keys = keys[at]
+            doc = doc[at]
+            del at, order
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             which, start = np.unique(bucket[order], return_index=True)
@@ -230,6 +235,6 @@ def mark_target(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(doc_id, text, target): target is true where doc_id is in chosen. Only texts that may be chosen are shuffled."""
     chosen = chosen.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    maybe, clear = split(docs, slot_of("doc_id"), bit_table(chosen.select(slot_of("doc_id").alias("slot"))))
+    maybe, clear = split(docs, slot_of("doc_id"), chosen.select(slot_of("doc_id").alias("slot")))
     maybe = maybe.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
     return clear.withColumn("target", F.lit(False)).unionByName(maybe.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))

@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataF
     spans = find_repeats(docs, width).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     spans = keep(spans, "spans")
     slot = slot_of("doc_id", "th")
-    maybe, clear = split(docs, slot, bit_table(spans.select(slot.alias("slot"))))
+    maybe, clear = split(docs, slot, spans.select(slot.alias("slot")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
 
     def result(doc_id, values, cuts):
