@@ -18,7 +18,7 @@ SPOTIFY_ID = "^[A-Za-z0-9]{22}$"
 
 
 def _alias(df: DataFrame, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
-    header = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
+    header = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
     out = []
     for name, options in aliases.items():
         found = [header[o.lower()] for o in options if o.lower() in header]
