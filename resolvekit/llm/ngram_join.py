@@ -32,6 +32,8 @@ from .text import Words, mix, ngrams, pieces, windows_in
 
 #: Rows of a block, or of a panel of a larger block, that one task joins.
 PANEL = 2000
+#: Rows in blocks whose ids are broadcast at most (about 20 MB in memory).
+FEW = 200_000
 #: The coarse column counts have between 2**16 and 2**24 cells, about 16 per text; a column is common if its
 #: cell has COMMON times the mean count.
 CELLS, COMMON = (16, 24), 2.5
@@ -294,6 +296,7 @@ def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: in
 def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) within blocks; members has node, p1, p2, n_shingles and root (its block)."""
     members = keep(members.select("node", "p1", "p2", "n_shingles", F.col("root").alias("block")), "members")
+    few = members.count() <= FEW
     # sets of the members alone: a fixed bit table says which texts can be one, the join below decides
     flags = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(slot_of("node").alias("slot"))))
 
@@ -331,7 +334,9 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     down = F.when(has(-1), F.transform(other(-1), lambda j: task(level - 1, j, level, F.col("mine"), 2))).otherwise(none)
     whole = F.array(task(-1, 0, -1, 0, 0))
     members = members.withColumn("mine", mine).withColumn("tasks", F.when(F.col("total") <= PANEL, whole).otherwise(F.concat(same, up, down)))
-    work = grams.join(members.select("node", "p1", "p2", "block", "tasks"), ["node", "p1", "p2"])
+    # sets are the large side: with few members they are shuffled once, by block, and otherwise also by member
+    side = members.select("node", "p1", "p2", "block", "tasks")
+    work = grams.join(F.broadcast(side) if few else side, ["node", "p1", "p2"])
     work = work.select("node", "p1", "grams", "block", F.explode("tasks").alias("t")).select("node", "p1", "grams", "block", "t.*")
 
     def solve(batches):
