@@ -29,6 +29,8 @@ KAPPA = 0.05
 FREQUENT = 1 << 18
 #: Words of the texts whose n-grams a task merges before sending them.
 CHUNK = 1_000_000
+#: Ids of target documents that are broadcast at most (about 40 MB in memory).
+SMALL = 1_000_000
 START = np.uint64(0x5354415254)
 UNIT = 1_000_000
 
@@ -123,7 +125,7 @@ def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFr
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    buckets = max(8, (docs.count() if rows is None else rows) // 4000)
+    buckets = max(8, (docs.count() if rows is None else rows) // 5000)
     v, frequent = _word_stats(docs, buckets)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -232,9 +234,14 @@ def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFr
 
 
 def mark_target(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target is true where doc_id is in chosen. Only texts that may be chosen are shuffled."""
-    chosen = chosen.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    """(doc_id, text, target): target is true where doc_id is in chosen.
+
+    Up to SMALL chosen ids are broadcast, so no text is shuffled; above that, only texts that may be chosen are.
+    """
+    chosen = chosen.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    mark = lambda df, ids: df.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    if chosen.limit(SMALL + 1).count() <= SMALL:
+        return mark(docs, F.broadcast(chosen))
     maybe, clear = split(docs, slot_of("doc_id"), chosen.select(slot_of("doc_id").alias("slot")))
-    maybe = maybe.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
-    return clear.withColumn("target", F.lit(False)).unionByName(maybe.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
+    return clear.withColumn("target", F.lit(False)).unionByName(mark(maybe, chosen))
