@@ -125,7 +125,7 @@ def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFr
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    buckets = max(8, (docs.count() if rows is None else rows) // 5000)
+    buckets = max(8, (docs.count() if rows is None else rows) // 8000)
     v, frequent = _word_stats(docs, buckets)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
