@@ -4,11 +4,14 @@ A text becomes a row of template tokens: words without outer punctuation, lower-
 (capitalised within a sentence) and units (after a number) replaced by typed placeholders. Windows of WIDTH
 tokens, at least half of them words, are hash-joined between documents and benchmark items. Where an item's
 windows occur in a document, the values in the placeholders must correspond: an item's value stands for one
-value of the document, as in a question whose names and numbers were changed throughout.
+value of the document, as in a question whose names and numbers were changed throughout. This is judged for each
+occurrence alone, so that a document may hold an item several times, each time with other values.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -124,11 +127,60 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, _WINDOWS)
 
 
+def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: int) -> tuple[int, int] | None:
+    """(windows, changed values) of a document's best occurrence of an item, None if it has none.
+
+    matches has (token of the item, token of the document, pairs of kind, item's and document's value) for each window
+    that they share. An occurrence is read from an alignment outwards: matches join it by how far they are shifted
+    against it (by words put in or left out, an item's length at most), each window of either text once. All matches
+    together are a reading too, for an item whose parts lie apart.
+    """
+
+    def verdict(tokens: set, pairs: set) -> tuple[int, int] | None:
+        values = {p[:2] for p in pairs}
+        if len(tokens) < COVER * windows or len(values) < CONSISTENT * len(pairs):
+            return None
+        return len(tokens), -sum(value != own for _, value, own in pairs)
+
+    best = verdict({m[0] for m in matches}, {p for m in matches for p in m[2]})
+    if best is None:
+        tokens = [m[0] for m in matches]
+        reach = max(tokens) - min(tokens) + WIDTH
+        by_shift = sorted(((m[1] - m[0], *m) for m in matches), key=lambda m: m[:3])
+        shifts = [m[0] for m in by_shift]
+        for shift in sorted(set(shifts)):
+            near = by_shift[bisect_left(shifts, shift - reach) : bisect_right(shifts, shift + reach)]
+            own, places, pairs = set(), set(), set()
+            for _, at, place, more in sorted(near, key=lambda m: abs(m[0] - shift)):
+                if at not in own and place not in places:
+                    own.add(at)
+                    places.add(place)
+                    pairs.update(more)
+                    best = max(filter(None, (best, verdict(own, pairs))), default=None)
+    return best and (best[0], -best[1])
+
+
+_LEAKS = "doc_id long, item_id long, th long, n_windows long, item_windows long, n_changed long"
+
+
+def _judged(batches):
+    """Rows of _LEAKS for rows (doc_id, item_id, th, windows, matches) with an occurrence."""
+    schema = pa.schema([(field.split()[0], pa.int64()) for field in _LEAKS.split(", ")])
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            matches = [(m["at"], m["place"], [(p["kind"], p["value"], p["own"]) for p in m["pairs"]]) for m in row["matches"]]
+            if found := judge(matches, row["windows"]):
+                out.append((row["doc_id"], row["item_id"], row["th"], found[0], row["windows"], found[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(schema))], schema=schema)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, th, n_windows, item_windows, n_changed) for documents that hold a benchmark item.
 
     docs has doc_id and text, items item_id and text. n_windows of the item's item_windows windows are in the
-    document (COVER of them at least), n_changed counts slot values that differ; th is xxhash64 of the text.
+    document's best occurrence (COVER of them at least), n_changed counts slot values that differ there; th is
+    xxhash64 of the text.
 
     Null and empty texts hold nothing and match nothing, as do items with fewer than WIDTH tokens or windows of
     placeholders alone. Rows with a null id are reported with it. Rows that repeat a doc_id and text are one.
@@ -152,15 +204,13 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield _emit(t, part.column("id"), part.column("th"), at[hit], h[hit], WIDTH, None)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = texts.mapInArrow(run, _WINDOWS).select(F.col("id").alias("doc_id"), "th", "h", F.col("slots").alias("own"))
+    found = texts.mapInArrow(run, _WINDOWS).select(F.col("id").alias("doc_id"), "th", "h", F.col("at").alias("place"), F.col("slots").alias("own"))
     item = wanted.select(F.col("id").alias("item_id"), "h", "at", "windows", "slots")
     pairs = F.zip_with("slots", "own", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("value"), b["value"].alias("own")))
-    met = found.join(item, "h").where(F.size("slots") == F.size("own")).withColumn("pairs", pairs)
-    met = met.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("at").alias("n_windows"), F.max("windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["value"]))))
-    changed = F.size(F.filter("pairs", lambda p: p["value"] != p["own"]))
-    met = met.where((F.col("n_windows") >= COVER * F.col("item_windows")) & (values >= CONSISTENT * F.size("pairs")))
-    return met.select("doc_id", "item_id", "th", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), changed.cast("long").alias("n_changed"))
+    met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows", F.struct("at", "place", pairs.alias("pairs")).alias("match"))
+    met = met.groupBy("doc_id", "item_id", "th").agg(F.max("windows").alias("windows"), F.collect_set("match").alias("matches"))
+    enough = F.size(F.array_distinct("matches.at")) >= COVER * F.col("windows")
+    return met.where(enough).mapInArrow(_judged, _LEAKS).select("doc_id", "item_id", "th", "n_windows", "item_windows", "n_changed")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -282,6 +282,22 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_decontaminate_each_occurrence(spark):
+    say = "Once again, {} sold {} km of rope to {} for {} dollars while riding along the river with old friends. ".format
+    item, ann, max_ = say("Tom", 48, "Lisa", 75), say("Ann", 12, "Bob", 30), say("Max", 8, "Jim", 4)
+    twice = "They say that Tom put 48 ripe apples in the basket by the door and that Lisa put 75 ripe apples in the basket by the door today."
+    mixed = "Once again, Ann sold 12 km of rope to it. Then Kim sold 9 km of rope to Zoe for fun, or for 5 dollars while riding along the river by boat, and Mia for 2 dollars while riding along the coast."
+    docs = spark.createDataFrame([
+        (1, ann + max_), (2, "So it goes. " + item + "And then some words. " + ann), (3, ann + item + max_ + ann), (4, twice), (5, "Well. " + twice.replace("Tom", "Eve").replace("75", "9") + " " + twice),
+        (6, ann.replace("to Bob", "to old uncle Bob") + max_.replace("sold", "has gladly sold")), (7, mixed),
+    ], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, items).collect()}
+    assert set(got) == {(1, 7), (2, 7), (3, 7), (4, 8), (5, 8), (6, 7)}
+    assert got[1, 7].n_changed == 4 and [got[k].n_changed for k in ((2, 7), (3, 7), (4, 8), (5, 8))] == [0] * 4
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [7]
+
+
 def test_quality_rules(spark, corpus, docs):
     good = spark.createDataFrame([(i,) for i, _ in corpus], "doc_id long")
     got = collections.defaultdict(set)
