@@ -6,6 +6,9 @@ tokens, at least half of them words, are hash-joined between documents and bench
 windows occur in a document, the values in the placeholders must correspond: an item's value stands for one
 value of the document, as in a question whose names and numbers were changed throughout. This is judged for each
 occurrence alone, so that a document may hold an item several times, each time with other values.
+
+An item with fewer than SURE windows (short, or dense in numbers, names and units) is also looked for as it stands:
+the hash of its whole token sequence, values included, is joined to the documents' sequences of that length.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from .text import Words, mix, ngrams, pieces, powers
 WIDTH = 8
 #: Share of an item's windows that a document must have; share of slot values that must correspond.
 COVER, CONSISTENT = 1 / 3, 0.8
+#: From as many windows on, an item keeps a COVER of them where one word is read as another kind than in the document.
+SURE = 3 * WIDTH // 2
 #: Unit words that are placeholders after a number.
 UNITS = "km m cm mm miles mile feet foot inches inch kg g mg tons pounds ounces liters litres l ml hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents percent degrees meters metres kilometers kilograms grams".split()
 NUM, NAME, UNIT = (np.uint64(k) for k in (0x11, 0x22, 0x33))
+_WHOLE = np.uint64(1 << 32)  # sets the hashes of sequences apart from those of windows
 KINDS = {int(NUM): "num", int(NAME): "name", int(UNIT): "unit"}
 
 _b = np.arange(256)
@@ -71,8 +77,9 @@ class Template:
             unit[1:] = np.isin(h[1:], unit_hashes()) & number[:-1] & (self.doc[1:] == self.doc[:-1])
         self.literal = ~(number | name | unit)
         self.hash = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
-        self.low, self.start, self.end = low, start, end
+        self.low, self.start, self.end, self.plain = low, start, end, h
         self.first = np.searchsorted(self.doc, np.arange(words.n_docs + 1))
+        self._total: np.ndarray | None = None
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(token, hash) of the windows within one text that are words for half at least."""
@@ -83,6 +90,20 @@ class Template:
         at = np.flatnonzero((self.doc[:k] == self.doc[width - 1 :]) & (2 * (words[width:] - words[:-width]) >= width))
         return at, ngrams(self.hash, width)[at]
 
+    def sequences(self, n: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(token, hash) of the n tokens as they stand, values included, from each token (of at, if given) within one text."""
+        k = len(self.plain) - n + 1
+        if k <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(k) if at is None else at[at < k]
+        at = at[self.doc[at] == self.doc[at + n - 1]]
+        with np.errstate(over="ignore"):
+            p, q = powers(len(self.plain) + 1)
+            if self._total is None:
+                self._total = np.zeros(len(self.plain) + 1, np.uint64)
+                np.cumsum(self.plain * p[:-1], out=self._total[1:])
+            return at, mix((self._total[at + n] - self._total[at]) * q[at] + np.uint64(n) + _WHOLE)
+
     def slots(self, at: int, width: int) -> list[tuple[str, str]]:
         return [(KINDS[int(self.hash[i])], self.low[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")) for i in range(at, at + width) if not self.literal[i]]
 
@@ -127,6 +148,48 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, _WINDOWS)
 
 
+_SEQUENCES = "id long, n int, first long, h long, windows int"
+
+
+def item_sequences(items: DataFrame) -> DataFrame:
+    """The items (id, text) with fewer than SURE windows: tokens, hash of the first WIDTH at most and of all, windows."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                t = Template(part.column("text"))
+                n, windows = np.diff(t.first), np.bincount(t.doc[t.windows(WIDTH)[0]], minlength=part.num_rows)
+                rows = np.flatnonzero((n > 0) & (windows < SURE))
+                key = lambda row, n: int(t.sequences(n, t.first[row : row + 1])[1].view(np.int64)[0])
+                yield pa.RecordBatch.from_pydict({
+                    "id": part.column("id").take(pa.array(rows)), "n": pa.array(n[rows].astype(np.int32)), "first": pa.array([key(r, min(int(n[r]), WIDTH)) for r in rows], pa.int64()),
+                    "h": pa.array([key(r, int(n[r])) for r in rows], pa.int64()), "windows": pa.array(windows[rows].astype(np.int32)),
+                })
+
+    return items.mapInArrow(run, _SEQUENCES)
+
+
+def _whole(t: Template, lengths: list[int], flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), each once, of the sequences that may be items: the first WIDTH tokens are tested, then all."""
+    may = lambda at, h: contains(flags, (h >> np.uint64(64 - BITS)).astype(np.int64))
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for width in sorted({min(n, WIDTH) for n in lengths}):
+        at, h = t.sequences(width)
+        begins = at[may(at, h)]
+        for n in lengths if len(begins) else []:
+            if min(n, WIDTH) == width:
+                at, h = t.sequences(n, begins)
+                hit = may(at, h)
+                rows.append(t.doc[at[hit]])
+                keys.append(h[hit])
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+    return rows[new], keys[new]
+
+
 def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: int) -> tuple[int, int] | None:
     """(windows, changed values) of a document's best occurrence of an item, None if it has none.
 
@@ -169,8 +232,11 @@ def _judged(batches):
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            matches = [(m["at"], m["place"], [(p["kind"], p["value"], p["own"]) for p in m["pairs"]]) for m in row["matches"]]
-            if found := judge(matches, row["windows"]):
+            matches = [(m["at"], m["place"], [(p["kind"], p["value"], p["own"]) for p in m["pairs"]]) for m in row["matches"] if m["at"] >= 0]
+            found = judge(matches, row["windows"]) if matches else None
+            if found is None and len(matches) < len(row["matches"]):  # the item as it stands
+                found = len({m[0] for m in matches}), 0
+            if found:
                 out.append((row["doc_id"], row["item_id"], row["th"], found[0], row["windows"], found[1]))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(schema))], schema=schema)
 
@@ -179,19 +245,22 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, th, n_windows, item_windows, n_changed) for documents that hold a benchmark item.
 
     docs has doc_id and text, items item_id and text. n_windows of the item's item_windows windows are in the
-    document's best occurrence (COVER of them at least), n_changed counts slot values that differ there; th is
-    xxhash64 of the text.
+    document's best occurrence (COVER of them at least, or any number if the document holds the item as it stands),
+    n_changed counts slot values that differ there; th is xxhash64 of the text.
 
-    Null and empty texts hold nothing and match nothing, as do items with fewer than WIDTH tokens or windows of
-    placeholders alone. Rows with a null id are reported with it. Rows that repeat a doc_id and text are one.
+    Null and empty texts hold nothing and match nothing, as do items without a letter or digit. A window needs words
+    (no placeholders) for half of its tokens at least; an item without such a window, as any with fewer than WIDTH
+    tokens, is found as it stands (but for case and outer punctuation), not with other values. Rows with a null id are reported with it. Rows that repeat a doc_id and text are one.
     Ties and repeated items are reported each under its own item_id. Other columns are ignored. The benchmark
     may be of any size: a fixed table of bits thins the documents' windows, and a hash join decides.
     """
     small_batches(docs.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("th"))
     wanted = keep(item_windows(items), "items")
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    flags = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(slot.alias("slot"))))
+    whole = keep(item_sequences(items), "whole-items")
+    lengths = sorted(row.n for row in whole.select("n").distinct().collect())
+    keys = wanted.select("h").unionByName(whole.select("h")).unionByName(whole.select(F.col("first").alias("h")))
+    flags = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))))
 
     def run(batches):
         for batch in batches:
@@ -202,14 +271,19 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 hit = contains(flags.value, place)
                 if hit.any():
                     yield _emit(t, part.column("id"), part.column("th"), at[hit], h[hit], WIDTH, None)
+                rows, h = _whole(t, lengths, flags.value)
+                if len(rows):
+                    found = _emit(t, part.column("id"), part.column("th"), t.first[rows], h, 0, None)
+                    yield found.set_column(3, "at", pa.array(np.full(len(rows), -1, np.int32)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = texts.mapInArrow(run, _WINDOWS).select(F.col("id").alias("doc_id"), "th", "h", F.col("at").alias("place"), F.col("slots").alias("own"))
-    item = wanted.select(F.col("id").alias("item_id"), "h", "at", "windows", "slots")
+    as_is = whole.select("id", "h", F.lit(-1).alias("at"), "windows", F.array().cast(wanted.schema["slots"].dataType).alias("slots"))
+    item = wanted.select("id", "h", "at", "windows", "slots").unionByName(as_is).withColumnRenamed("id", "item_id")
     pairs = F.zip_with("slots", "own", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("value"), b["value"].alias("own")))
     met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows", F.struct("at", "place", pairs.alias("pairs")).alias("match"))
     met = met.groupBy("doc_id", "item_id", "th").agg(F.max("windows").alias("windows"), F.collect_set("match").alias("matches"))
-    enough = F.size(F.array_distinct("matches.at")) >= COVER * F.col("windows")
+    enough = F.array_contains("matches.at", -1) | (F.size(F.array_distinct("matches.at")) >= COVER * F.col("windows"))
     return met.where(enough).mapInArrow(_judged, _LEAKS).select("doc_id", "item_id", "th", "n_windows", "item_windows", "n_changed")
 
 

@@ -298,6 +298,19 @@ def test_decontaminate_each_occurrence(spark):
     assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [7]
 
 
+def test_decontaminate_items_without_windows(spark):
+    digits, names, short, long_ = "12 3.5 45 6 78 9 10 11 12 13 14", "Anna Berta Carla Dora Emma Frieda Gerda Hanna Ida Jana", "What is 3 + 4 ?", "Tom put 9 red apples in 3 bags"
+    items = spark.createDataFrame([(1, digits), (2, names), (3, short), (4, long_), (5, "?!"), (6, "yes"), (7, digits)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Sums: " + digits + " end"), (2, "so " + names + "."), (3, "q: what is 3 + 4? and what is 3 + 4?"), (4, "They say tom put 9 red apples in 3 bags"),
+        (5, "12 3.5 45 6 78 9 10 11 12 13"), (6, "14 what is"), (7, "3 4 ?!"), (8, "Yes, " + digits), (9, digits.replace("45", "46")), (None, short), (10, None), (11, ""),
+    ], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (1, 7), (2, 2), (3, 3), (4, 4), (8, 6), (8, 1), (8, 7), (None, 3)}
+    assert all(r.n_changed == 0 for r in got.values()) and got[1, 1].item_windows == 0
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [5, 6, 7, 9, 10, 11]
+
+
 def test_quality_rules(spark, corpus, docs):
     good = spark.createDataFrame([(i,) for i, _ in corpus], "doc_id long")
     got = collections.defaultdict(set)
