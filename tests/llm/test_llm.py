@@ -262,6 +262,22 @@ def test_pii(spark):
     assert other != b
 
 
+def test_pii_phones_and_dates_of_all_languages(spark):
+    phones = ["+44 20 7946 0958", "+33 6 12 34 56 78", "01 23 45 67 89", "030 12345678", "+49 30 123456", "+34 612 345 678", "+44 (0)20 7946 0958", "+49 (30) 123456", "(030) 123456", "01.23.45.67.89", "+12125551234", "00447911123456", "+33\u00a06\u00a012\u00a034\u00a056\u00a078", "+1 (017) 555-7713", "555-123-4567"]
+    stay = ["0.12345678", "0-306-40615-2", "+49 30", "012 34", "2024-13-01", "31/31/2024", "0/5/2024", "v 1.2.3"]
+    dates = ["12/25/2024", "3/4/2024", "31/1/1999", "7/28/2001", "1.2.2024", "24.12.2024", "2024-2-9"]
+    rows = [(i, f"so {t}, and") for i, t in enumerate(phones + dates + stay)] + [(100, "call 030 12345678 4111 1111 1111 1111 or +49 30 123456 31/12/1999")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    for i, t in rows[:-1]:
+        assert (got[i].text != t, got[i].n_replaced) == ((False, 0) if t[3:-5] in stay else (True, 1)) and shape(got[i].text) == shape(t), t
+    month, day = (int(x) for x in got[len(phones)].text[3:-5].split("/")[:2])
+    assert 1 <= month <= 12 < day <= 31 and got[100].n_replaced == 4
+    days = spark.range(366).selectExpr("id as doc_id", "date_format(date_add(date'2024-01-01', cast(id as int)), 'M/d/yyyy') as text").where("cast(split(text, '/')[1] as int) > 12")
+    out = [r.text for r in pii.pseudonymise(days, "k").collect()]
+    assert len(set(out)) == len(out) == days.count() and all(int(t.split("/")[1]) > 12 >= int(t.split("/")[0]) for t in out)
+
+
 def test_digits_are_permuted(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = [r.x for r in df.select(pii.permute_digits("k", "t", F.col("d")).alias("x")).collect()]
