@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.exprs import GENERIC_TITLES, clamp_round, id_from_url, name_key, reasons, title_key
+from .lifecycle import _is_small
 
 #: Where an id stands in a URL of each kind.
 URL_PATTERNS = {
@@ -30,7 +31,8 @@ def claim_agreement(claims: DataFrame, types: DataFrame | None = None) -> DataFr
     """
     out = claims.groupBy("entity", "identifier_type").agg(F.countDistinct("value").alias("value_count"), F.min("value").alias("value"), F.countDistinct("origin").alias("origins"))
     if types is not None:
-        every = claims.select("entity").distinct().join(F.broadcast(types.select("identifier_type").distinct().limit(1000)))
+        types = types.select("identifier_type").distinct()
+        every = claims.select("entity").distinct().crossJoin(F.broadcast(types) if _is_small(types) else types)
         out = every.join(out, ["entity", "identifier_type"], "left").fillna(0, ["value_count", "origins"])
     return out.withColumn("status", F.when(F.col("value_count") == 0, "not_observed").when(F.col("value_count") == 1, "agreement").otherwise("conflict"))
 

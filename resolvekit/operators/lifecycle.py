@@ -99,16 +99,29 @@ def validate_log(events: DataFrame, transitions: DataFrame, key: str = "candidat
     return out
 
 
-def _is_small(transitions: DataFrame) -> bool:
-    """Whether a table of legal steps is small enough to broadcast: 10,000 rows at most."""
-    return transitions.limit(10_001).count() <= 10_000
+def _is_small(table: DataFrame) -> bool:
+    """Whether a table of legal steps, instants or types is small enough to broadcast: 10,000 rows at most."""
+    return table.limit(10_001).count() <= 10_000
 
 
 def states_as_of(events: DataFrame, instants: DataFrame, inclusive: bool = False) -> DataFrame:
-    """(instant, candidate_id, state, created_at): the state of each candidate at each instant of a small table."""
-    at = F.col("occurred_at") <= F.col("instant") if inclusive else F.col("occurred_at") < F.col("instant")
-    seen = events.join(F.broadcast(instants.select("instant").distinct().limit(10_000)), at)
-    return seen.groupBy("instant", "candidate_id").agg(F.max_by("next_state", "candidate_revision").alias("state"), F.min("occurred_at").alias("created_at"))
+    """(instant, candidate_id, state, created_at): the state of each candidate at each instant.
+
+    A small table of instants is broadcast. One of any other size is joined to the intervals between a candidate's
+    events, each with the state so far, so that no more than one interval meets an instant.
+    """
+    instants = instants.select("instant").distinct()
+    if _is_small(instants):
+        at = F.col("occurred_at") <= F.col("instant") if inclusive else F.col("occurred_at") < F.col("instant")
+        seen = events.join(F.broadcast(instants), at)
+        return seen.groupBy("instant", "candidate_id").agg(F.max_by("next_state", "candidate_revision").alias("state"), F.min("occurred_at").alias("created_at"))
+    w = Window.partitionBy("candidate_id").orderBy("occurred_at")  # events of one time are in each other's frame
+    spans = events.where("occurred_at is not null").select(
+        "candidate_id", F.max_by("next_state", "candidate_revision").over(w).alias("state"), F.min("occurred_at").over(w).alias("created_at"), "occurred_at", F.lead("occurred_at").over(w).alias("_until"),
+    )
+    since, until, now = F.col("occurred_at"), F.col("_until"), F.col("instant")
+    within = (since <= now) & (until.isNull() | (now < until)) if inclusive else (since < now) & (until.isNull() | (now <= until))
+    return spans.join(instants, within).select("instant", "candidate_id", "state", "created_at")
 
 
 def emit_events(decisions: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

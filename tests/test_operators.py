@@ -166,3 +166,24 @@ def test_empty_tables(spark):
     assert metrics.queue_ages(spark.createDataFrame([], "created_at timestamp"), "2026-01-01").first().max_hours == 0
     assert claims.claim_agreement(spark.createDataFrame([], "entity string, identifier_type string, value string, origin string")).count() == 0
     assert directory.parity(spark.createDataFrame([], "k int, v int"), spark.createDataFrame([], "k int, v int"), "k", ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_states_at_many_instants(spark, inclusive):
+    events = [("a", 1, "x", 5), ("a", 2, "y", 7), ("a", 3, "z", 7), ("a", 4, "w", 6), ("b", 1, "x", 10_400), ("c", 1, "x", None)]
+    df = spark.createDataFrame(events, "candidate_id string, candidate_revision int, next_state string, occurred_at long")
+    want = set()
+    for t in range(10_500):
+        for c in "ab":
+            seen = [e for e in events if e[0] == c and (e[3] <= t if inclusive else e[3] < t)]
+            if seen:
+                want.add((t, c, max(seen, key=lambda e: e[1])[2], min(e[3] for e in seen)))
+    got = [tuple(r) for r in lifecycle.states_as_of(df, spark.range(10_500).withColumnRenamed("id", "instant"), inclusive).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("n", [1_200, 10_100])
+def test_agreement_on_many_types(spark, n):
+    df = spark.createDataFrame([("e", "t7", "v", "o"), ("f", "t8", "v", "o"), ("f", "t8", "w", "o")], "entity string, identifier_type string, value string, origin string")
+    got = claims.claim_agreement(df, spark.range(n).selectExpr("concat('t', id) as identifier_type")).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"agreement": 1, "conflict": 1, "not_observed": 2 * n - 2}
