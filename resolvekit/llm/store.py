@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +28,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of bounded size; release it once what reads it is written."""
+    return spark.sparkContext.broadcast(value)
+
+
+def release(*shared: Broadcast | None) -> None:
+    for b in shared:
+        if b is not None:
+            b.destroy()
+
+
+def unused(taken: list[str], name: str) -> str:
+    """name, or the first of name_, name__ ... that no column has; Spark ignores case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

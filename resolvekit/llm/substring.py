@@ -1,12 +1,14 @@
-"""Removal of repeated passages with an FM-index per shard.
+"""Removal of repeated passages with a compressed FM-index per shard.
 
 A window is `width` consecutive words. Its key is the smallest hash of the GRAM-word grams in it, so equal
-windows have equal keys; consecutive windows of one key are a run. Keys that one document alone has are done
-with. Of the others, equal runs are one text, owned by the smallest doc_id (the other documents repeat it
-whole), and the owners' runs go to shards by key. A shard builds an FM-index over its runs (suffix order,
-Burrows-Wheeler transform, wavelet matrix) and streams the runs through it by backward search: a window is
-repeated if its range holds a smaller doc_id. Runs of a key with over HOT different texts are compared window by
-window through a hash join instead, so no shard grows with a key.
+windows have equal keys; consecutive windows of one key are a run. Runs of keys that more than one document has
+go to shards by key, each different run once. A shard builds an FM-index over its runs (Burrows-Wheeler
+transform as a bit-packed wavelet matrix; of the suffix order only the groups of equal windows stay) and streams
+the runs through it: backward search gives, at each word, the longest match up to `width` words, and each match
+of full width the smallest doc_id that has the window. Where these statistics reach the width, intervals go back
+to every document that has the run.
+
+A key with more words than a shard is cut: its windows are runs of their own, keyed by all their words.
 """
 
 from __future__ import annotations
@@ -18,16 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import BITS, bit_table, contains, slot_of, split
-from .store import keep, small_batches
+from .store import keep, release, share, small_batches
 from .text import Words, mix, ngrams, pieces, powers, windows_in
 
 GRAM = 10
-#: Words of the runs in a shard, about; different runs of a key above which its windows are joined by hash.
-SHARD, HOT = 1_000_000, 4_000
+#: Words of the different runs in a shard, about, and of one key in a shard at most.
+SHARD = 1_000_000
+#: Windows that are streamed in one go; longer runs are cut, with width - 1 words more on the right.
+LANE = 256
+NONE = np.iinfo(np.int64).max
 
 
-def _runs(part: pa.RecordBatch, width: int):
-    """(words, h, start, windows, key, print) of each run in a batch; start in the batch's words."""
+def _place(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _runs(part: pa.RecordBatch, width: int, hot: np.ndarray | None):
+    """(words, h, start, windows, key, mark) of each run in a batch; start in the batch's words. Runs of hot keys are cut into windows."""
     words = Words(part.column("text"))
     h, at = words.hashes(), windows_in(words, width)
     if not len(at):
@@ -39,6 +48,10 @@ def _runs(part: pa.RecordBatch, width: int):
     k = len(h) - width + 1
     low = np.minimum(low[:k], low[reach - size :][:k])[at]
     new = np.append(True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1))
+    if hot is not None:
+        cut = contains(hot, _place(low))
+        low = np.where(cut, ngrams(h, width)[at], low)
+        new |= cut | np.append(False, cut[:-1])
     first = np.flatnonzero(new)
     start, windows = at[first], np.diff(np.append(first, len(at)))
     with np.errstate(over="ignore"):
@@ -53,90 +66,126 @@ def _slot(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
         return (mix(doc_id.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _groups(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the groups of equal keys with two members or more, in order."""
+    edge = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]], [True]]))
+    large = np.diff(edge) > 1
+    return edge[:-1][large].astype(np.int32), edge[1:][large].astype(np.int32)
+
+
 class FMIndex:
-    """Bit-packed wavelet matrix over the Burrows-Wheeler transform of an integer text."""
+    """A text of integers (0 is a separator) for backward search of patterns up to `depth` symbols.
+
+    It holds a wavelet matrix, and of the suffix order the groups of two or more suffixes that begin alike: those of
+    `depth` symbols with their smallest owner, those of one symbol less to shorten a match on the right.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        """text has values from 0 (a separator); suffixes are ordered by their first `depth` symbols at least."""
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
         n = len(text)
         rank, k = np.unique(text, return_inverse=True)[1], 1
-        while k < depth:
+
+        def both(shift: int) -> np.ndarray:
             later = np.zeros(n, np.int64)
-            later[: n - k] = rank[k:] + 1
-            rank, k = np.unique(rank * (n + 1) + later, return_inverse=True)[1], 2 * k
-        self.suffix = np.argsort(rank, kind="stable")
-        self.n, self.levels = n, max(1, int(text.max()).bit_length())
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.levels))])
-        bwt = text[self.suffix - 1]
+            later[: max(n - shift, 0)] = rank[shift:] + 1
+            return rank * (n + 1) + later
+
+        while 2 * k < depth:
+            rank, k = np.unique(both(k), return_inverse=True)[1], 2 * k
+        key = both(depth - k)
+        order = np.argsort(key, kind="stable")
+        self.n, self.depth, self.levels = n, depth, max(1, int(text.max()).bit_length())
+        self.start, end = _groups(key, order)
+        size = end - self.start
+        member = np.repeat(self.start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.owner = np.minimum.reduceat(owner[order[member]], np.cumsum(size) - size) if len(size) else np.zeros(0, np.int64)
+        self.wide = _groups(both(depth - 1 - k) if depth - 1 > k else rank, order) if depth > 1 else (np.zeros(1, np.int32), np.full(1, n, np.int32))
+        counts = np.bincount(text, minlength=1 << self.levels)
+        bwt = text[order - 1]
         self.bits, self.sums, self.zeros = [], [], []
         for level in reversed(range(self.levels)):
-            bit = (bwt >> level & 1).astype(np.uint8)
+            bit = (bwt >> level & 1).astype(bool)
             packed = np.zeros((n + 64) // 64 * 8, np.uint8)
             packed[: (n + 7) // 8] = np.packbits(bit, bitorder="little")
             packed = packed.view(np.uint64)
             self.bits.append(packed)
-            self.sums.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.sums.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
-            bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+            bwt = np.concatenate([bwt[~bit], bwt[bit]])
+        # where a symbol's rows begin, less where its occurrences begin in the last level
+        symbol = np.arange(1 << self.levels)
+        self.shift = (np.cumsum(counts) - counts - self._follow(symbol, np.zeros(len(symbol), np.int64))).astype(np.int32)
 
-    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        word = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.sums[level][word] + np.bitwise_count(self.bits[level][word] & mask)
+    def _follow(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k in range(self.levels):
+            word = at >> 6
+            ones = self.sums[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            at = np.where(symbol >> (self.levels - 1 - k) & 1, self.zeros[k] + ones, at - ones)
+        return at
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of the patterns with one more symbol in front."""
-        a, b, origin = lo, hi, np.zeros_like(lo)
-        for k in range(self.levels):
-            one = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
-            x, y, z = self._ones(k, a), self._ones(k, b), self._ones(k, origin)
-            zero = self.zeros[k]
-            a, b, origin = np.where(one, zero + x, a - x), np.where(one, zero + y, b - y), np.where(one, zero + z, origin - z)
-        return self.before[symbol] + a - origin, self.before[symbol] + b - origin
-
-
-def _range_min(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(value[lo:hi]) of each range, by doubling; every range has an entry."""
-    out = np.empty(len(lo), value.dtype)
-    power = np.floor(np.log2(np.maximum(hi - lo, 1))).astype(np.int64)
-    table = value
-    for k in range(int(power.max(initial=0)) + 1):
-        own = power == k
-        out[own] = np.minimum(table[lo[own]], table[hi[own] - (1 << k)])
-        if len(table) > 1 << k:
-            table = np.minimum(table[: -(1 << k)], table[1 << k :])
-    return out
+        """Rows of the patterns with one more symbol in front; a symbol below 0 isn't in the text."""
+        known = np.maximum(symbol, 0)
+        both = self._follow(np.concatenate([known, known]), np.concatenate([lo, hi])) + np.tile(self.shift[known], 2)
+        lo, hi = both[: len(lo)], both[len(lo) :]
+        return lo, np.where(symbol < 0, lo, hi)
+
+    def matches(self, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, owner) at each place of text: the longest match up to depth found from there, read from each lane's end.
+
+        Lanes are text[first:end], read from right to left. owner is that of a match of full depth whose group has two
+        places or more, NONE elsewhere. A match that can't go on gives up its last symbol and is read anew.
+        """
+        length, owner = np.zeros(len(text), np.int16), np.full(len(text), NONE)
+        at, left = end - 1, first
+        lo, hi, size = np.zeros(len(at), np.int64), np.full(len(at), self.n), np.zeros(len(at), np.int64)
+        while len(at):
+            full = size == self.depth
+            if full.any():
+                begin, stop = self.wide
+                group = np.searchsorted(begin, lo[full], "right") - 1
+                inside = (group >= 0) & (lo[full] < stop[np.maximum(group, 0)]) if len(begin) else np.zeros(len(group), bool)
+                group = np.maximum(group, 0)
+                lo[full], hi[full] = (np.where(inside, begin[group], lo[full]), np.where(inside, stop[group], hi[full])) if len(begin) else (lo[full], hi[full])
+                size = size - full
+            a, b = self.extend(lo, hi, text[at])
+            found = a < b
+            lo, hi = np.where(found, a, 0), np.where(found, b, self.n)
+            size_now = size + 1
+            spot = at[found]
+            length[spot] = np.maximum(length[spot], size_now[found])
+            whole = np.flatnonzero(found & (size_now == self.depth))
+            if len(whole) and len(self.start):
+                group = np.minimum(np.searchsorted(self.start, lo[whole]), len(self.start) - 1)
+                hit = self.start[group] == lo[whole]
+                owner[at[whole[hit]]] = self.owner[group[hit]]
+            at = np.where(found, at - 1, at + size - 1)
+            size = np.where(found, size_now, 0)
+            more = at >= left
+            at, left, lo, hi, size = at[more], left[more], lo[more], hi[more], size[more]
+        return length, owner
 
 
 def repeated_windows(runs: list[np.ndarray], owner: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each run (word hashes) of an owner, which of its windows a run of a smaller owner has."""
+    """For each run (word hashes) of an owner, the smallest owner of a run that has it, for each of its windows."""
     size = np.array([len(r) for r in runs])
     symbol = np.unique(np.concatenate(runs), return_inverse=True)[1] + 1
     text = np.zeros(len(symbol) + len(runs), np.int64)  # a 0 after each run
     first = np.cumsum(size + 1) - size - 1
     text[np.arange(len(symbol)) + np.repeat(np.arange(len(runs)), size)] = symbol
-    index = FMIndex(text, width)
-    doc = np.repeat(owner, size + 1)[index.suffix]
-    count = size - width + 1
-    run = np.repeat(np.arange(len(runs)), count)
-    start = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    lane = np.arange(len(run))
-    lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), index.n)
-    for step in range(width):
-        lo, hi = index.extend(lo, hi, text[start[lane] + width - 1 - step])
-        more = hi - lo > 1  # a range of one is the window itself
-        lane, lo, hi = lane[more], lo[more], hi[more]
-        if not len(lane):
-            break
-    found = np.zeros(len(run), bool)
-    if len(lane):
-        found[lane] = _range_min(doc, lo, hi) < owner[run[lane]]
-    return np.split(found, np.cumsum(count)[:-1])
-
-
-def _spans(found: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], found.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+    index = FMIndex(text, np.repeat(owner, size + 1), width)
+    lanes = -(-(size - width + 1) // LANE)
+    start = np.repeat(first, lanes) + LANE * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    _, found = index.matches(text, start, np.minimum(start + LANE + width - 1, np.repeat(first + size, lanes)))
+    return [np.minimum(found[a : a + n - width + 1], o) for a, n, o in zip(first.tolist(), size.tolist(), owner.tolist(), strict=True)]
+
+
+_SPAN = pa.list_(pa.struct([("offset", pa.int64()), ("windows", pa.int64()), ("owner", pa.int64())]))
+
+
+def _spans(owner: np.ndarray, last: int) -> list[dict]:
+    """Intervals of windows with one owner that is below last."""
+    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+    return [{"offset": a, "windows": b - a, "owner": o} for a, b, o in zip(edge[:-1].tolist(), edge[1:].tolist(), owner[edge[:-1]].tolist(), strict=True) if o < last]
 
 
 def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -144,78 +193,68 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     start counts words from 0; th tells texts with one doc_id apart.
     """
-    spark = docs.sparkSession
-
-    def describe(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                words, _, start, windows, key, mark = _runs(part, width)
-                doc = words.doc[start]
-                doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
-                own = start - words.first[doc]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "mark": pa.array(mark.view(np.int64)), "doc_id": pa.array(doc_id), "th": pa.array(th), "start": pa.array(own.astype(np.int64)), "windows": pa.array(windows.astype(np.int64)), "slot": pa.array(_slot(doc_id, own))})
-
-    runs = docs.where("doc_id is not null").mapInArrow(describe, "key long, mark long, doc_id long, th long, start long, windows long, slot long")
-    runs = keep(runs, "runs")
-    of_mark = runs.groupBy("key", "mark").agg(F.min(F.struct("doc_id", "th", "start", "windows", "slot")).alias("own"), F.max("doc_id").alias("last"))
-    of_key = of_mark.groupBy("key").agg(F.min("own.doc_id").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("texts")).where("lo < hi").select("key", "texts")
-    owned = keep(of_mark.join(of_key, "key").select("key", "mark", "own", "last", "texts"), "owned")
-    # whole runs that a smaller doc_id has word by word
-    copies = owned.where("last > own.doc_id").select("key", "mark", F.col("own.doc_id").alias("owner"))
-    whole = runs.join(copies, ["key", "mark"]).where("doc_id > owner").select("doc_id", "th", "start", "windows")
-    # owners' runs of keys that have several texts
-    several = owned.where("texts > 1").select("key", "mark", "own.doc_id", "own.th", "own.start", "own.slot", "own.windows", "texts")
-    table = spark.sparkContext.broadcast(bit_table(several.select("slot")))
+    docs = docs.where("doc_id is not null")
+
+    def described(hot):
+        def describe(batches):
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    words, _, start, windows, key, mark = _runs(part, width, hot and hot.value)
+                    doc = words.doc[start]
+                    doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
+                    own = start - words.first[doc]
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "mark": pa.array(mark.view(np.int64)), "doc_id": pa.array(doc_id), "th": pa.array(th), "start": pa.array(own.astype(np.int64)), "windows": pa.array(windows.astype(np.int64)), "slot": pa.array(_slot(doc_id, own)), "place": pa.array(_place(key))})
+
+        runs = keep(docs.mapInArrow(describe, "key long, mark long, doc_id long, th long, start long, windows long, slot long, place long"), "runs")
+        marks = runs.groupBy("key", "mark").agg(F.min(F.struct("doc_id", "slot", "place", "windows")).alias("own"), F.max("doc_id").alias("last"))
+        keys = marks.groupBy("key").agg(F.min("own.doc_id").alias("lo"), F.max("last").alias("hi"), F.sum(F.col("own.windows") + width - 1).alias("words")).where("lo < hi").select("key", "words")
+        owned = marks.join(keys, "key").select("key", "mark", F.col("own.doc_id").alias("owner"), "own.slot", "own.place", (F.col("own.windows") + width - 1).alias("size"), "last", "words")
+        return runs, keep(owned, "owned")
+
+    hot = None
+    runs, owned = described(None)
+    large = owned.where(F.col("words") > SHARD)
+    if not large.isEmpty():
+        hot = share(docs.sparkSession, bit_table(large.select(F.col("place").alias("slot"))))
+        runs, owned = described(hot)
+    flags = share(docs.sparkSession, bit_table(owned.select("slot")))
 
     def contents(batches):
+        seen = set()  # repeated rows go on once a task
         for batch in batches:
             for part in pieces(batch, "text"):
-                words, h, start, windows, _, _ = _runs(part, width)
+                words, h, start, windows, key, mark = _runs(part, width, hot and hot.value)
                 doc = words.doc[start]
-                doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
-                own = start - words.first[doc]
-                take = np.flatnonzero(contains(table.value, _slot(doc_id, own)))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id[take]), "th": pa.array(th[take]), "start": pa.array(own[take].astype(np.int64)), "words": pa.array([h[start[i] : start[i] + windows[i] + width - 1].tobytes() for i in take], pa.binary())})
-
-    texts = docs.where("doc_id is not null").mapInArrow(contents, "doc_id long, th long, start long, words binary")
-    texts = texts.join(several, ["doc_id", "th", "start"])
-    total = several.where(F.col("texts") <= HOT).agg(F.sum(F.col("windows") + width)).first()[0] or 0
-    shards = max(1, int(total) // SHARD)
+                doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+                new = [x not in seen and not seen.add(x) for x in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), strict=True)]
+                take = np.flatnonzero(contains(flags.value, _slot(doc_id, start - words.first[doc])) & np.array(new, bool)[doc])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[take].view(np.int64)), "mark": pa.array(mark[take].view(np.int64)), "words": pa.array([h[start[i] : start[i] + windows[i] + width - 1].tobytes() for i in take], pa.binary())})
 
-    span = "key long, mark long, doc_id long, offset long, windows long"
+    texts = docs.mapInArrow(contents, "key long, mark long, words binary").select("key", "mark", "words", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("last"))
+    shards = max(1, int(owned.agg(F.sum("size")).first()[0] or 0) // SHARD)
+    rows = texts.unionByName(owned.select("key", "mark", F.lit(None).cast("binary").alias("words"), "owner", "last"))
 
     def search(table):
-        rows = {k: table.column(k).to_pylist() for k in ("doc_id", "key", "mark")}
-        order = sorted(range(table.num_rows), key=lambda i: (rows["doc_id"][i], rows["key"][i], rows["mark"][i]))
-        order = [i for k, i in enumerate(order) if not k or any(rows[c][i] != rows[c][order[k - 1]] for c in rows)]  # repeated rows
-        found = repeated_windows([np.frombuffer(table.column("words")[i].as_buffer(), np.uint64) for i in order], np.array([rows["doc_id"][i] for i in order]), width)
-        out = [(rows["key"][i], rows["mark"][i], rows["doc_id"][i], a, n) for i, f in zip(order, found, strict=True) for a, n in _spans(f)]
-        return pa.table({c.split()[0]: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(span.split(", "))})
-
-    parts = texts.where(F.col("texts") <= HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    found = parts.select("shard", "doc_id", "key", "mark", "words").groupBy("shard").applyInArrow(search, span)
-    hot = keep(several.where(F.col("texts") > HOT), "hot")
-    if not hot.isEmpty():
-        found = found.unionByName(_hot_windows(texts.where(F.col("texts") > HOT), width))
-    # an owner may have a run in several places
-    spots = runs.select("key", "mark", "doc_id", "th", "start").join(found, ["key", "mark", "doc_id"])
-    return whole.unionByName(spots.select("doc_id", "th", (F.col("start") + F.col("offset")).alias("start"), "windows"))
-
-
-def _hot_windows(texts: DataFrame, width: int) -> DataFrame:
-    """Windows of owners' runs that a smaller owner has, by two hashes of each window."""
-
-    def windows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
-                a, b = ngrams(h, width), ngrams(mix(h), width, salt=1)
-                same = {c: pa.array([batch.column(c)[i].as_py()] * len(a), pa.int64()) for c in ("key", "mark", "doc_id")}
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), **same, "offset": pa.array(np.arange(len(a)))})
-
-    rows = texts.select("key", "mark", "doc_id", "words").mapInArrow(windows, "a long, b long, key long, mark long, doc_id long, offset long")
-    first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    return rows.join(first, ["a", "b"]).where("doc_id > owner").select("key", "mark", "doc_id", "offset", F.lit(1).cast("long").alias("windows")).distinct()
+        """The runs of a shard: what is known of each, and its words, once or more."""
+        known, words = {}, {}
+        for key, mark, text, owner, last in zip(*(table.column(c).to_pylist() for c in ("key", "mark")), table.column("words"), *(table.column(c).to_pylist() for c in ("owner", "last")), strict=True):
+            if owner is None:
+                words[key, mark] = text
+            else:
+                known[key, mark] = owner, last
+        names = sorted(k for k in known if k in words)
+        spans = []
+        if names:
+            owner = np.array([known[k][0] for k in names])
+            found = repeated_windows([np.frombuffer(words[k].as_buffer(), np.uint64) for k in names], owner, width)
+            spans = [_spans(f, known[k][1]) for f, k in zip(found, names, strict=True)]
+        return pa.table({"key": pa.array([k for (k, _), s in zip(names, spans, strict=True) if s], pa.int64()), "mark": pa.array([m for (_, m), s in zip(names, spans, strict=True) if s], pa.int64()), "spans": pa.array([s for s in spans if s], _SPAN)})
+
+    found = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(search, "key long, mark long, spans array<struct<offset:long,windows:long,owner:long>>")
+    found = keep(found, "found")
+    release(hot, flags)
+    spots = runs.select("key", "mark", "doc_id", "th", "start").join(found, ["key", "mark"]).select("doc_id", "th", "start", F.explode("spans").alias("s"))
+    return spots.where("s.owner < doc_id").select("doc_id", "th", (F.col("start") + F.col("s.offset")).alias("start"), "s.windows")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataFrame:
@@ -231,7 +270,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: bool = True) -> DataF
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
-    spans = find_repeats(docs, width).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = find_repeats(docs, width).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     spans = keep(spans, "spans")
     slot = slot_of("doc_id", "th")
     maybe, clear = split(docs, slot, spans.select(slot.alias("slot")))

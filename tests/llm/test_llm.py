@@ -136,9 +136,9 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]} | {x: find(x) for x in got}
 
 
-@pytest.mark.parametrize("hot", [4000, 0])
-def test_substring(spark, corpus, docs, hot, monkeypatch):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize("shard", [1_000_000, 300, 60])
+def test_substring(spark, corpus, docs, shard, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD", shard)
     first = {}
     for i, t in corpus:
         w = split(t)
@@ -158,17 +158,35 @@ def test_substring(spark, corpus, docs, hot, monkeypatch):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_fm_index():
-    r = np.random.default_rng(5)
-    t = r.integers(1, 6, 500)
-    index = substring.FMIndex(np.append(t, 0), 8)
-    for _ in range(40):
-        at, n = r.integers(0, 490), r.integers(1, 8)
-        p = t[at : at + n] if r.random() < 0.7 else r.integers(1, 6, n)
-        lo, hi = np.array([0]), np.array([501])
-        for c in p[::-1]:
-            lo, hi = index.extend(lo, hi, np.array([c]))
-        assert hi[0] - lo[0] == sum((t[k : k + n] == p).all() for k in range(500 - n + 1))
+@pytest.mark.parametrize("depth", [2, 5, 8, 33])
+def test_matching_statistics(depth):
+    r = np.random.default_rng(depth)
+    for sigma in (2, 4, 40):
+        t = np.append(r.integers(1, sigma + 1, 400), 0)
+        t[[90, 200, 201]] = 0
+        owner = r.integers(0, 50, 401)
+        index = substring.FMIndex(t, owner, depth)
+        own = [t[a:b] for a, b in ((0, 90), (91, 200), (202, 400))]
+        other = r.integers(1, sigma + 1, 150)
+        other[[3, 70]] = -1  # a word that the index doesn't have
+        lanes = [*own, other, np.concatenate([own[0][10:60], other[:20], own[2][:80]])]
+        size = np.array([len(x) for x in lanes])
+        flat, first = np.concatenate(lanes), np.cumsum(size) - size
+        length, low = index.matches(flat, first, first + size)
+        for a, n in zip(first.tolist(), size.tolist(), strict=True):
+            for i in range(a, a + n):
+                w = flat[i : min(i + depth, a + n)]
+                places = [k for k in range(401 - depth) if len(w) == depth and (t[k : k + depth] == w).all()]
+                assert (length[i] == depth) == bool(places) and low[i] == (min(owner[places]) if len(places) > 1 else substring.NONE)
+                has = lambda m: any((t[k : k + m] == flat[i : i + m]).all() for k in range(402 - m))  # noqa: B023, E731
+                m = int(length[i])
+                assert (m == 0 or has(m)) and (m == len(w) or not has(m + 1))
+
+
+def test_substring_of_periodic_texts(spark):
+    rows = [(i, "x " * (2000 + i)) for i in range(40)] + [(100, "y x " * 900), (101, "y x " * 500 + "z")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), text=False).collect()}
+    assert got == {0: (2000, 0), **{i: (2000 + i, 2000 + i) for i in range(1, 40)}, 100: (1800, 0), 101: (1001, 1000)}
 
 
 def test_lm_score(spark, corpus, docs):
