@@ -2,13 +2,14 @@
 
 Both models have the same vocabulary (every word of every document), order and smoothing:
 p(w | h) = (c(h, w) + KAPPA) / (c(h) + KAPPA * V), with a start symbol as the first h. The background is all
-documents, the target those marked as such. A document's score is the mean over its words of
-log p_background - log p_target: lower is more like the target.
-
-The logarithm of p is a term of (h, w) and a term of h, so each n-gram's counts are needed once, at the place
-its hash says: documents send their n-grams there with their own counts, and get back sums of terms. Words
-above 1 / FREQUENT of all words (FREQUENT at most) are counted first and broadcast. Terms are whole millionths,
-so sums don't depend on their order.
+documents, the target those marked as such; a document's own counts are left out of the models that score it. Its
+score is the mean over its words of log p_background - log p_target: lower is more like the target.
+
+Documents are taken in chunks. A chunk sends each of its n-grams once, with its count, to the place that the
+n-gram's hash says; there counts are added up over chunks and go back to each chunk that asked, which keeps the
+counts of its documents. So a place gets a row from a chunk, not from a document, however common an n-gram is.
+Words above 1 / FREQUENT of all words (FREQUENT at most) are counted first and broadcast. Terms are whole
+millionths, so sums don't depend on their order.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import slot_of, split
-from .store import keep, small_batches
+from .store import keep, share, small_batches
 from .text import Words, mix, pieces
 
 KAPPA = 0.05
 #: Words with more than this part of all occurrences have their counts broadcast.
 FREQUENT = 1 << 18
-#: Words of the texts whose n-grams a task merges before sending them.
-CHUNK = 1_000_000
+#: Words of the documents of a chunk, about; bytes of text whose n-grams meet in one place, about.
+CHUNK, PLACE = 1_000_000, 8 << 20
 #: Ids of target documents that are broadcast at most (about 40 MB in memory).
 SMALL = 1_000_000
 START = np.uint64(0x5354415254)
@@ -112,58 +114,59 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
     return max((v or 0) - 1, 0), {"k": k[order], "t": rows.column("t").to_numpy()[order], "o": rows.column("o").to_numpy()[order]}
 
 
-def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFrame:
+def _logs(n: np.ndarray) -> np.ndarray:
+    """Logarithms in whole millionths."""
+    return np.rint(np.log(n) * UNIT).astype(np.int64)
+
+
+def _sums(doc: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(doc, terms, n).astype(np.int64)
+
+
+def cross_entropy_difference(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, ce_target, ce_background, ce_diff) for each row of docs (doc_id, text, target boolean).
 
-    Cross entropies are in nats a word, means of terms in whole millionths. rows is the number of rows of docs,
-    about, where it is known; it sets the size of the shuffle, not the result.
+    Cross entropies are in nats a word, means of terms in whole millionths.
 
     A null or blank text has no words and null scores. A null target is false. A null doc_id is a document like
-    others. Repeated rows count as often as they are there and score alike. Other columns are ignored. Without a
-    target document the target model is uniform. An empty table gives an empty result.
+    others. Repeated rows are documents of their own (so each is in the model of the other) and score alike. Other
+    columns are ignored. Without a target document the target model is uniform. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    buckets = max(8, (docs.count() if rows is None else rows) // 8000)
+    buckets = max(8, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PLACE)
     v, frequent = _word_stats(docs, buckets)
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def logs(n):  # in whole millionths
-        return np.rint(np.log(n) * UNIT).astype(np.int64)
+    known = share(docs.sparkSession, frequent)
 
     def send(batches):
-        held, size = [], 0
+        """Rows (place, chunk, part, data): a chunk's n-grams for each place, and (part -1) what stays with the chunk."""
+        held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
-            row, doc_id, null, target, words, base_t, base_b = (np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True))
+            ids, null, target, words, base_t, base_b = (np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True))
             shift = np.cumsum([0, *(len(h[0][0]) for h in held)])
             keys = np.concatenate([h[1] for h in held])
             doc = np.concatenate([(h[2] + s).astype(np.int32) for h, s in zip(held, shift, strict=False)])
             held.clear()
-            for b, (r, i, z, w, t, g) in _by_bucket(row, buckets, doc_id, null, words, base_t, base_b):
-                yield b, 0, _dump(r, i, z, _small(w), t, g)
-            order = np.lexsort((doc, keys))
-            keys = keys[order]
-            doc = doc[order]
-            at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))
+            order = np.argsort(keys, kind="stable")  # documents of a key stay in order
+            keys, doc = keys[order], doc[order]
+            del order
+            at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))) if len(keys) else np.zeros(0, np.int64)
             times = np.diff(np.append(at, len(keys))).astype(np.int32)
-            keys = keys[at]
-            doc = doc[at]
-            del at, order
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            which, start = np.unique(bucket[order], return_index=True)
-            for b, at in zip(which.tolist(), np.split(order, start[1:]), strict=True):
-                k, d, n = keys[at], doc[at], times[at]
-                first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                own, d = np.unique(d, return_inverse=True)
-                sums = np.add.reduceat(n, first), np.add.reduceat(n * target[own][d], first)
-                yield b, 1, _dump(np.diff(k[first], prepend=np.uint64(0)), _small(sums[0]), _small(sums[1]), _small(np.diff(np.append(first, len(k)))), _small(d), _small(n), row[own])
+            keys, doc = keys[at], doc[at]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else at
+            k = keys[first]
+            yield -1 - chunk, chunk, -1, _dump(ids, null, _small(target), _small(words), base_t, base_b, np.packbits((k & np.uint64(1)).astype(np.uint8)), _small(np.diff(np.append(first, len(keys)))), _small(doc), _small(times))
+            if len(k):
+                n, own = np.add.reduceat(times, first), np.add.reduceat(times * target[doc].astype(np.int32), first)
+                place = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in order of keys
+                which, start = np.unique(place, return_index=True)
+                for b, x, y in zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(k)], strict=True):
+                    yield b, chunk, b, _dump(np.diff(k[x:y], prepend=np.uint64(0)), _small(n[x:y]), _small(own[x:y]))
 
         def batch_of(rows):
-            b, kind, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())})
+            place, at, part, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "chunk": pa.array(at, pa.int64()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -176,61 +179,51 @@ def cross_entropy_difference(docs: DataFrame, rows: int | None = None) -> DataFr
                 f = known.value
                 at = np.minimum(np.searchsorted(f["k"], before), max(len(f["k"]) - 1, 0))
                 hit = f["k"][at] == before if len(f["k"]) else np.zeros(len(h), bool)
-                term = lambda c: np.bincount(words.doc[hit], -logs(c[at[hit]] + KAPPA * v), words.n_docs).astype(np.int64) if hit.any() else np.zeros(words.n_docs, np.int64)  # noqa: E731, B023
                 ids = part.column("doc_id")
-                row = part.column("row").to_numpy(zero_copy_only=False).view(np.uint64)
                 null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
                 target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+                own, times = np.unique(words.doc[hit] * max(len(f["k"]), 1) + at[hit], return_counts=True)
+                doc, which = np.divmod(own, max(len(f["k"]), 1))
+                base_t, base_b = (_sums(doc, -_logs(c + KAPPA * v) * times, words.n_docs) if len(doc) else np.zeros(words.n_docs, np.int64) for c in (f["o"][which] - times * target[doc], f["t"][which] - times))
                 rest = mix(before[~hit]) & ~np.uint64(1)
-                held.append(((row, ids.fill_null(0).to_numpy(zero_copy_only=False), null, target, words.count, term(f["o"]), term(f["t"])), np.concatenate([pair, rest]), np.concatenate([words.doc, words.doc[~hit]])))
+                held.append(((ids.fill_null(0).to_numpy(zero_copy_only=False), null, target, words.count, base_t, base_b), np.concatenate([pair, rest]), np.concatenate([words.doc, words.doc[~hit]])))
                 size += len(h)
                 if size > CHUNK:
                     yield batch_of(list(flush()))
-                    size = 0
+                    size, chunk = 0, chunk + 1
         if held:
             yield batch_of(list(flush()))
 
     def count(key, table):
-        parts, out = [], []
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-            if kind:
-                parts.append(_load(data.as_py()))
-            else:  # a document's own part passes through
-                out.append((key[0].as_py(), 0, data.as_py()))
-        if parts:
-            keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-            which, n, own = _merge(np.concatenate(keys), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-            pair = (which & np.uint64(1)).astype(bool)
-            to, tb = (np.where(pair, logs(c + KAPPA), -logs(c + KAPPA * v)) for c in (own, n))
-            rows, sums_t, sums_b = [], [], []
-            for k, (_, _, _, lengths, d, times, row) in zip(keys, parts, strict=True):
-                at = np.repeat(np.searchsorted(which, k), lengths)
-                rows.append(row)
-                sums_t.append(np.bincount(d, to[at] * times.astype(np.int64), len(row)).astype(np.int64))
-                sums_b.append(np.bincount(d, tb[at] * times.astype(np.int64), len(row)).astype(np.int64))
-            row, t, b = _merge(np.concatenate(rows), np.concatenate(sums_t), np.concatenate(sums_b))
-            out += [(k, 1, _dump(*x)) for k, x in _by_bucket(row, buckets, t, b)]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
+        if key[0].as_py() < 0:  # a chunk's own part passes through
+            return table.select(["chunk", "part", "data"])
+        parts = [_load(x.as_py()) for x in table.column("data")]
+        keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        which, n, own = _merge(np.concatenate(keys), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+        out = []
+        for k in keys:
+            at = np.searchsorted(which, k)
+            out.append(_dump(_small(n[at]), _small(own[at])))
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "data": pa.array(out, pa.binary())})
 
     def finish(key, table):
-        base, more = [], []
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-            (more if kind else base).append(_load(data.as_py()))
-        row, doc_id, null, words, t, b = (np.concatenate(x) for x in zip(*base, strict=True))
-        which, inverse, copies = np.unique(row, return_inverse=True, return_counts=True)
-        sums = []
-        for base_sum, k in ((t, 1), (b, 2)):
-            s = np.bincount(inverse, base_sum, len(which)).astype(np.int64)
-            for m in more:
-                s[np.searchsorted(which, m[0])] += m[k]
-            sums.append((s // copies)[inverse])  # repeated rows were added up
-        n = words.astype(np.int64)
-        mean = lambda s: pa.array(-(s / UNIT) / np.maximum(n, 1), mask=n == 0)
-        return pa.table({"doc_id": pa.array(doc_id, mask=null.astype(bool)), "n_words": pa.array(n), "ce_target": mean(sums[0]), "ce_background": mean(sums[1]), "ce_diff": mean(sums[0] - sums[1])})
-
-    part = "bucket int, kind int, data binary"
-    met = docs.mapInArrow(send, part).groupBy("bucket").applyInArrow(count, part)
-    return met.groupBy("bucket").applyInArrow(finish, "doc_id long, n_words long, ce_target double, ce_background double, ce_diff double")
+        order = np.argsort(table.column("part").to_numpy())
+        own, *counts = (_load(table.column("data")[int(i)].as_py()) for i in order)
+        ids, null, target, words, t, b, kinds, lengths, doc, times = own
+        n, of_target = (np.concatenate([c[k] for c in counts]).astype(np.int64) if counts else np.zeros(0, np.int64) for k in (0, 1))
+        at = np.repeat(np.arange(len(n)), lengths)
+        pair, times = np.unpackbits(kinds, count=len(n)).astype(bool)[at], times.astype(np.int64)
+        for total, c in ((t, of_target[at] - times * target[doc]), (b, n[at] - times)):
+            term = _logs(np.where(pair, c + KAPPA, c + KAPPA * v))
+            total += _sums(doc, np.where(pair, term, -term) * times, len(ids))
+        words = words.astype(np.int64)
+        mean = lambda s: pa.array(-(s / UNIT) / np.maximum(words, 1), mask=words == 0)
+        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_words": pa.array(words), "ce_target": mean(t), "ce_background": mean(b), "ce_diff": mean(t - b)})
+
+    # a chunk is the same in each attempt at its task, in whatever order its rows come
+    met = docs.sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(send, "place long, chunk long, part long, data binary")
+    met = met.groupBy("place").applyInArrow(count, "chunk long, part long, data binary")
+    return met.groupBy("chunk").applyInArrow(finish, "doc_id long, n_words long, ce_target double, ce_background double, ce_diff double")
 
 
 def mark_target(docs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -15,10 +15,12 @@ b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t),
 v AS (SELECT count(DISTINCT x) AS v FROM t),
 p AS (SELECT h, x, count(*) AS nb, count(*) FILTER (target) AS nt FROM b GROUP BY h, x),
 u AS (SELECT h, count(*) AS nb, count(*) FILTER (target) AS nt FROM b GROUP BY h),
-r AS (SELECT n::DOUBLE AS n FROM (SELECT 1000000 AS n)),
-f AS (SELECT p.h, p.x, cast(round(ln(p.nt + 0.05::DOUBLE) * n) AS bigint) - cast(round(ln(u.nt + 0.05::DOUBLE * v) * n) AS bigint) AS t, cast(round(ln(p.nb + 0.05::DOUBLE) * n) AS bigint) - cast(round(ln(u.nb + 0.05::DOUBLE * v) * n) AS bigint) AS g FROM p JOIN u ON p.h IS NOT DISTINCT FROM u.h, v, r),
-s AS (SELECT doc_id, count(*) AS n_words, cast(sum(t) AS double) AS t, cast(sum(g) AS double) AS g FROM b JOIN f ON b.x = f.x AND b.h IS NOT DISTINCT FROM f.h GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, -(t / 1000000) / n_words AS ce_target, -(g / 1000000) / n_words AS ce_background, -((t - g) / 1000000) / n_words AS ce_diff FROM d LEFT JOIN s USING (doc_id)
+e AS (SELECT doc_id, target, h, x, count(*) AS k FROM b GROUP BY ALL),
+g AS (SELECT doc_id, target, h, count(*) AS k FROM b GROUP BY ALL),
+f AS (SELECT doc_id, k, k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS t, k * cast(round(ln(nb - k + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS g FROM e JOIN p ON e.x = p.x AND e.h IS NOT DISTINCT FROM p.h
+    UNION ALL SELECT doc_id, 0, -k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint), -k * cast(round(ln(nb - k + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint) FROM g JOIN u ON g.h IS NOT DISTINCT FROM u.h, v),
+s AS (SELECT doc_id, sum(k) AS n_words, cast(sum(t) AS double) AS t, cast(sum(g) AS double) AS g FROM f GROUP BY doc_id)
+SELECT d.doc_id, cast(coalesce(n_words, 0) AS bigint) AS n_words, -(t / 1000000) / n_words AS ce_target, -(g / 1000000) / n_words AS ce_background, -((t - g) / 1000000) / n_words AS ce_diff FROM d LEFT JOIN s USING (doc_id)
 """
 
 WARC = f"""

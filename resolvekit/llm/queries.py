@@ -29,7 +29,7 @@ def op2_lm_score(spark, sf_dir):
     from .lm_score import cross_entropy_difference, mark_target
 
     docs, good = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(mark_target(docs, good), rows=docs.count())
+    return cross_entropy_difference(mark_target(docs, good))
 
 
 def op3_language_id(spark, sf_dir):

@@ -189,7 +189,9 @@ def test_substring_of_periodic_texts(spark):
     assert got == {0: (2000, 0), **{i: (2000 + i, 2000 + i) for i in range(1, 40)}, 100: (1800, 0), 101: (1001, 1000)}
 
 
-def test_lm_score(spark, corpus, docs):
+@pytest.mark.parametrize("place", [8 << 20, 500])
+def test_lm_score(spark, corpus, docs, place, monkeypatch):
+    monkeypatch.setattr(lm_score, "PLACE", place)
     df = docs.withColumn("target", F.when(F.col("doc_id") % 2 == 1, True))
     got = collections.defaultdict(list)
     for r in lm_score.cross_entropy_difference(df).collect():
@@ -205,7 +207,9 @@ def test_lm_score(spark, corpus, docs):
     ln = lambda x: round(math.log(x) * 1e6)
     for i, t in corpus:
         w = split(t)
-        s = [sum(ln(c[k][a, b] + 0.05) - ln(h[k][a] + 0.05 * len(v)) for a, b in zip([None, *w], w)) for k in (0, 1)]
+        both, before = collections.Counter(zip([None, *w], w)), collections.Counter([None, *w][: len(w)])
+        mine = (1, 1 if i is not None and i % 2 == 1 else 0)  # a document's own counts are left out
+        s = [sum(ln(c[k][a, b] - mine[k] * both[a, b] + 0.05) - ln(h[k][a] - mine[k] * before[a] + 0.05 * len(v)) for a, b in zip([None, *w], w)) for k in (0, 1)]
         want = (len(w), -(s[1] / 1e6) / len(w), -(s[0] / 1e6) / len(w), -((s[1] - s[0]) / 1e6) / len(w)) if w else (0, None, None, None)
         assert any(g == pytest.approx(want) if w else g == want for g in got[i])
     assert sum(map(len, got.values())) == len(corpus)
