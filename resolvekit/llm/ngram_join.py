@@ -7,11 +7,12 @@
    very many texts have are left out of parts (a coarse count over all texts tells; it affects speed only).
    A row with too few parts also gives its rarest n - ceil(t*n) + 1 columns as keys: of two such rows that
    link, both have one of these.
-3. Within a block, overlap counts are accumulated row by row over the shared columns. Rows whose sizes rule
-   the threshold out, and rows already in the same component, are left out.
+3. A block's rows are a sparse matrix. Overlap counts are its product with its transpose, made in blocks of rows
+   and columns; pairs below the bounds that their sizes set are discarded, as are pairs in one component already.
 
-Blocks above PANEL rows are cut into panels by size class and hash, and each pair of panels that the sizes
-allow is one task: no task and no group grows with the input. Result is exact up to 64-bit hash collisions.
+Blocks above PANEL rows go in chunks that share pivot rows; what isn't linked then meets all others of its block in
+pairs of panels that the sizes allow. No task and no group grows with the input. The result is exact up to 64-bit
+hash collisions.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .filters import bit_table, contains, slot_of, without
-from .graph import components
-from .store import keep, small_batches
+from .graph import components, forest, merged
+from .store import keep, release, share, small_batches
 from .text import Words, mix, ngrams, pieces, windows_in
 
-#: Rows of a block, or of a panel of a larger block, that one task joins.
-PANEL = 2000
-#: Rows in blocks whose ids are broadcast at most (about 20 MB in memory).
+#: Rows of a block, or of a chunk of a larger block, that one task joins; rows that all chunks of a block get, about.
+PANEL, PIVOTS = 2000, 128
+#: Rows in blocks whose ids (some 60 bytes each) are broadcast at most.
 FEW = 200_000
+#: Rows and columns of a block of the product, and its sparse products; rows up to which a column is a sparse list.
+ROWS, COLUMNS, PRODUCTS, FEW_ROWS = 128, 2048, 1 << 20, 48
 #: The coarse column counts have between 2**16 and 2**24 cells, about 16 per text; a column is common if its
 #: cell has COMMON times the mean count.
 CELLS, COMMON = (16, 24), 2.5
@@ -138,61 +141,86 @@ class Windows:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same components with an edge per node at most: each node and the smallest one it reaches here."""
-    nodes, x = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = x[: len(a)], x[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    own = root != np.arange(len(nodes))
-    return nodes[own], nodes[root[own]]
-
-
-def join_block(node: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a block's rows, enough to give their components; with side, only those between rows of different sides."""
+def join_block(node: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (as a forest) of the rows of a block: overlaps are the product of its incidence with its transpose.
+
+    The product is made in blocks of ROWS rows and of columns: those that few rows have as sparse lists, the others
+    as dense blocks of COLUMNS. Only pairs that the sizes allow are accumulated, and rows whose overlap can't reach
+    the least any more are left out of the blocks to come. With side, only rows of side 1 meet rows of side 2. Rows
+    of one label are known to be connected, so they don't meet.
+    """
     size = np.array([len(s) for s in sets])
     order = np.lexsort((node, size))
-    node, size, sets, side = node[order], size[order], [sets[i] for i in order], None if side is None else side[order]
-    flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    shared = counts[np.argsort(counts, kind="stable")] > 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    rows = [np.sort(rank[flat[at[i] : at[i + 1]]]) for i in range(len(sets))]
-    root = np.unique(node, return_inverse=True)[1]
-    lists: dict[int, list[int]] = {}
-    mark = np.zeros(len(counts), np.int32)
-    links = []
-    for x, own in enumerate(rows):
-        head = own[: size[x] - -(-num * size[x] // den) + 1]
-        head = head[shared[head]].tolist()
-        near = [np.asarray(lists[c]) for c in head if c in lists]
-        if near:
-            near = np.unique(np.concatenate(near))
-            near = near[(size[near] * den >= size[x] * num) & (root[near] != root[x])]
-            if side is not None:
-                near = near[side[near] != side[x]]
-            mark[own] = 1
-            while len(near):
-                now, near = near[:64], near[64:]
-                overlap = np.add.reduceat(mark[np.concatenate([rows[y] for y in now])], np.concatenate([[0], np.cumsum(size[now])[:-1]]))
-                for y in now[overlap * den >= num * (size[now] + size[x] - overlap)]:
-                    if root[y] != root[x]:
-                        links.append((int(node[x]), int(node[y])))
-                        root[root == root[y]] = root[x]
-                near = near[root[near] != root[x]]
-            mark[own] = 0
-        for c in head:
-            lists.setdefault(c, []).append(x)
-    return links
+    node, size, sets = node[order], size[order], [sets[i] for i in order]
+    n = len(sets)
+    head, of = np.unique(np.arange(n) if label is None else label[order], return_index=True, return_inverse=True)[1:]
+    first = root = head[of]  # the first row of each label
+    if side is None:
+        left = right = np.arange(n)
+    else:
+        left, right = (np.flatnonzero(side[order] == k) for k in (1, 2))
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(n), size)
+    shared = count[column] > 1
+    column, row = column[shared], row[shared]
+    number = np.full(len(count), -1)
+    light, heavy = np.flatnonzero((count > 1) & (count <= FEW_ROWS)), np.flatnonzero(count > FEW_ROWS)
+    number[light], number[heavy] = np.arange(len(light)), np.arange(len(heavy))
+    dense = count[column] > FEW_ROWS
+    thin_row, thin_col, thick_row, thick_col = row[~dense], number[column[~dense]], row[dense], number[column[dense]]
+    by_col = np.argsort(thin_col, kind="stable")
+    col_rows, col_first = thin_row[by_col], np.concatenate([[0], np.cumsum(count[light])])
+    thin_first, thick_first = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]) for x in (thin_row, thick_row))
+    thick_size = np.diff(thick_first)
+
+    def block(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """The rows by cols (a run of numbers) of the dense part."""
+        out = np.zeros((len(rows), len(cols)), np.float32)
+        length = thick_size[rows]
+        at = np.repeat(thick_first[rows] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        c = thick_col[at] - cols[0]
+        inside = (c >= 0) & (c < len(cols))
+        out[np.repeat(np.arange(len(rows)), length)[inside], c[inside]] = 1
+        return out
+
+    work = np.concatenate([[0], np.cumsum(np.bincount(thin_row, count[light][thin_col], n)[left])])
+    end = 0
+    while end < len(left):
+        begin, end = end, min(end + ROWS, max(end + 1, int(np.searchsorted(work, work[end] + PRODUCTS, "right")) - 1))
+        x = left[begin:end]
+        y = right[(size[right] * num <= size[x[-1]] * den) & (size[right] * den >= size[x[0]] * num)]
+        if side is None:
+            y = y[y > x[0]]
+        if (root[x] == root[x[0]]).all():
+            y = y[root[y] != root[x[0]]]
+        if not len(y):
+            continue
+        least = -(-num * (size[x][:, None] + size[y][None, :]) // (num + den))  # overlap that the threshold asks for
+        open_ = (least <= np.minimum(size[x][:, None], size[y][None, :])) & (root[x][:, None] != root[y][None, :])
+        if side is None:
+            open_ &= y[None, :] > x[:, None]
+        place = np.full(n, -1)
+        place[y] = np.arange(len(y))
+        length = thin_first[x + 1] - thin_first[x]
+        own = np.repeat(thin_first[x] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        c = thin_col[own]
+        times = col_first[c + 1] - col_first[c]
+        other = place[col_rows[np.repeat(col_first[c] - np.cumsum(times) + times, times) + np.arange(times.sum())]]
+        pair = np.repeat(np.repeat(np.arange(len(x)), length), times) * len(y) + other
+        overlap = np.bincount(pair[other >= 0], minlength=len(x) * len(y)).reshape(len(x), len(y))
+        rest = np.minimum(thick_size[x][:, None], thick_size[y][None, :])
+        for at in range(0, len(heavy), COLUMNS):
+            open_ &= overlap + np.minimum(rest, len(heavy) - at) >= least
+            rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(rows):
+                break
+            block_cols = np.arange(at, min(at + COLUMNS, len(heavy)))
+            overlap[np.ix_(rows, cols)] += (block(x[rows], block_cols) @ block(y[cols], block_cols).T).astype(np.int64)
+        i, j = np.nonzero(open_ & (overlap >= least))
+        if len(i):
+            root = merged(root, x[i], y[j])
+    joined = np.flatnonzero((root != first) & (first == np.arange(n)))
+    return list(zip(node[joined].tolist(), node[root[joined]].tolist(), strict=True))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -220,7 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     # equal sets are one row of the incidence: that of their smallest doc_id
     first = keep(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node")), "first")
     blocks = keep(components(candidate_edges(docs, first, n, num, den)), "blocks")
-    links = block_links(docs, first.join(blocks, "node"), n, num, den)
+    links = block_links(docs, keep(first.join(blocks, "node").withColumnRenamed("root", "block"), "members"), n, num, den)
     # a doc_id with several texts links them
     same = full.join(first, ["p1", "p2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = full.groupBy("doc_id").agg(F.countDistinct("p1", "p2", "n_shingles").alias("k")).where("k > 1").select("doc_id")
@@ -236,16 +264,16 @@ def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: in
     """(a, b) doc_ids that share a key, of those in first(node): enough edges for the blocks."""
     spark = docs.sparkSession
     n_rows = first.count()
-    flags = spark.sparkContext.broadcast(bit_table(first.select(slot_of("node").alias("slot"))))
+    flags = share(spark, bit_table(first.select(slot_of("node").alias("slot"))))
     bits = min(max(math.ceil(math.log2(n_rows + 1)) + 4, CELLS[0]), CELLS[1])
     sums = column_counts(docs, n, bits)
-    mean = float(np.mean(np.exp2(sums / 8) - 1)) if sums.any() else 0
+    mean = float(np.bincount(sums, minlength=256) @ (np.exp2(np.arange(256) / 8) - 1)) / len(sums)
     common = int(min(255, 8 * math.log2(COMMON * (mean + 4) + 1)))
-    counts, windows = spark.sparkContext.broadcast(sums), Windows(num, den)
+    counts, windows = share(spark, sums), Windows(num, den)
     buckets = max(8, n_rows // 4000)
 
     def edges_of(a, b, bucket):
-        a, b = _forest(a, b)
+        a, b = forest(a, b)
         return pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - bucket], pa.int32()), "h": pa.array([a.tobytes()], pa.binary()), "node": pa.array([b.tobytes()], pa.binary())})
 
     def spread(batches):
@@ -286,19 +314,26 @@ def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: in
             new = np.append(True, h[1:] != h[:-1])
             head = node[new][np.cumsum(new) - 1]
             a, b = node[head != node], head[head != node]
-        a, b = _forest(a, b)
+        a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     docs = docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id"))
-    return docs.mapInArrow(spread, "bucket int, h binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    edges = keep(docs.mapInArrow(spread, "bucket int, h binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long"), "edges")
+    release(flags, counts)
+    return edges
 
 
 def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) within blocks; members has node, p1, p2, n_shingles and root (its block)."""
-    members = keep(members.select("node", "p1", "p2", "n_shingles", F.col("root").alias("block")), "members")
-    few = members.count() <= FEW
-    # sets of the members alone: a fixed bit table says which texts can be one, the join below decides
-    flags = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(slot_of("node").alias("slot"))))
+    """Links (a, b) within blocks; members has node, p1, p2, n_shingles and block.
+
+    A block of up to PANEL rows is a task. A larger one is dealt into chunks of that size, and each chunk gets the
+    same PIVOTS rows of the block besides: what links there is one component from then on. Only rows outside a
+    block's largest component then meet all others, in pairs of panels by size class.
+    """
+    totals = members.groupBy("block").agg(F.count("*").alias("total")).where("total > 1")
+    members = members.join(totals, "block")
+    # sets of the members alone: a bit table says which texts can be one, the joins decide
+    flags = share(docs.sparkSession, bit_table(members.select(slot_of("node").alias("slot"))))
 
     def sets_of(batches):
         seen = set()  # repeated rows go on once a task
@@ -315,55 +350,80 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
                 yield pa.RecordBatch.from_pydict({**{c: pa.array([k[i] for k in out], pa.int64()) for i, c in enumerate(("node", "p1", "p2"))}, "grams": pa.array(list(out.values()), pa.binary())})
 
     grams = docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(sets_of, "node long, p1 long, p2 long, grams binary")
-    level = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int")
-    if num == den:
-        level = F.col("n_shingles").cast("int")
-    members = members.withColumn("level", level)
-    alone = members.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
-    members = members.join(alone, "block", "left_semi")
-    sizes = members.groupBy("block", "level").agg(F.count("*").alias("k"))
-    totals = sizes.groupBy("block").agg(F.sum("k").alias("total"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("k") / (PANEL // 2)).cast("int")))).alias("panels"))
-    members = members.join(totals, "block")
-    mine = F.pmod(F.xxhash64("node", "p1"), F.col("panels")[F.col("level")]).cast("int")
-    other = lambda step: F.sequence(F.lit(0), F.coalesce(F.col("panels")[F.col("level") + step], F.lit(0)) - 1)
-    task = lambda a, i, b, j, s: F.struct(F.lit(a).cast("int").alias("l1"), F.lit(i).cast("int").alias("i1"), F.lit(b).cast("int").alias("l2"), F.lit(j).cast("int").alias("i2"), F.lit(s).cast("int").alias("side"))
-    level, has = F.col("level"), lambda step: F.col("panels")[F.col("level") + step].isNotNull()
-    none = F.array().cast("array<struct<l1:int,i1:int,l2:int,i2:int,side:int>>")
-    same = F.transform(other(0), lambda j: task(level, F.least("mine", j), level, F.greatest("mine", j), F.when(F.col("mine") == j, 0).otherwise(F.when(F.col("mine") < j, 1).otherwise(2))))
-    up = F.when(has(1), F.transform(other(1), lambda j: task(level, F.col("mine"), level + 1, j, 1))).otherwise(none)
-    down = F.when(has(-1), F.transform(other(-1), lambda j: task(level - 1, j, level, F.col("mine"), 2))).otherwise(none)
-    whole = F.array(task(-1, 0, -1, 0, 0))
-    members = members.withColumn("mine", mine).withColumn("tasks", F.when(F.col("total") <= PANEL, whole).otherwise(F.concat(same, up, down)))
-    # sets are the large side: with few members they are shuffled once, by block, and otherwise also by member
-    side = members.select("node", "p1", "p2", "block", "tasks")
-    work = grams.join(F.broadcast(side) if few else side, ["node", "p1", "p2"])
-    work = work.select("node", "p1", "grams", "block", F.explode("tasks").alias("t")).select("node", "p1", "grams", "block", "t.*")
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """rows with their sets, which are the large side: with few rows the sets are not shuffled for it."""
+        return grams.join(F.broadcast(rows) if rows.count() <= FEW else rows, ["node", "p1", "p2"])
+
+    task = ["block", "l1", "i1", "l2", "i2"]
+    schema = "a long, b long"
 
     def solve(batches):
-        """Blocks come one after another in a partition; the rows of one are held at a time."""
+        """Tasks come one after another in a partition; the rows of one are held at a time."""
         key, held, found = None, {}, []
 
         def done():
             if len(held) > 1:
-                node, side = np.array([r[0] for r in held.values()]), np.array([r[1] for r in held.values()])
-                found.extend(join_block(node, side if side.any() else None, [np.frombuffer(r[2], np.uint64) for r in held.values()], num, den))
+                node, side, label = (np.array([r[k] for r in held.values()]) for k in range(3))
+                found.extend(join_block(node, [np.frombuffer(r[3], np.uint64) for r in held.values()], num, den, side if side.any() else None, label))
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "l1", "i1", "l2", "i2")]
-            for k, own, side, grams in zip(zip(*cols, strict=True), zip(batch.column("node").to_pylist(), batch.column("p1").to_pylist(), strict=True), batch.column("side").to_pylist(), batch.column("grams"), strict=True):
+            cols = [batch.column(c).to_pylist() for c in task]
+            own = (batch.column(c).to_pylist() for c in ("node", "p1", "side", "label"))
+            for *k, node, p1, side, label, grams in zip(*cols, *own, batch.column("grams"), strict=True):
                 if k != key:
                     done()
                     key, held = k, {}
-                if own not in held:
-                    held[own] = (own[0], side, grams.as_py())
+                if (node, p1) not in held:
+                    held[node, p1] = node, side, label, grams.as_py()
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
                 found.clear()
         done()
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    keys = ["block", "l1", "i1", "l2", "i2"]
-    return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
+    def solved(work: DataFrame) -> DataFrame:
+        work = work.select("node", "p1", "grams", *(F.col(c).cast("int").alias(c) if c != "block" else c for c in task), F.col("side").cast("int").alias("side"), "label")
+        return work.repartition(*task).sortWithinPartitions(*task).mapInArrow(solve, schema)
+
+    zero = [F.lit(0).alias(c) for c in ("l2", "i2", "side")]
+    small = with_sets(members.where(F.col("total") <= PANEL).select("node", "p1", "p2", "block"))
+    links = keep(solved(small.select("node", "p1", "grams", "block", F.lit(0).alias("l1"), F.lit(0).alias("i1"), *zero, F.col("node").alias("label"))), "links")
+    large = keep(members.where(F.col("total") > PANEL), "large")
+    if large.isEmpty():
+        release(flags)
+        return links
+    sets = keep(with_sets(large), "sets")
+    release(flags)
+    chunks, mine = F.ceil(F.col("total") / PANEL), F.xxhash64("node", "p1")
+    pivot = F.pmod(F.xxhash64("node", "p2"), F.ceil(F.col("total") / PIVOTS)) == 0
+    dealt = F.when(pivot, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(mine, chunks)))
+    near = keep(solved(sets.select("node", "p1", "grams", "block", F.lit(0).alias("l1"), F.explode(dealt).alias("i1"), *zero, F.col("node").alias("label"))), "near")
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n_shingles").cast("int")
+    known = large.join(components(near), "node", "left").select("node", "p1", "p2", "block", F.coalesce("root", "node").alias("label"), level.alias("level"))
+    counts = known.groupBy("block", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("block").agg(F.max_by("label", F.struct("k", F.col("label"))).alias("main"))
+    known = keep(known.join(main, "block").withColumn("rest", F.col("label") != F.col("main")).drop("main"), "known")
+    links = links.unionByName(near)
+    if known.where("rest").isEmpty():
+        return links
+    panels = known.groupBy("block", "level").agg(*(F.ceil(F.count_if(c) / (PANEL // 2)).cast("int").alias(k) for k, c in (("rest", F.col("rest")), ("main", ~F.col("rest")))))
+    panels = panels.groupBy("block").agg(*(F.map_from_entries(F.collect_list(F.struct("level", k))).alias(f"{k}_panels") for k in ("rest", "main")))  # a block has as many levels as there are size classes
+    known = known.join(panels, "block")
+    of = lambda side, step: F.coalesce(F.col(f"{side}_panels")[F.col("level") + step], F.lit(0))
+    own = F.pmod(mine, F.when(F.col("rest"), of("rest", 0)).otherwise(of("main", 0))).cast("int")
+    pair = lambda l1, i1, l2, i2, side: F.struct(*(F.lit(v).cast("int").alias(c) for v, c in ((l1, "l1"), (i1, "i1"), (l2, "l2"), (i2, "i2"), (side, "side"))))
+    each = lambda k, make: F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), make)).otherwise(F.array().cast("array<struct<l1:int,i1:int,l2:int,i2:int,side:int>>"))
+    at, i = F.col("level"), F.col("own")
+    same = each(of("rest", 0), lambda j: pair(at, F.least(i, j), at, F.greatest(i, j), F.when(i == j, 0).when(i < j, 1).otherwise(2)))
+    up, down = each(of("rest", 1), lambda j: pair(at, i, at + 1, j, 1)), each(of("rest", -1), lambda j: pair(at - 1, j, at, i, 2))
+    # a main panel's index is negative
+    to_main = [each(of("main", s), lambda j: pair(at, i, at + s, -1 - j, 1)) for s in (-1, 0, 1)]  # noqa: B023
+    from_main = [each(of("rest", s), lambda j: pair(at + s, j, at, -1 - i, 2)) for s in (-1, 0, 1)]  # noqa: B023
+    tasks = F.when(F.col("rest"), F.concat(same, up, down, *to_main)).otherwise(F.concat(*from_main))
+    known = known.withColumn("own", own).select("node", "p1", "p2", "label", F.explode(tasks).alias("t"))
+    work = sets.select("node", "p1", "p2", "block", "grams").join(known, ["node", "p1", "p2"])
+    return links.unionByName(solved(work.select("node", "p1", "grams", "block", "label", "t.*")))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -112,10 +112,67 @@ def _near(corpus, n, num, den):
 @pytest.mark.parametrize("n,num,den,panel", [(3, 9, 10, 2000), (5, 8, 10, 2), (2, 1, 1, 2000)])
 def test_ngram_join(spark, corpus, docs, n, num, den, panel, monkeypatch):
     monkeypatch.setattr(ngram_join, "PANEL", panel)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
     got = sorted((tuple(r) for r in ngram_join.ngram_jaccard_join(docs, n, num, den).collect()), key=str)
     assert got == _near(corpus, n, num, den)
 
 
+@pytest.mark.parametrize("few,columns,products", [(48, 2048, 1 << 20), (2, 16, 50), (0, 7, 1)])
+def test_join_block(few, columns, products, monkeypatch):
+    for k, v in (("FEW_ROWS", few), ("COLUMNS", columns), ("PRODUCTS", products), ("ROWS", 5)):
+        monkeypatch.setattr(ngram_join, k, v)
+    r = np.random.default_rng(few)
+    base = [r.choice(500, 60, False) for _ in range(3)]
+    sets = [np.unique(np.concatenate([r.choice(b, 56, False), r.choice(500, int(r.integers(0, 8)), False)])).astype(np.uint64) for b in base for _ in range(9)] + [np.array([7], np.uint64)] * 2
+    node = r.permutation(len(sets)) * 10
+    for side, label in ((None, None), (r.integers(1, 3, len(sets)), None), (None, r.integers(0, 20, len(sets))), (r.integers(1, 3, len(sets)), r.integers(0, 20, len(sets)))):
+        root = {i: i if label is None else -1 - int(label[i]) for i in range(len(sets))}
+        had = dict(root)
+
+        def join(of, i, j):
+            a, b = of[i], of[j]
+            for k in of:
+                of[k] = a if of[k] == b else of[k]
+
+        for i in range(len(sets)):
+            for j in range(i):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if 10 * o >= 8 * (len(sets[i]) + len(sets[j]) - o) and (side is None or side[i] != side[j]):
+                    join(root, i, j)
+        place = {int(x): i for i, x in enumerate(node)}
+        for a, b in ngram_join.join_block(node, sets, 8, 10, side, label):
+            join(had, place[a], place[b])
+        same = lambda of: {frozenset(k for k in of if of[k] == v) for v in of.values()}
+        assert same(root) == same(had)
+
+
+def test_large_block_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PANEL", 60)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 8)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if k in hit else w for k, w in enumerate(base))) for i in range(500) for hit in [set(r.sample(range(120), 2))]]
+    rows += [(2000 + i, " ".join(base[:60] + [f"y{i}" if k == 50 else f"z{i // 2}-{k}" for k in range(60)])) for i in range(40)]
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert sorted(got.items()) == [(i, c) for i, _, c in sorted(_near_fast(rows))]
+
+
+def _near_fast(rows):
+    sets = [(i, {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}) for i, t in rows]
+    where, root = collections.defaultdict(list), {i: i for i, _ in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    at = dict(sets)
+    for i, s in sets:
+        for x in s:
+            where[x].append(i)
+    for i, s in sets:
+        for j, o in collections.Counter(j for x in s for j in where[x] if j < i).items():
+            if find(i) != find(j) and 100 * o >= 90 * (len(s) + len(at[j]) - o):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [(i, len(s), find(i)) for i, s in sets]
+
+
 def test_near_duplicates_leave_one(spark, corpus, docs):
     kept = ngram_join.drop_near_duplicates(docs, 5, 8, 10)
     assert kept.columns == docs.columns
