@@ -16,13 +16,14 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .filters import slot_of, split
 from .store import keep, shared_dir, small_batches
 
 #: Bytes of a chunk; bytes after which an archive is closed and the next begins.
 CHUNK, ROLL = 1 << 18, 64 << 20
 #: Equal payloads of this many bytes or more are stored once.
 REVISIT_FROM = 1000
-RECORDS = "archive string, record_id string, page_id long, url string, record_type string, refers_to long, chunk long, chunk_bytes long, payload_bytes long, payload_digest string, last boolean, payload binary"
+RECORDS = "archive string, record_id string, page_id long, url string, record_type string, refers_to long, chunk long, chunk_bytes long, payload_bytes long, payload_digest string, stated_digest string, last boolean, payload binary"
 
 
 def _open(uri: str):
@@ -35,16 +36,23 @@ def roles(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """pages with payload_digest (SHA-1), record_type and refers_to.
 
     Of equal payloads of `least` bytes or more, that with the largest page_id is the response and the others
-    revisit it. A group is aggregated before it is shuffled, and its maximum joined back by digest.
+    revisit it; a revisit's payload is null. A null html is an empty payload; a null page_id is never referred to.
+    Rows that repeat a page_id with other payloads are judged each with its own. An empty table gives an empty one.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    pages = pages.withColumn("payload_digest", F.sha1("payload"))
-    large = pages.where((F.length("payload") >= least) & F.col("page_id").isNotNull())
-    first = large.groupBy(F.col("payload_digest").alias("digest")).agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    pages = pages.join(first, (F.col("payload_digest") == F.col("digest")) & (F.length("payload") >= least), "left")
+    pages = pages.withColumn("payload_digest", F.sha1("payload")).withColumn("large", F.length("payload") >= least)
+    found = pages.where("large and page_id is not null").groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
+    found = keep(found.where("copies > 1").drop("copies"), "copied")
+    # bodies that aren't copied stay where they are; those that are go by page, and only ids meet by digest
+    maybe, clear = split(pages, slot_of("payload_digest"), found.select(slot_of("payload_digest").alias("slot")))
+    of_page = maybe.where("large").select("page_id", "payload_digest").distinct().join(found, "payload_digest")
+    of_page = of_page.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest"), "response")
+    maybe = maybe.join(of_page, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("digest")), "left")
     revisit = F.col("response").isNotNull() & ((F.col("page_id") != F.col("response")) | F.col("page_id").isNull())
-    return pages.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    kind, refers = F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to")
+    body = F.when(~revisit, F.col("payload")).alias("payload")
+    return maybe.select("page_id", "url", body, "payload_digest", kind, refers).unionByName(clear.select("page_id", "url", "payload", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def _name(page_id) -> str:
@@ -52,7 +60,7 @@ def _name(page_id) -> str:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write a record for each row of roles(); returns (archive, n_records).
+    """Write a record for each row of roles(); returns (archive, n_records). Repeated rows are records each; none, no archive.
 
     An archive has a name of its own for each attempt and counts only if its task's row is returned, so a
     task that is run again leaves no record twice.
@@ -142,7 +150,8 @@ def read_chunks(archives: DataFrame, folder: str, payload: bool = True) -> DataF
     """The chunk table of archives (rows as of write_archives): a row for each record and chunk number.
 
     payload_bytes and payload_digest cover the record up to the chunk's end; `last` marks the row that covers
-    all of it. A record without payload has one row. Without payload, that column is null.
+    all of it, stated_digest is that of the record's header. A record without payload has one row. Without payload,
+    that column is null. A response whose payload isn't that of its digest is an error.
     """
 
     def read(batches):
@@ -152,16 +161,18 @@ def read_chunks(archives: DataFrame, folder: str, payload: bool = True) -> DataF
                 with store.open_input_stream(f"{root}/{archive}", compression=None) as stream:
                     rows = []
                     for head, parts in _records(stream):
-                        total, size, k, rest = hashlib.sha1(), 0, 0, int(head["Content-Length"])
+                        total, size, k, rest, stated = hashlib.sha1(), 0, 0, int(head["Content-Length"]), head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
                         for part in parts if rest else [b""]:
                             total.update(part)
                             size += len(part)
                             number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
-                            rows.append((archive, head["WARC-Record-ID"], number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Refers-To-Page"), k, len(part), size, total.hexdigest(), size == rest, part if payload else None))
+                            rows.append((archive, head["WARC-Record-ID"], number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Refers-To-Page"), k, len(part), size, total.hexdigest(), stated, size == rest, part if payload else None))
                             k += 1
                             if len(rows) >= (16 if payload else 2000):
                                 yield _batch(rows)
                                 rows = []
+                        if head["WARC-Type"] == "response" and stated not in (None, total.hexdigest()):
+                            raise ValueError(f"{archive}: the payload of {head['WARC-Record-ID']} isn't that of its digest")
                     if rows:
                         yield _batch(rows)
 
@@ -170,7 +181,7 @@ def read_chunks(archives: DataFrame, folder: str, payload: bool = True) -> DataF
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
@@ -178,7 +189,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Write pages (page_id integer, url, html) as WARC records and read them back.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, n_chunks, archive. Bytes and digest
-    are those of the chunks read; a revisit has those of the response that it refers to.
+    are those of the chunks read; a revisit has those of the response with its digest that it refers to.
 
     Null html is an empty payload. A null page_id is never a response to others: with a copy that has an id, it
     revisits that. Rows that repeat the largest page_id of a payload are all responses. Url may be null. Other
@@ -188,9 +199,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = keep(write_archives(roles(pages), folder), "archives")
     chunks = read_chunks(archives, folder, payload=False)
-    whole = keep(chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk") + 1).alias("n_chunks"), "archive"), "records")
-    full = whole.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).where("refers_to is not null")
-    wanted = whole.where("record_type = 'revisit'")
-    full = full.join(wanted.select("refers_to").distinct(), "refers_to", "left_semi").groupBy("refers_to").agg(F.max_by(F.struct("b", "d"), F.col("b")).alias("of")).select("refers_to", "of.*")
-    out = wanted.join(full, "refers_to", "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to", "n_chunks", "archive")
-    return whole.where("record_type = 'response'").select(out.columns).unionByName(out)
+    whole = keep(chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to", (F.col("chunk") + 1).alias("n_chunks"), "archive"), "records")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_chunks", "archive"]
+    responses, revisits = (whole.where(F.col("record_type") == kind) for kind in ("response", "revisit"))
+    full = responses.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
+    revisits = revisits.join(full, ["refers_to", "stated_digest"], "left").withColumn("payload_bytes", F.col("full_bytes")).withColumn("payload_digest", F.col("stated_digest"))
+    return responses.select(columns).unionByName(revisits.select(columns))
