@@ -1,7 +1,8 @@
 """Packing by minimum bin slack.
 
 Each document is a run of token ids with an end id. It is cut into full pieces of `capacity` ids and one
-remainder; full pieces are sequences as they are. Remainders are dealt evenly into groups of about GROUP.
+remainder; full pieces are sequences as they are and stay where they are. Remainders alone are shuffled: they are
+dealt evenly into groups of GROUP at most, about, whatever the documents' lengths.
 In a group, each window starts with the longest remainder left; a subset-sum over the lengths left (a bitset
 of reachable sums) finds the multiset that fills the rest best, and backtracking gives how many of each
 length it takes. A found multiset is used as often as the counts allow.
@@ -20,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import small_batches
+from .store import keep, small_batches
 from .text import pieces
 
 #: Remainders that are packed together; each group leaves about one window that is not full.
 GROUP = 8_192
+#: Sequences of one full piece have ids from here on.
+FULL = 1 << 62
 #: Distinct chunks of text whose ids a Python worker keeps.
 CACHE = 200_000
 _cut = re.compile(r"(?<=\S)(?=[ \n\t\r])")
@@ -37,7 +40,8 @@ class Coder:
 
     Byte-level BPE never joins a character with a blank after it, so a text is cut there and each distinct
     chunk is encoded once. Chunks with characters beyond Latin go through the tokenizers library, others
-    through the rank form of the same vocabulary, which gives the same ids in less time.
+    through the rank form of the same vocabulary, which gives the same ids in less time. A text that holds an added
+    token of the vocabulary goes through the library whole.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -48,13 +52,16 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if "\0" not in text and not _double.search(text):
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         else:
@@ -141,7 +148,7 @@ def fill_windows(counts: dict[int, int], capacity: int) -> list[tuple[dict[int,
 
 
 def place(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
-    """parts with sequence_id and offset; it needs the columns doc_id, start and length, and keeps all others."""
+    """parts, all shorter than capacity, with sequence_id and offset; it needs the columns doc_id, start and length, and keeps all others."""
     schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def pack(batches):
@@ -155,9 +162,6 @@ def place(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
         for i in order:
             rows[length[i]].append(i)
         sequence, offset, next_id = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), TaskContext.get().partitionId() << 40
-        for i in rows.pop(capacity, ()):
-            sequence[i] = next_id
-            next_id += 1
         for taken, times in fill_windows({n: len(x) for n, x in rows.items()}, capacity):
             for _ in range(times):
                 at = 0
@@ -185,10 +189,14 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, capacity: int = 1024, end
 
     A null or empty text is the end id alone. A null doc_id and repeated rows are documents like others.
     Text of any length is cut into as many pieces as it needs. Other columns are ignored. An empty table
-    gives an empty result. vocabulary is a tokenizers file, ranks the same vocabulary as byte ranks.
+    gives an empty result. An added token of the vocabulary in a text is that token, as the library reads it.
+    vocabulary is a tokenizers file, ranks the same vocabulary as byte ranks.
     """
     small_batches(docs.sparkSession)
     parts = token_pieces(docs, vocabulary, ranks, capacity, end_id)
     if not with_ids:
         parts = parts.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
-    return place(parts, capacity, max(1, round(docs.count() / GROUP)))
+    parts = keep(parts, "pieces")
+    full, rest = parts.where(F.col("length") == capacity), parts.where(F.col("length") < capacity)
+    full = full.withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(FULL)).withColumn("offset", F.lit(0).cast("long"))
+    return full.unionByName(place(rest, capacity, max(1, -(-rest.count() // GROUP))))
