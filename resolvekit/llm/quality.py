@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams.
 
 Tokens are runs of letters or digits and runs of other visible characters; unigrams and bigrams are hashed into
-DIM places, and each trigram that the same text had before counts at the place REPEAT. A text's value at a place is its share of the text's n-grams, times SCALE. Weights are learned by
-follow-the-regularised-leader (per-coordinate steps, L1 and L2); a score is a sparse dot product.
+DIM places, and each trigram that the same text had before counts at the place REPEAT. A text's value at a place is
+its share of the text's n-grams, times SCALE. Weights are learned by follow-the-regularised-leader (per-coordinate
+steps, L1 and L2); a score is a sparse dot product.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .store import small_batches
+from .store import keep, share, small_batches
 from .text import mix, pieces, powers
 
 DIM = 1 << 18
 REPEAT = 0
-#: Labelled texts of each label that the model is fitted on, at most; passes over them; the values' scale.
-SAMPLE, PASSES, SCALE = 4000, 4, 30.0
+#: Labelled texts of each label that the model is fitted on, at most, and their places (8 bytes each) altogether;
+#: passes over them; the values' scale.
+SAMPLE, PLACES, PASSES, SCALE = 4000, 4_000_000, 4, 30.0
 #: Step size and its damping, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 #: Kinds of bytes: 0 blank, 1 letter or digit (and all bytes of non-ASCII characters), 2 other.
@@ -89,8 +91,10 @@ def _example(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights (DIM places and the constant) from docs (doc_id, text) and labels (doc_id, quality 0 or 1).
 
-    The sample is bounded: of each label, the SAMPLE texts with the smallest hash of their id. Each text comes
-    to the driver as its hashed places alone. Without labelled texts all weights are 0 (every score is 0.5).
+    The sample is bounded in rows and in bytes: of each label, the SAMPLE texts with the smallest hash of their id,
+    as many of them in this order as have PLACES places together. Each text comes to the driver as its hashed places
+    alone. Of rows that repeat a doc_id one is taken; of several labels the larger. Null texts, ids and labels are
+    left out. Without labelled texts all weights are 0 (every score is 0.5).
     """
     small_batches(docs.sparkSession)
     labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -106,9 +110,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"quality": part.column("quality"), "key": part.column("key"), "i": pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), "x": pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())})
 
     # chosen has 2 * SAMPLE rows at most, so it is broadcast whatever the input
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "key")
-    rows = sample.mapInArrow(places, "quality int, key long, i binary, x binary").collect()
-    rows.sort(key=lambda r: (r.key, r.i))
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "key")
+    sample = keep(sample.mapInArrow(places, "quality int, key long, i binary, x binary").groupBy("quality", "key").agg(F.min(F.struct("i", "x")).alias("of")).select("quality", "key", "of.*"), "sample")
+    fits, used = {}, {0: 0, 1: 0}
+    for r in sample.select("quality", "key", (F.length("i") / 4).cast("long").alias("n")).orderBy("key").collect():
+        used[r.quality] += r.n
+        if used[r.quality] <= PLACES or r.quality not in fits:
+            fits[r.quality] = r.key
+    within = F.lit(False)
+    for y, last in fits.items():
+        within = within | ((F.col("quality") == y) & (F.col("key") <= last))
+    rows = sorted(sample.where(within).collect(), key=lambda r: (r.key, r.i))
     model = Ftrl()
     n = np.bincount([r.quality for r in rows], minlength=2)
     rare = n.sum() / np.maximum(2 * n, 1)
@@ -125,8 +137,8 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
     Ties and repeated rows are scored alike. A column named as the score is replaced.
     """
     small_batches(docs.sparkSession)
-    fixed = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = [f for f in docs.schema.fields if f.name != column]
+    fixed = share(docs.sparkSession, weights)
+    kept = [f for f in docs.schema.fields if f.name.lower() != column.lower()]
 
     def run(batches):
         for batch in batches:
