@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import small_batches
+from .store import share, small_batches, unused
 from .text import pieces
 
 #: Places of the hashed n-grams.
@@ -65,8 +65,8 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Fit on at most SAMPLE texts of each language, those with the smallest hash of their id.
 
-    docs: doc_id, text, lang; rows with a null text or lang are left out. Only the hashed presence rows of
-    the sample (DIM bits each) come to the driver, never a text.
+    docs: doc_id, text, lang; rows with a null text or lang are left out, and of rows that repeat a doc_id one is
+    taken. Only the hashed presence rows of the sample (DIM bits each) come to the driver, never a text.
     """
     small_batches(docs.sparkSession)
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
@@ -83,8 +83,9 @@ def fit(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "rank": part.column("rank"), "bits": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     # chosen has at most SAMPLE rows a language, so its side is small whatever the input
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "lang", "rank")
-    rows = sorted(sample.mapInArrow(bits, "lang string, rank int, bits binary").collect(), key=lambda r: (r.lang, r.rank, r.bits))
+    sample = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang", "rank")
+    sample = sample.mapInArrow(bits, "lang string, rank int, bits binary").groupBy("lang", "rank").agg(F.min("bits").alias("bits"))
+    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank, r.bits))
     langs = sorted({r.lang for r in rows})
     if not rows:
         return Model(np.zeros((1, DIM), np.float32), np.zeros((1, 0), np.float32), [])
@@ -102,11 +103,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0, as is every text where the model knows no
     language. Ties go to the language that sorts first. The whole text counts, however long. Only the text
-    is an input.
+    is an input. Repeated rows are predicted alike; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    fixed = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
+    fixed = share(docs.sparkSession, model)
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("text", "lang_pred", "score")]
+    marked = unused(docs.columns, "has_letters")
 
     def run(batches):
         for batch in batches:
@@ -123,11 +125,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         p, s = [model.langs[i] for i in best], (e / e.sum(1, keepdims=True))[np.arange(n), best].astype(float)
                     else:
                         p, s = ["und"] * n, np.zeros(n)
-                    letters = chunk.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+                    letters = chunk.column(marked).to_numpy(zero_copy_only=False).astype(bool)
                     pred += [x if ok else "und" for x, ok in zip(p, letters, strict=True)]
                     score += np.where(letters, s, 0.0).tolist()
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*(f.name for f in kept), "text", letters.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*(f"`{f.name}`" for f in kept), F.col("text").alias("text"), letters.alias(marked)).mapInArrow(run, schema)
