@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import unused
+
 _IN, _OUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: The kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}" + _OUT,
+    # with the lengths that addresses may have, and from a boundary on, so that long runs of letters cost no more than others
+    "email": _IN + r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,63}" + _OUT,
     "secret": _IN + r"(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-fA-F])[0-9a-fA-F]{16,64})" + _OUT,
     "iban": _IN + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _OUT,
     "address": _IN + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])" + _OUT,
@@ -220,10 +223,11 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str | N
     text = F.col(f"`{column}`")
     found = F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     # a projection each: what is computed in one is an input of the next and isn't computed again
-    out = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
+    old, new = unused(docs.columns, "found_values"), unused(docs.columns, "new_values")
+    out = docs.withColumn(old, found).withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
     gaps = F.split(text, EVERY)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    out = out.withColumn(column, F.when(F.size("_found") > 0, woven).otherwise(text))
+    woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+    out = out.withColumn(column, F.when(F.size(old) > 0, woven).otherwise(text))
     if count:
-        out = out.withColumn(count, F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda p: p["_found"] != p["_new"])), F.lit(0)).cast("long"))
-    return out.drop("_found", "_new")
+        out = out.withColumn(count, F.coalesce(F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long"))
+    return out.drop(old, new)
