@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .filters import BITS, bit_table, contains
-from .store import keep, small_batches
+from .filters import BITS, bit_table, contains, without
+from .store import keep, share, small_batches, unused
 from .text import Words, mix, ngrams, pieces, powers
 
 WIDTH = 8
@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     whole = keep(item_sequences(items), "whole-items")
     lengths = sorted(row.n for row in whole.select("n").distinct().collect())
     keys = wanted.select("h").unionByName(whole.select("h")).unionByName(whole.select(F.col("first").alias("h")))
-    flags = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))))
+    flags = share(docs.sparkSession, bit_table(keys.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))))
 
     def run(batches):
         for batch in batches:
@@ -288,6 +288,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all columns stay. A null text is kept."""
-    bad = find_leaks(docs, items).select(F.col("th").alias("_th")).distinct()
-    return docs.join(bad, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"), "left_anti")
+    """docs without the rows whose text holds a benchmark item; all columns stay.
+
+    Null and empty texts are kept, as is every row where the benchmark is empty. Repeated rows share their fate.
+    """
+    name = unused(docs.columns, "text_hash")
+    bad = keep(find_leaks(docs, items).select(F.col("th").alias(name)), "leaks")
+    return without(docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))), bad, name).drop(name)
