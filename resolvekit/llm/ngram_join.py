@@ -5,8 +5,8 @@
    differ in k columns at most, so a row with more than k parts that aren't empty has one that both share
    whole: equal parts are the keys on which rows meet. m and k come from the rows' size class; columns that
    very many texts have are left out of parts (a coarse count over all texts tells; it affects speed only).
-   A row with too few parts also gives its rarest n - ceil(t*n) + 1 columns as keys: of two such rows that
-   link, both have one of these.
+   A row with k such parts or fewer also gives parts of all its columns: of two such rows that link, one part
+   at least is in both. If even these are k or fewer, it gives its rarest n - ceil(t*n) + 1 columns as well.
 3. A block's rows are a sparse matrix. Overlap counts are its product with its transpose, made in blocks of rows
    and columns; pairs below the bounds that their sizes set are discarded, as are pairs in one component already.
 
@@ -104,37 +104,41 @@ class Windows:
         return size if self.num == self.den else np.floor(np.log(np.maximum(size, 1)) / self.step + 1e-9).astype(np.int64)
 
     def m(self, c: int) -> int:
-        """Parts enough that a row of class c that lacks a tenth of its columns still has more than k of them."""
+        """Parts enough that a row of class c or c + 1 that lacks a tenth of its columns still has more than k of them."""
         if c not in self.parts:
-            hi = c if self.num == self.den else math.ceil(math.exp((c + 1) * self.step))
-            lo = c if self.num == self.den else math.floor(math.exp(c * self.step))
-            m = (self.den - self.num) * hi // self.num + 1
+            edge = lambda c: c if self.num == self.den else math.exp(c * self.step)
+            lo, mid, hi = math.floor(edge(c)), math.ceil(edge(c + 1)), math.ceil(edge(c + 2))
+            rows = {(n, self.differ(n, True)) for n in (lo, mid)} | {(n, self.differ(n, False)) for n in (mid, hi)}
+            m = max(k for _, k in rows) + 1
             while m < 4 * hi:
-                ok = True
-                for n in (lo, hi):
-                    x = math.exp(-0.9 * n / m)
-                    ok &= m * (1 - x) - 3 * math.sqrt(m * (x - (1 + 0.9 * n / m) * x * x)) > (self.den - self.num) * n / self.num
-                if ok:
+                x = {n: math.exp(-0.9 * n / m) for n, _ in rows}
+                if all(m * (1 - x[n]) - 3 * math.sqrt(m * (x[n] - (1 + 0.9 * n / m) * x[n] * x[n])) > k for n, k in rows):
                     break
                 m += 1 + m // 32
             self.parts[c] = m
         return self.parts[c]
 
+    def differ(self, n: int, smaller: bool) -> int:
+        """Columns in which a row of n and one that links with it differ at most, if it is the smaller or the larger of them."""
+        return (self.den - self.num) * n // self.num if smaller else 2 * (self.den - self.num) * n // (self.den + self.num)
+
     def keys(self, grams: np.ndarray, count: np.ndarray, common: int) -> np.ndarray:
         """The keys of one row."""
         n, c = len(grams), int(self.classes(np.array([len(grams)]))[0])
-        cold, out, few = grams[count < common], [], False
+        out, few = [], False
         with np.errstate(over="ignore"):
-            for w in range(c, max(c - 2, -1), -1):
-                part = mix(cold + np.uint64(w + 7)) % np.uint64(self.m(w))
-                order = np.argsort(part, kind="stable")
-                part, own = part[order], mix(cold[order])
-                at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                if len(at):
-                    out.append(mix(np.add.reduceat(own, at) + mix(part[at] + np.uint64(w << 32))))
-                # the smaller of a pair is in class w; the larger then differs in (t' - 1) / (t' + 1) of both at most
-                k = (self.den - self.num) * n // self.num if w == c else 2 * (self.den - self.num) * n // (self.den + self.num)
-                few |= len(at) <= k
+            for salt, columns in ((0, grams[count < common]), (1, grams)):
+                few = False
+                for w in range(c, max(c - 2, -1), -1):
+                    part = mix(columns + np.uint64(w + 7)) % np.uint64(self.m(w))
+                    order = np.argsort(part, kind="stable")
+                    part, own = part[order], mix(columns[order])
+                    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                    if len(at):
+                        out.append(mix(np.add.reduceat(own, at) + mix(part[at] + np.uint64((w << 32) + (salt << 31)))))
+                    few |= len(at) <= self.differ(n, w == c)  # the smaller of a pair is in class w
+                if not few:
+                    break
             if few:
                 first = np.lexsort((grams, count))[: n - -(-self.num * n // self.den) + 1]
                 out.append(mix(grams[first] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
