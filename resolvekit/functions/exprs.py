@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F
 #: Edition words that a release title loses.
 EDITION_WORDS = r"deluxe|expanded|remaster(?:ed)?|anniversary|edition|bonus|explicit|clean"
 BARE_EDITION = r"\d{2,4}(?:st|nd|rd|th)? anniversary|deluxe|expanded|remaster(?:ed)?|edition|bonus tracks?|explicit|clean"
+#: Words in brackets that a title loses when catalogs of two sources are compared.
+CORROBORATION_WORDS = r"deluxe|expanded|remaster(?:ed)?|anniversary|edition|bonus"
 GENERIC_TITLES = ("album", "best of", "greatest hits", "live", "remixes", "the album")
 
 
@@ -59,6 +61,25 @@ def title_key(x, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, rf"\b({BARE_EDITION})\b", ""), "[^a-z0-9]+", " "))
 
 
+@cache
+def _unmarked_all():
+    """As _unmarked, for each string of an array."""
+
+    def run(x: pd.Series) -> pd.Series:
+        plain = lambda v: v if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not "\u0300" <= c <= "\u036f")
+        return x.map(lambda values: [plain(v) for v in values], na_action="ignore")
+
+    return F.pandas_udf(run, "array<string>")
+
+
+def corroboration_keys(titles) -> Column:
+    """Distinct keys by which titles of two sources compare: no marks, no bracketed edition words; generic titles aside."""
+    titles = _col(titles)
+    plain = F.when(F.exists(titles, lambda t: t.rlike(r"[^\x00-\x7F]")), _unmarked_all()(titles)).otherwise(titles)
+    key = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), rf"[\[(].*?\b({CORROBORATION_WORDS})\b.*?[\])]", ""), "[^a-z0-9]+", " "))
+    return F.array_except(F.array_distinct(F.transform(plain, key)), F.array(F.lit(""), *map(F.lit, GENERIC_TITLES)))
+
+
 def slug(x) -> Column:
     x = _col(x)
     x = F.when(x.rlike(r"[^\x00-\x7F]"), _unmarked(x)).otherwise(x)

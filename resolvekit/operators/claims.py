@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import GENERIC_TITLES, clamp_round, id_from_url, name_key, reasons, title_key
+from ..functions.exprs import clamp_round, corroboration_keys, id_from_url, name_key, reasons
 from .lifecycle import _is_small
 
 #: Where an id stands in a URL of each kind.
@@ -91,8 +91,8 @@ def batch_outcome(agreement: DataFrame, records: DataFrame, audit: DataFrame) ->
     got = records.groupBy("entity").agg(F.max(F.coalesce("error", F.lit(False))).alias("error"), F.min("present").alias("complete"))
     df = state.join(got, "entity", "left").join(audit.select("entity", "competitors"), "entity", "left")
     outcome = (
-        F.when(F.coalesce("error", F.lit(True)), "unresolved").when(F.col("conflict"), "conflicting_identity")
-        .when(~F.col("complete") | (F.size("missing") > 0), "insufficient_evidence").when(F.coalesce("competitors", F.lit(0)) > 0, "coherent_with_same_name").otherwise("coherent")
+        F.when(F.coalesce("error", F.lit(True)), "unresolved_identity").when(F.col("conflict"), "conflicting_identity")
+        .when(~F.col("complete") | (F.size("missing") > 0), "insufficient_corroboration").when(F.coalesce("competitors", F.lit(0)) > 0, "coherent_identity_with_same_name_ambiguity").otherwise("coherent_identity_evidence")
     )
     return df.select("entity", outcome.alias("outcome"), "missing", "agreed")
 
@@ -154,16 +154,37 @@ def build_evidence(names: DataFrame, releases: DataFrame, authority: DataFrame)
 
 
 def distinctive_overlap(left, right):
-    """How many distinct title keys two arrays of titles share, generic titles aside."""
-    clean = lambda x: F.array_except(F.array_distinct(F.transform(x, lambda t: title_key(t, unicode=False))), F.array(F.lit(""), *map(F.lit, GENERIC_TITLES)))
-    return F.size(F.array_intersect(clean(left), clean(right)))
+    """How many distinct title keys two arrays of titles share, generic titles aside; a null array has none."""
+    return F.coalesce(F.size(F.array_intersect(corroboration_keys(left), corroboration_keys(right))), F.lit(0))
+
+
+def corroboration_scores(df: DataFrame) -> DataFrame:
+    """df with the score of each class of evidence, and the conflicts, as second_stage takes them.
+
+    Columns, each null where nothing is known: url_match, verified_id_match, id_conflict (booleans); alias_match,
+    type_match, area_match, dates_match (true compatible; a false type_match conflicts); titles and other_titles
+    (arrays); chronology (compatible or conflict); primary_coherent, empty_alternatives, several_catalogs,
+    catalog_complete; image, case_agrees, has_release; duplicate_id.
+    """
+    yes = lambda c, n: F.when(F.col(c), n).otherwise(0)
+    out = df.withColumn("identifier_score", F.greatest(yes("url_match", 35), yes("verified_id_match", 40)))
+    out = out.withColumn("metadata_score", yes("alias_match", 7) + yes("type_match", 5) + yes("area_match", 4) + yes("dates_match", 4))
+    out = out.withColumn("overlap", distinctive_overlap("titles", "other_titles"))
+    out = out.withColumn("coherent_alternatives", F.coalesce(F.col("primary_coherent") & (F.col("empty_alternatives") > 0), F.lit(False)))
+    out = out.withColumn("weak_score", yes("image", 2) + yes("case_agrees", 2) + yes("has_release", 3))
+    conflicts = reasons(
+        ("external_identifier_conflict", F.col("id_conflict")), ("artist_type_conflict", ~F.col("type_match")), ("chronology_conflict", F.col("chronology") == "conflict"),
+        ("multiple_plausible_same_name_catalogs", F.col("several_catalogs")), ("incomplete_catalog_evidence", ~F.col("catalog_complete")), ("duplicate_spotify_id", F.col("duplicate_id")),
+    )
+    return out.withColumn("conflicts", conflicts).withColumn("conflict", F.size("conflicts") > 0)
 
 
 def second_stage(df: DataFrame) -> DataFrame:
     """First-stage rows with status and confidence after corroboration.
 
-    Columns: status, confidence, identifier_score (0, 35 or 40), metadata_score, overlap, chronology, coherent_alternatives,
-    weak_score, conflict. One strong or two moderate independent classes promote a row under review, to 95 at most.
+    Columns: status, confidence and those of corroboration_scores: identifier_score (0, 35 or 40), metadata_score, overlap,
+    chronology, coherent_alternatives, weak_score, conflict. One strong or two moderate independent classes promote a row
+    under review, to 95 at most.
     """
     points = F.when(F.col("overlap") >= 3, 30).when(F.col("overlap") == 2, 20).when(F.col("overlap") == 1, 7).otherwise(0)
     catalog = points + F.when(F.col("chronology") == "compatible", 5).otherwise(0) + F.when(F.col("coherent_alternatives"), 15).otherwise(0)
@@ -171,10 +192,10 @@ def second_stage(df: DataFrame) -> DataFrame:
     levels = F.array(level(F.col("identifier_score"), 30, 1), level(F.col("metadata_score"), 999, 10), level(catalog, 30, 10))
     strong, moderate = F.size(F.filter(levels, lambda x: x >= 2)), F.size(F.filter(levels, lambda x: x >= 1))
     enough = (strong >= 1) | (moderate >= 2)
+    verified = F.col("status") == "verified_existing"
     total = clamp_round(F.col("identifier_score") + F.least(F.col("metadata_score"), F.lit(20)) + F.least(catalog, F.lit(40)) + F.col("weak_score"))
-    bad = F.col("conflict") | (F.col("chronology") == "conflict")
+    bad = F.col("conflict") | F.coalesce(F.col("chronology") == "conflict", F.lit(False))
     promoted = (F.col("status") == "manual_review_required") & enough
-    verified = F.col("status") == "verified_existing"
     out = df.withColumn("corroboration_score", total).withColumn("corroborated", enough)
     out = out.withColumn("final_status", F.when(verified, "verified_existing").when(bad, "conflicting_identity").when(promoted, "high_confidence_candidate").otherwise(F.col("status")))
     return out.withColumn("final_confidence", F.when(verified, 100).when(bad, F.least("confidence", F.lit(49))).when(promoted, F.least(F.lit(95), F.col("confidence") + F.floor(total / 3 + 0.5))).otherwise(F.col("confidence")).cast("long"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, entity_key, name_key
+from .numbering import shared_folder
 
 #: States whose candidates no longer take duplicates.
 INACTIVE = ("duplicate", "migrated", "rejected")
@@ -122,10 +123,7 @@ def _in_order(batches):
 def _components(edges: DataFrame) -> DataFrame:
     """(occurrence_id, component) of occurrences linked by shared keys, by spreading the smallest id until it is stable."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(spark)
     edges = edges.select("occurrence_id", "shared").checkpoint()
     label = edges.select("occurrence_id", F.col("occurrence_id").alias("component")).distinct()
     while True:
@@ -158,7 +156,11 @@ def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue:
 
 
 def build_indexes(associations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(by entity key, by target) of associations(occurrence_id, key, target_type, target_id): sorted lists of what belongs to each."""
+    """(by entity key, by target) of associations(occurrence_id, key, target_type, target_id).
+
+    A key has a sorted list of its few targets. A target may have any number of occurrences: they are rows, each once,
+    a target's together and in order.
+    """
     by_key = associations.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("target_type", "target_id"))).alias("targets"))
-    by_target = associations.groupBy("target_type", "target_id").agg(F.array_sort(F.collect_set("occurrence_id")).alias("occurrences"))
-    return by_key, by_target
+    by_target = associations.select("target_type", "target_id", "occurrence_id").distinct()
+    return by_key, by_target.repartitionByRange("target_type", "target_id", "occurrence_id").sortWithinPartitions("target_type", "target_id", "occurrence_id")

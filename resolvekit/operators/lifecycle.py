@@ -9,26 +9,26 @@ from ..functions.exprs import content_id, reasons
 
 #: States, what may follow each, and the classes that other operators use.
 TRANSITIONS = {
-    "discovered": "identity_discovery_pending identity_pending duplicate needs_review failed",
-    "identity_discovery_pending": "identity_discovering duplicate needs_review rejected",
-    "identity_discovering": "identity_pending needs_review conflicting_identity duplicate retry_wait failed",
-    "identity_pending": "identity_resolving duplicate needs_review rejected",
-    "identity_resolving": "identity_coherent needs_review conflicting_identity failed_match retry_wait failed",
-    "identity_coherent": "enrichment_pending validation_pending needs_review duplicate",
-    "enrichment_pending": "enriching validation_pending needs_review retry_wait",
-    "enriching": "validation_pending needs_review retry_wait failed",
-    "validation_pending": "ready_for_live needs_review duplicate failed",
-    "needs_review": "identity_discovery_pending identity_pending identity_coherent validation_pending approved duplicate rejected",
-    "conflicting_identity": "identity_pending needs_review rejected",
-    "failed_match": "identity_pending needs_review rejected",
-    "duplicate": "needs_review rejected",
-    "retry_wait": "identity_discovery_pending identity_pending enrichment_pending enriching validation_pending needs_review",
-    "ready_for_live": "approved needs_review duplicate",
-    "approved": "migration_pending needs_review",
-    "migration_pending": "migrated approved failed",
-    "migrated": "",
-    "rejected": "",
-    "failed": "identity_discovery_pending identity_pending enrichment_pending validation_pending rejected",
+    "discovered": ("identity_discovery_pending", "identity_pending", "duplicate", "needs_review", "failed"),
+    "identity_discovery_pending": ("identity_discovering", "duplicate", "needs_review", "rejected"),
+    "identity_discovering": ("identity_pending", "needs_review", "conflicting_identity", "duplicate", "retry_wait", "failed"),
+    "identity_pending": ("identity_resolving", "duplicate", "needs_review", "rejected"),
+    "identity_resolving": ("identity_coherent", "needs_review", "conflicting_identity", "failed_match", "retry_wait", "failed"),
+    "identity_coherent": ("enrichment_pending", "validation_pending", "needs_review", "duplicate"),
+    "enrichment_pending": ("enriching", "validation_pending", "needs_review", "retry_wait"),
+    "enriching": ("validation_pending", "needs_review", "retry_wait", "failed"),
+    "validation_pending": ("ready_for_live", "needs_review", "duplicate", "failed"),
+    "needs_review": ("identity_discovery_pending", "identity_pending", "identity_coherent", "validation_pending", "approved", "duplicate", "rejected"),
+    "conflicting_identity": ("identity_pending", "needs_review", "rejected"),
+    "failed_match": ("identity_pending", "needs_review", "rejected"),
+    "duplicate": ("needs_review", "rejected"),
+    "retry_wait": ("identity_discovery_pending", "identity_pending", "enrichment_pending", "enriching", "validation_pending", "needs_review"),
+    "ready_for_live": ("approved", "needs_review", "duplicate"),
+    "approved": ("migration_pending", "needs_review"),
+    "migration_pending": ("migrated", "approved", "failed"),
+    "migrated": (),
+    "rejected": (),
+    "failed": ("identity_discovery_pending", "identity_pending", "enrichment_pending", "validation_pending", "rejected"),
 }
 EVENT_TYPES = ("candidate_discovered", "state_transition", "discovery_attached", "candidate_identifier_attached")
 #: Minutes after the first, second and third failure, and hours after which retries end.
@@ -44,7 +44,7 @@ ROUTES = {
 
 
 def transition_table(spark) -> DataFrame:
-    rows = [(None, "discovered"), *((a, b) for a, to in TRANSITIONS.items() for b in to.split())]
+    rows = [(None, "discovered"), *((a, b) for a, to in TRANSITIONS.items() for b in to)]
     return spark.createDataFrame(rows, "previous_state string, next_state string")
 
 
@@ -204,8 +204,33 @@ def failure_metrics(calls: DataFrame) -> DataFrame:
     )
 
 
+#: A closed breaker: state, failures, time of the next probe, kind and run of the failure that opened it.
+CLOSED = ("closed", 0, None, None, None)
+
+
+def breaker_step(breaker: tuple, at: float, kind: str | None, retry_after: float, run: str | None, threshold: int, probe_seconds: float) -> tuple[tuple, bool]:
+    """(the breaker after a call, whether the call was skipped); kind is None for a success.
+
+    An open breaker lets a call through as a probe once its time has come. After an authentication failure it stays
+    shut for the run that had it, whatever the time, and another run probes at once.
+    """
+    state, count, probe, cause, owner = breaker
+    if state == "open":
+        bound = cause == "authentication_or_configuration" and run is not None
+        if (run == owner) if bound else at < probe:
+            return breaker, True
+        state = "half_open"
+    if kind is None:
+        return CLOSED, False
+    if kind not in ("authentication_or_configuration", "transient"):
+        return (state, count, probe, cause, owner), False
+    if kind != "transient" or state == "half_open" or count + 1 >= threshold:
+        return ("open", count + 1, at + max(probe_seconds, retry_after), kind, run if run is not None else owner), False
+    return (state, count + 1, probe, kind, run if run is not None else owner), False
+
+
 def breaker_history(calls: DataFrame, threshold: int = 2, probe_seconds: float = 900.0) -> DataFrame:
-    """The breaker after each call of calls(provider, call_id, occurred_at double, kind, retry_after double).
+    """The breaker after each call of calls(provider, call_id, occurred_at double, kind, retry_after double, run_id if there is one).
 
     kind is null for a success. A breaker depends on all calls before, so a provider's calls are folded in order; they
     come sorted, a batch at a time, and only the breaker is carried over.
@@ -213,57 +238,81 @@ def breaker_history(calls: DataFrame, threshold: int = 2, probe_seconds: float =
     schema = "provider string, call_id long, state string, failure_count int, skipped boolean, next_probe_at double"
 
     def run(batches):
-        at, state, count, probe = None, "closed", 0, None
+        at, breaker = None, CLOSED
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.provider != at:
-                    at, state, count, probe = r.provider, "closed", 0, None
-                if state == "open" and r.occurred_at < probe:
-                    out.append((r.provider, r.call_id, state, count, True, probe))
-                    continue
-                if state == "open":
-                    state = "half_open"
-                if not isinstance(r.kind, str):
-                    state, count, probe = "closed", 0, None
-                elif r.kind in ("authentication_or_configuration", "transient"):
-                    count += 1
-                    if r.kind != "transient" or state == "half_open" or count >= threshold:
-                        wait = 0.0 if pd.isna(r.retry_after) else r.retry_after
-                        state, probe = "open", r.occurred_at + max(probe_seconds, wait)
-                out.append((r.provider, r.call_id, state, count, False, probe))
+                    at, breaker = r.provider, CLOSED
+                text = lambda x: x if isinstance(x, str) else None
+                breaker, skipped = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after, text(r.run_id), threshold, probe_seconds)
+                out.append((r.provider, r.call_id, breaker[0], breaker[1], skipped, breaker[2]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    df = calls.select("provider", "call_id", "occurred_at", "kind", "retry_after")
+    run_id = F.col("run_id") if "run_id" in calls.columns else F.lit(None).cast("string").alias("run_id")
+    df = calls.select("provider", "call_id", "occurred_at", "kind", "retry_after", run_id)
     return df.repartition("provider").sortWithinPartitions("provider", "occurred_at", "call_id").mapInPandas(run, schema)
 
 
-#: Phases of a run in order.
-PHASES = ("prepare", "discover_first", "discover_second", "converge", "resolve_identity", "discover_identity", "summarise")
+#: Phases of a run in order, and the events of its journal.
+PHASES = (
+    "created",
+    "spotify_discovery_complete_or_skipped",
+    "ticketmaster_discovery_complete_or_skipped",
+    "convergence_complete",
+    "stage3_complete",
+    "identity_discovery_complete",
+    "summary_complete",
+)
+RUN_EVENTS = ("run_created", "phase_completed", "provider_execution_recorded", "run_paused", "run_resumed", "run_stopped")
 
 
 def replay_runs(run_events: DataFrame) -> DataFrame:
-    """(run_id, revision, phases_done, first_open_phase, status, stop_reason, faults) of run_events(run_id, revision, phase, disposition, status, stop_reason)."""
-    place = F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase"))
+    """The state of each run after its journal.
+
+    run_events: run_id, revision, event_type, phase, disposition (completed or skipped), reason (of a pause or stop),
+    provider, requests (the budget used so far), checksum (of what must not change: at the start and at the end).
+    Columns: run_id, revision, phases_done, skipped_phases, last_phase, first_open_phase, status, pause_reason,
+    stop_reason, requests, providers (the last budget of each), checksum_changed, faults (names, with repetitions).
+    """
+    kind, r = F.col("event_type"), F.col("revision")
+    place = F.when(kind == "run_created", 1).when(kind == "phase_completed", F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase")))
+    ends = (kind == "phase_completed") & (F.col("phase") == PHASES[-1])
+    control = F.when(kind.isin("run_created", "run_resumed"), "running").when(kind == "run_paused", "paused").when(kind == "run_stopped", "stopped").when(ends, "completed")
     w = Window.partitionBy("run_id").orderBy("revision")
-    df = run_events.withColumn("_place", place).withColumn("_prev", F.lag("revision").over(w))
-    done = F.when(F.col("disposition") == "completed", F.col("_place"))
-    df = df.withColumn("_before", F.max(done).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    gap = F.col("_prev").isNotNull() & (F.col("revision") != F.col("_prev") + 1) | F.col("_prev").isNull() & (F.col("revision") != 1)
-    early = done.isNotNull() & (done > F.coalesce("_before", F.lit(0)) + 1)
-    out = df.groupBy("run_id").agg(
-        F.max("revision").alias("revision"), F.coalesce(F.max(done), F.lit(0)).cast("long").alias("phases_done"),
-        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("revision"))).alias("status"), F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("revision"))).alias("stop_reason"),
-        (F.count_if(gap) + F.count_if(early)).alias("faults"),
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = run_events.withColumn("_place", place).withColumn("_control", control)
+    df = df.withColumn("_prev", F.lag("revision").over(w)).withColumn("_before", F.last("_place", True).over(past)).withColumn("_was", F.last("_control", True).over(past))
+    was, first = F.coalesce("_was", F.lit("none")), F.col("_prev").isNull()
+    faults = reasons(
+        ("revision_gap", F.when(first, r != 1).otherwise(r != F.col("_prev") + 1)),
+        ("not_created_first", first != (kind == "run_created")),
+        ("phase_out_of_order", (kind == "phase_completed") & ~F.coalesce(F.col("_place") == F.col("_before") + 1, F.lit(False))),
+        ("paused_while_not_running", (kind == "run_paused") & (was != "running")),
+        ("resumed_while_not_paused", (kind == "run_resumed") & (was != "paused")),
+        ("stopped_while_not_active", (kind == "run_stopped") & ~was.isin("running", "paused")),
     )
-    return out.withColumn("first_open_phase", F.try_element_at(F.array(*map(F.lit, PHASES)), F.col("phases_done").cast("int") + 1))
+    df = df.withColumn("_faults", faults)
+    last = lambda c, when=None: F.max_by(c, F.when(when if when is not None else F.col(c).isNotNull(), r))
+    by_provider = F.map_from_entries(F.transform(F.array_sort(F.collect_set(F.struct("provider", "_last"))), lambda x: F.struct(x["provider"], x["_last"])))
+    runs = df.groupBy("run_id").agg(
+        F.max(r).alias("revision"), F.coalesce(last("_place"), F.lit(0)).cast("long").alias("phases_done"), F.count_if(F.col("disposition") == "skipped").alias("skipped_phases"),
+        last("_control").alias("status"), last(F.when(kind == "run_paused", F.col("reason")), kind.isin("run_created", "run_paused", "run_resumed") | ends).alias("pause_reason"),
+        last(F.when(kind == "run_stopped", F.col("reason")), kind.isin("run_created", "run_stopped", "run_resumed") | ends).alias("stop_reason"),
+        last("requests").alias("requests"), (F.min_by("checksum", r) != last("checksum")).alias("checksum_changed"), F.array_sort(F.flatten(F.collect_list("_faults"))).alias("faults"),
+    )
+    lanes = run_events.where(kind == "provider_execution_recorded").groupBy("run_id", "provider").agg(F.max_by("requests", "revision").alias("_last")).groupBy("run_id").agg(by_provider.alias("providers"))
+    phase = lambda k: F.try_element_at(F.array(*map(F.lit, PHASES)), (F.col("phases_done") + k).cast("int"))
+    out = runs.join(lanes, "run_id", "left").withColumn("last_phase", F.when(F.col("phases_done") > 0, phase(0))).withColumn("first_open_phase", phase(1))
+    return out.select("run_id", "revision", "phases_done", "skipped_phases", "last_phase", "first_open_phase", "status", "pause_reason", "stop_reason", "requests", "providers", "checksum_changed", "faults")
 
 
 def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int = 25, lease_minutes: int = 5) -> DataFrame:
     """Decisions of one batch of the identity worker over candidates(candidate_id, state, revision, updated_at, retry_at, resume_state).
 
     Work whose lease ran out waits for a retry, retries that are due resume, and of the n oldest pending candidates
-    those with an outcome are routed by it; without one they stay as they are.
+    those with an outcome are routed by it; without one they stay as they are. An outcome that isn't known goes to review
+    as unrouted_outcome.
     """
     t = F.lit(now).cast("timestamp")
     row = lambda df, state, why: df.select("candidate_id", F.col("revision").alias("expected_revision"), F.lit("state_transition").alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
@@ -271,14 +320,29 @@ def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int =
     due = candidates.where((F.col("state") == "retry_wait") & (F.col("retry_at") <= t))
     picked = select_work(candidates, "identity_pending", n).join(outcomes, "candidate_id")
     routes = candidates.sparkSession.createDataFrame(list(ROUTES.items()), "outcome string, route string")
-    picked = picked.join(F.broadcast(routes), "outcome")
-    route = F.when((F.col("outcome") == "provider_profile_multiplicity") & F.col("mechanically_closed"), "identity_coherent").otherwise(F.col("route"))
-    return row(expired, F.lit("retry_wait"), F.lit("lease_expired")).unionByName(row(due, F.coalesce("resume_state", F.lit("identity_pending")), F.lit("retry_due"))).unionByName(row(picked, route, F.col("outcome")))
+    picked = picked.where("outcome is not null").join(F.broadcast(routes), "outcome", "left")
+    route = F.when((F.col("outcome") == "provider_profile_multiplicity") & F.col("mechanically_closed"), "identity_coherent").otherwise(F.coalesce("route", F.lit("needs_review")))
+    why = F.when(F.col("route").isNull(), "unrouted_outcome").otherwise(F.col("outcome"))
+    return row(expired, F.lit("retry_wait"), F.lit("lease_expired")).unionByName(row(due, F.coalesce("resume_state", F.lit("identity_pending")), F.lit("retry_due"))).unionByName(row(picked, route, why))
+
 
+def run_bridge_batch(candidates: DataFrame, bridges: DataFrame, now, n: int = 25, known: DataFrame | None = None) -> DataFrame:
+    """Decisions of one batch of the bridge worker: a unique bridge attaches its id, a conflict or several go to review; without a bridge row a candidate stays.
 
-def run_bridge_batch(candidates: DataFrame, bridges: DataFrame, now, n: int = 25) -> DataFrame:
-    """Decisions of one batch of the bridge worker: a unique bridge attaches its id, a conflict or several go to review; without a bridge row a candidate stays."""
+    known(external_id, holder) says who has an id already. A bridge attaches its id first; then, by what is known and by
+    the batch's own earlier bridges, the candidate is a duplicate of a holder, or its identity is pending.
+    """
     t = F.lit(now).cast("timestamp")
     work = select_work(candidates, "identity_discovery_pending", n).join(bridges, "candidate_id")
     unique = F.col("bridge_outcome") == "unique_bridge"
-    return work.select("candidate_id", F.col("revision").alias("expected_revision"), F.when(unique, "candidate_identifier_attached").otherwise("state_transition").alias("event_type"), F.when(unique, F.col("state")).when(F.col("bridge_outcome") == "conflict", "conflicting_identity").otherwise("needs_review").alias("next_state"), F.col("bridge_outcome").alias("reason_code"), t.alias("occurred_at"), F.lit(None).cast("string").alias("occurrence_id"), F.when(unique, F.col("external_id")).alias("identifier"))
+    nothing = F.lit(None).cast("string")
+    decision = lambda revision, kind, state, why, identifier: ("candidate_id", revision.alias("expected_revision"), kind.alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), nothing.alias("occurrence_id"), identifier.alias("identifier"))
+    out = work.select(*decision(F.col("revision"), F.when(unique, "candidate_identifier_attached").otherwise("state_transition"), F.when(unique, F.col("state")).when(F.col("bridge_outcome") == "conflict", "conflicting_identity").otherwise("needs_review"), F.col("bridge_outcome"), F.when(unique, F.col("external_id"))))
+    if known is None:
+        return out
+    held = known.where("external_id is not null").groupBy("external_id").agg(F.collect_set("holder").alias("_holders"))
+    first = F.min(F.struct("queue_place", "candidate_id")).over(Window.partitionBy("external_id"))["candidate_id"]
+    found = work.where(unique).withColumn("_first", first).join(held, "external_id", "left")
+    other = (F.size(F.array_remove(F.coalesce("_holders", F.array().cast("array<string>")), F.col("candidate_id"))) > 0) | (F.col("_first") != F.col("candidate_id"))
+    after = found.select(*decision(F.col("revision") + 1, F.lit("state_transition"), F.when(other, "duplicate").otherwise("identity_pending"), F.when(other, "exact_identifier_duplicate").otherwise("exact_spotify_bridge_ready_for_corroboration"), nothing))
+    return out.unionByName(after)

@@ -118,11 +118,16 @@ def blockers(candidates: DataFrame, events: DataFrame, loose_same_name: bool = T
     return df.withColumn("blocker", group).drop("_why")
 
 
-def weekly_review(candidates: DataFrame, events: DataFrame, as_of) -> DataFrame:
-    """(blocker, entries, oldest_hours, candidate_ids) of candidates in a review state."""
+def weekly_entries(candidates: DataFrame, events: DataFrame, as_of) -> DataFrame:
+    """(blocker, candidate_id, age_hours) of candidates in a review state."""
     df = blockers(candidates.where(F.col("state").isin(*REVIEW)), events)
     age = (F.lit(as_of).cast("timestamp").cast("double") - F.col("created_at").cast("double")) / 3600
-    return df.groupBy("blocker").agg(F.count("*").alias("entries"), F.round(F.max(age), 4).alias("oldest_hours"), F.array_sort(F.collect_list("candidate_id")).alias("candidate_ids"))
+    return df.select("blocker", "candidate_id", age.alias("age_hours"))
+
+
+def weekly_review(candidates: DataFrame, events: DataFrame, as_of) -> DataFrame:
+    """(blocker, entries, oldest_hours) of candidates in a review state; weekly_entries has the candidates."""
+    return weekly_entries(candidates, events, as_of).groupBy("blocker").agg(F.count("*").alias("entries"), F.round(F.max("age_hours"), 4).alias("oldest_hours"))
 
 
 def action_metrics(results: DataFrame) -> DataFrame:

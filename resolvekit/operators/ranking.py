@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import name_key, reasons
+from .numbering import numbered
 
 
 def rank_report(ranking: DataFrame, n: int) -> DataFrame:
@@ -72,7 +73,7 @@ def identity_review(ranking: DataFrame, matches: DataFrame) -> DataFrame:
         ("no_exact_candidate", F.col("match").isNull()),
         ("multiple_exact_name_profiles", F.col("exact_count") > 1),
         ("punctuation_or_symbol_difference_risk", F.col("name").rlike(r"[^\p{L}\p{N}\s]")),
-        ("returned_name_differs", F.col("match.name") != F.col("name")),
+        ("spotify_returned_name_differs", F.col("match.name") != F.col("name")),
         ("short_or_single_token_name", ~key.contains(" ") | (F.length(key) <= 4)),
     )
     return df.withColumn("ambiguity", why).withColumn("review_status", F.when(F.size(why) == 0, "exact_match").otherwise("needs_review"))
@@ -81,6 +82,8 @@ def identity_review(ranking: DataFrame, matches: DataFrame) -> DataFrame:
 def first_stage(df: DataFrame) -> DataFrame:
     """df(name, match_name, exact_count, image, verified, duplicate, ambiguity) with status, confidence and review reasons.
 
+    A column external_id_conflict, if there is one, says that another id is known for the name; like a duplicate it is a conflict.
+
     60 for the name key, 25 for a single candidate, 10 for the displayed name, 5 for an image. Verified gives 100; a
     conflict 49 at most; a reason to review 79 at most; from 90 on it is a candidate, with 95 at most.
     """
@@ -89,10 +92,12 @@ def first_stage(df: DataFrame) -> DataFrame:
     shown = F.coalesce(F.col("name") == F.col("match_name"), F.lit(False))
     points = F.when(same, 60).otherwise(0) + F.when(F.col("exact_count") == 1, 25).otherwise(0) + F.when(shown, 10).otherwise(0) + F.when(F.col("image"), 5).otherwise(0)
     conflict = F.coalesce(F.col("duplicate"), F.lit(False)) | ~same
+    if "external_id_conflict" in df.columns:
+        conflict = conflict | F.coalesce(F.col("external_id_conflict"), F.lit(False))
     why = reasons(
         ("multiple_exact_name_profiles", F.col("exact_count") > 1),
         ("punctuation_or_symbol_risk", F.array_contains("ambiguity", "punctuation_or_symbol_difference_risk")),
-        ("returned_name_difference", F.array_contains("ambiguity", "returned_name_differs") | ~shown),
+        ("returned_name_difference", F.array_contains("ambiguity", "spotify_returned_name_differs") | ~shown),
         ("short_or_common_name_without_verified_id", F.array_contains("ambiguity", "short_or_single_token_name")),
     )
     verified = F.coalesce(F.col("verified"), F.lit(False))
@@ -114,12 +119,7 @@ def review_priority(df: DataFrame) -> DataFrame:
 
 def review_queue(df: DataFrame, rank: str = "rank") -> DataFrame:
     """Rows to review with their place: priority descending, then rank."""
-    order = Window.partitionBy("priority").orderBy(rank)
-    before = df.where("requires_review").groupBy("priority").agg(F.count("*").alias("n"))
-    # a place is the rows of higher priority and the place within the own one; priorities are at most 101 values
-    start = before.alias("a").join(before.alias("b"), F.col("b.priority") > F.col("a.priority"), "left").groupBy(F.col("a.priority").alias("priority")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("ahead"))
-    queue = df.where("requires_review").withColumn("_n", F.row_number().over(order)).join(F.broadcast(start), "priority")
-    return queue.withColumn("place", F.col("ahead") + F.col("_n")).drop("ahead", "_n")
+    return numbered(df.where("requires_review"), [F.desc("priority"), F.asc(rank)], "place")
 
 
 def zero_fill(counts: DataFrame, domain: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.exprs import name_key
-from ..operators import admission, catalog, claims, cohort, converge, directory, lifecycle, metrics, quality, ranking
+from ..operators import admission, catalog, claims, cohort, converge, directory, lifecycle, metrics, quality, ranking, records
+from ..operators.numbering import shared_folder
 from ..sources import adapters, cache, html, listings, readers
 from ..streaming import streams
+from . import inputs
 from .inputs import duck, get, read
 
 NOW = "2001-01-01"
@@ -81,6 +83,20 @@ def e11_suggest_tiers(spark, sf_dir):
     return catalog.suggest_tiers(a5_catalog_metrics(spark, sf_dir)).select("artist_id", "tiers")
 
 
+@query("""WITH s AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'verified_existing' WHEN id % 8 = 0 THEN 'unresolved' WHEN id % 7 = 0 THEN 'conflicting_identity' WHEN id % 5 = 0 OR id % 4 = 0 THEN 'manual_review_required' ELSE 'high_confidence_candidate' END AS status FROM @names)
+    SELECT id AS key, status, CASE status WHEN 'verified_existing' THEN 100 WHEN 'unresolved' THEN 0 WHEN 'conflicting_identity' THEN 49 WHEN 'manual_review_required' THEN 75 ELSE 95 END::BIGINT AS confidence,
+    CASE status WHEN 'verified_existing' THEN '' WHEN 'unresolved' THEN 'missing_stored_spotify_candidate' WHEN 'conflicting_identity' THEN 'stored_returned_name_difference' WHEN 'high_confidence_candidate' THEN 'exact_name_candidate_is_review_only,stored_enrichment_does_not_preserve_alternate_exact_candidates'
+    ELSE concat_ws(',', CASE WHEN id % 5 = 0 THEN 'short_or_single_token_name' END, CASE WHEN id % 4 = 0 THEN 'punctuation_or_symbol_risk' END, 'stored_enrichment_does_not_preserve_alternate_exact_candidates') END AS concerns FROM s""")
+def e11_cohort_status(spark, sf_dir):
+    k = F.col("id")
+    # a name of one word, of several, and with a symbol
+    name = F.concat(F.lit("n"), F.when(k % 4 == 0, "-").otherwise(""), k.cast("string"), F.when(k % 5 == 0, "").otherwise(" band"))
+    s = get(spark, sf_dir, "names").select(k.alias("key"), name.alias("name"))
+    key = F.col("key")
+    rich = s.select("key", F.when(key % 8 != 0, F.concat(F.lit("s"), key)).alias("external_id"), F.when(key % 7 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"))
+    return cohort.cohort_status(s, rich, s.where("key % 9 = 0").select("key")).withColumn("concerns", F.array_join("concerns", ","))
+
+
 @query(f"WITH {_VARIANTS.strip()} SELECT artist_id, count(*) AS release_count, count(DISTINCT title) AS title_count, cast(min(year(start_)) AS int) AS earliest_year, cast(max(year(start_)) AS int) AS latest_year FROM d WHERE title <> '' GROUP BY artist_id")
 def a6_fingerprint(spark, sf_dir):
     return catalog.fingerprint(get(spark, sf_dir, "releases"), unicode=False)
@@ -122,11 +138,11 @@ def j2_overlap_by_id(spark, sf_dir):
 
 def _requests(spark, sf_dir):
     part = get(spark, sf_dir, "names")
-    asked = part.where("id % 7 = 0").select(F.col("external_id").alias("request_id"), F.split("name", " ")[0].alias("name")).groupBy("request_id").agg(F.min("name").alias("name"))
+    asked = part.select(F.col("external_id").alias("request_id"), F.split("name", " ")[0].alias("name")).groupBy("request_id").agg(F.min("name").alias("name"))
     return asked, part.select(F.col("external_id").alias("request_id"), "name", F.col("id").alias("candidate_id"), "position")
 
 
-@query("""WITH q AS (SELECT external_id AS request_id, min(split_part(name, ' ', 1)) AS wanted FROM @names WHERE id % 7 = 0 GROUP BY 1),
+@query("""WITH q AS (SELECT external_id AS request_id, min(split_part(name, ' ', 1)) AS wanted FROM @names GROUP BY 1),
     f AS (SELECT external_id AS request_id, id AS candidate_id, position, CASE WHEN name = wanted THEN 0 WHEN starts_with(name, wanted) THEN 1 WHEN contains(name, wanted) THEN 2 ELSE 3 END AS score FROM @names JOIN q ON external_id = request_id),
     b AS (SELECT *, min(score) OVER (PARTITION BY request_id) AS best FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, position, candidate_id) AS rank FROM b WHERE best > 0 OR score = 0)
     SELECT request_id, candidate_id, score, cast(rank AS int) AS rank FROM k WHERE rank <= 10""")
@@ -134,7 +150,7 @@ def j3_resolve_names(spark, sf_dir):
     return ranking.resolve_names(*_requests(spark, sf_dir), unicode=False)
 
 
-_FIRST = """WITH c AS (SELECT *, count(*) OVER (PARTITION BY external_id, lower(name)) AS exact_count, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN upper(name) ELSE name END AS match_name, id % 3 = 0 AS image, id % 11 = 0 AS verified, id % 13 = 0 AS duplicate FROM @names),
+_FIRST = """WITH c AS (SELECT *, count(*) OVER (PARTITION BY external_id, lower(name)) AS exact_count, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN upper(name) ELSE name END AS match_name, id % 3 = 0 AS image, id % 11 = 0 AS verified, id % 13 = 0 OR id % 17 = 0 AS duplicate FROM @names),
 p AS (SELECT *, CASE WHEN lower(match_name) = lower(name) THEN 60 ELSE 0 END + CASE WHEN exact_count = 1 THEN 25 ELSE 0 END + CASE WHEN match_name = name THEN 10 ELSE 0 END + CASE WHEN image THEN 5 ELSE 0 END AS points,
     list_filter([CASE WHEN exact_count > 1 THEN 'multiple_exact_name_profiles' END, CASE WHEN match_name <> name THEN 'returned_name_difference' END], lambda x: x IS NOT NULL) AS why FROM c),
 s AS (SELECT *, CASE WHEN match_name IS NULL THEN 'unresolved' WHEN verified THEN 'verified_existing' WHEN duplicate THEN 'conflicting_identity' WHEN len(why) > 0 THEN 'manual_review_required' WHEN points >= 90 THEN 'high_confidence_candidate' ELSE 'manual_review_required' END AS status,
@@ -148,7 +164,7 @@ def _first_stage(spark, sf_dir):
     df = get(spark, sf_dir, "names").withColumn("k", F.lower("name"))
     n = df.groupBy("external_id", "k").agg(F.count("*").alias("exact_count"))
     df = df.join(n, ["external_id", "k"]).withColumn("match_name", F.when(F.col("id") % 4 == 1, F.upper("name")).when(F.col("id") % 4 != 0, F.col("name")))
-    df = df.select("id", "name", "match_name", "exact_count", (F.col("id") % 3 == 0).alias("image"), (F.col("id") % 11 == 0).alias("verified"), (F.col("id") % 13 == 0).alias("duplicate"), F.array().cast("array<string>").alias("ambiguity"))
+    df = df.select("id", "name", "match_name", "exact_count", (F.col("id") % 3 == 0).alias("image"), (F.col("id") % 11 == 0).alias("verified"), (F.col("id") % 13 == 0).alias("duplicate"), (F.col("id") % 17 == 0).alias("external_id_conflict"), F.array().cast("array<string>").alias("ambiguity"))
     return ranking.review_priority(ranking.first_stage(df))
 
 
@@ -188,7 +204,7 @@ def l1_replay(spark, sf_dir):
     return lifecycle.replay(get(spark, sf_dir, "log")).select("candidate_id", "revision", "state", "external_id", "transitions", F.size("occurrences").cast("long").alias("attached"))
 
 
-_PAIRS = ", ".join(f"('{a}', '{b}')" for a, to in lifecycle.TRANSITIONS.items() for b in to.split())
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, to in lifecycle.TRANSITIONS.items() for b in to)
 
 
 @query(f"""WITH l AS (SELECT *, lag(next_state) OVER w AS before FROM @log WINDOW w AS (PARTITION BY candidate_id ORDER BY candidate_revision)),
@@ -246,23 +262,54 @@ def l10_failure_metrics(spark, sf_dir):
     return lifecycle.failure_metrics(get(spark, sf_dir, "calls"))
 
 
-@query()
-def l9_breaker_history(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "error", "transient").when(F.col("event_id") % 101 == 0, "authentication_or_configuration")
-    return lifecycle.breaker_history(e.select(F.col("user_id").cast("string").alias("provider"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").cast("double").alias("occurred_at"), kind.alias("kind"), F.lit(None).cast("double").alias("retry_after")))
+_BREAKER = """WITH RECURSIVE c AS (SELECT cast(user_id AS string) AS provider, event_id AS call_id, epoch(ts) AS t, CASE WHEN event_type = 'error' THEN 'transient' WHEN event_id % 101 = 0 THEN 'authentication_or_configuration' WHEN event_id % 103 = 0 THEN 'permanent' END AS kind,
+        CASE WHEN event_id % 7 = 0 THEN 5000.0 ELSE 0.0 END AS wait, 'r' || (event_id % 3) AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT provider, 0::BIGINT AS call_id, 0::BIGINT AS n, 'closed' AS state, 0 AS failures, false AS skipped, NULL::DOUBLE AS probe, NULL::VARCHAR AS cause, NULL::VARCHAR AS owner FROM c WHERE n = 1
+        UNION ALL SELECT provider, call_id, n, CASE WHEN skip THEN state WHEN kind IS NULL THEN 'closed' WHEN opens THEN 'open' WHEN half THEN 'half_open' ELSE state END, CASE WHEN skip THEN failures WHEN kind IS NULL THEN 0 WHEN counts THEN failures + 1 ELSE failures END, skip,
+            CASE WHEN skip THEN probe WHEN kind IS NULL THEN NULL WHEN opens THEN t + greatest(900.0, wait) ELSE probe END, CASE WHEN skip THEN cause WHEN kind IS NULL THEN NULL WHEN counts THEN kind ELSE cause END, CASE WHEN skip THEN owner WHEN kind IS NULL THEN NULL WHEN counts THEN run ELSE owner END
+        FROM (SELECT *, counts AND (kind <> 'transient' OR half OR failures + 1 >= 2) AS opens FROM (SELECT *, state IN ('open', 'half_open') AND NOT skip AS half, coalesce(kind IN ('transient', 'authentication_or_configuration'), false) AS counts
+            FROM (SELECT c.*, b.state, b.failures, b.probe, b.cause, b.owner, b.state = 'open' AND CASE WHEN b.cause = 'authentication_or_configuration' THEN c.run = b.owner ELSE c.t < b.probe END AS skip FROM b JOIN c ON c.provider = b.provider AND c.n = b.n + 1))))
+"""
 
 
-@query("""WITH e AS (SELECT cast(user_id AS string) AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events), p AS (SELECT *, ((revision - 1) % 7) + 1 AS place FROM e),
-    b AS (SELECT *, max(CASE WHEN event_type <> 'error' THEN place END) OVER (PARTITION BY run_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
-    SELECT run_id, max(revision) AS revision, cast(coalesce(max(CASE WHEN event_type <> 'error' THEN place END), 0) AS bigint) AS phases_done, count(*) FILTER (event_type <> 'error' AND place > coalesce(before, 0) + 1) AS faults FROM b GROUP BY 1""")
+def _lane_calls(df):
+    id_ = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "transient").when(id_ % 101 == 0, "authentication_or_configuration").when(id_ % 103 == 0, "permanent")
+    return df.select(F.col("user_id").cast("string").alias("provider"), id_.alias("call_id"), F.col("ts").cast("timestamp").cast("double").alias("occurred_at"), kind.alias("kind"), F.when(id_ % 7 == 0, 5000.0).otherwise(0.0).alias("retry_after"), F.concat(F.lit("r"), id_ % 3).alias("run_id"))
+
+
+@query(f"{_BREAKER} SELECT provider, call_id, state, failures AS failure_count, skipped, probe AS next_probe_at FROM b WHERE n > 0")
+def l9_breaker_history(spark, sf_dir):
+    return lifecycle.breaker_history(_lane_calls(read(spark, sf_dir, "events")))
+
+
+@query(f"""WITH e AS (SELECT cast(user_id AS string) AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type AS t FROM events),
+    k AS (SELECT *, n + CASE WHEN n > 20 THEN 1 ELSE 0 END AS revision, (n - 1) % 7 + 1 AS place, CASE WHEN n = 1 AND event_id % 19 > 0 THEN 'run_created' WHEN event_id % 31 = 0 THEN 'run_stopped' WHEN t = 'error' THEN 'run_paused' WHEN t = 'signup' THEN 'run_resumed' WHEN t = 'purchase' THEN 'provider_execution_recorded' ELSE 'phase_completed' END AS et FROM e),
+    p AS (SELECT *, CASE et WHEN 'run_created' THEN 1 WHEN 'phase_completed' THEN place END AS done, CASE WHEN et IN ('run_created', 'run_resumed') THEN 'running' WHEN et = 'run_paused' THEN 'paused' WHEN et = 'run_stopped' THEN 'stopped' WHEN et = 'phase_completed' AND place = 7 THEN 'completed' END AS control FROM k),
+    w AS (SELECT *, lag(revision) OVER o AS prev, last_value(done IGNORE NULLS) OVER x AS before, coalesce(last_value(control IGNORE NULLS) OVER x, 'none') AS was FROM p WINDOW o AS (PARTITION BY run_id ORDER BY revision), x AS (PARTITION BY run_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT run_id, list_sort(list(fault)) AS faults FROM (SELECT run_id, unnest([CASE WHEN coalesce(revision <> prev + 1, revision <> 1) THEN 'revision_gap' END, CASE WHEN (prev IS NULL) <> (et = 'run_created') THEN 'not_created_first' END, CASE WHEN et = 'phase_completed' AND NOT coalesce(done = before + 1, false) THEN 'phase_out_of_order' END,
+        CASE WHEN et = 'run_paused' AND was <> 'running' THEN 'paused_while_not_running' END, CASE WHEN et = 'run_resumed' AND was <> 'paused' THEN 'resumed_while_not_paused' END, CASE WHEN et = 'run_stopped' AND was NOT IN ('running', 'paused') THEN 'stopped_while_not_active' END]) AS fault FROM w) WHERE fault IS NOT NULL GROUP BY 1),
+    g AS (SELECT run_id, max(revision) AS revision, coalesce(arg_max(done, revision) FILTER (done IS NOT NULL), 0) AS d, count(*) FILTER (et = 'phase_completed' AND event_id % 4 = 0) AS skipped_phases, arg_max(control, revision) FILTER (control IS NOT NULL) AS status,
+        arg_max(CASE WHEN et = 'run_paused' THEN 'p' || event_id ELSE '' END, revision) FILTER (et IN ('run_created', 'run_paused', 'run_resumed') OR control = 'completed') AS pr, arg_max(CASE WHEN et = 'run_stopped' THEN 's' || event_id ELSE '' END, revision) FILTER (et IN ('run_created', 'run_stopped', 'run_resumed') OR control = 'completed') AS sr,
+        arg_max(event_id, revision) AS requests, arg_min(event_id % 3, revision) <> arg_max(event_id % 3, revision) AS checksum_changed FROM w GROUP BY 1),
+    l AS (SELECT run_id, arg_max(event_id, revision) AS lane FROM w WHERE et = 'provider_execution_recorded' AND event_id % 2 = 0 GROUP BY 1), n AS (SELECT {list(lifecycle.PHASES)} AS names)
+    SELECT run_id, revision, d AS phases_done, skipped_phases, CASE WHEN d > 0 THEN names[d] END AS last_phase, names[d + 1] AS first_open_phase, status, nullif(pr, '') AS pause_reason, nullif(sr, '') AS stop_reason, requests, lane, checksum_changed, coalesce(array_to_string(faults, ','), '') AS faults
+    FROM g LEFT JOIN f USING (run_id) LEFT JOIN l USING (run_id), n""")
 def l8_replay_runs(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = read(spark, sf_dir, "events").withColumn("revision", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
-    phase = F.element_at(F.array(*map(F.lit, lifecycle.PHASES)), ((F.col("revision") - 1) % 7 + 1).cast("int"))
-    runs = e.select(F.col("user_id").cast("string").alias("run_id"), "revision", phase.alias("phase"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("disposition"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("stop_reason"))
-    return lifecycle.replay_runs(runs).select("run_id", "revision", "phases_done", "faults")
+    e = read(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    n, id_, t = F.col("n"), F.col("event_id"), F.col("event_type")
+    kind = F.when((n == 1) & (id_ % 19 > 0), "run_created").when(id_ % 31 == 0, "run_stopped").when(t == "error", "run_paused").when(t == "signup", "run_resumed").when(t == "purchase", "provider_execution_recorded").otherwise("phase_completed")
+    e = e.withColumn("kind", kind)
+    at = lambda *names: F.col("kind").isin(*names)
+    phase = F.when(at("phase_completed"), F.element_at(F.array(*map(F.lit, lifecycle.PHASES)), ((n - 1) % 7 + 1).cast("int")))
+    journal = e.select(
+        F.col("user_id").cast("string").alias("run_id"), (n + F.when(n > 20, 1).otherwise(0)).alias("revision"), F.col("kind").alias("event_type"), phase.alias("phase"), F.when(at("phase_completed"), F.when(id_ % 4 == 0, "skipped").otherwise("completed")).alias("disposition"),
+        F.concat(F.when(at("run_paused"), "p").when(at("run_stopped"), "s"), id_).alias("reason"), F.when(at("provider_execution_recorded"), F.when(id_ % 2 == 0, "even").otherwise("odd")).alias("provider"), id_.alias("requests"), (id_ % 3).alias("checksum"),
+    )
+    out = lifecycle.replay_runs(journal).withColumn("lane", F.try_element_at("providers", F.lit("even")))
+    return out.drop("providers").withColumn("faults", F.array_join("faults", ","))
 
 
 @query(f"{_LAST}, n AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY updated_at, candidate_id) AS p FROM c) SELECT candidate_id, state, cast(p AS int) AS queue_place FROM n WHERE p <= 5")
@@ -280,11 +327,16 @@ def l6_identity_batch(spark, sf_dir):
     return lifecycle.run_identity_batch(now, out, "2024-01-31").select("candidate_id", "expected_revision", "next_state", "reason_code")
 
 
-@query(f"{_LAST}, w AS (SELECT *, row_number() OVER (ORDER BY updated_at, candidate_id) AS p FROM c WHERE state = 'identity_pending') SELECT candidate_id, CASE WHEN cast(candidate_id AS bigint) % 2 = 0 THEN 'candidate_identifier_attached' ELSE 'state_transition' END AS event_type, CASE WHEN cast(candidate_id AS bigint) % 2 = 0 THEN 'identity_discovery_pending' ELSE 'conflicting_identity' END AS next_state FROM w WHERE p <= 25")
+@query(f"""{_LAST}, w AS (SELECT *, cast(candidate_id AS bigint) % 2 = 0 AS one, cast(cast(candidate_id AS bigint) // 8 AS string) AS x, row_number() OVER (ORDER BY updated_at, candidate_id) AS p FROM c WHERE state = 'identity_pending'),
+    u AS (SELECT *, first_value(candidate_id) OVER (PARTITION BY x ORDER BY p) AS f FROM w WHERE p <= 25 AND one)
+    SELECT candidate_id, revision AS expected_revision, CASE WHEN one THEN 'candidate_identifier_attached' ELSE 'state_transition' END AS event_type, CASE WHEN one THEN 'identity_discovery_pending' ELSE 'conflicting_identity' END AS next_state FROM w WHERE p <= 25
+    UNION ALL SELECT candidate_id, revision + 1, 'state_transition', CASE WHEN f <> candidate_id OR cast(x AS bigint) % 5 = 0 THEN 'duplicate' ELSE 'identity_pending' END FROM u""")
 def l7_bridge_batch(spark, sf_dir):
     now = lifecycle.replay(get(spark, sf_dir, "log")).withColumn("state", F.when(F.col("state") == "identity_pending", "identity_discovery_pending").otherwise(F.col("state")))
-    found = now.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 2 == 0, "unique_bridge").otherwise("conflict").alias("bridge_outcome"), F.col("candidate_id").alias("external_id"))
-    return lifecycle.run_bridge_batch(now.drop("external_id"), found, "2024-01-31").select("candidate_id", "event_type", "next_state")
+    id_ = F.floor(F.col("candidate_id").cast("long") / 8)
+    found = now.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 2 == 0, "unique_bridge").otherwise("conflict").alias("bridge_outcome"), id_.cast("string").alias("external_id"))
+    known = now.select(id_.cast("string").alias("external_id"), F.lit("someone").alias("holder")).where(id_ % 5 == 0)
+    return lifecycle.run_bridge_batch(now.drop("external_id"), found, "2024-01-31", known=known).select("candidate_id", "expected_revision", "event_type", "next_state")
 
 
 # Metrics.
@@ -449,14 +501,14 @@ def j9_discover_bridges(spark, sf_dir):
     return claims.discover_bridges(occ.select("candidate_id", "entity_key"), local, far).select("candidate_id", "bridge_outcome")
 
 
-@query("SELECT l_orderkey AS occurrence_id, l_suppkey AS candidate_id, o_custkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2) JOIN orders ON o_orderkey = l_orderkey")
+@query("SELECT l_orderkey AS occurrence_id, l_suppkey AS candidate_id, o_custkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey")
 def j7_candidate_occurrences(spark, sf_dir):
-    links = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("occurrence_id"), F.lit("candidate").alias("target_type"), F.col("l_suppkey").alias("target_id"))
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("occurrence_id"), F.lit("candidate").alias("target_type"), F.col("l_suppkey").alias("target_id"))
     return claims.candidate_occurrences(links, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("occurrence_id"), "o_custkey"))
 
 
 @query("""WITH k AS (SELECT DISTINCT identifier_type FROM @claims), e AS (SELECT DISTINCT entity FROM @claims), g AS (SELECT entity, identifier_type, count(DISTINCT value) AS n FROM @claims GROUP BY 1, 2), s AS (SELECT e.entity, bool_or(n > 1) AS conflict, count(*) FILTER (n = 1) AS agreed, count(*) FILTER (n IS NULL) AS missing FROM e CROSS JOIN k LEFT JOIN g ON g.entity = e.entity AND g.identifier_type = k.identifier_type GROUP BY 1)
-    SELECT entity, CASE WHEN entity % 50 = 0 THEN 'unresolved' WHEN conflict THEN 'conflicting_identity' WHEN entity % 9 = 0 OR missing > 0 THEN 'insufficient_evidence' WHEN entity % 4 = 0 THEN 'coherent_with_same_name' ELSE 'coherent' END AS outcome, agreed FROM s""")
+    SELECT entity, CASE WHEN entity % 50 = 0 THEN 'unresolved_identity' WHEN conflict THEN 'conflicting_identity' WHEN entity % 9 = 0 OR missing > 0 THEN 'insufficient_corroboration' WHEN entity % 4 = 0 THEN 'coherent_identity_with_same_name_ambiguity' ELSE 'coherent_identity_evidence' END AS outcome, agreed FROM s""")
 def e6_batch_outcome(spark, sf_dir):
     df = get(spark, sf_dir, "claims")
     entity = df.select("entity").distinct()
@@ -490,31 +542,38 @@ def e9_close_and_route(spark, sf_dir):
     return claims.close_and_route(df).select("entity", "mechanically_closed", "next_state")
 
 
-@query("""WITH p AS (SELECT p_brand AS entity, p_partkey AS profile_id, p_name, p_type AS kind, p_size % 2 AS begin_date, p_size % 50 = 0 AS redirected, p_size % 49 = 0 AS deprecated, p_size % 47 <> 0 AS resolved FROM part WHERE p_partkey % 40 < 3),
+@query("""WITH p AS (SELECT p_brand AS entity, p_partkey AS profile_id, p_name, p_type AS kind, p_size % 2 AS begin_date, p_size % 50 = 0 AS redirected, p_size % 49 = 0 AS deprecated, p_size % 47 <> 0 AS resolved FROM part),
     o AS (SELECT entity, max(n) AS overlap FROM (SELECT a.entity, count(*) AS n FROM p a JOIN p b ON a.entity = b.entity AND a.p_name = b.p_name AND a.profile_id < b.profile_id GROUP BY a.entity, a.profile_id, b.profile_id) GROUP BY 1),
     k AS (SELECT entity, count(DISTINCT kind) AS kinds, count(DISTINCT begin_date) AS begins, count(DISTINCT p_name) AS names, count(DISTINCT profile_id) AS profiles, bool_or(redirected) AS redirected, bool_or(deprecated) AS deprecated, bool_and(resolved) AS resolved FROM p GROUP BY 1)
     SELECT entity, CASE WHEN kinds > 1 OR begins > 1 THEN 'semantic_conflict' WHEN NOT resolved THEN 'unresolved' WHEN redirected THEN 'redirected_profile' WHEN deprecated THEN 'deprecated_profile' WHEN profiles > 1 AND (coalesce(overlap, 0) >= 2 OR names = 1 OR TRUE) THEN 'provider_multiplicity' ELSE 'unresolved' END AS interpretation FROM k LEFT JOIN o USING (entity)""")
 def e8_multiplicity(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey % 40 < 3")
+    p = read(spark, sf_dir, "part")
     size = F.col("p_size")
     prof = p.select(F.col("p_brand").alias("entity"), F.col("p_partkey").alias("profile_id"), F.col("p_type").alias("kind"), (size % 2).alias("begin_date"), F.col("p_name").alias("real_name"), F.lit("one").alias("asserter"), (size % 50 == 0).alias("redirected"), (size % 49 == 0).alias("deprecated"), (size % 47 != 0).alias("resolved"))
     shared = catalog.pairwise_overlap(p.select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("profile_id"), F.col("p_name").alias("title")))
     return claims.multiplicity(prof, shared).select("entity", "interpretation")
 
 
-_SECOND = f"""{_FIRST.strip()}, e AS (SELECT *, CASE id % 6 WHEN 0 THEN 35 WHEN 1 THEN 40 ELSE 0 END AS ids, CASE id % 5 WHEN 0 THEN 12 WHEN 1 THEN 24 ELSE 0 END AS meta, id % 4 AS overlap, CASE id % 9 WHEN 0 THEN 'conflict' WHEN 1 THEN 'compatible' ELSE 'unknown' END AS chrono, id % 8 = 0 AS alt, id % 3 AS weak FROM g),
+_SECOND = f"""{_FIRST.strip()}, e AS (SELECT *, CASE id % 6 WHEN 0 THEN 35 WHEN 1 THEN 40 ELSE 0 END AS ids, (CASE WHEN id % 5 <= 1 THEN 7 ELSE 0 END + CASE WHEN id % 5 <= 1 AND id % 67 <> 0 THEN 5 ELSE 0 END + CASE WHEN id % 5 = 1 THEN 8 ELSE 0 END) AS meta, id % 4 AS overlap, CASE id % 9 WHEN 0 THEN 'conflict' WHEN 1 THEN 'compatible' ELSE 'unknown' END AS chrono, id % 8 = 0 AS alt, CASE id % 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS weak,
+    id % 9 = 0 OR id % 61 = 0 OR id % 67 = 0 OR id % 71 = 0 OR id % 73 = 0 OR id % 79 = 0 AS bad FROM g),
     f AS (SELECT *, CASE WHEN overlap >= 3 THEN 30 WHEN overlap = 2 THEN 20 WHEN overlap = 1 THEN 7 ELSE 0 END + CASE WHEN chrono = 'compatible' THEN 5 ELSE 0 END + CASE WHEN alt THEN 15 ELSE 0 END AS cat FROM e),
     h AS (SELECT *, (ids >= 30 OR cat >= 30) OR ((CASE WHEN ids >= 1 THEN 1 ELSE 0 END) + (CASE WHEN meta >= 10 THEN 1 ELSE 0 END) + (CASE WHEN cat >= 10 THEN 1 ELSE 0 END) >= 2) AS enough, cast(least(100, ids + least(meta, 20) + least(cat, 40) + weak) AS bigint) AS score FROM f),
-    z AS (SELECT *, CASE WHEN status = 'verified_existing' THEN status WHEN chrono = 'conflict' THEN 'conflicting_identity' WHEN status = 'manual_review_required' AND enough THEN 'high_confidence_candidate' ELSE status END AS final_status,
-    cast(CASE WHEN status = 'verified_existing' THEN 100 WHEN chrono = 'conflict' THEN least(confidence, 49) WHEN status = 'manual_review_required' AND enough THEN least(95, confidence + floor(score / 3 + 0.5)) ELSE confidence END AS bigint) AS final_confidence FROM h)
+    z AS (SELECT *, CASE WHEN status = 'verified_existing' THEN status WHEN bad THEN 'conflicting_identity' WHEN status = 'manual_review_required' AND enough THEN 'high_confidence_candidate' ELSE status END AS final_status,
+    cast(CASE WHEN status = 'verified_existing' THEN 100 WHEN bad THEN least(confidence, 49) WHEN status = 'manual_review_required' AND enough THEN least(95, confidence + floor(score / 3 + 0.5)) ELSE confidence END AS bigint) AS final_confidence FROM h)
 """
 
 
 def _second_stage(spark, sf_dir):
     i = F.col("id")
-    df = _first_stage(spark, sf_dir).withColumn("identifier_score", F.when(i % 6 == 0, 35).when(i % 6 == 1, 40).otherwise(0)).withColumn("metadata_score", F.when(i % 5 == 0, 12).when(i % 5 == 1, 24).otherwise(0)).withColumn("overlap", i % 4)
-    df = df.withColumn("chronology", F.when(i % 9 == 0, "conflict").when(i % 9 == 1, "compatible").otherwise("unknown")).withColumn("coherent_alternatives", i % 8 == 0).withColumn("weak_score", i % 3).withColumn("conflict", F.lit(False))
-    return claims.second_stage(df)
+    few = i % 5 <= 1
+    titles = F.array(*map(F.lit, ("Alpha (Deluxe Edition)", "Bravo", "C\u00e2f\u00e9 del mar", "Live")))
+    others = F.concat(F.slice(F.array(*map(F.lit, ("ALPHA", "bravo!", "Cafe  del-mar"))), F.lit(1), (i % 4).cast("int")), F.array(F.lit("live"), F.lit("Greatest Hits")))
+    df = _first_stage(spark, sf_dir).withColumns({
+        "url_match": i % 6 == 0, "verified_id_match": i % 6 == 1, "id_conflict": i % 61 == 0, "alias_match": few, "type_match": F.when(i % 67 == 0, False).when(few, True), "area_match": i % 5 == 1, "dates_match": i % 5 == 1,
+        "titles": titles, "other_titles": others, "chronology": F.when(i % 9 == 0, "conflict").when(i % 9 == 1, "compatible"), "primary_coherent": F.lit(True), "empty_alternatives": F.when(i % 8 == 0, 1).otherwise(0),
+        "several_catalogs": i % 71 == 0, "catalog_complete": i % 73 != 0, "duplicate_id": i % 79 == 0, "image": i % 3 == 1, "case_agrees": F.lit(None).cast("boolean"), "has_release": i % 3 == 2,
+    })
+    return claims.second_stage(claims.corroboration_scores(df))
 
 
 @query(f"{_SECOND} SELECT id, score AS corroboration_score, final_status, final_confidence FROM z")
@@ -662,8 +721,8 @@ def j10_reconcile_cohort(spark, sf_dir):
 @query("SELECT r.artist_id, 'live' AS origin FROM @registry r WHERE cast(substr(external_id, 2) AS bigint) % 8 = 0 UNION ALL SELECT r.artist_id, 'review' FROM @registry r WHERE cast(substr(external_id, 2) AS bigint) % 8 <> 0 AND cast(substr(external_id, 2) AS bigint) % 3 = 0")
 def j11_review_package(spark, sf_dir):
     reg = get(spark, sf_dir, "registry").withColumn("key", F.substring("external_id", 2, 20).cast("long"))
-    reports = reg.select("key", F.when(F.col("key") % 3 == 0, "coherent").otherwise("open").alias("outcome"))
-    return cohort.review_package(reports, reg, reg, reg.where("key % 8 = 0"), ["coherent"]).select("artist_id", "origin")
+    reports = reg.select("key", F.when(F.col("key") % 3 == 0, "coherent_identity_evidence").otherwise("unresolved_identity").alias("outcome"))
+    return cohort.review_package(reports, reg, reg, reg.where("key % 8 = 0"), ["coherent_identity_evidence"]).select("artist_id", "origin")
 
 
 @query("SELECT artist_id, artist_id % 2 <> 0 AS promoted FROM @customers WHERE artist_id % 2 = 0 OR artist_id % 3 = 0")
@@ -683,6 +742,21 @@ def q1_violations(spark, sf_dir):
     return quality.violations(read(spark, sf_dir, "orders"), "o_orderkey", {"price_positive": F.col("o_totalprice") > 1000, "status_known": F.col("o_orderstatus").isin("F", "O")})
 
 
+def _record_query(kind):
+    union = " UNION ALL ".join(f"SELECT cast(k AS string) AS key, '{rule}' AS rule FROM r WHERE NOT coalesce({inputs.duck_condition(condition)}, false)" for rule, condition in records.RULES[kind].items())
+    named = "*, lower(trim(raw_name)) AS computed_name" if "normalized_name" in records.RULES[kind] else "*"
+
+    def run(spark, sf_dir):
+        return records.record_violations(get(spark, sf_dir, f"record_{kind}"), kind, "k")
+
+    run.__name__ = f"q1_{kind}"
+    return query(f"WITH r AS (SELECT {named} FROM @record_{kind}) {union}")(run)
+
+
+for _kind in records.RULES:
+    _record_query(_kind)
+
+
 @query("SELECT 'p_name' AS \"column\", p_name AS value, count(*) AS rows FROM part GROUP BY p_name HAVING count(*) > 1")
 def q2_unique_violations(spark, sf_dir):
     return quality.unique_violations(read(spark, sf_dir, "part"), ["p_partkey", "p_name"])
@@ -698,15 +772,18 @@ def q3_key_drift(spark, sf_dir):
     return quality.key_drift(read(spark, sf_dir, "documents"), "doc_id", {"n_chars": F.length("text").cast("long")})
 
 
-@query("SELECT true AS unchanged, count(*) AS rows_before, count(*) AS rows_after FROM orders")
+@query("SELECT true AS unchanged, count(*) AS rows_before, count(*) AS rows_after FROM orders UNION ALL SELECT false, count(*), (SELECT count(*) FROM @customers_later) FROM @customers UNION ALL SELECT false, count(*), count(*) FROM customer")
 def q4_unchanged(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus")
-    return quality.unchanged(o, o.repartition(3))
+    a, b = get(spark, sf_dir, "customers"), get(spark, sf_dir, "customers_later")
+    other = a.withColumn("name", F.when(F.col("artist_id") == 7, "another").otherwise(F.col("name")))  # one row of all
+    return quality.unchanged(o, o.repartition(3)).unionByName(quality.unchanged(a, b)).unionByName(quality.unchanged(a, other))
 
 
-@query("SELECT count(*) AS rows, true AS well_formed FROM customer")
+@query("""WITH h AS (SELECT sha256(to_json({'artist_id': artist_id, 'genre': genre, 'name': name, 'tier': tier})::VARCHAR) AS h FROM @customers), p AS (SELECT list_transform(range(0, 4), lambda k: ('0x' || substr(h, 1 + 8 * k::INT, 8))::UBIGINT) AS p FROM h),
+    s AS (SELECT count(*) AS rows, sum(p[1])::VARCHAR AS a, sum(p[2])::VARCHAR AS b, sum(p[3])::VARCHAR AS c, sum(p[4])::VARCHAR AS d FROM p) SELECT rows, 'sha256:' || sha256(concat_ws('|', rows, a, b, c, d)) AS digest FROM s""")
 def a17_table_digest(spark, sf_dir):
-    return quality.table_digest(get(spark, sf_dir, "customers")).select("rows", F.col("digest").rlike("^sha256:[0-9a-f]{64}$").alias("well_formed"))
+    return quality.table_digest(get(spark, sf_dir, "customers")).select("rows", "digest")
 
 
 @query("SELECT artist_id, name, tier, 'left' AS side FROM @customers EXCEPT ALL SELECT artist_id, name, tier, 'left' FROM @customers_later UNION ALL (SELECT artist_id, name, tier, 'right' FROM @customers_later EXCEPT ALL SELECT artist_id, name, tier, 'right' FROM @customers)")
@@ -721,9 +798,18 @@ def s2_page_links(spark, sf_dir):
     return html.extract_links(read(spark, sf_dir, "pages")).select("page_id", "position", "href")
 
 
-@query("SELECT page_id, 'no_table_with_required_headers' AS error FROM pages")
+@query("""WITH t AS (SELECT p_size AS page_id, p_name, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS row FROM part)
+    SELECT page_id, row, p_name || ' & co' AS artist, cast(p_partkey AS string) AS listeners, NULL::VARCHAR AS error FROM t WHERE page_id % 3 <> 0 UNION ALL SELECT DISTINCT page_id, NULL, NULL, NULL, 'no_table_with_required_headers' FROM t WHERE page_id % 3 = 0 UNION ALL SELECT DISTINCT -page_id, NULL, NULL, NULL, 'no_table_with_required_headers' FROM pages""")
 def s2_html_table(spark, sf_dir):
-    return html.extract_html_table(read(spark, sf_dir, "pages").select("page_id", "html"), ["Artist", "Listeners"]).select("page_id", "error")
+    cells = lambda tag, *x: F.concat(F.lit(f"<tr><{tag}>"), x[0], F.lit(f"</{tag}>\n <{tag}>"), x[1], F.lit(f"</{tag}></tr>"))
+    rows = read(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"))
+    body = F.array_join(F.transform("r", lambda x: cells("td class='c'", F.concat(F.lit("<b>"), x["p_name"], F.lit("</b> &amp; co")), x["p_partkey"].cast("string"))), "").alias("body")
+    body = rows.select("page_id", F.regexp_replace(body, "</td class='c'>", "</td>").alias("body"))
+    head = cells("th", F.when(F.col("page_id") % 3 == 0, "Other").otherwise("Artist"), F.lit("Listeners"))
+    made = body.select("page_id", F.concat(F.lit("<html><table><tr><td>x</td></tr></table><TABLE id='t'>"), head, "body", F.lit("</TABLE></html>")).alias("html"))
+    pages = made.unionByName(read(spark, sf_dir, "pages").select((-F.col("page_id")).cast("long").alias("page_id"), "html"))
+    out = html.extract_html_table(pages, ["Artist", "Listeners"])
+    return out.select("page_id", "row", F.try_element_at("cells", F.lit("Artist")).alias("artist"), F.try_element_at("cells", F.lit("Listeners")).alias("listeners"), "error")
 
 
 # Streams, over what is there now.
@@ -734,18 +820,17 @@ def _stream(spark, sf_dir):
 
 def _folder(spark) -> str:
     """A new folder where driver and executors both see it."""
-    import uuid
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
 
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+_TYPES = {"view": "artist_impression", "click": "spotify_clicked", "purchase": "artist_saved", "signup": "roll_again"}
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, cast(user_id AS string) AS artist_id, event_type AS type, count(*) AS events FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL")
+@query(f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, cast(user_id AS string) AS artist_id, CASE event_type {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in _TYPES.items())} END AS type, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def t6_behaviour_counts(spark, sf_dir):
-    e = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("artist_id"), F.col("event_type").alias("type"))
-    out = streams.run_now(streams.behaviour_counts(e, ("view", "click"), "[0-9]+"), ["day", "artist_id", "type"], _folder(spark))
+    types = F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))
+    e = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("artist_id"), F.coalesce(types[F.col("event_type")], F.lit("crash")).alias("type"))
+    out = streams.run_now(streams.behaviour_counts(e, id_pattern="[0-9]+"), ["day", "artist_id", "type"], _folder(spark))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "artist_id", "type", "events")
 
 
@@ -768,11 +853,15 @@ def t1_candidate_states(spark, sf_dir):
 
 
 # Sources, over files and nested rows that Spark derives from the tables.
-@query("SELECT cast(p_partkey AS bigint) AS rank, p_name AS name, cast(round(p_retailprice) AS bigint) AS value FROM part")
+@query("SELECT cast(p_partkey AS bigint) AS rank, p_name AS name, cast(round(p_retailprice) AS bigint) AS value, true AS row_in_place FROM part")
 def s1_ranking_csv(spark, sf_dir):
+    from pyspark.sql import Window
+
     path = f"{_folder(spark)}/ranking"
-    read(spark, sf_dir, "part").select(F.col("p_partkey").alias("Ranking"), F.col("p_name").alias("Artist"), F.format_number(F.round("p_retailprice"), 0).alias("Listeners")).write.csv(path, header=True, quoteAll=True)
-    return readers.read_ranking_csv(spark, path).select("rank", "name", "value")
+    part = read(spark, sf_dir, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    part.select(F.col("p_partkey").alias("Ranking"), F.col("p_name").alias("Artist"), F.format_number(F.round("p_retailprice"), 0).alias("Listeners")).write.csv(path, header=True, quoteAll=True)
+    first = F.min("rank").over(Window.partitionBy("file"))  # a file has a range of ranks
+    return readers.read_ranking_csv(spark, path).select("rank", "name", "value", (F.col("source_row") == F.col("rank") - first + 1).alias("row_in_place"))
 
 
 @query("SELECT cast(c_custkey AS string) AS source_record_id, c_name AS raw_name FROM customer WHERE c_custkey % 5 <> 0")
@@ -802,11 +891,11 @@ def s5_flatten_events(spark, sf_dir):
     return listings.flatten_events(o.select(F.lit("r").alias("ref"), F.array(event).alias("events"))).select("event_id", "attraction_id", F.element_at("legacy_ids", 1).alias("legacy_id"), "venue", "latitude")
 
 
-@query("SELECT p_brand AS id, arg_max('u' || p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END) + p_size * 10000 + p_partkey) AS image_url, count(*) AS upcoming FROM part WHERE p_partkey < 1000 GROUP BY 1")
+@query("SELECT p_brand AS id, arg_max('u' || p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN 1000000000000 ELSE 0 END) + p_size * 10000000::BIGINT + p_partkey) AS image_url, count(*) AS upcoming FROM part GROUP BY 1")
 def s6_attractions(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey < 1000")
+    p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    image = F.struct(F.when(k % 2 == 0, "16_9").otherwise("4_3").alias("ratio"), F.concat(F.lit("u"), k.cast("string")).alias("url"), (F.col("p_size") * 10000 + k).cast("int").alias("width"))
+    image = F.struct(F.when(k % 2 == 0, "16_9").otherwise("4_3").alias("ratio"), F.concat(F.lit("u"), k.cast("string")).alias("url"), (F.col("p_size") * 10_000_000 + k).cast("int").alias("width"))
     df = p.groupBy(F.col("p_brand").alias("id")).agg(F.collect_list(image).alias("images"), F.count("*").alias("n"))
     df = df.select("id", F.lit("n").alias("name"), "images", F.array(F.struct(F.lit(True).alias("is_primary"), F.lit("s").alias("segment"), F.lit("g").alias("genre"))).alias("classifications"), F.create_map(F.lit("_total"), "n").alias("upcoming"))
     return listings.normalise_attractions(df).select("id", "image_url", "upcoming")
@@ -832,18 +921,41 @@ def s9_discography(spark, sf_dir):
     return listings.normalise_discography(df).select("id", F.size("aliases").cast("long").alias("aliases"))
 
 
-@query("SELECT event_type, count(*) AS events, cast(sum(user_id) AS bigint) AS users FROM events GROUP BY 1")
+@query("""SELECT 'occurrences' AS kind, cast(p_partkey AS string) AS id, p_brand AS owner, p_name AS detail, cast(NULL AS bigint) AS number FROM part UNION ALL SELECT 'associations', cast(o_orderkey AS string), cast(o_custkey AS string), 'candidate', NULL FROM orders
+    UNION ALL SELECT 'events', cast(event_id AS string), cast(user_id AS string), event_type, event_id % 9 FROM events UNION ALL SELECT 'runs', cast(s_suppkey AS string), 'running', NULL, s_nationkey FROM supplier
+    UNION ALL SELECT 'checkpoints', cast(c_custkey AS string), c_mktsegment, 'spotify', c_nationkey FROM customer UNION ALL SELECT 'evidence', cast(n_nationkey AS string), n_name, 'reviewed', NULL FROM nation""")
 def s11_event_lake(spark, sf_dir):
-    path = f"{_folder(spark)}/lake"
-    read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").write.partitionBy("event_type").json(path)
-    lake = readers.read_event_lake(spark, path, "event_id long, user_id long", multi_line=False)
-    return lake.groupBy(F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type")).agg(F.count("*").alias("events"), F.sum("user_id").alias("users"))
-
-
-@query("SELECT count(*) AS rows, count(DISTINCT p_name) AS names, 0::BIGINT AS blank_names FROM part")
+    root = f"{_folder(spark)}/lake"
+    t = lambda name: read(spark, sf_dir, name)
+    text = lambda c: F.col(c).cast("string")
+    made = {
+        "occurrences": t("part").select(text("p_partkey").alias("occurrenceId"), F.col("p_brand").alias("provider"), F.struct(F.col("p_name").alias("rawName")).alias("artist")),
+        "associations": t("orders").select(text("o_orderkey").alias("associationId"), F.lit("candidate").alias("targetType"), text("o_custkey").alias("targetId")),
+        "events": t("events").select(text("event_id").alias("eventId"), text("user_id").alias("candidateId"), F.col("event_type").alias("eventType"), (F.col("event_id") % 9).alias("candidateRevision")),
+        "runs": t("supplier").select(text("s_suppkey").alias("runId"), F.struct(F.lit("running").alias("status")).alias("control"), F.col("s_nationkey").alias("revision")),
+        "checkpoints": t("customer").select(text("c_custkey").alias("checkpointId"), F.col("c_mktsegment").alias("sourceName"), F.lit("spotify").alias("provider"), F.struct(F.col("c_nationkey").alias("page")).alias("position")),
+        "evidence": t("nation").select(text("n_nationkey").alias("evidenceId"), F.col("n_name").alias("sourceClass"), F.lit("reviewed").alias("reviewStatus")),
+    }
+    for kind, df in made.items():
+        df.write.json(f"{root}/{kind}")
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    got = {kind: readers.read_artifacts(spark, root, kind, multi_line=False) for kind in made}
+    out = [
+        got["occurrences"].select("occurrence_id", "provider", "raw_name", number), got["associations"].select("association_id", "target_id", "target_type", number), got["events"].select("event_id", "candidate_id", "event_type", "candidate_revision"),
+        got["runs"].select("run_id", "status", none, "revision"), got["checkpoints"].select("checkpoint_id", "source_name", "provider", "page"), got["evidence"].select("evidence_id", "source_class", "review_status", number),
+    ]
+    out = [df.toDF("id", "owner", "detail", "number").select(F.lit(kind).alias("kind"), "*") for kind, df in zip(("occurrences", "associations", "events", "runs", "checkpoints", "evidence"), out, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4]).unionByName(out[5])
+
+
+@query("SELECT p_partkey AS id, p_name AS name, 'snapshot-1' AS snapshot_id, 'part' AS source, p_partkey % 10 = 0 AS blank, count(*) OVER () AS rows, count(*) FILTER (p_partkey % 10 = 0) OVER () AS blank_names, 0::BIGINT AS repeated_ids FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS p_name FROM part)")
 def s13_snapshot(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return readers.build_snapshot(p, "snapshot-1", f"{_folder(spark)}/snapshots").select("rows", "names", "blank_names")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("name"))
+    path = f"{_folder(spark)}/snapshots"
+    about = readers.build_snapshot(p, "snapshot-1", path, "part", "id")
+    kept = spark.read.parquet(path)
+    # the records carry the digest of what they were made of
+    return kept.join(F.broadcast(about.select("snapshot_id", F.col("digest").alias("input_digest"), "rows", "blank_names", "repeated_ids")), ["snapshot_id", "input_digest"]).select("id", "name", "snapshot_id", "source", F.col("name").isNull().alias("blank"), "rows", "blank_names", "repeated_ids")
 
 
 @query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'")
@@ -869,11 +981,12 @@ def j16_enrich_catalog(spark, sf_dir):
     return catalog.enrich_catalog(c.select("name"), c.where("artist_id % 6 <> 0"), get(spark, sf_dir, "releases"), NOW).select("name", "momentum_score", "error")
 
 
-@query("SELECT c_custkey AS id, '1 conflicts; 2 evidence references' AS evidence_text, CASE WHEN c_custkey % 2 = 0 THEN 'Same name: x' END AS same_name_note FROM customer")
+@query("""SELECT c_custkey AS id, (c_custkey % 3) || ' conflicts; ' || (c_custkey % 5) || ' evidence references' AS evidence_text, CASE WHEN c_custkey % 2 = 0 THEN 'Same name: x' || c_custkey || ', y' END AS same_name_note, CASE WHEN c_custkey % 4 >= 2 THEN 'Profiles: ' || array_to_string(list_transform(range(1, c_custkey % 4 + 1), lambda i: 'p' || i), ', ') END AS multiplicity_note FROM customer""")
 def e13_evidence_notes(spark, sf_dir):
     k = F.col("c_custkey")
-    c = read(spark, sf_dir, "customer").select(k.alias("id"), F.array(F.lit("a")).alias("conflicts"), F.array(F.lit("b"), F.lit("c")).alias("evidence_refs"), F.when(k % 2 == 0, F.array(F.lit("x"))).alias("competitor_ids"), F.array(F.lit("p")).alias("profile_ids"))
-    return cohort.evidence_notes(c).select("id", "evidence_text", "same_name_note")
+    some = lambda n, c: F.transform(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")), lambda i: F.concat(F.lit(c), i))
+    c = read(spark, sf_dir, "customer").select(k.alias("id"), some(k % 3, "c").alias("conflicts"), some(k % 5, "e").alias("evidence_refs"), F.when(k % 2 == 0, F.array(F.concat(F.lit("x"), k), F.lit("y"))).alias("competitor_ids"), some(k % 4, "p").alias("profile_ids"))
+    return cohort.evidence_notes(c).select("id", "evidence_text", "same_name_note", "multiplicity_note")
 
 
 @query("SELECT cast(s_suppkey AS string) AS entity_id, lower(s_name) AS name_key FROM supplier WHERE s_suppkey % 4 <> 0")
@@ -883,28 +996,31 @@ def x1_adapter(spark, sf_dir):
     return adapters.occurrences("supplier_list", read(spark, sf_dir, "supplier"))[0].select("entity_id", "name_key")
 
 
-@query("SELECT count(DISTINCT user_id) AS rows FROM events")
+@query("SELECT DISTINCT cast(user_id AS string) AS occurrence_id, user_id % 7 AS place FROM events")
 def t2_ingest(spark, sf_dir):
     folder = _folder(spark)
-    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("occurrence_id"), F.lit("o").alias("name"), F.lit("2026-01-01").cast("timestamp").alias("discovered_at"))
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("occurrence_id"), (F.col("user_id") % 7).alias("place"))
     for _ in range(2):  # the second run finds nothing new
         streams.ingest(e, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").agg(F.count("*").alias("rows"))
+    return spark.read.parquet(f"{folder}/table").select("occurrence_id", "place")
 
 
-@query("WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS attempt FROM events WHERE event_type = 'error') SELECT cast(user_id AS string) AS candidate_id, attempt, CASE attempt WHEN 1 THEN 15 WHEN 2 THEN 120 WHEN 3 THEN 1440 END IS NOT NULL AS scheduled FROM f")
+@query(f"""{_RETRY} SELECT candidate_id, cast(attempt AS bigint) AS attempt, CASE WHEN late THEN 'time' WHEN attempt > 3 THEN 'attempts' END AS exhausted, CASE WHEN NOT (late OR attempt > 3) THEN round(epoch(occurred_at) + greatest(CASE attempt WHEN 1 THEN 900.0 WHEN 2 THEN 7200.0 ELSE 86400.0 END, coalesce(cast(retry_after AS double), 0.0)), 3) END AS due FROM g""")
 def t3_retry_timers(spark, sf_dir):
-    e = _stream(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("candidate_id"), F.col("ts").cast("timestamp").alias("occurred_at"))
-    return streams.run_now(streams.retry_timers(e), ["candidate_id", "attempt"], _folder(spark), "append").select("candidate_id", "attempt", F.col("due_at").isNotNull().alias("scheduled"))
+    e = _stream(spark, sf_dir).where("event_type = 'error'")
+    wait = F.when(F.col("event_id") % 5 == 0, F.floor(F.col("value") * 100).cast("double"))
+    e = e.select(F.col("user_id").cast("string").alias("candidate_id"), F.col("ts").cast("timestamp").alias("occurred_at"), wait.alias("retry_after"))
+    out = streams.run_now(streams.retry_timers(e), ["candidate_id", "attempt"], _folder(spark), "append")
+    return out.select("candidate_id", "attempt", "exhausted", F.round(F.col("due_at").cast("double"), 3).alias("due"))
 
 
-@query()
+@query("""WITH l AS (SELECT cast(user_id AS string) AS item, max(ts) AS last, arg_max(event_type, ts) AS state FROM events GROUP BY 1), m AS (SELECT max(ts) AS top FROM events)
+    SELECT item, epoch_ms(last) AS since FROM l, m WHERE state = 'click' AND epoch_ms(last) + 300000 < epoch_ms(top) - 3600000""")
 def t4_stalled_work(spark, sf_dir):
     e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("item"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("occurred_at"))
-    return streams.run_now(streams.stalled_work(e, ("click",), 5, "1 hour"), ["item"], _folder(spark), "append")
+    return streams.run_now(streams.stalled_work(e, ("click",), 5, "1 hour"), ["item"], _folder(spark), "append").select("item", F.unix_millis("since").alias("since"))
 
 
-@query("SELECT cast(user_id AS string) AS provider FROM events GROUP BY 1")
+@query(f"{_BREAKER} SELECT provider, arg_max(state, n) AS state, cast(arg_max(failures, n) AS bigint) AS failures, nullif(arg_max(coalesce(probe, -1), n), -1) AS next_probe_at FROM b GROUP BY 1")
 def t5_breaker_states(spark, sf_dir):
-    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("provider"), F.col("ts").cast("timestamp").cast("double").alias("occurred_at"), F.when(F.col("event_type") == "error", "transient").alias("kind"))
-    return streams.run_now(streams.breaker_states(e), ["provider"], _folder(spark)).select("provider")
+    return streams.run_now(streams.breaker_states(_lane_calls(_stream(spark, sf_dir))), ["provider"], _folder(spark))

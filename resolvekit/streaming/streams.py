@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.lifecycle import RETRY_MINUTES
-from ..sources.readers import append_new
+from ..operators.lifecycle import CLOSED, RETRY_HOURS, RETRY_MINUTES, breaker_step
 
 #: Behaviour events that count.
-BEHAVIOUR_TYPES = ("roll", "view", "save", "unsave", "filter", "open")
+BEHAVIOUR_TYPES = ("artist_impression", "artist_saved", "artist_unsaved", "spotify_clicked", "roll_again", "artist_skipped")
 
 
 def candidate_states(events: DataFrame) -> DataFrame:
@@ -40,65 +39,72 @@ def candidate_states(events: DataFrame) -> DataFrame:
 
 
 def retry_timers(failures: DataFrame, delay: str = "2 days") -> DataFrame:
-    """(candidate_id, attempt, due_at) for each failure of a stream (candidate_id, occurred_at), by the fixed delays; none after the third."""
+    """(candidate_id, attempt, due_at, exhausted) for each failure of a stream (candidate_id, occurred_at, retry_after seconds).
+
+    By the fixed delays, or retry_after if that is longer; exhausted (attempts or time) after the third failure, and 72
+    hours after the first. Within a batch failures count in order of time; batches count as they come.
+    """
     events = failures.withWatermark("occurred_at", delay)
 
     def run(key, batches, state):
-        attempt = state.get[0] if state.exists else 0
+        attempt, first = state.get if state.exists else (0, None)
         out = []
-        for pdf in batches:
-            for t in sorted(pdf["occurred_at"]):
-                attempt += 1
-                due = t + pd.Timedelta(minutes=RETRY_MINUTES[attempt - 1]) if attempt <= len(RETRY_MINUTES) else pd.NaT
-                out.append((key[0], attempt, due))
-        state.update((attempt,))
-        yield pd.DataFrame(out, columns=["candidate_id", "attempt", "due_at"])
+        for t, wait in sorted(((r.occurred_at, r.retry_after) for pdf in batches for r in pdf.itertuples(index=False)), key=lambda x: x[0]):
+            attempt, first = attempt + 1, t.value if first is None else first
+            why = "time" if t.value - first >= RETRY_HOURS * 3_600_000_000_000 else "attempts" if attempt > len(RETRY_MINUTES) else None
+            seconds = 0.0 if why else max(60.0 * RETRY_MINUTES[attempt - 1], 0.0 if pd.isna(wait) else wait)
+            out.append((key[0], attempt, pd.NaT if why else t + pd.Timedelta(seconds=seconds), why))
+        state.update((attempt, first))
+        yield pd.DataFrame(out, columns=["candidate_id", "attempt", "due_at", "exhausted"])
 
-    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, attempt long, due_at timestamp", "attempt long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, attempt long, due_at timestamp, exhausted string", "attempt long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stalled_work(events: DataFrame, working: tuple[str, ...], minutes: int = 5, delay: str = "2 days") -> DataFrame:
-    """(item, since) of items of a stream (item, state, occurred_at) that entered a working state and had no event for so many minutes of event time."""
+    """(item, since) of items of a stream (item, state, occurred_at) that entered a working state and had no event for so many minutes of event time.
+
+    An event that is older than the last one of its item changes nothing.
+    """
     stream = events.withWatermark("occurred_at", delay)
 
     def run(key, batches, state):
         if state.hasTimedOut:
-            yield pd.DataFrame({"item": [key[0]], "since": [pd.Timestamp(state.get[0], unit="ms")]})
+            at, busy = state.get
             state.remove()
+            if busy:
+                yield pd.DataFrame({"item": [key[0]], "since": [pd.Timestamp(at, unit="ms")]})
             return
+        now, busy = state.get if state.exists else (None, False)
         last = max(((r.occurred_at, r.state) for pdf in batches for r in pdf.itertuples(index=False)), default=None)
-        if last is None:
+        if last is None or (now is not None and last[0].value // 1_000_000 < now):
             return
-        if last[1] not in working:
-            if state.exists:
-                state.remove()
-            return
-        at = int(last[0].timestamp() * 1000)
-        state.update((at,))
+        at = last[0].value // 1_000_000
+        state.update((at, last[1] in working))
         state.setTimeoutTimestamp(max(at + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"item": pd.Series([], dtype=str), "since": pd.Series([], dtype="datetime64[ns]")})
 
-    return stream.groupBy("item").applyInPandasWithState(run, "item string, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy("item").applyInPandasWithState(run, "item string, since timestamp", "at long, busy boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_states(calls: DataFrame, threshold: int = 2, probe_seconds: float = 900.0) -> DataFrame:
-    """(provider, state, failures) after each batch of a stream of calls(provider, occurred_at double, kind); kind is null for a success."""
+    """(provider, state, failures, next_probe_at) after each batch of a stream of calls(provider, occurred_at double, kind, retry_after double, run_id).
+
+    kind is null for a success. Within a batch calls apply in order of time; one that is older than the last call
+    applied comes too late to change the breaker.
+    """
 
     def run(key, batches, state):
-        now, count, probe = state.get if state.exists else ("closed", 0, 0.0)
+        *breaker, seen = state.get if state.exists else (*CLOSED, float("-inf"))
+        breaker = tuple(breaker)
+        text = lambda x: x if isinstance(x, str) else None
         for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.occurred_at):
-            if now == "open" and r.occurred_at < probe:
-                continue
-            if not isinstance(r.kind, str):
-                now, count = "closed", 0
-            elif r.kind in ("authentication_or_configuration", "transient"):
-                count += 1
-                if r.kind != "transient" or now == "open" or count >= threshold:
-                    now, probe = "open", r.occurred_at + probe_seconds
-        state.update((now, count, probe))
-        yield pd.DataFrame({"provider": [key[0]], "state": [now], "failures": [count]})
+            if r.occurred_at >= seen:
+                breaker, _ = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after, text(r.run_id), threshold, probe_seconds)
+                seen = r.occurred_at
+        state.update((*breaker, seen))
+        yield pd.DataFrame({"provider": [key[0]], "state": [breaker[0]], "failures": [breaker[1]], "next_probe_at": pd.Series([breaker[2]], dtype="float64")})
 
-    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, state string, failures long", "state string, failures long, probe double", "update", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, state string, failures long, next_probe_at double", "state string, failures long, probe double, cause string, run string, seen double", "update", GroupStateTimeout.NoTimeout)
 
 
 def behaviour_counts(events: DataFrame, types: tuple[str, ...] = BEHAVIOUR_TYPES, id_pattern: str = ".*", delay: str = "2 days") -> DataFrame:
@@ -112,18 +118,17 @@ def period_counts(events: DataFrame, length: str = "7 days", offset: str = "0 da
     return events.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", length, length, offset), "next_state").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), F.col("next_state").alias("state"), "events")
 
 
-def ingest(occurrences: DataFrame, path: str, checkpoint: str, key: str = "occurrence_id", delay: str = "2 days"):
-    """Append a stream of occurrences(discovered_at, ...) to a parquet table, each key once, also over restarts."""
-    spark = occurrences.sparkSession
+def ingest(occurrences: DataFrame, path: str, checkpoint: str, key: str = "occurrence_id"):
+    """Append a stream of occurrences to a parquet table, each key once, also over restarts from the checkpoint.
+
+    The keys seen are the stream's state, so no batch reads the table. A batch has a folder of its own, which a
+    repeated attempt writes anew.
+    """
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark_ = batch.sparkSession
-        hadoop = spark_._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark_._jsc.hadoopConfiguration()).exists(hadoop)
-        old = spark_.read.schema(batch.schema).parquet(path) if there else spark_.createDataFrame([], batch.schema)
-        append_new(old, batch, key)[0].write.mode("append").parquet(path)
+    def append(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    stream = occurrences.withWatermark("discovered_at", delay).dropDuplicatesWithinWatermark([key])
+    stream = occurrences.dropDuplicates([key])
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
