@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .filters import bit_table, contains, slot_of, without
 from .graph import components, forest, merged
-from .store import keep, release, share, small_batches
+from .store import keep, release, share, small_batches, unused
 from .text import Words, mix, ngrams, pieces, windows_in
 
 #: Rows of a block, or of a chunk of a larger block, that one task joins; rows that all chunks of a block get, about.
@@ -433,11 +433,22 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs with one row of each group of near-duplicates, that with the smallest doc_id; all columns stay.
 
-    Rows that repeat a doc_id are one document, so one of them stays. Rows without a doc_id or words all stay.
+    Rows with equal doc_id and text are one document, and any one of them stays. Rows that share a doc_id but not the
+    text are documents of their own. Rows without a doc_id or words all stay. An empty table gives an empty result.
     """
-    groups = keep(ngram_jaccard_join(docs, n, num, den), "groups")
-    out = without(docs, groups.where("doc_id <> component_id"), "doc_id")
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return out
-    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    name, text = unused(docs.columns, "near_id"), F.xxhash64(F.coalesce("text", F.lit("")))
+    id_ = F.col("doc_id").cast("long")
+    ids = docs.where("doc_id is not null").groupBy(id_.alias(name)).agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count("*").alias("rows")).where("rows > 1")
+    ids = keep(ids, "repeated-ids")
+    several = ids.where("low <> high").select(name)
+    if several.isEmpty():
+        marked = docs.withColumn(name, id_)
+    else:  # the texts of such an id get ids of their own
+        marked = docs.join(several, docs["doc_id"] == several[name], "left").withColumn(name, F.when(F.col(name).isNotNull(), F.xxhash64("doc_id", text)).otherwise(id_))
+        marked = keep(marked, "marked")
+    groups = keep(ngram_jaccard_join(marked.select(F.col(name).alias("doc_id"), "text"), n, num, den), "groups")
+    out = without(marked, groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)), name)
+    if not ids.isEmpty():
+        again = groups.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name)
+        out = out.join(again, name, "left_anti").unionByName(out.join(again, name, "left_semi").dropDuplicates([name]))
+    return out.select(*(f"`{c}`" for c in docs.columns))
