@@ -1015,7 +1015,7 @@ def t3_retry_timers(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT cast(user_id AS string) AS item, max(ts) AS last, arg_max(event_type, ts) AS state FROM events GROUP BY 1), m AS (SELECT max(ts) AS top FROM events)
-    SELECT item, epoch_ms(last) AS since FROM l, m WHERE state = 'click' AND epoch_ms(last) + 300000 < epoch_ms(top) - 3600000""")
+    SELECT item, epoch_us(last) // 1000 AS since FROM l, m WHERE state = 'click' AND epoch_us(last) // 1000 + 300000 < epoch_us(top) // 1000 - 3600000""")
 def t4_stalled_work(spark, sf_dir):
     e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("item"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("occurred_at"))
     return streams.run_now(streams.stalled_work(e, ("click",), 5, "1 hour"), ["item"], _folder(spark), "append").select("item", F.unix_millis("since").alias("since"))
