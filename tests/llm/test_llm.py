@@ -285,6 +285,89 @@ def test_language(spark):
     assert langid.identify(more, langid.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_against_a_plain_kernel(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(w) for _ in range(r.randrange(3, 40))), lang) for i, (lang, w) in enumerate([("aa", ["kato", "mote", "time", "la"]), ("bb", ["schung", "eiten", "lach", "time"]), ("cc", ["ção", "que", "mote", "ou"])] * 12)]
+    rows += [(100, None, "aa"), (101, "", "bb"), (3, rows[3][1], "aa"), (102, "über " * 3000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df.select("doc_id", "text"), langid.fit(df)).collect()}
+
+    def places(t):  # hashed byte n-grams that occur
+        b = bytes(x + 32 if 65 <= x < 91 else x for x in (t or "").encode())
+        return {((int.from_bytes(b[k : k + n], "big") * 2654435761 + n * 40503) % 2**32) >> 19 for n in (1, 2, 3) for k in range(len(b) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(max(len(a), 1)) / math.sqrt(max(len(b), 1))
+
+    train = [(places(t), lang) for i, t, lang in rows if t is not None and lang and (i != 3 or lang == "aa")]  # one label of an id, and fewer texts than LANDMARKS
+    names = sorted({lang for _, lang in train})
+    found = {}
+    for label in ("aa", "bb"):  # id 3 has two rows; either may be taken
+        train_ = [(x, label if x == places(rows[3][1]) else lang) for x, lang in train]
+        k = np.array([[kernel(a, b) for b, _ in train_] for a, _ in train_])
+        y = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in train_])
+        weight = np.array([1 / sum(q == lang for _, q in train_) for _, lang in train_])
+        coef = np.linalg.solve(k.T @ (weight[:, None] * k) + langid.RIDGE * k + 1e-8 * np.eye(len(k)), k.T @ (weight[:, None] * y))
+        found[label] = {i: np.array([kernel(places(t), b) for b, _ in train_]) @ coef for i, t, _ in rows if t and re.search(r"[^\W\d_]", t)}
+    for i, x in got.items():
+        if i not in found["aa"]:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        fits = []
+        for f in found.values():
+            e = np.exp(4 * (f[i] - f[i].max()))
+            fits.append(names[int(f[i].argmax())] == x.lang_pred and abs(x.score - (e / e.sum()).max()) < 5e-3)
+        assert any(fits), (i, x)
+
+
+def test_quality_against_plain_ftrl(spark):
+    r = random.Random(6)
+    words = ["the", "river", "is", "wide", "BUY", "now", "***", "über", "4711"]
+    rows = [(i, " ".join(r.choice(words[: 5 + 4 * (i % 2)]) for _ in range(r.randrange(1, 30)))) for i in range(60)] + [(70, None), (71, ""), (72, "x, " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {i: 1 - i % 2 for i in range(40)}
+    labels = spark.createDataFrame([*marks.items(), (5, 1), (None, 1), (900, 0)], "doc_id long, quality int")
+    marks[5] = 1  # of several labels the larger
+    got = {x.doc_id: x.score for x in quality.score(df, quality.fit(df, labels)).collect()}
+    key = {x.doc_id: x.key for x in df.select("doc_id", F.xxhash64("doc_id").alias("key")).collect()}
+
+    def values(t):
+        places, _ = quality.features(pa_array([t]))
+        c = collections.Counter(places.tolist())
+        return {k: n * quality.SCALE / max(len(places), 1) for k, n in c.items()} | {quality.DIM: 1.0}
+
+    texts = dict(rows)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    w = lambda k: 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    rare = {y: min(4.0, len(marks) / (2 * sum(v == y for v in marks.values()))) for y in (0, 1)}
+    for _ in range(quality.PASSES):
+        for i in sorted(marks, key=key.get):
+            x = values(texts[i])
+            p = 1 / (1 + math.exp(-sum(w(k) * v for k, v in x.items())))
+            steps = {k: (rare[marks[i]] * (p - marks[i]) * v, w(k)) for k, v in x.items()}
+            for k, (g, old) in steps.items():
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * old
+                n[k] += g * g
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(w(k) * v for k, v in values(t).items()))), abs=1e-4)
+    # features: runs of letters and digits, and of other characters; a repeated trigram counts at REPEAT
+    t = "ab ab, ab ab, ab"
+    assert len(quality.features(pa_array([t]))[0]) == 7 + 6 + 2
+
+
+def pa_array(x):
+    import pyarrow as pa
+
+    return pa.array(x, pa.string())
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PLACES", 50)
+    df = spark.createDataFrame([(i, f"w{i} " * 3 + "good bad"[5 * (i % 2) :]) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert 0 < np.count_nonzero(quality.fit(df, labels)) < 100
+
+
 def test_quality(spark):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["the", "a", "tree", "river", "is", "wide", "old"]) for _ in range(60))
@@ -396,6 +479,105 @@ def test_clashing_columns(spark):
     assert sorted(r.doc_id for r in ngram_join.drop_near_duplicates(df).collect()) == [1, 2]
 
 
+def test_pii_against_a_plain_feistel(spark):
+    """Cards, addresses and numbers by the network written out in Python."""
+
+    def noise(*parts):
+        return int(hashlib.sha256("|".join(("k", *map(str, parts))).encode()).hexdigest()[:15], 16)
+
+    def feistel(tweak, a, b, size_a, size_b):
+        for i in range(8):
+            a, b = ((a + noise(tweak, i, b) % size_a) % size_a, b) if i % 2 == 0 else (a, (b + noise(tweak, i, a) % size_b) % size_b)
+        return a, b
+
+    def digits(kind, d):
+        left = len(d) // 2
+        a, b = feistel(f"{kind}{len(d)}", int(d[:left]), int(d[left:]), 10**left, 10 ** (len(d) - left))
+        return f"{a:0{left}d}{b:0{len(d) - left}d}"
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d)))
+
+    def refill(text, d):
+        d = iter(d)
+        return "".join(next(d) if c.isdigit() else c for c in text)
+
+    def replace(m):
+        t = m[0]
+        d = re.sub("[^0-9]", "", t)
+        if "." in t:
+            o = [int(x) for x in t.split(".")]
+            if max(o) > 255:
+                return t
+            a, b = feistel("address", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+            return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t):
+            return refill(t, digits("ssn", d))
+        if luhn(d) % 10:
+            return t
+        body = digits("card", d[:-1])
+        return refill(t, body + str(-luhn(body + "0") % 10))
+
+    r = random.Random(3)
+    rows = [(i, f"a {r.randrange(300)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)} b {r.randrange(10**3):03d}-{r.randrange(100):02d}-{r.randrange(10**4):04d} c {' '.join(f'{r.randrange(1000, 10000)}' for _ in range(4))} d") for i in range(120)]
+    for i, t in list(rows):  # the same with a check digit that holds
+        head = re.search(r"c (.*) d", t)[1][:-1]
+        rows.append((1000 + i, f"c {head}{-luhn(re.sub(' ', '', head) + '0') % 10} d"))
+    pattern = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}(?: [0-9]{4}){3}"
+    got = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, t in rows:
+        assert got[i] == re.sub(pattern, replace, t), t
+    assert sum(got[i] != t for i, t in rows if i >= 1000) == 120
+
+
+def test_decontaminate_against_plain_matching(spark):
+    """Re-parameterised items in noise: each is found, by the plain rule too, and texts that share a few words are not."""
+    r = random.Random(21)
+    names, nouns = ["Tom", "Lisa", "Ann", "Bob", "Eve", "Max", "Kim", "Jim"], ["apples", "pears", "ropes", "boats", "chairs", "lamps"]
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 7))) for _ in range(200)]
+    make = lambda k: f"It is said that {{0}} put {{1}} {nouns[k % 6]} {words[k]} in the {words[k + 1]} by the {words[k + 2]} and {{2}} took {{3}} {nouns[(k + 2) % 6]} {words[k + 3]} to the {words[k + 4]} before the {words[k + 5]} was over."
+    items = [(k, make(6 * k).format("Tom", 12, "Lisa", 7)) for k in range(25)]
+    docs, want = [], set()
+    for d in range(150):
+        k = d % 25
+        fill = lambda: " ".join(r.choice(words) for _ in range(30)) + ". "
+        a, b = r.sample(names, 2)
+        kind = d // 25
+        body = {0: items[k][1], 1: make(6 * k).format(a, r.randrange(100), b, r.randrange(100)), 2: make(6 * k).format(a, "3.5", b, "1,200"), 3: " ".join(items[k][1].split()[:6]), 4: "", 5: items[k][1].upper()}[kind]
+        docs.append((d, fill() + body + " " + fill()))
+        if kind in (0, 1, 2):
+            want.add((d, k))
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want & set(got)) >= 0.9 * len(want) and not {p for p in got if p not in want and p[0] // 25 in (3, 4)}
+
+    def tokens(t):  # (kind or word, value)
+        out, begins, number = [], True, False
+        for w in t.split():
+            core = re.sub(r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "", w)
+            if core:
+                digits = sum(c.isdigit() for c in core)
+                is_number = core[0].isdigit() and 2 * digits >= digits + sum(c.isalpha() for c in core)
+                kind = "#" if is_number else "unit" if number and core.lower() in decontaminate.UNITS else "name" if core[0].isupper() and not begins else core.lower()
+                out.append((kind, core.lower()))
+                number = is_number
+            begins = w[-1] in ".!?:;"
+        return out
+
+    def windows(t):
+        x = tokens(t)
+        return [(i, tuple(k for k, _ in x[i : i + 8])) for i in range(len(x) - 7) if sum(k not in ("#", "name", "unit") for k, _ in x[i : i + 8]) >= 4]
+
+    of_items = {k: windows(t) for k, t in items}
+    for d, t in docs:
+        mine = windows(t)
+        for k, own in of_items.items():
+            shared = {i for i, w in own if any(w == v for _, v in mine)}
+            if len(shared) < len(own) / 3:
+                assert (d, k) not in got
+            elif (d, k) in got:
+                assert got[d, k].item_windows == len(own) and got[d, k].n_windows <= len(shared)
+
+
 def test_digits_are_permuted(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = [r.x for r in df.select(pii.permute_digits("k", "t", F.col("d")).alias("x")).collect()]
