@@ -1,5 +1,7 @@
 """Small cases with known results."""
 
+import datetime as dt
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -7,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from resolvekit.functions import exprs
-from resolvekit.operators import admission, catalog, claims, converge, directory, lifecycle, metrics, quality, ranking
+from resolvekit.functions.exprs import content_id
+from resolvekit.operators import admission, catalog, claims, converge, directory, lifecycle, metrics, numbering, quality, ranking
 from resolvekit.sources import cache, html, listings, readers
+from resolvekit.streaming import streams
 
 
 def rows(df):
@@ -187,3 +191,66 @@ def test_agreement_on_many_types(spark, n):
     df = spark.createDataFrame([("e", "t7", "v", "o"), ("f", "t8", "v", "o"), ("f", "t8", "w", "o")], "entity string, identifier_type string, value string, origin string")
     got = claims.claim_agreement(df, spark.range(n).selectExpr("concat('t', id) as identifier_type")).groupBy("status").count().collect()
     assert {r.status: r["count"] for r in got} == {"agreement": 1, "conflict": 1, "not_observed": 2 * n - 2}
+
+
+def test_unknown_outcome_goes_to_review(spark):
+    c = spark.createDataFrame([("a", "identity_pending", 3), ("b", "identity_pending", 4), ("c", "identity_pending", 5)], "candidate_id string, state string, revision long")
+    c = c.withColumns({"updated_at": F.lit("2024-01-01").cast("timestamp"), "retry_at": F.lit(None).cast("timestamp"), "resume_state": F.lit(None).cast("string")})
+    o = spark.createDataFrame([("a", "coherent_identity_evidence", False), ("b", "never_heard_of", False), ("c", None, False)], "candidate_id string, outcome string, mechanically_closed boolean")
+    got = {r.candidate_id: (r.next_state, r.reason_code) for r in lifecycle.run_identity_batch(c, o, "2024-01-02").collect()}
+    assert got == {"a": ("identity_coherent", "coherent_identity_evidence"), "b": ("needs_review", "unrouted_outcome")}
+
+
+def test_numbers_are_consecutive(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("p"), F.col("id").alias("r")).repartition(11)
+    got = numbering.numbered(df, [F.desc("p"), F.asc("r")], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 5001)) and [(r.p, r.r) for r in got] == sorted(((i % 7, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))
+
+
+def test_titles_of_two_sources(spark):
+    df = spark.createDataFrame([(["Caf\u00e9 (Deluxe Edition)", "Live", "One [Explicit]", None], ["cafe", "one explicit", "live"]), (["A", "A!"], ["a"]), (None, ["a"]), ([], [])], "a array<string>, b array<string>")
+    # "explicit" stays, also in brackets; generic titles and nulls don't count
+    assert [r.n for r in df.select(claims.distinctive_overlap("a", "b").alias("n")).collect()] == [2, 1, 0, 0]
+
+
+def test_breaker_of_a_run(spark):
+    auth, slow = "authentication_or_configuration", "transient"
+    step = lambda b, t, kind, run: lifecycle.breaker_step(b, t, kind, 0.0, run, 2, 900.0)
+    opened, _ = step(lifecycle.CLOSED, 0.0, auth, "r1")
+    assert opened[:3] == ("open", 1, 900.0) and step(opened, 5000.0, None, "r1") == (opened, True) and step(opened, 1.0, None, "r2") == (lifecycle.CLOSED, False)
+    once, _ = step(lifecycle.CLOSED, 0.0, slow, "r1")
+    twice, _ = step(once, 1.0, slow, "r1")
+    assert once[:2] == ("closed", 1) and twice[:3] == ("open", 2, 901.0) and step(twice, 900.0, None, "r2")[1]
+    assert step(twice, 901.0, slow, "r1")[0][:3] == ("open", 3, 1801.0) and step(twice, 901.0, "permanent", "r1")[0][0] == "half_open"
+
+
+def _batches(spark, tmp_path, rows, schema):
+    """A stream whose micro-batches are the given lists of rows."""
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        os.utime(next((tmp_path / "in" / str(i)).glob("*.parquet")), (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+
+
+def test_late_events_change_nothing(spark, tmp_path):
+    calls = _batches(spark, tmp_path / "a", [[("p", 10.0, "transient", 0.0, "r"), ("p", 20.0, "transient", 0.0, "r")], [("p", 15.0, None, 0.0, "r")]], "provider string, occurred_at double, kind string, retry_after double, run_id string")
+    out = streams.run_now(streams.breaker_states(calls), ["provider"], f"{tmp_path}/a/run").first()
+    assert (out.state, out.failures, out.next_probe_at) == ("open", 2, 920.0)
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    work = _batches(spark, tmp_path / "b", [[("i", "busy", at(20)), ("j", "busy", at(1))], [("i", "done", at(10)), ("j", "done", at(5))], [("k", "done", at(59))], [("k", "done", at(59))]], "item string, state string, occurred_at timestamp")
+    out = streams.run_now(streams.stalled_work(work, ("busy",), 5, "30 minutes"), ["item"], f"{tmp_path}/b/run", "append").collect()
+    assert [(r.item, r.since) for r in out] == [("i", at(20))]
+
+
+def test_intake(spark):
+    row = lambda record, name, x, asserted, day: ("chart", "n", record, name, x, asserted, dt.datetime(2026, 1, day))
+    d = spark.createDataFrame([row("1", "A", "x1", None, 1), row("1", "A again", "x1", None, 2), row("2", "B", "x1", None, 3), row("3", "C", "x2", None, 4), row("4", "D", "x3", None, 5), row("5", "E", None, None, 6)], "source_type string, source_name string, source_record_id string, name string, external_id string, asserted_id string, discovered_at timestamp")
+    known = d.where("source_record_id = '4'").select(content_id("source_name", "source_record_id", "source_type").alias("discovery_id"))
+    registry = spark.createDataFrame([("artist_1", "x2")], "artist_id string, external_id string")
+    queue = spark.createDataFrame([], "candidate_id string, state string, name string, external_id string, position long")
+    directory = spark.createDataFrame([("C", "x2")], "name string, external_id string")
+    ids = {r.source_record_id: "candidate:" + r.i for r in d.select("source_record_id", content_id("source_name", "source_record_id", "source_type").alias("i")).collect()}
+    got = {r.candidate_id: r for r in converge.intake(d, known, registry, queue, directory).collect()}
+    assert set(got) == {ids[k] for k in "1235"}
+    assert (got[ids["2"]].next_state, got[ids["2"]].reason_code, got[ids["2"]].duplicate_of) == ("duplicate", "queued_duplicate", ids["1"])
+    assert got[ids["1"]].next_state == "identity_pending" and got[ids["3"]].next_state == "duplicate" and got[ids["3"]].live_id == "artist_1"
