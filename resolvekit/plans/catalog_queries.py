@@ -649,10 +649,14 @@ def s12_append_new(spark, sf_dir):
 
 
 # Admission, cache, directory, cohorts and quality.
-@query()
+@query("""WITH i AS (SELECT *, CASE WHEN lag(page) OVER (PARTITION BY provider ORDER BY position) = page THEN 0 ELSE 1 END AS fresh, creates_candidate::INT AS new FROM @items),
+    s AS (SELECT *, coalesce(sum(fresh) OVER b, 0) AS pages, row_number() OVER (PARTITION BY provider ORDER BY position) - 1 AS occ, coalesce(sum(new) OVER b, 0) AS made, coalesce(sum(new) OVER (PARTITION BY provider, target_state ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE target_state WHEN 'needs_review' THEN 97 ELSE 10 END AS queued,
+        CASE target_state WHEN 'needs_review' THEN 100 ELSE 50 END AS mark, CASE provider WHEN '1-URGENT' THEN 2 ELSE 8 END AS most FROM i WINDOW b AS (PARTITION BY provider ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, CASE WHEN fresh = 1 AND pages >= 6 THEN 'request_budget_reached' WHEN fresh = 1 AND pages >= 2 THEN 'page_budget_reached' WHEN occ >= 15 THEN 'occurrence_budget_reached' WHEN creates_candidate AND made >= most THEN 'new_candidate_budget_reached' WHEN creates_candidate AND queued >= mark THEN 'queue_high_water_reached:' || target_state END AS stop FROM s),
+    f AS (SELECT provider, min(position) AS p, arg_min(stop, position) AS why FROM t WHERE stop IS NOT NULL GROUP BY 1) SELECT provider, position, p IS NULL OR position < p AS admitted, why AS stop_reason FROM t LEFT JOIN f USING (provider)""")
 def w6_admit_with_budget(spark, sf_dir):
     queue = spark.createDataFrame([("needs_review", 97), ("identity_pending", 10)], "state string, n long")
-    return admission.admit_with_budget(get(spark, sf_dir, "items"), queue).select("provider", "position", "admitted", "stop_reason")
+    return admission.admit_with_budget(get(spark, sf_dir, "items"), queue, budgets={"1-URGENT": {"new_candidates": 2}}).select("provider", "position", "admitted", "stop_reason")
 
 
 @query("""WITH l AS (SELECT provider, operation, identifier, arg_max({'v': value, 's': status_code}, retrieved_at) AS c FROM @cache GROUP BY ALL) SELECT r.provider, r.identifier, CASE WHEN c IS NULL THEN 'miss' WHEN c.s = 404 THEN 'negative' WHEN c.s >= 400 THEN 'miss' ELSE 'hit' END AS status, CASE WHEN c IS NOT NULL AND c.s IS NULL THEN c.v END AS value FROM @requests r LEFT JOIN l USING (provider, operation, identifier)""")
