@@ -105,7 +105,8 @@ class Template:
             return at, mix((self._total[at + n] - self._total[at]) * q[at] + np.uint64(n) + _WHOLE)
 
     def slots(self, at: int, width: int) -> list[tuple[str, str]]:
-        return [(KINDS[int(self.hash[i])], self.low[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")) for i in range(at, at + width) if not self.literal[i]]
+        return [(KINDS[int(self.hash[i])], self.low[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")) for i in range(at,
+            at + width) if not self.literal[i]]
 
 
 _units: list[np.ndarray] = []
@@ -162,7 +163,8 @@ def item_sequences(items: DataFrame) -> DataFrame:
                 rows = np.flatnonzero((n > 0) & (windows < SURE))
                 key = lambda row, n: int(t.sequences(n, t.first[row : row + 1])[1].view(np.int64)[0])
                 yield pa.RecordBatch.from_pydict({
-                    "id": part.column("id").take(pa.array(rows)), "n": pa.array(n[rows].astype(np.int32)), "first": pa.array([key(r, min(int(n[r]), WIDTH)) for r in rows], pa.int64()),
+                    "id": part.column("id").take(pa.array(rows)), "n": pa.array(n[rows].astype(np.int32)),
+                        "first": pa.array([key(r, min(int(n[r]), WIDTH)) for r in rows], pa.int64()),
                     "h": pa.array([key(r, int(n[r])) for r in rows], pa.int64()), "windows": pa.array(windows[rows].astype(np.int32)),
                 })
 
@@ -281,7 +283,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     as_is = whole.select("id", "h", F.lit(-1).alias("at"), "windows", F.array().cast(wanted.schema["slots"].dataType).alias("slots"))
     item = wanted.select("id", "h", "at", "windows", "slots").unionByName(as_is).withColumnRenamed("id", "item_id")
     pairs = F.zip_with("slots", "own", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("value"), b["value"].alias("own")))
-    met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows", F.struct("at", "place", pairs.alias("pairs")).alias("match"))
+    met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows",
+        F.struct("at", "place", pairs.alias("pairs")).alias("match"))
     met = met.groupBy("doc_id", "item_id", "th").agg(F.max("windows").alias("windows"), F.collect_set("match").alias("matches"))
     enough = F.array_contains("matches.at", -1) | (F.size(F.array_distinct("matches.at")) >= COVER * F.col("windows"))
     return met.where(enough).mapInArrow(_judged, _LEAKS).select("doc_id", "item_id", "th", "n_windows", "item_windows", "n_changed")

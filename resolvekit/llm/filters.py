@@ -26,7 +26,8 @@ def _bits(members: DataFrame) -> int:
 def _pages(members: DataFrame, bits: int, page: str, held: str) -> DataFrame:
     """(page, bits of the page) of a column `slot` (0 to 2**BITS - 1)."""
     at = F.shiftright("slot", BITS - bits)
-    return members.select(F.expr(f"cast({PAGE} as bigint)").alias("size"), at.alias("at")).groupBy(F.expr("cast(at div size as int)").alias(page)).agg(F.expr("bitmap_construct_agg(at % size)").alias(held))
+    return members.select(F.expr(f"cast({PAGE} as bigint)").alias("size"),
+        at.alias("at")).groupBy(F.expr("cast(at div size as int)").alias(page)).agg(F.expr("bitmap_construct_agg(at % size)").alias(held))
 
 
 def bit_table(members: DataFrame) -> np.ndarray:

@@ -70,5 +70,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(e: DataFrame) -> bool:
     """Whether no node has two edges down, or one down and one up."""
-    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("node"),
+        F.lit(0).alias("down"), F.lit(1).alias("up")))
     return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty()

@@ -83,7 +83,8 @@ def fit(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "rank": part.column("rank"), "bits": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     # chosen has at most SAMPLE rows a language, so its side is small whatever the input
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang", "rank")
+    sample = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen),
+        ["doc_id", "lang"]).select("text", "lang", "rank")
     sample = sample.mapInArrow(bits, "lang string, rank int, bits binary").groupBy("lang", "rank").agg(F.min("bits").alias("bits"))
     rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank, r.bits))
     langs = sorted({r.lang for r in rows})
@@ -128,7 +129,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     letters = chunk.column(marked).to_numpy(zero_copy_only=False).astype(bool)
                     pred += [x if ok else "und" for x, ok in zip(p, letters, strict=True)]
                     score += np.where(letters, s, 0.0).tolist()
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                    names=[*(f.name for f in kept), "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

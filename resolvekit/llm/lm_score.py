@@ -42,7 +42,8 @@ def _dump(*arrays: np.ndarray) -> bytes:
 
 
 def _load(data: bytes) -> list[np.ndarray]:
-    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() if b else np.zeros(0, t) for t, b in pickle.loads(zstandard.ZstdDecompressor().decompress(data))]
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() if b else np.zeros(0, t) for t,
+        b in pickle.loads(zstandard.ZstdDecompressor().decompress(data))]
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -74,7 +75,8 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
             held.clear()
             for b, (k, t, o) in _by_bucket(keys, buckets, total, own):
                 order = np.argsort(k)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "data": pa.array([_dump(np.diff(k[order], prepend=np.uint64(0)), _small(t[order]), _small(o[order]))], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()),
+                    "data": pa.array([_dump(np.diff(k[order], prepend=np.uint64(0)), _small(t[order]), _small(o[order]))], pa.binary())})
 
         size = 0
         for batch in batches:
@@ -84,7 +86,8 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
                 follows = np.append(words.doc[1:] == words.doc[:-1], False)[: len(words.doc)].astype(np.int64)
                 begin = words.count > 0
                 keys = np.concatenate([words.hashes(), [START] * bool(begin.any())]).astype(np.uint64)
-                held.append(_merge(keys, np.append(follows, [begin.sum()] * bool(begin.any())), np.append(follows * target[words.doc], [(begin * target).sum()] * bool(begin.any()))))
+                held.append(_merge(keys, np.append(follows, [begin.sum()] * bool(begin.any())),
+                    np.append(follows * target[words.doc], [(begin * target).sum()] * bool(begin.any()))))
                 size += len(held[-1][0])
                 if size > CHUNK:
                     yield from flush()
@@ -94,9 +97,11 @@ def _word_stats(docs: DataFrame, buckets: int) -> tuple[int, dict[str, np.ndarra
 
     def total(key, table):
         parts = [_load(x.as_py()) for x in table.column("data")]
-        keys, n, own = _merge(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+        keys, n, own = _merge(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]),
+            np.concatenate([p[2] for p in parts]))
         order = np.argsort(-n, kind="stable")[:FREQUENT]
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "total": pa.array([n.sum()], pa.int64()), "top": pa.array([_dump(keys[order], n[order], own[order])], pa.binary())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(keys)], pa.int64()),
+            "total": pa.array([n.sum()], pa.int64()), "top": pa.array([_dump(keys[order], n[order], own[order])], pa.binary())})
 
     sums = keep(docs.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(total, "bucket int, words long, total long, top binary"), "words")
     v, n = sums.agg(F.sum("words"), F.sum("total")).first()
@@ -156,7 +161,8 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
             keys, doc = keys[at], doc[at]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else at
             k = keys[first]
-            yield -1 - chunk, chunk, -1, _dump(ids, null, _small(target), _small(words), base_t, base_b, np.packbits((k & np.uint64(1)).astype(np.uint8)), _small(np.diff(np.append(first, len(keys)))), _small(doc), _small(times))
+            yield -1 - chunk, chunk, -1, _dump(ids, null, _small(target), _small(words), base_t, base_b,
+                np.packbits((k & np.uint64(1)).astype(np.uint8)), _small(np.diff(np.append(first, len(keys)))), _small(doc), _small(times))
             if len(k):
                 n, own = np.add.reduceat(times, first), np.add.reduceat(times * target[doc].astype(np.int32), first)
                 place = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in order of keys
@@ -166,7 +172,8 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
 
         def batch_of(rows):
             place, at, part, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "chunk": pa.array(at, pa.int64()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
+            return pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "chunk": pa.array(at, pa.int64()),
+                "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -184,9 +191,11 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
                 target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
                 own, times = np.unique(words.doc[hit] * max(len(f["k"]), 1) + at[hit], return_counts=True)
                 doc, which = np.divmod(own, max(len(f["k"]), 1))
-                base_t, base_b = (_sums(doc, -_logs(c + KAPPA * v) * times, words.n_docs) if len(doc) else np.zeros(words.n_docs, np.int64) for c in (f["o"][which] - times * target[doc], f["t"][which] - times))
+                base_t, base_b = (_sums(doc, -_logs(c + KAPPA * v) * times, words.n_docs) if len(doc) else np.zeros(words.n_docs,
+                    np.int64) for c in (f["o"][which] - times * target[doc], f["t"][which] - times))
                 rest = mix(before[~hit]) & ~np.uint64(1)
-                held.append(((ids.fill_null(0).to_numpy(zero_copy_only=False), null, target, words.count, base_t, base_b), np.concatenate([pair, rest]), np.concatenate([words.doc, words.doc[~hit]])))
+                held.append(((ids.fill_null(0).to_numpy(zero_copy_only=False), null, target, words.count, base_t, base_b),
+                    np.concatenate([pair, rest]), np.concatenate([words.doc, words.doc[~hit]])))
                 size += len(h)
                 if size > CHUNK:
                     yield batch_of(list(flush()))
@@ -218,7 +227,8 @@ def cross_entropy_difference(docs: DataFrame) -> DataFrame:
             total += _sums(doc, np.where(pair, term, -term) * times, len(ids))
         words = words.astype(np.int64)
         mean = lambda s: pa.array(-(s / UNIT) / np.maximum(words, 1), mask=words == 0)
-        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_words": pa.array(words), "ce_target": mean(t), "ce_background": mean(b), "ce_diff": mean(t - b)})
+        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_words": pa.array(words), "ce_target": mean(t), "ce_background": mean(b),
+            "ce_diff": mean(t - b)})
 
     # a chunk is the same in each attempt at its task, in whatever order its rows come
     met = docs.sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(send, "place long, chunk long, part long, data binary")

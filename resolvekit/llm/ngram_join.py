@@ -245,7 +245,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         for batch in batches:
             for part, grams, at in shingle_sets(batch, n):
                 prints = [_print(grams[at[i] : at[i + 1]]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(at), pa.int64()), "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(at), pa.int64()),
+                    "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64())})
 
     rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, p1 long, p2 long"), "rows")
     full = rows.where("n_shingles > 0 and doc_id is not null")
@@ -278,7 +279,8 @@ def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: in
 
     def edges_of(a, b, bucket):
         a, b = forest(a, b)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - bucket], pa.int32()), "h": pa.array([a.tobytes()], pa.binary()), "node": pa.array([b.tobytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - bucket], pa.int32()), "h": pa.array([a.tobytes()], pa.binary()),
+            "node": pa.array([b.tobytes()], pa.binary())})
 
     def spread(batches):
         for batch in batches:
@@ -305,7 +307,8 @@ def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: in
             order = np.argsort(bucket, kind="stable")
             which, start = np.unique(bucket[order], return_index=True)
             cut = lambda x: [y.tobytes() for y in np.split(x[order], start[1:])]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(which, pa.int32()), "h": pa.array(cut((h >> np.uint64(32)).astype(np.uint32)), pa.binary()), "node": pa.array(cut(node), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(which, pa.int32()),
+                "h": pa.array(cut((h >> np.uint64(32)).astype(np.uint32)), pa.binary()), "node": pa.array(cut(node), pa.binary())})
 
     def meet(key, table):
         join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t)
@@ -351,7 +354,8 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
                     if len(own) and key not in seen:
                         seen.add(key)
                         out[key] = own.tobytes()
-                yield pa.RecordBatch.from_pydict({**{c: pa.array([k[i] for k in out], pa.int64()) for i, c in enumerate(("node", "p1", "p2"))}, "grams": pa.array(list(out.values()), pa.binary())})
+                yield pa.RecordBatch.from_pydict({**{c: pa.array([k[i] for k in out], pa.int64()) for i, c in enumerate(("node", "p1", "p2"))},
+                    "grams": pa.array(list(out.values()), pa.binary())})
 
     grams = docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(sets_of, "node long, p1 long, p2 long, grams binary")
 
@@ -411,13 +415,17 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     links = links.unionByName(near)
     if known.where("rest").isEmpty():
         return links
-    panels = known.groupBy("block", "level").agg(*(F.ceil(F.count_if(c) / (PANEL // 2)).cast("int").alias(k) for k, c in (("rest", F.col("rest")), ("main", ~F.col("rest")))))
-    panels = panels.groupBy("block").agg(*(F.map_from_entries(F.collect_list(F.struct("level", k))).alias(f"{k}_panels") for k in ("rest", "main")))  # a block has as many levels as there are size classes
+    panels = known.groupBy("block", "level").agg(*(F.ceil(F.count_if(c) / (PANEL // 2)).cast("int").alias(k) for k,
+        c in (("rest", F.col("rest")), ("main", ~F.col("rest")))))
+    panels = panels.groupBy("block").agg(*(F.map_from_entries(F.collect_list(F.struct("level", k))).alias(f"{k}_panels") for k in ("rest",
+        "main")))  # a block has as many levels as there are size classes
     known = known.join(panels, "block")
     of = lambda side, step: F.coalesce(F.col(f"{side}_panels")[F.col("level") + step], F.lit(0))
     own = F.pmod(mine, F.when(F.col("rest"), of("rest", 0)).otherwise(of("main", 0))).cast("int")
-    pair = lambda l1, i1, l2, i2, side: F.struct(*(F.lit(v).cast("int").alias(c) for v, c in ((l1, "l1"), (i1, "i1"), (l2, "l2"), (i2, "i2"), (side, "side"))))
-    each = lambda k, make: F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), make)).otherwise(F.array().cast("array<struct<l1:int,i1:int,l2:int,i2:int,side:int>>"))
+    pair = lambda l1, i1, l2, i2, side: F.struct(*(F.lit(v).cast("int").alias(c) for v,
+        c in ((l1, "l1"), (i1, "i1"), (l2, "l2"), (i2, "i2"), (side, "side"))))
+    each = lambda k, make: F.when(k > 0,
+        F.transform(F.sequence(F.lit(0), k - 1), make)).otherwise(F.array().cast("array<struct<l1:int,i1:int,l2:int,i2:int,side:int>>"))
     at, i = F.col("level"), F.col("own")
     same = each(of("rest", 0), lambda j: pair(at, F.least(i, j), at, F.greatest(i, j), F.when(i == j, 0).when(i < j, 1).otherwise(2)))
     up, down = each(of("rest", 1), lambda j: pair(at, i, at + 1, j, 1)), each(of("rest", -1), lambda j: pair(at - 1, j, at, i, 2))

@@ -9,7 +9,8 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LM_SCORE = f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target
+        FROM documents),
 t AS (SELECT doc_id, target, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
 b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t),
 v AS (SELECT count(DISTINCT x) AS v FROM t),
@@ -17,23 +18,30 @@ p AS (SELECT h, x, count(*) AS nb, count(*) FILTER (target) AS nt FROM b GROUP B
 u AS (SELECT h, count(*) AS nb, count(*) FILTER (target) AS nt FROM b GROUP BY h),
 e AS (SELECT doc_id, target, h, x, count(*) AS k FROM b GROUP BY ALL),
 g AS (SELECT doc_id, target, h, count(*) AS k FROM b GROUP BY ALL),
-f AS (SELECT doc_id, k, k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS t, k * cast(round(ln(nb - k + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS g FROM e JOIN p ON e.x = p.x AND e.h IS NOT DISTINCT FROM p.h
-    UNION ALL SELECT doc_id, 0, -k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint), -k * cast(round(ln(nb - k + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint) FROM g JOIN u ON g.h IS NOT DISTINCT FROM u.h, v),
+f AS (SELECT doc_id, k, k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS t,
+        k * cast(round(ln(nb - k + 0.05::DOUBLE) * 1000000::DOUBLE) AS bigint) AS g FROM e JOIN p ON e.x = p.x AND e.h IS NOT DISTINCT FROM p.h
+    UNION ALL SELECT doc_id, 0, -k * cast(round(ln(nt - k * target::INT + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint),
+        -k * cast(round(ln(nb - k + 0.05::DOUBLE * v) * 1000000::DOUBLE) AS bigint) FROM g JOIN u ON g.h IS NOT DISTINCT FROM u.h, v),
 s AS (SELECT doc_id, sum(k) AS n_words, cast(sum(t) AS double) AS t, cast(sum(g) AS double) AS g FROM f GROUP BY doc_id)
-SELECT d.doc_id, cast(coalesce(n_words, 0) AS bigint) AS n_words, -(t / 1000000) / n_words AS ce_target, -(g / 1000000) / n_words AS ce_background, -((t - g) / 1000000) / n_words AS ce_diff FROM d LEFT JOIN s USING (doc_id)
+SELECT d.doc_id, cast(coalesce(n_words, 0) AS bigint) AS n_words, -(t / 1000000) / n_words AS ce_target, -(g / 1000000) / n_words AS ce_background,
+        -((t - g) / 1000000) / n_words AS ce_diff FROM d LEFT JOIN s USING (doc_id)
 """
 
 WARC = f"""
-WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT d, max(page_id) AS r FROM q WHERE b >= 1000 GROUP BY d)
-SELECT page_id, b AS payload_bytes, q.d AS payload_digest, CASE WHEN b >= 1000 AND r <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND r <> page_id THEN r END AS refers_to,
+WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT d, max(page_id) AS r
+        FROM q WHERE b >= 1000 GROUP BY d)
+SELECT page_id, b AS payload_bytes, q.d AS payload_digest, CASE WHEN b >= 1000 AND r <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE
+        WHEN b >= 1000 AND r <> page_id THEN r END AS refers_to,
     CASE WHEN b >= 1000 AND r <> page_id THEN 1 ELSE greatest(1, cast(ceil(b / {CHUNK}) AS bigint)) END AS n_chunks FROM q LEFT JOIN m USING (d)
 """
 
 JACCARD = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1),
+        lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n,
+        b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT s.doc_id, len(s.s) AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) k ON k.a = s.doc_id
@@ -46,15 +54,26 @@ g AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o A
 k AS (SELECT doc_id, i FROM g WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, y) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_words, sum(length(x)) AS chars FROM w GROUP BY doc_id),
-ln AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-m AS (SELECT doc_id, stratum, coalesce(n_words, 0) AS n_words, cast(coalesce(chars, 0) AS bigint) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lines, 0) AS lines,
-    length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS capitals FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbols, least(1000, 1000 * n_dup_lines // greatest(lines, 1)) AS lines_, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeats, least(1000, 1000 * capitals // greatest(word_chars, 1)) AS capitals_ FROM m),
-good AS (SELECT stratum, unnest({list(RULES)}) AS rule, unnest([symbols, lines_, repeats, capitals_]) AS share FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-z AS (SELECT stratum, rule, bin, count(*) FILTER (ceil(share / {STEP}) > bin) AS above, count(*) AS n FROM good, (SELECT unnest(range(0, {1000 // STEP} + 1)) AS bin) GROUP BY ALL),
-c AS (SELECT stratum, rule, min(bin) * {STEP} AS cut FROM z WHERE above <= {RISK / len(RULES)} * n AND list_sum(list_transform(range(0, above + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))) <= {DELTA}::DOUBLE / (SELECT count(DISTINCT (stratum, rule)) FROM good) GROUP BY ALL),
+ln AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+        WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, stratum, coalesce(n_words, 0) AS n_words, cast(coalesce(chars, 0) AS bigint) AS word_chars, length(t) - length(translate(t,
+        '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lines, 0) AS lines,
+    length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS capitals FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT
+        JOIN ln USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbols,
+        least(1000, 1000 * n_dup_lines // greatest(lines, 1)) AS lines_, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeats,
+        least(1000, 1000 * capitals // greatest(word_chars, 1)) AS capitals_ FROM m),
+good AS (SELECT stratum, unnest({list(RULES)}) AS rule, unnest([symbols, lines_, repeats, capitals_]) AS share FROM f WHERE NOT base_failed
+        AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+z AS (SELECT stratum, rule, bin, count(*) FILTER (ceil(share / {STEP}) > bin) AS above, count(*) AS n FROM good, (SELECT unnest(range(0,
+        {1000 // STEP} + 1)) AS bin) GROUP BY ALL),
+c AS (SELECT stratum, rule, min(bin) * {STEP} AS cut FROM z WHERE above <= {RISK / len(RULES)} * n AND list_sum(list_transform(range(0, above + 1),
+        lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))) <= {DELTA}::DOUBLE / (SELECT count(DISTINCT (stratum,
+        rule)) FROM good) GROUP BY ALL),
 x AS (PIVOT c ON rule IN ('symbols', 'lines', 'repeats', 'capitals') USING max(cut))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.symbols <= coalesce(x.symbols, 1000) AND lines_ <= coalesce(x.lines, 1000) AND f.repeats <= coalesce(x.repeats, 1000) AND capitals_ <= coalesce(x.capitals, 1000) AS kept FROM f LEFT JOIN x USING (stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.symbols <= coalesce(x.symbols, 1000)
+        AND lines_ <= coalesce(x.lines, 1000) AND f.repeats <= coalesce(x.repeats, 1000) AND capitals_ <= coalesce(x.capitals, 1000) AS kept FROM f
+        LEFT JOIN x USING (stratum)
 """
 
 REPEATS = f"""

@@ -100,7 +100,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str, capacity: int, en
                         rows["doc_tokens"].append(len(ids) // 4)
                 if rows:
                     length = [len(x) // 4 for x in rows["ids"]]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "start": pa.array(rows["start"], pa.int64()), "length": pa.array(length, pa.int64()), "doc_tokens": pa.array(rows["doc_tokens"], pa.int64()), "ids": pa.array(rows["ids"], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "start": pa.array(rows["start"], pa.int64()),
+                        "length": pa.array(length, pa.int64()), "doc_tokens": pa.array(rows["doc_tokens"], pa.int64()), "ids": pa.array(rows["ids"], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 

@@ -89,7 +89,8 @@ def _digits(value: Column) -> Column:
 def _refill(value: Column, digits: Column) -> Column:
     """value with its digits replaced in place by others."""
     of = lambda i: F.length(_digits(F.substring(value, F.lit(1), i)))
-    return _let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[0-9]"), F.substring(d, of(i), F.lit(1))).otherwise(F.substring(value, i, F.lit(1)))), ""))
+    return _let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)),
+        lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[0-9]"), F.substring(d, of(i), F.lit(1))).otherwise(F.substring(value, i, F.lit(1)))), ""))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -132,7 +133,9 @@ def _iban(key: str, m: Column) -> Column:
 
         return _let(body, checked)
 
-    spaced = lambda v: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", " ").otherwise(F.substring(v, i - F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^ ]", "")), F.lit(1)))), "")
+    spaced = lambda v: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)),
+        lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", " ").otherwise(F.substring(v,
+            i - F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^ ]", "")), F.lit(1)))), "")
     return _let(F.regexp_replace(m, " ", ""), lambda v: F.when(iban_rest(v) == 1, _let(run(v), spaced)).otherwise(m))
 
 
@@ -140,7 +143,8 @@ def _address(key: str, m: Column) -> Column:
     def run(p):
         o = lambda i: p[i].cast("long")
         halves = _feistel(key, "address", o(0) * 256 + o(1), o(2) * 256 + o(3), F.lit(65536), F.lit(65536))
-        parts = lambda h: F.concat_ws(".", *((x / y).cast("long").cast("string") if y > 1 else x.cast("string") for x, y in ((h["a"], 256), (h["a"] % 256, 1), (h["b"], 256), (h["b"] % 256, 1))))
+        parts = lambda h: F.concat_ws(".", *((x / y).cast("long").cast("string") if y > 1 else x.cast("string") for x,
+            y in ((h["a"], 256), (h["a"] % 256, 1), (h["b"], 256), (h["b"] % 256, 1))))
         return F.when(F.forall(p, lambda x: x.cast("int") <= 255), _let(halves, parts)).otherwise(m)
 
     return _let(F.split(m, r"\."), run)
@@ -160,7 +164,8 @@ def _date(key: str, m: Column) -> Column:
     def through(form: Column, month_first: Column) -> Column:
         usual = form.isin("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")
         written = lambda n: F.call_function("date_format", of_day(n), form)
-        fits = lambda n: usual | ((F.length(written(n)) == F.length(m)) & (F.regexp_replace(written(n), "[0-9]", "0") == F.regexp_replace(m, "[0-9]", "0")) & (~month_first | (F.dayofmonth(of_day(n)) > 12)))
+        fits = lambda n: usual | ((F.length(written(n)) == F.length(m)) & (F.regexp_replace(written(n), "[0-9]", "0") == F.regexp_replace(m, "[0-9]",
+            "0")) & (~month_first | (F.dayofmonth(of_day(n)) > 12)))
 
         def moved(n):
             block = F.floor(n / (SPAN * SPAN))
@@ -179,7 +184,8 @@ def _date(key: str, m: Column) -> Column:
     iso = F.concat(F.lit("yyyy-"), letters(1, "M"), F.lit("-"), letters(2, "d"))
     slashes, dots = (F.concat(letters(0, "d"), F.lit(c), letters(1, "M"), F.lit(c + "yyyy")) for c in "/.")
     month_first = m.contains("/") & F.try_to_timestamp(m, slashes).isNull()
-    form = F.when(m.contains("-"), iso).when(month_first, F.concat(letters(0, "M"), F.lit("/"), letters(1, "d"), F.lit("/yyyy"))).when(m.contains("/"), slashes).otherwise(dots)
+    form = F.when(m.contains("-"), iso).when(month_first, F.concat(letters(0, "M"), F.lit("/"), letters(1, "d"),
+        F.lit("/yyyy"))).when(m.contains("/"), slashes).otherwise(dots)
     return _let(F.struct(form.alias("form"), month_first.alias("month_first")), lambda f: through(f["form"], f["month_first"]))
 
 
@@ -208,7 +214,8 @@ def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of one match of EVERY, or the match itself where it isn't valid."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     out = F.when(m.contains("@"), _email(key, m)).when(whole("secret"), _secret(key, m)).when(whole("iban"), _iban(key, m))
-    out = out.when(whole("address"), _address(key, m)).when(whole("date"), _date(key, m)).when(whole("card") & (~m.startswith("0") | (luhn_sum(_digits(m)) % 10 == 0)), _card(key, m))
+    out = out.when(whole("address"), _address(key, m)).when(whole("date"),
+        _date(key, m)).when(whole("card") & (~m.startswith("0") | (luhn_sum(_digits(m)) % 10 == 0)), _card(key, m))
     return out.when(whole("ssn"), _plain(key, "ssn", m, 9, 9)).otherwise(_plain(key, "phone", m, 7, 15))
 
 

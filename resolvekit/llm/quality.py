@@ -107,11 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
             for part in pieces(batch, "text"):
                 found, at = features(part.column("text"))
                 rows = [_example(found[at[i] : at[i + 1]]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_pydict({"quality": part.column("quality"), "key": part.column("key"), "i": pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), "x": pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"quality": part.column("quality"), "key": part.column("key"),
+                    "i": pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()),
+                        "x": pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())})
 
     # chosen has 2 * SAMPLE rows at most, so it is broadcast whatever the input
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "key")
-    sample = keep(sample.mapInArrow(places, "quality int, key long, i binary, x binary").groupBy("quality", "key").agg(F.min(F.struct("i", "x")).alias("of")).select("quality", "key", "of.*"), "sample")
+    sample = keep(sample.mapInArrow(places, "quality int, key long, i binary, x binary").groupBy("quality",
+        "key").agg(F.min(F.struct("i", "x")).alias("of")).select("quality", "key", "of.*"), "sample")
     fits, used = {}, {0: 0, 1: 0}
     for r in sample.select("quality", "key", (F.length("i") / 4).cast("long").alias("n")).orderBy("key").collect():
         used[r.quality] += r.n

@@ -36,7 +36,8 @@ def repeated_words(words: Column) -> Column:
 
     def covered(tri):
         pairs = F.array_sort(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        marks = _let(pairs, lambda p: F.flatten(F.zip_with(p, _next(p), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))))
+        marks = _let(pairs, lambda p: F.flatten(F.zip_with(p, _next(p), lambda a,
+            b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))))
         spots = F.array_sort(F.array_distinct(marks))
         return _let(spots, lambda s: F.aggregate(F.zip_with(s, _next(s), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda x, y: x + y))
 
@@ -64,15 +65,18 @@ def measure(docs: DataFrame) -> DataFrame:
             F.length(F.regexp_replace("text", _BLANK, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             _let(lines, lambda x: F.struct(F.size(x).alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("line"),
-            _let(F.filter(F.split("text", _BLANK), lambda w: w != ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat"))).alias("word"),
+            _let(F.filter(F.split("text", _BLANK), lambda w: w != ""),
+                lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat"))).alias("word"),
             F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("capitals"),
         ).alias("m"),
     )
     m = lambda x: F.col(f"m.{x}")
     share = lambda a, b: F.least(F.lit(1000), F.floor(1000 * m(a) / F.greatest(m(b), F.lit(1)))).cast("int")
     failed = (m("word.n") < 50) | (100 * m("word.repeat") > 50 * m("word.n"))
-    shares = F.struct(share("n_symbols", "word_chars").alias("symbols"), share("line.dup", "line.lines").alias("lines"), share("word.repeat", "word.n").alias("repeats"), share("capitals", "word_chars").alias("capitals"))
-    return out.select("doc_id", "stratum", m("word.n").alias("n_words"), "m.word_chars", "m.n_symbols", m("line.dup").alias("n_dup_lines"), m("word.repeat").alias("n_repeat_words"), failed.alias("base_failed"), shares.alias("shares"))
+    shares = F.struct(share("n_symbols", "word_chars").alias("symbols"), share("line.dup", "line.lines").alias("lines"),
+        share("word.repeat", "word.n").alias("repeats"), share("capitals", "word_chars").alias("capitals"))
+    return out.select("doc_id", "stratum", m("word.n").alias("n_words"), "m.word_chars", "m.n_symbols", m("line.dup").alias("n_dup_lines"),
+        m("word.repeat").alias("n_repeat_words"), failed.alias("base_failed"), shares.alias("shares"))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -97,7 +101,8 @@ def choose_cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, del
     ids = good.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     labelled = measured.where("not base_failed").join(ids, "doc_id", "left_semi")
     rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"shares.{r}").alias("share")) for r in RULES)))
-    bins = labelled.select("stratum", rules.alias("r")).groupBy("stratum", "r.rule", F.ceil(F.col("r.share") / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bins = labelled.select("stratum", rules.alias("r")).groupBy("stratum", "r.rule",
+        F.ceil(F.col("r.share") / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     # a row for each cutoff, also where no text has that share
     grid = bins.select("stratum", "rule").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(1000 // STEP))))
     bins = grid.join(bins, ["stratum", "rule", "bin"], "left").fillna(0, ["n"])

@@ -203,12 +203,16 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                     doc = words.doc[start]
                     doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
                     own = start - words.first[doc]
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "mark": pa.array(mark.view(np.int64)), "doc_id": pa.array(doc_id), "th": pa.array(th), "start": pa.array(own.astype(np.int64)), "windows": pa.array(windows.astype(np.int64)), "slot": pa.array(_slot(doc_id, own)), "place": pa.array(_place(key))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "mark": pa.array(mark.view(np.int64)),
+                        "doc_id": pa.array(doc_id), "th": pa.array(th), "start": pa.array(own.astype(np.int64)),
+                            "windows": pa.array(windows.astype(np.int64)), "slot": pa.array(_slot(doc_id, own)), "place": pa.array(_place(key))})
 
         runs = keep(docs.mapInArrow(describe, "key long, mark long, doc_id long, th long, start long, windows long, slot long, place long"), "runs")
         marks = runs.groupBy("key", "mark").agg(F.min(F.struct("doc_id", "slot", "place", "windows")).alias("own"), F.max("doc_id").alias("last"))
-        keys = marks.groupBy("key").agg(F.min("own.doc_id").alias("lo"), F.max("last").alias("hi"), F.sum(F.col("own.windows") + width - 1).alias("words")).where("lo < hi").select("key", "words")
-        owned = marks.join(keys, "key").select("key", "mark", F.col("own.doc_id").alias("owner"), "own.slot", "own.place", (F.col("own.windows") + width - 1).alias("size"), "last", "words")
+        keys = marks.groupBy("key").agg(F.min("own.doc_id").alias("lo"), F.max("last").alias("hi"),
+            F.sum(F.col("own.windows") + width - 1).alias("words")).where("lo < hi").select("key", "words")
+        owned = marks.join(keys, "key").select("key", "mark", F.col("own.doc_id").alias("owner"), "own.slot", "own.place",
+            (F.col("own.windows") + width - 1).alias("size"), "last", "words")
         return runs, keep(owned, "owned")
 
     hot = None
@@ -228,16 +232,19 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
                 new = [x not in seen and not seen.add(x) for x in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), strict=True)]
                 take = np.flatnonzero(contains(flags.value, _slot(doc_id, start - words.first[doc])) & np.array(new, bool)[doc])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[take].view(np.int64)), "mark": pa.array(mark[take].view(np.int64)), "words": pa.array([h[start[i] : start[i] + windows[i] + width - 1].tobytes() for i in take], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[take].view(np.int64)), "mark": pa.array(mark[take].view(np.int64)),
+                    "words": pa.array([h[start[i] : start[i] + windows[i] + width - 1].tobytes() for i in take], pa.binary())})
 
-    texts = docs.mapInArrow(contents, "key long, mark long, words binary").select("key", "mark", "words", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("last"))
+    texts = docs.mapInArrow(contents, "key long, mark long, words binary").select("key", "mark", "words", F.lit(None).cast("long").alias("owner"),
+        F.lit(None).cast("long").alias("last"))
     shards = max(1, int(owned.agg(F.sum("size")).first()[0] or 0) // SHARD)
     rows = texts.unionByName(owned.select("key", "mark", F.lit(None).cast("binary").alias("words"), "owner", "last"))
 
     def search(table):
         """The runs of a shard: what is known of each, and its words, once or more."""
         known, words = {}, {}
-        for key, mark, text, owner, last in zip(*(table.column(c).to_pylist() for c in ("key", "mark")), table.column("words"), *(table.column(c).to_pylist() for c in ("owner", "last")), strict=True):
+        for key, mark, text, owner, last in zip(*(table.column(c).to_pylist() for c in ("key", "mark")), table.column("words"),
+            *(table.column(c).to_pylist() for c in ("owner", "last")), strict=True):
             if owner is None:
                 words[key, mark] = text
             else:
@@ -248,9 +255,11 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
             owner = np.array([known[k][0] for k in names])
             found = repeated_windows([np.frombuffer(words[k].as_buffer(), np.uint64) for k in names], owner, width)
             spans = [_spans(f, known[k][1]) for f, k in zip(found, names, strict=True)]
-        return pa.table({"key": pa.array([k for (k, _), s in zip(names, spans, strict=True) if s], pa.int64()), "mark": pa.array([m for (_, m), s in zip(names, spans, strict=True) if s], pa.int64()), "spans": pa.array([s for s in spans if s], _SPAN)})
+        return pa.table({"key": pa.array([k for (k, _), s in zip(names, spans, strict=True) if s], pa.int64()),
+            "mark": pa.array([m for (_, m), s in zip(names, spans, strict=True) if s], pa.int64()), "spans": pa.array([s for s in spans if s], _SPAN)})
 
-    found = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(search, "key long, mark long, spans array<struct<offset:long,windows:long,owner:long>>")
+    found = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(search,
+        "key long, mark long, spans array<struct<offset:long,windows:long,owner:long>>")
     found = keep(found, "found")
     release(hot, flags)
     spots = runs.select("key", "mark", "doc_id", "th", "start").join(found, ["key", "mark"]).select("doc_id", "th", "start", F.explode("spans").alias("s"))

@@ -52,7 +52,9 @@ def roles(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     revisit = F.col("response").isNotNull() & ((F.col("page_id") != F.col("response")) | F.col("page_id").isNull())
     kind, refers = F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to")
     body = F.when(~revisit, F.col("payload")).alias("payload")
-    return maybe.select("page_id", "url", body, "payload_digest", kind, refers).unionByName(clear.select("page_id", "url", "payload", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
+    return maybe.select("page_id", "url", body, "payload_digest", kind,
+        refers).unionByName(clear.select("page_id", "url", "payload", "payload_digest", F.lit("response").alias("record_type"),
+            F.lit(None).cast("long").alias("refers_to")))
 
 
 def _name(page_id) -> str:
@@ -78,11 +80,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     name = f"{root}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
                     out, n, size = store.open_output_stream(name, compression=None), 0, 0
-                head = {"WARC-Type": kind, "WARC-Record-ID": _name(page_id), "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "text/html; charset=utf-8", "X-Page-ID": page_id, "WARC-Payload-Digest": f"sha1:{digest}"}
+                head = {"WARC-Type": kind, "WARC-Record-ID": _name(page_id), "WARC-Date": "1970-01-01T00:00:00Z",
+                    "Content-Type": "text/html; charset=utf-8", "X-Page-ID": page_id, "WARC-Payload-Digest": f"sha1:{digest}"}
                 if url is not None:
                     head["WARC-Target-URI"] = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
                 if kind == "revisit":
-                    head |= {"WARC-Refers-To": _name(refers), "X-Refers-To-Page": refers, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                    head |= {"WARC-Refers-To": _name(refers), "X-Refers-To-Page": refers,
+                        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                 head["Content-Length"] = len(payload)
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
                 text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None) + "\r\n"
@@ -161,12 +165,14 @@ def read_chunks(archives: DataFrame, folder: str, payload: bool = True) -> DataF
                 with store.open_input_stream(f"{root}/{archive}", compression=None) as stream:
                     rows = []
                     for head, parts in _records(stream):
-                        total, size, k, rest, stated = hashlib.sha1(), 0, 0, int(head["Content-Length"]), head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+                        total, size, k, rest, stated = hashlib.sha1(), 0, 0, int(head["Content-Length"]), head.get("WARC-Payload-Digest",
+                            "").removeprefix("sha1:") or None
                         for part in parts if rest else [b""]:
                             total.update(part)
                             size += len(part)
                             number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
-                            rows.append((archive, head["WARC-Record-ID"], number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Refers-To-Page"), k, len(part), size, total.hexdigest(), stated, size == rest, part if payload else None))
+                            rows.append((archive, head["WARC-Record-ID"], number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"],
+                                number("X-Refers-To-Page"), k, len(part), size, total.hexdigest(), stated, size == rest, part if payload else None))
                             k += 1
                             if len(rows) >= (16 if payload else 2000):
                                 yield _batch(rows)
@@ -181,7 +187,8 @@ def read_chunks(archives: DataFrame, folder: str, payload: bool = True) -> DataF
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
+        pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
@@ -199,9 +206,12 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = keep(write_archives(roles(pages), folder), "archives")
     chunks = read_chunks(archives, folder, payload=False)
-    whole = keep(chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to", (F.col("chunk") + 1).alias("n_chunks"), "archive"), "records")
+    whole = keep(chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to",
+        (F.col("chunk") + 1).alias("n_chunks"), "archive"), "records")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_chunks", "archive"]
     responses, revisits = (whole.where(F.col("record_type") == kind) for kind in ("response", "revisit"))
-    full = responses.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
-    revisits = revisits.join(full, ["refers_to", "stated_digest"], "left").withColumn("payload_bytes", F.col("full_bytes")).withColumn("payload_digest", F.col("stated_digest"))
+    full = responses.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"),
+        F.col("payload_bytes").alias("full_bytes")).distinct()
+    revisits = revisits.join(full, ["refers_to", "stated_digest"], "left").withColumn("payload_bytes",
+        F.col("full_bytes")).withColumn("payload_digest", F.col("stated_digest"))
     return responses.select(columns).unionByName(revisits.select(columns))
