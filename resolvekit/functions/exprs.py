@@ -76,7 +76,8 @@ def corroboration_keys(titles) -> Column:
     """Distinct keys by which titles of two sources compare: no marks, no bracketed edition words; generic titles aside."""
     titles = _col(titles)
     plain = F.when(F.exists(titles, lambda t: t.rlike(r"[^\x00-\x7F]")), _unmarked_all()(titles)).otherwise(titles)
-    key = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), rf"[\[(].*?\b({CORROBORATION_WORDS})\b.*?[\])]", ""), "[^a-z0-9]+", " "))
+    key = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), rf"[\[(].*?\b({CORROBORATION_WORDS})\b.*?[\])]", ""),
+        "[^a-z0-9]+", " "))
     return F.array_except(F.array_distinct(F.transform(plain, key)), F.array(F.lit(""), *map(F.lit, GENERIC_TITLES)))
 
 
@@ -95,7 +96,8 @@ def partial_date(value, precision=None) -> Column:
     given = _col(precision) if precision is not None else F.lit(None).cast("string")
     guessed = F.when(v.rlike("^[0-9]{4}$"), "year").when(v.rlike("^[0-9]{4}-[0-9]{1,2}$"), "month").otherwise("day")
     kind = F.when(given.isin("year", "month", "day"), given).otherwise(guessed)
-    text = F.when(kind == "year", F.concat(F.substring(v, 1, 4), F.lit("-01-01"))).when(kind == "month", F.concat(F.substring(v, 1, 7), F.lit("-01"))).otherwise(F.substring(v, 1, 10))
+    text = F.when(kind == "year", F.concat(F.substring(v, 1, 4), F.lit("-01-01"))).when(kind == "month",
+        F.concat(F.substring(v, 1, 7), F.lit("-01"))).otherwise(F.substring(v, 1, 10))
     start = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
     after = F.when(kind == "year", F.add_months(start, 12)).when(kind == "month", F.add_months(start, 1)).otherwise(F.date_add(start, 1))
     end = (after.cast("timestamp") - F.expr("interval 1 millisecond")).alias("end")

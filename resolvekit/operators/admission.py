@@ -10,7 +10,8 @@ BUDGETS = {"spotify": {"new_candidates": 8}, "ticketmaster": {"new_candidates":
 HIGH_WATER = {"identity_pending": 50, "identity_discovery_pending": 25, "retry_wait": 25, "needs_review": 100}
 
 
-def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int] = LIMITS, high_water: dict[str, int] = HIGH_WATER, budgets: dict[str, dict[str, int]] = BUDGETS) -> DataFrame:
+def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int] = LIMITS, high_water: dict[str, int] = HIGH_WATER,
+    budgets: dict[str, dict[str, int]] = BUDGETS) -> DataFrame:
     """items(provider, position, page, creates_candidate, target_state) with `admitted` and the provider's stop_reason.
 
     A page is a request. Items are admitted in order of position up to the first that a cap stops: requests, then
@@ -30,7 +31,8 @@ def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int]
     fresh = F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True))
     df = items.withColumn("_fresh", fresh.cast("long"))
     new = F.col("creates_candidate").cast("long")
-    df = df.withColumn("_pages", F.coalesce(F.sum("_fresh").over(before), F.lit(0))).withColumn("_occ", F.row_number().over(w) - 1).withColumn("_new", F.coalesce(F.sum(new).over(before), F.lit(0)))
+    df = df.withColumn("_pages", F.coalesce(F.sum("_fresh").over(before), F.lit(0))).withColumn("_occ", F.row_number().over(w) - 1).withColumn("_new",
+        F.coalesce(F.sum(new).over(before), F.lit(0)))
     own = Window.partitionBy("provider", "target_state").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     marks = items.sparkSession.createDataFrame(list(high_water.items()), "target_state string, high_water long")
     df = df.withColumn("_queued", F.coalesce(F.sum(new).over(own), F.lit(0)))
@@ -38,10 +40,13 @@ def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int]
     page = F.col("_fresh") == 1
     stop = (
         F.when(page & (F.col("_pages") >= cap("requests")), "request_budget_reached").when(page & (F.col("_pages") >= cap("pages")), "page_budget_reached")
-        .when(F.col("_occ") >= limits["occurrences"], "occurrence_budget_reached").when(F.col("creates_candidate") & (F.col("_new") >= cap("new_candidates")), "new_candidate_budget_reached")
-        .when(F.col("creates_candidate") & (F.coalesce("n", F.lit(0)) + F.col("_queued") >= F.col("high_water")), F.concat(F.lit("queue_high_water_reached:"), F.col("target_state")))
+        .when(F.col("_occ") >= limits["occurrences"],
+            "occurrence_budget_reached").when(F.col("creates_candidate") & (F.col("_new") >= cap("new_candidates")), "new_candidate_budget_reached")
+        .when(F.col("creates_candidate") & (F.coalesce("n", F.lit(0)) + F.col("_queued") >= F.col("high_water")),
+            F.concat(F.lit("queue_high_water_reached:"), F.col("target_state")))
     )
     df = df.withColumn("_stop", stop)
     first = df.where("_stop is not null").groupBy("provider").agg(F.min(F.struct("position", "_stop")).alias("_first"))
     df = df.join(first, "provider", "left")
-    return df.select(*items.columns, (F.col("_first").isNull() | (F.col("position") < F.col("_first.position"))).alias("admitted"), F.col("_first._stop").alias("stop_reason"))
+    return df.select(*items.columns, (F.col("_first").isNull() | (F.col("position") < F.col("_first.position"))).alias("admitted"),
+        F.col("_first._stop").alias("stop_reason"))

@@ -62,15 +62,18 @@ def catalog_metrics(releases: DataFrame, now, unicode: bool = True, complete: bo
 def suggest_tiers(metrics: DataFrame) -> DataFrame:
     """metrics with the tiers that they support, as text in a fixed order."""
     span = F.col("span_years")
-    base = F.when(span >= 20, F.array(F.lit("legacy"), F.lit("classic"))).when((span <= 6) & (F.col("momentum_score") >= 35), F.array(F.lit("emerging"))).otherwise(F.array(F.lit("underground"), F.lit("emerging")))
+    base = F.when(span >= 20, F.array(F.lit("legacy"), F.lit("classic"))).when((span <= 6) & (F.col("momentum_score") >= 35),
+        F.array(F.lit("emerging"))).otherwise(F.array(F.lit("underground"), F.lit("emerging")))
     more = F.when(F.col("depth_score") >= 70, F.array(F.lit("mainstream"))).otherwise(F.array().cast("array<string>"))
     return metrics.withColumn("tiers", F.array_join(F.concat(base, more), ","))
 
 
 def fingerprint(releases: DataFrame, unicode: bool = True) -> DataFrame:
     """Release count, distinct title keys, earliest and latest year of each artist; releases without a title key go."""
-    df = releases.withColumn("title", title_key("name", unicode)).where("title <> ''").withColumn("year", F.year(partial_date("release_date", "release_date_precision")["start"]))
-    return df.groupBy("artist_id").agg(F.count("*").alias("release_count"), F.countDistinct("title").alias("title_count"), F.min("year").alias("earliest_year"), F.max("year").alias("latest_year"))
+    df = releases.withColumn("title", title_key("name", unicode)).where("title <> ''").withColumn("year",
+        F.year(partial_date("release_date", "release_date_precision")["start"]))
+    return df.groupBy("artist_id").agg(F.count("*").alias("release_count"), F.countDistinct("title").alias("title_count"),
+        F.min("year").alias("earliest_year"), F.max("year").alias("latest_year"))
 
 
 def pairwise_overlap(titles: DataFrame, least: int = 1, common: int | None = None) -> DataFrame:

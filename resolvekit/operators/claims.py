@@ -29,7 +29,8 @@ def claim_agreement(claims: DataFrame, types: DataFrame | None = None) -> DataFr
 
     Repeated claims of one origin count once.
     """
-    out = claims.groupBy("entity", "identifier_type").agg(F.countDistinct("value").alias("value_count"), F.min("value").alias("value"), F.countDistinct("origin").alias("origins"))
+    out = claims.groupBy("entity", "identifier_type").agg(F.countDistinct("value").alias("value_count"), F.min("value").alias("value"),
+        F.countDistinct("origin").alias("origins"))
     if types is not None:
         types = types.select("identifier_type").distinct()
         every = claims.select("entity").distinct().crossJoin(F.broadcast(types) if _is_small(types) else types)
@@ -45,8 +46,11 @@ def same_name_audit(expected: DataFrame, candidates: DataFrame, details: DataFra
     asked = expected.select("entity", "expected_id", name_key("name").alias("k"))
     other = candidates.select("candidate_id", name_key("name").alias("k")).distinct()
     found = asked.join(other, "k", "left").where("candidate_id is null or candidate_id <> expected_id")
-    links = details.select("candidate_id", F.coalesce(*(id_from_url("url", p) for p in URL_PATTERNS.values())).alias("linked")).where("linked is not null").groupBy("candidate_id").agg(F.array_sort(F.collect_set("linked")).alias("linked"))
-    found = found.join(links, "candidate_id", "left").groupBy("entity").agg(F.array_sort(F.collect_set("candidate_id")).alias("competitor_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("linked")))).alias("linked_ids"))
+    links = details.select("candidate_id",
+        F.coalesce(*(id_from_url("url",
+            p) for p in URL_PATTERNS.values())).alias("linked")).where("linked is not null").groupBy("candidate_id").agg(F.array_sort(F.collect_set("linked")).alias("linked"))
+    found = found.join(links, "candidate_id", "left").groupBy("entity").agg(F.array_sort(F.collect_set("candidate_id")).alias("competitor_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("linked")))).alias("linked_ids"))
     out = asked.select("entity").distinct().join(found, "entity", "left")
     return out.select("entity", F.coalesce(F.size("competitor_ids"), F.lit(0)).alias("competitors"), "competitor_ids", "linked_ids")
 
@@ -54,7 +58,8 @@ def same_name_audit(expected: DataFrame, candidates: DataFrame, details: DataFra
 def select_exact_url(lookup: DataFrame) -> DataFrame:
     """(url, outcome, entity_id) of lookup(url, entity_id): one entity behind a URL is selected, several are not."""
     out = lookup.groupBy("url").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
-    return out.select("url", F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "multiple").otherwise("not_found").alias("outcome"), F.when(F.col("n") == 1, F.col("one")).alias("entity_id"))
+    return out.select("url", F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "multiple").otherwise("not_found").alias("outcome"),
+        F.when(F.col("n") == 1, F.col("one")).alias("entity_id"))
 
 
 def candidate_occurrences(associations: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -68,16 +73,20 @@ def classify_bridges(paths: DataFrame) -> DataFrame:
 
     Contradictions, or different single ids of independent origins, conflict; alternates or several ids go to review.
     """
-    per = paths.groupBy("candidate_id", "origin").agg(F.collect_set("external_id").alias("ids"), F.max(F.coalesce("contradiction", F.lit(False))).alias("bad"), F.max(F.coalesce("alternate", F.lit(False))).alias("alt"))
+    per = paths.groupBy("candidate_id", "origin").agg(F.collect_set("external_id").alias("ids"),
+        F.max(F.coalesce("contradiction", F.lit(False))).alias("bad"), F.max(F.coalesce("alternate", F.lit(False))).alias("alt"))
     single = F.when(F.size("ids") == 1, F.element_at("ids", 1))
-    out = per.groupBy("candidate_id").agg(F.max("bad").alias("bad"), F.max("alt").alias("alt"), F.countDistinct(single).alias("singles"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    outcome = F.when(F.col("bad") | (F.col("singles") > 1), "conflict").when(F.col("alt") | (F.size("ids") > 1), "review").when(F.size("ids") == 1, "unique_bridge").otherwise("no_bridge")
+    out = per.groupBy("candidate_id").agg(F.max("bad").alias("bad"), F.max("alt").alias("alt"), F.countDistinct(single).alias("singles"),
+        F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    outcome = F.when(F.col("bad") | (F.col("singles") > 1), "conflict").when(F.col("alt") | (F.size("ids") > 1), "review").when(F.size("ids") == 1,
+        "unique_bridge").otherwise("no_bridge")
     return out.select("candidate_id", outcome.alias("bridge_outcome"), F.when(outcome == "unique_bridge", F.element_at("ids", 1)).alias("external_id"))
 
 
 def discover_bridges(occurrences: DataFrame, local: DataFrame, external: DataFrame) -> DataFrame:
     """Bridges of candidates' occurrences(candidate_id, entity_key): those of local(entity_key, external_id) first, the external(entity_key, origin, external_id, contradiction, alternate, deprecated) only for candidates without one."""
-    near = occurrences.join(local.select("entity_key", "external_id"), "entity_key").select("candidate_id", F.lit("local").alias("origin"), "external_id", F.lit(False).alias("contradiction"), F.lit(False).alias("alternate"))
+    near = occurrences.join(local.select("entity_key", "external_id"), "entity_key").select("candidate_id", F.lit("local").alias("origin"),
+        "external_id", F.lit(False).alias("contradiction"), F.lit(False).alias("alternate"))
     rest = occurrences.join(near.select("candidate_id").distinct(), "candidate_id", "left_anti")
     far = rest.join(external.where(~F.coalesce("deprecated", F.lit(False))), "entity_key").select("candidate_id", "origin", "external_id", "contradiction", "alternate")
     found = classify_bridges(near.unionByName(far))
@@ -87,12 +96,15 @@ def discover_bridges(occurrences: DataFrame, local: DataFrame, external: DataFra
 
 def batch_outcome(agreement: DataFrame, records: DataFrame, audit: DataFrame) -> DataFrame:
     """(entity, outcome, missing): claim statuses, records(entity, source, present, error) and audit(entity, competitors)."""
-    state = agreement.groupBy("entity").agg(F.max(F.col("status") == "conflict").alias("conflict"), F.count_if(F.col("status") == "agreement").alias("agreed"), F.array_sort(F.collect_set(F.when(F.col("status") == "not_observed", F.col("identifier_type")))).alias("missing"))
+    state = agreement.groupBy("entity").agg(F.max(F.col("status") == "conflict").alias("conflict"),
+        F.count_if(F.col("status") == "agreement").alias("agreed"), F.array_sort(F.collect_set(F.when(F.col("status") == "not_observed",
+            F.col("identifier_type")))).alias("missing"))
     got = records.groupBy("entity").agg(F.max(F.coalesce("error", F.lit(False))).alias("error"), F.min("present").alias("complete"))
     df = state.join(got, "entity", "left").join(audit.select("entity", "competitors"), "entity", "left")
     outcome = (
         F.when(F.coalesce("error", F.lit(True)), "unresolved_identity").when(F.col("conflict"), "conflicting_identity")
-        .when(~F.col("complete") | (F.size("missing") > 0), "insufficient_corroboration").when(F.coalesce("competitors", F.lit(0)) > 0, "coherent_identity_with_same_name_ambiguity").otherwise("coherent_identity_evidence")
+        .when(~F.col("complete") | (F.size("missing") > 0), "insufficient_corroboration").when(F.coalesce("competitors", F.lit(0)) > 0,
+            "coherent_identity_with_same_name_ambiguity").otherwise("coherent_identity_evidence")
     )
     return df.select("entity", outcome.alias("outcome"), "missing", "agreed")
 
@@ -121,35 +133,45 @@ def multiplicity(profiles: DataFrame, overlaps: DataFrame) -> DataFrame:
     redirected, deprecated, multiplicity.
     """
     kinds = profiles.groupBy("entity").agg(
-        F.countDistinct("kind").alias("kinds"), F.countDistinct("begin_date").alias("begins"), F.countDistinct("real_name").alias("names"), F.countDistinct("asserter").alias("asserters"), F.countDistinct("profile_id").alias("profiles"),
+        F.countDistinct("kind").alias("kinds"), F.countDistinct("begin_date").alias("begins"), F.countDistinct("real_name").alias("names"),
+            F.countDistinct("asserter").alias("asserters"), F.countDistinct("profile_id").alias("profiles"),
         F.max("redirected").alias("redirected"), F.max("deprecated").alias("deprecated"), F.min("resolved").alias("resolved"),
     )
     shared = overlaps.groupBy(F.col("group_id").alias("entity")).agg(F.max("overlap").alias("overlap"))
     df = kinds.join(shared, "entity", "left")
     semantic = (F.col("kinds") > 1) | (F.col("begins") > 1)
-    signs = reasons(("kind_contradiction", F.col("kinds") > 1), ("begin_date_contradiction", F.col("begins") > 1), ("title_overlap", F.coalesce("overlap", F.lit(0)) >= 2), ("one_asserter", F.col("asserters") == 1), ("shared_real_name", F.col("names") == 1), ("redirected", F.col("redirected")), ("deprecated", F.col("deprecated")), ("unresolved_id", ~F.col("resolved")))
+    signs = reasons(("kind_contradiction", F.col("kinds") > 1), ("begin_date_contradiction", F.col("begins") > 1),
+        ("title_overlap", F.coalesce("overlap", F.lit(0)) >= 2), ("one_asserter", F.col("asserters") == 1), ("shared_real_name", F.col("names") == 1),
+            ("redirected", F.col("redirected")), ("deprecated", F.col("deprecated")), ("unresolved_id", ~F.col("resolved")))
     linked = (F.coalesce("overlap", F.lit(0)) >= 2) | (F.col("asserters") == 1) | (F.col("names") == 1)
-    meaning = F.when(semantic, "semantic_conflict").when(~F.col("resolved"), "unresolved").when(F.col("redirected"), "redirected_profile").when(F.col("deprecated"), "deprecated_profile").when((F.col("profiles") > 1) & linked, "provider_multiplicity").otherwise("unresolved")
+    meaning = F.when(semantic, "semantic_conflict").when(~F.col("resolved"), "unresolved").when(F.col("redirected"),
+        "redirected_profile").when(F.col("deprecated"), "deprecated_profile").when((F.col("profiles") > 1) & linked, "provider_multiplicity").otherwise("unresolved")
     return df.select("entity", meaning.alias("interpretation"), signs.alias("reasons"))
 
 
 def close_and_route(df: DataFrame) -> DataFrame:
     """df(outcome, competitors, unresolved_ids, kinds, linked_back) with the reasons that keep a multiplicity open, and the next state."""
-    open_ = reasons(("same_name_competitors", F.col("competitors") > 0), ("unresolved_ids", F.col("unresolved_ids") > 0), ("kind_contradiction", F.col("kinds") > 1), ("no_link_back", ~F.col("linked_back")))
+    open_ = reasons(("same_name_competitors", F.col("competitors") > 0), ("unresolved_ids", F.col("unresolved_ids") > 0),
+        ("kind_contradiction", F.col("kinds") > 1), ("no_link_back", ~F.col("linked_back")))
     closed = (F.col("outcome") == "provider_profile_multiplicity") & (F.size(open_) == 0)
-    state = F.when(closed | (F.col("outcome") == "coherent_identity_evidence"), "identity_coherent").when(F.col("outcome") == "semantic_identity_conflict", "conflicting_identity").when(F.col("outcome") == "unresolved_identity", "failed_match").otherwise("needs_review")
+    state = F.when(closed | (F.col("outcome") == "coherent_identity_evidence"),
+        "identity_coherent").when(F.col("outcome") == "semantic_identity_conflict",
+            "conflicting_identity").when(F.col("outcome") == "unresolved_identity", "failed_match").otherwise("needs_review")
     return df.withColumn("open_reasons", open_).withColumn("mechanically_closed", closed).withColumn("next_state", state)
 
 
 def build_evidence(names: DataFrame, releases: DataFrame, authority: DataFrame) -> DataFrame:
     """Evidence of names(artist_id, name, external_id) from releases(artist_id, year) and authority(authority_id, name, alias, linked_id, begin_year), joined by name key or alias."""
-    both = authority.select("authority_id", "linked_id", "begin_year", F.explode(F.array_distinct(F.array(name_key("name"), name_key(F.coalesce("alias", "name"))))).alias("k"))
+    both = authority.select("authority_id", "linked_id", "begin_year",
+        F.explode(F.array_distinct(F.array(name_key("name"), name_key(F.coalesce("alias", "name"))))).alias("k"))
     df = names.select("artist_id", "external_id", name_key("name").alias("k")).join(both, "k", "left")
     first = releases.groupBy("artist_id").agg(F.min("year").alias("first_year"), F.count("*").alias("releases"))
     df = df.join(first, "artist_id", "left")
     return df.groupBy("artist_id").agg(
-        F.countDistinct("authority_id").alias("authority_ids"), F.count_if(F.col("linked_id") == F.col("external_id")).alias("linked"), F.count_if(F.col("linked_id") != F.col("external_id")).alias("conflicting_links"),
-        F.max(F.coalesce(F.col("first_year") < F.col("begin_year"), F.lit(False))).alias("chronology_conflict"), F.max(F.coalesce("releases", F.lit(0))).alias("releases"),
+        F.countDistinct("authority_id").alias("authority_ids"), F.count_if(F.col("linked_id") == F.col("external_id")).alias("linked"),
+            F.count_if(F.col("linked_id") != F.col("external_id")).alias("conflicting_links"),
+        F.max(F.coalesce(F.col("first_year") < F.col("begin_year"), F.lit(False))).alias("chronology_conflict"),
+            F.max(F.coalesce("releases", F.lit(0))).alias("releases"),
     )
 
 
@@ -173,8 +195,10 @@ def corroboration_scores(df: DataFrame) -> DataFrame:
     out = out.withColumn("coherent_alternatives", F.coalesce(F.col("primary_coherent") & (F.col("empty_alternatives") > 0), F.lit(False)))
     out = out.withColumn("weak_score", yes("image", 2) + yes("case_agrees", 2) + yes("has_release", 3))
     conflicts = reasons(
-        ("external_identifier_conflict", F.col("id_conflict")), ("artist_type_conflict", ~F.col("type_match")), ("chronology_conflict", F.col("chronology") == "conflict"),
-        ("multiple_plausible_same_name_catalogs", F.col("several_catalogs")), ("incomplete_catalog_evidence", ~F.col("catalog_complete")), ("duplicate_spotify_id", F.col("duplicate_id")),
+        ("external_identifier_conflict", F.col("id_conflict")), ("artist_type_conflict", ~F.col("type_match")),
+            ("chronology_conflict", F.col("chronology") == "conflict"),
+        ("multiple_plausible_same_name_catalogs", F.col("several_catalogs")), ("incomplete_catalog_evidence", ~F.col("catalog_complete")),
+            ("duplicate_spotify_id", F.col("duplicate_id")),
     )
     return out.withColumn("conflicts", conflicts).withColumn("conflict", F.size("conflicts") > 0)
 
@@ -197,11 +221,15 @@ def second_stage(df: DataFrame) -> DataFrame:
     bad = F.col("conflict") | F.coalesce(F.col("chronology") == "conflict", F.lit(False))
     promoted = (F.col("status") == "manual_review_required") & enough
     out = df.withColumn("corroboration_score", total).withColumn("corroborated", enough)
-    out = out.withColumn("final_status", F.when(verified, "verified_existing").when(bad, "conflicting_identity").when(promoted, "high_confidence_candidate").otherwise(F.col("status")))
-    return out.withColumn("final_confidence", F.when(verified, 100).when(bad, F.least("confidence", F.lit(49))).when(promoted, F.least(F.lit(95), F.col("confidence") + F.floor(total / 3 + 0.5))).otherwise(F.col("confidence")).cast("long"))
+    out = out.withColumn("final_status", F.when(verified, "verified_existing").when(bad, "conflicting_identity").when(promoted,
+        "high_confidence_candidate").otherwise(F.col("status")))
+    return out.withColumn("final_confidence", F.when(verified, 100).when(bad, F.least("confidence", F.lit(49))).when(promoted,
+        F.least(F.lit(95), F.col("confidence") + F.floor(total / 3 + 0.5))).otherwise(F.col("confidence")).cast("long"))
 
 
 def promotion_summary(df: DataFrame) -> DataFrame:
     """(final_status, rows, promoted, still_in_review, mean_score) of second-stage rows."""
     moved = (F.col("status") == "manual_review_required") & (F.col("final_status") == "high_confidence_candidate")
-    return df.groupBy("final_status").agg(F.count("*").alias("rows"), F.count_if(moved).alias("promoted"), F.count_if(F.col("final_status").isin("manual_review_required", "conflicting_identity", "unresolved")).alias("still_in_review"), F.round(F.avg("corroboration_score"), 4).alias("mean_score"))
+    return df.groupBy("final_status").agg(F.count("*").alias("rows"), F.count_if(moved).alias("promoted"),
+        F.count_if(F.col("final_status").isin("manual_review_required", "conflicting_identity", "unresolved")).alias("still_in_review"),
+            F.round(F.avg("corroboration_score"), 4).alias("mean_score"))

@@ -32,16 +32,19 @@ def cohort_status(source: DataFrame, enriched: DataFrame, live: DataFrame) -> Da
     short = (F.size(F.split(text, r"\s+")) == 1) | (F.length(text) <= 4)
     symbol = F.col("name").rlike(r"[^\p{L}\p{N}\s]")
     status = (
-        F.when(F.col("_live"), "verified_existing").when(F.coalesce(F.col("_e.external_id"), F.lit("")) == "", "unresolved").when(~F.col("_e.name").eqNullSafe(F.col("name")), "conflicting_identity")
+        F.when(F.col("_live"), "verified_existing").when(F.coalesce(F.col("_e.external_id"), F.lit("")) == "",
+            "unresolved").when(~F.col("_e.name").eqNullSafe(F.col("name")), "conflicting_identity")
         .when(short | symbol, "manual_review_required").otherwise("high_confidence_candidate")
     )
-    level = F.create_map(*(F.lit(x) for pair in (("verified_existing", 100), ("unresolved", 0), ("conflicting_identity", 49), ("manual_review_required", 75), ("high_confidence_candidate", 95)) for x in pair))
+    level = F.create_map(*(F.lit(x) for pair in (("verified_existing", 100), ("unresolved", 0), ("conflicting_identity", 49),
+        ("manual_review_required", 75), ("high_confidence_candidate", 95)) for x in pair))
     df = df.withColumn("status", status)
     is_ = lambda *names: F.col("status").isin(*names)
     concerns = reasons(
         ("missing_stored_spotify_candidate", is_("unresolved")), ("stored_returned_name_difference", is_("conflicting_identity")),
         ("short_or_single_token_name", is_("manual_review_required") & short), ("punctuation_or_symbol_risk", is_("manual_review_required") & symbol),
-        ("exact_name_candidate_is_review_only", is_("high_confidence_candidate")), ("stored_enrichment_does_not_preserve_alternate_exact_candidates", is_("manual_review_required", "high_confidence_candidate")),
+        ("exact_name_candidate_is_review_only", is_("high_confidence_candidate")),
+            ("stored_enrichment_does_not_preserve_alternate_exact_candidates", is_("manual_review_required", "high_confidence_candidate")),
     )
     return df.select("key", "status", level[F.col("status")].cast("long").alias("confidence"), concerns.alias("concerns"))
 
@@ -51,8 +54,10 @@ def reconcile_cohort(source: DataFrame, enriched: DataFrame, live: DataFrame, re
     e = enriched.select("key", F.col("external_id").alias("e_id"), F.col("name").alias("e_name"))
     df = source.join(e, "key", "left").join(live.select("external_id", F.lit(True).alias("_live")).distinct(), "external_id", "left")
     df = df.join(registry.groupBy("external_id").agg(F.min("artist_id").alias("artist_id")), "external_id", "left")
-    drift = F.array_compact(F.array(F.when(F.col("e_id").isNotNull() & (F.col("e_id") != F.col("external_id")), "external_id"), F.when(F.col("e_name").isNotNull() & (F.col("e_name") != F.col("name")), "name")))
-    status = F.when(F.col("e_id").isNull(), "missing_enrichment").when(F.size(drift) > 0, "drift").when(F.col("_live"), "already_live").when(F.col("artist_id").isNotNull(), "registered").otherwise("new")
+    drift = F.array_compact(F.array(F.when(F.col("e_id").isNotNull() & (F.col("e_id") != F.col("external_id")), "external_id"),
+        F.when(F.col("e_name").isNotNull() & (F.col("e_name") != F.col("name")), "name")))
+    status = F.when(F.col("e_id").isNull(), "missing_enrichment").when(F.size(drift) > 0, "drift").when(F.col("_live"),
+        "already_live").when(F.col("artist_id").isNotNull(), "registered").otherwise("new")
     return df.select("key", "external_id", "artist_id", status.alias("status"), F.array_join(drift, ",").alias("drift"))
 
 
@@ -60,13 +65,15 @@ def to_v2(df: DataFrame) -> DataFrame:
     """Nested version-2 rows of df(artist_id, name, genre, tier, spotify_id, image)."""
     return df.select(
         "artist_id", F.lit(2).alias("schema_version"), F.struct("name").alias("identity"), F.struct("genre", "tier").alias("editorial"),
-        F.map_from_entries(F.array_compact(F.array(F.when(F.col("spotify_id").isNotNull(), F.struct(F.lit("spotify"), F.col("spotify_id")))))).alias("external_ids"), F.struct("image").alias("media"),
+        F.map_from_entries(F.array_compact(F.array(F.when(F.col("spotify_id").isNotNull(),
+            F.struct(F.lit("spotify"), F.col("spotify_id")))))).alias("external_ids"), F.struct("image").alias("media"),
     )
 
 
 def review_package(reports: DataFrame, accounting: DataFrame, proposed: DataFrame, live: DataFrame, outcomes: list[str]) -> DataFrame:
     """(artist_id, external_id, outcome, origin): selected reports with their accounting and proposed id, less the live ones, and the live rows."""
-    picked = reports.where(F.col("outcome").isin(*outcomes)).join(accounting.select("key", "external_id"), "key").join(proposed.select("external_id", "artist_id"), "external_id")
+    picked = reports.where(F.col("outcome").isin(*outcomes)).join(accounting.select("key", "external_id"),
+        "key").join(proposed.select("external_id", "artist_id"), "external_id")
     new = picked.join(live.select("external_id"), "external_id", "left_anti").select("artist_id", "external_id", "outcome", F.lit("review").alias("origin"))
     return live.select("artist_id", "external_id", F.lit(None).cast("string").alias("outcome"), F.lit("live").alias("origin")).unionByName(new)
 

@@ -26,12 +26,15 @@ def duplicate_preflight(candidates: DataFrame, registry: DataFrame, queue: DataF
     place = Window.partitionBy("external_id").orderBy("position", "candidate_id")
     same = active.where("external_id is not null").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= 2)
     same = same.groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("position", "candidate_id"))).alias("queued"))
-    names = active.select(name_key("name").alias("k"), F.col("external_id").alias("e"), F.col("candidate_id").alias("c")).unionByName(directory.select(name_key("name").alias("k"), F.col("external_id").alias("e"), F.lit(None).cast("string").alias("c")))
+    names = active.select(name_key("name").alias("k"), F.col("external_id").alias("e"),
+        F.col("candidate_id").alias("c")).unionByName(directory.select(name_key("name").alias("k"), F.col("external_id").alias("e"),
+            F.lit(None).cast("string").alias("c")))
     # of a name: how many rows, how many with each external id, so that a candidate can leave out itself and its id
     counts = names.groupBy("k").agg(F.count("*").alias("n"))
     own = names.where("e is not null").groupBy(F.col("k").alias("k_own"), "e").agg(F.count("*").alias("n_own"))
     alone = names.where("c is not null and e is null").groupBy(F.col("k").alias("k_self"), "c").agg(F.count("*").alias("n_self"))
-    df = candidates.withColumn("k", name_key("name")).join(asserted, "asserted_id", "left").join(live, "external_id", "left").join(same, "external_id", "left").join(counts, "k", "left")
+    df = candidates.withColumn("k", name_key("name")).join(asserted, "asserted_id", "left").join(live, "external_id", "left").join(same,
+        "external_id", "left").join(counts, "k", "left")
     df = df.join(own, (F.col("k") == F.col("k_own")) & (F.col("external_id") == F.col("e")), "left")
     df = df.join(alone, (F.col("k") == F.col("k_self")) & (F.col("candidate_id") == F.col("c")) & F.col("external_id").isNull(), "left")
     queued = F.filter("queued", lambda q: q["candidate_id"] != F.col("candidate_id"))
@@ -39,11 +42,15 @@ def duplicate_preflight(candidates: DataFrame, registry: DataFrame, queue: DataF
     clash = F.coalesce("n", F.lit(0)) - F.coalesce("n_own", F.lit(0)) - F.coalesce("n_self", F.lit(0)) > 0
     has, id_ = F.col("asserted_id").isNotNull(), F.col("external_id").isNotNull()
     unknown, bound = has & F.col("known").isNull(), has & id_ & (F.col("bound") != F.col("external_id"))
-    decided = F.when(unknown, "asserted_id_not_found").when(bound, "asserted_binding_conflict").when(has, "live_by_asserted_id").when(F.col("by_external").isNotNull(), "live_by_external_id").when(F.col("queued_id").isNotNull(), "queued_duplicate")
+    decided = F.when(unknown, "asserted_id_not_found").when(bound, "asserted_binding_conflict").when(has,
+        "live_by_asserted_id").when(F.col("by_external").isNotNull(), "live_by_external_id").when(F.col("queued_id").isNotNull(), "queued_duplicate")
     warn = decided.isNull() & clash
     reason = F.coalesce(decided, F.concat(F.when(id_, "identity_queued").otherwise("identity_discovery_queued"), F.when(warn, "_with_name_warning").otherwise("")))
     state = F.when(unknown | bound, "needs_review").when(decided.isNotNull(), "duplicate").when(id_, "identity_pending").otherwise("identity_discovery_pending")
-    return df.select("candidate_id", state.alias("next_state"), reason.alias("reason_code"), F.when(reason == "queued_duplicate", F.col("queued_id")).alias("duplicate_of"), F.when(reason == "live_by_asserted_id", F.col("asserted_id")).when(reason == "live_by_external_id", F.col("by_external")).alias("live_id"), warn.alias("name_warning"))
+    return df.select("candidate_id", state.alias("next_state"), reason.alias("reason_code"),
+        F.when(reason == "queued_duplicate", F.col("queued_id")).alias("duplicate_of"),
+            F.when(reason == "live_by_asserted_id", F.col("asserted_id")).when(reason == "live_by_external_id",
+                F.col("by_external")).alias("live_id"), warn.alias("name_warning"))
 
 
 def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFrame, registry: DataFrame) -> DataFrame:
@@ -60,17 +67,22 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     """
     occ = occurrences.dropDuplicates(["occurrence_id"]).withColumn("key", entity_key("provider", "entity_type", "entity_id"))
     occ = occ.withColumn("external_ids", F.array_sort(F.array_distinct(F.coalesce("external_ids", F.array().cast("array<string>")))))
-    known = associations.groupBy("occurrence_id").agg(F.countDistinct("target_type", "target_id").alias("targets"), F.min("target_type").alias("target_type"), F.min("target_id").alias("target_id"))
-    done = occ.join(known, "occurrence_id").select("occurrence_id", F.when(F.col("targets") == 1, "idempotent_existing_occurrence").otherwise("error_several_targets").alias("action"), F.when(F.col("targets") == 1, F.col("target_type")).alias("target_type"), F.when(F.col("targets") == 1, F.col("target_id")).alias("target_id"))
+    known = associations.groupBy("occurrence_id").agg(F.countDistinct("target_type", "target_id").alias("targets"),
+        F.min("target_type").alias("target_type"), F.min("target_id").alias("target_id"))
+    done = occ.join(known, "occurrence_id").select("occurrence_id", F.when(F.col("targets") == 1,
+        "idempotent_existing_occurrence").otherwise("error_several_targets").alias("action"),
+            F.when(F.col("targets") == 1, F.col("target_type")).alias("target_type"), F.when(F.col("targets") == 1, F.col("target_id")).alias("target_id"))
     new = occ.join(known.select("occurrence_id"), "occurrence_id", "left_anti")
     ids = new.select("occurrence_id", F.explode("external_ids").alias("external_id"))
     target = lambda kind, id_: F.struct(F.lit(kind).alias("t"), F.col(id_).alias("i"))
-    by_key = new.join(associations.select("key", "target_type", "target_id").distinct(), "key").select("occurrence_id", F.struct(F.col("target_type").alias("t"), F.col("target_id").alias("i")).alias("x"))
+    by_key = new.join(associations.select("key", "target_type", "target_id").distinct(), "key").select("occurrence_id",
+        F.struct(F.col("target_type").alias("t"), F.col("target_id").alias("i")).alias("x"))
     by_candidate = ids.join(candidates.where("external_id is not null"), "external_id").select("occurrence_id", target("candidate", "candidate_id").alias("x"))
     by_registry = ids.join(registry, "external_id").select("occurrence_id", target("live_artist", "artist_id").alias("x"))
     live = registry.select("artist_id").distinct()
     claimed = new.where("asserted_id is not null").join(live.withColumn("ok", F.lit(True)), F.col("asserted_id") == F.col("artist_id"), "left")
-    by_assertion = claimed.select("occurrence_id", F.struct(F.when(F.col("ok"), "live_artist").otherwise("unresolved").alias("t"), F.col("asserted_id").alias("i")).alias("x"))
+    by_assertion = claimed.select("occurrence_id", F.struct(F.when(F.col("ok"), "live_artist").otherwise("unresolved").alias("t"),
+        F.col("asserted_id").alias("i")).alias("x"))
     found = by_key.unionByName(by_candidate).unionByName(by_registry).unionByName(by_assertion).groupBy("occurrence_id").agg(F.array_sort(F.collect_set("x")).alias("found"))
     new = new.join(found, "occurrence_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<t:string,i:string>>")))
     keys = F.concat(F.array(F.concat(F.lit("k:"), F.col("key"))), F.transform("external_ids", lambda e: F.concat(F.lit("e:"), e)))
@@ -83,10 +95,13 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     several = (F.size("external_ids") > 1) | (F.size(targets) > 1) | wrong
     one = F.try_element_at(targets, F.lit(1))
     made = F.concat(F.lit("candidate:"), F.col("occurrence_id"))
-    action = F.when(several, "ambiguous_to_review").when(one["t"] == "live_artist", "associate_live_artist").when(one["t"] == "candidate", "attach_candidate").when(F.size("external_ids") == 1, "create_candidate").otherwise("create_identity_discovery_candidate")
+    action = F.when(several, "ambiguous_to_review").when(one["t"] == "live_artist", "associate_live_artist").when(one["t"] == "candidate",
+        "attach_candidate").when(F.size("external_ids") == 1, "create_candidate").otherwise("create_identity_discovery_candidate")
     fresh = action.isin("ambiguous_to_review", "create_candidate", "create_identity_discovery_candidate")
-    routed = alone.select("occurrence_id", action.alias("action"), F.when(fresh, "candidate").otherwise(one["t"]).alias("target_type"), F.when(fresh, made).otherwise(one["i"]).alias("target_id"))
-    together = new.join(grouped, "occurrence_id").select("occurrence_id", "component", "key", "external_ids", F.col("discovered_at").cast("double").alias("at"), F.transform("found", lambda x: F.concat(x["t"], F.lit("|"), x["i"])).alias("found"))
+    routed = alone.select("occurrence_id", action.alias("action"), F.when(fresh, "candidate").otherwise(one["t"]).alias("target_type"),
+        F.when(fresh, made).otherwise(one["i"]).alias("target_id"))
+    together = new.join(grouped, "occurrence_id").select("occurrence_id", "component", "key", "external_ids",
+        F.col("discovered_at").cast("double").alias("at"), F.transform("found", lambda x: F.concat(x["t"], F.lit("|"), x["i"])).alias("found"))
     schema = "occurrence_id string, action string, target_type string, target_id string"
     together = together.repartition("component").sortWithinPartitions("component", "at", "occurrence_id").mapInPandas(_in_order, schema)
     return done.unionByName(routed).unionByName(together)
@@ -152,7 +167,9 @@ def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue:
     own = df.where("external_id is not null").select("candidate_id", F.first("candidate_id").over(earlier).alias("first_id"))
     out = out.join(own, "candidate_id", "left")
     late = out["next_state"].isin("identity_pending") & (F.col("first_id") != F.col("candidate_id"))
-    return out.select("candidate_id", F.when(late, "duplicate").otherwise(F.col("next_state")).alias("next_state"), F.when(late, "queued_duplicate").otherwise(F.col("reason_code")).alias("reason_code"), F.when(late, F.col("first_id")).otherwise(F.col("duplicate_of")).alias("duplicate_of"), "live_id", "name_warning")
+    return out.select("candidate_id", F.when(late, "duplicate").otherwise(F.col("next_state")).alias("next_state"),
+        F.when(late, "queued_duplicate").otherwise(F.col("reason_code")).alias("reason_code"),
+            F.when(late, F.col("first_id")).otherwise(F.col("duplicate_of")).alias("duplicate_of"), "live_id", "name_warning")
 
 
 def build_indexes(associations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,8 @@ def project_directory(df: DataFrame) -> DataFrame:
     external_ids map<string, string>. Version 2 takes the nested fields first, version 1 the flat ones.
     """
     v2 = F.col("schema_version") == 2
-    pairs = {"name": F.col("identity.name"), "genre": F.col("editorial.genre"), "tier": F.col("editorial.tier"), "spotify_id": F.try_element_at("external_ids", F.lit("spotify"))}
+    pairs = {"name": F.col("identity.name"), "genre": F.col("editorial.genre"), "tier": F.col("editorial.tier"),
+        "spotify_id": F.try_element_at("external_ids", F.lit("spotify"))}
     flat = [F.when(v2, F.coalesce(nested, F.col(c))).otherwise(F.col(c)).alias(c) for c, nested in pairs.items()]
     drift = F.array_compact(F.array(*(F.when(v2 & F.col(c).isNotNull() & nested.isNotNull() & (F.col(c) != nested), F.lit(c)) for c, nested in pairs.items())))
     return df.select("schema_version", "artist_id", *flat, drift.alias("drift"))
@@ -58,7 +59,8 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> D
     j = left.select(key, *columns).alias("l").join(right.select(key, *columns).alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "full")
     changed = F.array_compact(F.array(*(F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in columns)))
     kind = F.when(F.col(f"r.{key}").isNull(), "left_only").when(F.col(f"l.{key}").isNull(), "right_only").when(~_same(columns), "changed")
-    out = j.select(F.coalesce(f"l.{key}", f"r.{key}").alias(key), kind.alias("difference"), F.array_join(F.when(kind == "changed", changed).otherwise(F.array().cast("array<string>")), ",").alias("columns"))
+    out = j.select(F.coalesce(f"l.{key}", f"r.{key}").alias(key), kind.alias("difference"),
+        F.array_join(F.when(kind == "changed", changed).otherwise(F.array().cast("array<string>")), ",").alias("columns"))
     return out.where("difference is not null")
 
 

@@ -66,7 +66,8 @@ def replay(events: DataFrame) -> DataFrame:
     r = F.col("candidate_revision")
     attach = F.when((F.col("event_type") == "discovery_attached") | (F.col("event_type") == "candidate_discovered"), F.col("occurrence_id"))
     out = events.groupBy("candidate_id").agg(
-        F.max(r).alias("revision"), F.max_by("next_state", r).alias("state"), F.min_by("occurred_at", r).alias("created_at"), F.max_by("occurred_at", r).alias("updated_at"),
+        F.max(r).alias("revision"), F.max_by("next_state", r).alias("state"), F.min_by("occurred_at", r).alias("created_at"),
+            F.max_by("occurred_at", r).alias("updated_at"),
         F.max_by("reason_code", r).alias("last_reason"), F.max_by("identifier", F.when(F.col("identifier").isNotNull(), r)).alias("external_id"),
         F.array_sort(F.collect_list(F.when(attach.isNotNull(), F.struct(r.alias("r"), attach.alias("o"))))).alias("_o"),
         F.count_if(F.col("event_type") == "state_transition").alias("transitions"),
@@ -79,7 +80,9 @@ def validate_log(events: DataFrame, transitions: DataFrame, key: str = "candidat
     w = Window.partitionBy(key).orderBy(revision)
     df = events.withColumn("_before", F.lag("next_state").over(w)).withColumn("_rev", F.lag(revision).over(w))
     legal = transitions.select("previous_state", "next_state", F.lit(True).alias("_legal"))
-    df = df.join(F.broadcast(legal) if _is_small(transitions) else legal, df["previous_state"].eqNullSafe(legal["previous_state"]) & (df["next_state"] == legal["next_state"]), "left").drop(legal["previous_state"]).drop(legal["next_state"])
+    df = df.join(F.broadcast(legal) if _is_small(transitions) else legal,
+        df["previous_state"].eqNullSafe(legal["previous_state"]) & (df["next_state"] == legal["next_state"]),
+            "left").drop(legal["previous_state"]).drop(legal["next_state"])
     first = F.col("_rev").isNull()
     moves = F.col("event_type") == "state_transition"
     faults = reasons(
@@ -91,7 +94,8 @@ def validate_log(events: DataFrame, transitions: DataFrame, key: str = "candidat
     )
     out = df.select(key, revision, F.explode(faults).alias("fault"))
     if "occurrence_id" in events.columns:
-        again = events.where("event_type = 'discovery_attached' and occurrence_id is not null").groupBy(key, "occurrence_id").agg(F.max(revision).alias(revision), F.count("*").alias("n")).where("n > 1")
+        again = events.where("event_type = 'discovery_attached' and occurrence_id is not null").groupBy(key,
+            "occurrence_id").agg(F.max(revision).alias(revision), F.count("*").alias("n")).where("n > 1")
         out = out.unionByName(again.select(key, revision, F.lit("repeated_attachment").alias("fault")))
     if "identifier" in events.columns:
         over = events.where("identifier is not null").groupBy(key).agg(F.max(revision).alias(revision), F.countDistinct("identifier").alias("n")).where("n > 1")
@@ -117,7 +121,8 @@ def states_as_of(events: DataFrame, instants: DataFrame, inclusive: bool = False
         return seen.groupBy("instant", "candidate_id").agg(F.max_by("next_state", "candidate_revision").alias("state"), F.min("occurred_at").alias("created_at"))
     w = Window.partitionBy("candidate_id").orderBy("occurred_at")  # events of one time are in each other's frame
     spans = events.where("occurred_at is not null").select(
-        "candidate_id", F.max_by("next_state", "candidate_revision").over(w).alias("state"), F.min("occurred_at").over(w).alias("created_at"), "occurred_at", F.lead("occurred_at").over(w).alias("_until"),
+        "candidate_id", F.max_by("next_state", "candidate_revision").over(w).alias("state"), F.min("occurred_at").over(w).alias("created_at"),
+            "occurred_at", F.lead("occurred_at").over(w).alias("_until"),
     )
     since, until, now = F.col("occurred_at"), F.col("_until"), F.col("instant")
     within = (since <= now) & (until.isNull() | (now < until)) if inclusive else (since < now) & (until.isNull() | (now <= until))
@@ -133,14 +138,17 @@ def emit_events(decisions: DataFrame, candidates: DataFrame) -> tuple[DataFrame,
     now = candidates.select("candidate_id", "revision", "state", F.col("occurrences").alias("_have"))
     df = decisions.join(now, "candidate_id", "left")
     legal = transition_table(decisions.sparkSession).withColumn("_legal", F.lit(True))
-    df = df.join(legal, df["state"].eqNullSafe(legal["previous_state"]) & (df["next_state"] == legal["next_state"]), "left").drop(legal["previous_state"]).drop(legal["next_state"])
+    df = df.join(legal, df["state"].eqNullSafe(legal["previous_state"]) & (df["next_state"] == legal["next_state"]),
+        "left").drop(legal["previous_state"]).drop(legal["next_state"])
     inert = (F.col("event_type") == "discovery_attached") & F.coalesce(F.array_contains("_have", F.col("occurrence_id")), F.lit(False))
-    why = F.when(inert, "inert").when(F.col("revision").isNotNull() & (F.col("expected_revision") != F.col("revision")), "stale").when((F.col("event_type") == "state_transition") & F.col("_legal").isNull(), "illegal")
+    why = F.when(inert, "inert").when(F.col("revision").isNotNull() & (F.col("expected_revision") != F.col("revision")),
+        "stale").when((F.col("event_type") == "state_transition") & F.col("_legal").isNull(), "illegal")
     df = df.withColumn("refused", why)
     keep = F.col("event_type").isin(*EVENT_TYPES[2:])
     events = df.where("refused is null").select(
         "candidate_id", "event_type", F.col("state").alias("previous_state"), F.when(keep, F.col("state")).otherwise(F.col("next_state")).alias("next_state"),
-        F.coalesce("revision", F.lit(0)).alias("previous_revision"), (F.coalesce("revision", F.lit(0)) + 1).alias("candidate_revision"), "reason_code", "occurred_at", "occurrence_id", "identifier",
+        F.coalesce("revision", F.lit(0)).alias("previous_revision"), (F.coalesce("revision", F.lit(0)) + 1).alias("candidate_revision"),
+            "reason_code", "occurred_at", "occurrence_id", "identifier",
     )
     events = events.withColumn("event_id", content_id("candidate_id", "candidate_revision", "event_type", "next_state"))
     return events, df.where("refused is not null").select("candidate_id", "event_type", "expected_revision", "revision", "refused")
@@ -167,7 +175,8 @@ def retry_schedule(failures: DataFrame) -> DataFrame:
     elapsed = t - F.col("first_failure_at").cast("double")
     late = elapsed >= RETRY_HOURS * 3600
     wait = F.col("retry_after").try_cast("double")
-    server = F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0))).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.try_to_timestamp("retry_after").cast("double") - t), F.lit(0.0)))
+    server = F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0))).otherwise(F.coalesce(F.greatest(F.lit(0.0),
+        F.try_to_timestamp("retry_after").cast("double") - t), F.lit(0.0)))
     policy = F.element_at(F.array(*(F.lit(60.0 * m) for m in RETRY_MINUTES)), F.least(F.col("attempt"), F.lit(3)))
     exhausted = (F.col("attempt") > len(RETRY_MINUTES)) | late
     df = df.withColumn("exhausted", exhausted).withColumn("exhaustion_reason", F.when(late, "retry_elapsed_time_exhausted").when(exhausted, "retry_attempts_exhausted"))
@@ -178,7 +187,9 @@ def route_exhausted(candidates: DataFrame, retries: DataFrame) -> DataFrame:
     """Decisions that put candidates in retry_wait on review hold where a retry of theirs is exhausted."""
     done = retries.where("exhausted").groupBy("candidate_id").agg(F.max("occurred_at").alias("occurred_at"))
     out = candidates.where("state = 'retry_wait'").join(done, "candidate_id")
-    return out.select("candidate_id", F.col("revision").alias("expected_revision"), F.lit("state_transition").alias("event_type"), F.lit("needs_review").alias("next_state"), F.lit("retry_budget_exhausted").alias("reason_code"), "occurred_at", F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
+    return out.select("candidate_id", F.col("revision").alias("expected_revision"), F.lit("state_transition").alias("event_type"),
+        F.lit("needs_review").alias("next_state"), F.lit("retry_budget_exhausted").alias("reason_code"), "occurred_at",
+            F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
 
 
 def select_work(candidates: DataFrame, state: str | None, n: int) -> DataFrame:
@@ -190,7 +201,8 @@ def select_work(candidates: DataFrame, state: str | None, n: int) -> DataFrame:
 
 def failure_class(code: str = "status_code"):
     c = F.col(code)
-    return F.when(c.isin(401, 403), "authentication_or_configuration").when(c.isin(404, 409, 410, 422), "permanent_absence").when(c.isNull() | c.isin(408, 425, 429, 500, 502, 503, 504), "transient").otherwise("permanent")
+    return F.when(c.isin(401, 403), "authentication_or_configuration").when(c.isin(404, 409, 410, 422),
+        "permanent_absence").when(c.isNull() | c.isin(408, 425, 429, 500, 502, 503, 504), "transient").otherwise("permanent")
 
 
 def failure_metrics(calls: DataFrame) -> DataFrame:
@@ -200,7 +212,8 @@ def failure_metrics(calls: DataFrame) -> DataFrame:
     df = calls.withColumn("kind", kind)
     return df.groupBy("provider").agg(
         F.count("*").alias("requests"), F.count_if(F.col("kind").isNull()).alias("successes"),
-        *(F.count_if(F.col("kind") == k).alias(n) for k, n in (("authentication_or_configuration", "authentication_failures"), ("permanent_absence", "permanent_absences"), ("transient", "transient_failures"), ("permanent", "permanent_failures"))),
+        *(F.count_if(F.col("kind") == k).alias(n) for k, n in (("authentication_or_configuration", "authentication_failures"),
+            ("permanent_absence", "permanent_absences"), ("transient", "transient_failures"), ("permanent", "permanent_failures"))),
     )
 
 
@@ -245,7 +258,8 @@ def breaker_history(calls: DataFrame, threshold: int = 2, probe_seconds: float =
                 if r.provider != at:
                     at, breaker = r.provider, CLOSED
                 text = lambda x: x if isinstance(x, str) else None
-                breaker, skipped = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after, text(r.run_id), threshold, probe_seconds)
+                breaker, skipped = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after,
+                    text(r.run_id), threshold, probe_seconds)
                 out.append((r.provider, r.call_id, breaker[0], breaker[1], skipped, breaker[2]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -278,11 +292,13 @@ def replay_runs(run_events: DataFrame) -> DataFrame:
     kind, r = F.col("event_type"), F.col("revision")
     place = F.when(kind == "run_created", 1).when(kind == "phase_completed", F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase")))
     ends = (kind == "phase_completed") & (F.col("phase") == PHASES[-1])
-    control = F.when(kind.isin("run_created", "run_resumed"), "running").when(kind == "run_paused", "paused").when(kind == "run_stopped", "stopped").when(ends, "completed")
+    control = F.when(kind.isin("run_created", "run_resumed"), "running").when(kind == "run_paused", "paused").when(kind == "run_stopped",
+        "stopped").when(ends, "completed")
     w = Window.partitionBy("run_id").orderBy("revision")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     df = run_events.withColumn("_place", place).withColumn("_control", control)
-    df = df.withColumn("_prev", F.lag("revision").over(w)).withColumn("_before", F.last("_place", True).over(past)).withColumn("_was", F.last("_control", True).over(past))
+    df = df.withColumn("_prev", F.lag("revision").over(w)).withColumn("_before", F.last("_place", True).over(past)).withColumn("_was",
+        F.last("_control", True).over(past))
     was, first = F.coalesce("_was", F.lit("none")), F.col("_prev").isNull()
     faults = reasons(
         ("revision_gap", F.when(first, r != 1).otherwise(r != F.col("_prev") + 1)),
@@ -296,15 +312,20 @@ def replay_runs(run_events: DataFrame) -> DataFrame:
     last = lambda c, when=None: F.max_by(c, F.when(when if when is not None else F.col(c).isNotNull(), r))
     by_provider = F.map_from_entries(F.transform(F.array_sort(F.collect_set(F.struct("provider", "_last"))), lambda x: F.struct(x["provider"], x["_last"])))
     runs = df.groupBy("run_id").agg(
-        F.max(r).alias("revision"), F.coalesce(last("_place"), F.lit(0)).cast("long").alias("phases_done"), F.count_if(F.col("disposition") == "skipped").alias("skipped_phases"),
-        last("_control").alias("status"), last(F.when(kind == "run_paused", F.col("reason")), kind.isin("run_created", "run_paused", "run_resumed") | ends).alias("pause_reason"),
+        F.max(r).alias("revision"), F.coalesce(last("_place"), F.lit(0)).cast("long").alias("phases_done"),
+            F.count_if(F.col("disposition") == "skipped").alias("skipped_phases"),
+        last("_control").alias("status"), last(F.when(kind == "run_paused", F.col("reason")),
+            kind.isin("run_created", "run_paused", "run_resumed") | ends).alias("pause_reason"),
         last(F.when(kind == "run_stopped", F.col("reason")), kind.isin("run_created", "run_stopped", "run_resumed") | ends).alias("stop_reason"),
-        last("requests").alias("requests"), (F.min_by("checksum", r) != last("checksum")).alias("checksum_changed"), F.array_sort(F.flatten(F.collect_list("_faults"))).alias("faults"),
+        last("requests").alias("requests"), (F.min_by("checksum", r) != last("checksum")).alias("checksum_changed"),
+            F.array_sort(F.flatten(F.collect_list("_faults"))).alias("faults"),
     )
-    lanes = run_events.where(kind == "provider_execution_recorded").groupBy("run_id", "provider").agg(F.max_by("requests", "revision").alias("_last")).groupBy("run_id").agg(by_provider.alias("providers"))
+    lanes = run_events.where(kind == "provider_execution_recorded").groupBy("run_id",
+        "provider").agg(F.max_by("requests", "revision").alias("_last")).groupBy("run_id").agg(by_provider.alias("providers"))
     phase = lambda k: F.try_element_at(F.array(*map(F.lit, PHASES)), (F.col("phases_done") + k).cast("int"))
     out = runs.join(lanes, "run_id", "left").withColumn("last_phase", F.when(F.col("phases_done") > 0, phase(0))).withColumn("first_open_phase", phase(1))
-    return out.select("run_id", "revision", "phases_done", "skipped_phases", "last_phase", "first_open_phase", "status", "pause_reason", "stop_reason", "requests", "providers", "checksum_changed", "faults")
+    return out.select("run_id", "revision", "phases_done", "skipped_phases", "last_phase", "first_open_phase", "status", "pause_reason",
+        "stop_reason", "requests", "providers", "checksum_changed", "faults")
 
 
 def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int = 25, lease_minutes: int = 5) -> DataFrame:
@@ -315,15 +336,20 @@ def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int =
     as unrouted_outcome.
     """
     t = F.lit(now).cast("timestamp")
-    row = lambda df, state, why: df.select("candidate_id", F.col("revision").alias("expected_revision"), F.lit("state_transition").alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
-    expired = candidates.where(F.col("state").isin("identity_resolving", "identity_discovering") & (F.col("updated_at") <= t - F.expr(f"interval {lease_minutes} minutes")))
+    row = lambda df, state, why: df.select("candidate_id", F.col("revision").alias("expected_revision"),
+        F.lit("state_transition").alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"),
+            F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
+    expired = candidates.where(F.col("state").isin("identity_resolving",
+        "identity_discovering") & (F.col("updated_at") <= t - F.expr(f"interval {lease_minutes} minutes")))
     due = candidates.where((F.col("state") == "retry_wait") & (F.col("retry_at") <= t))
     picked = select_work(candidates, "identity_pending", n).join(outcomes, "candidate_id")
     routes = candidates.sparkSession.createDataFrame(list(ROUTES.items()), "outcome string, route string")
     picked = picked.where("outcome is not null").join(F.broadcast(routes), "outcome", "left")
-    route = F.when((F.col("outcome") == "provider_profile_multiplicity") & F.col("mechanically_closed"), "identity_coherent").otherwise(F.coalesce("route", F.lit("needs_review")))
+    route = F.when((F.col("outcome") == "provider_profile_multiplicity") & F.col("mechanically_closed"),
+        "identity_coherent").otherwise(F.coalesce("route", F.lit("needs_review")))
     why = F.when(F.col("route").isNull(), "unrouted_outcome").otherwise(F.col("outcome"))
-    return row(expired, F.lit("retry_wait"), F.lit("lease_expired")).unionByName(row(due, F.coalesce("resume_state", F.lit("identity_pending")), F.lit("retry_due"))).unionByName(row(picked, route, why))
+    return row(expired, F.lit("retry_wait"), F.lit("lease_expired")).unionByName(row(due, F.coalesce("resume_state", F.lit("identity_pending")),
+        F.lit("retry_due"))).unionByName(row(picked, route, why))
 
 
 def run_bridge_batch(candidates: DataFrame, bridges: DataFrame, now, n: int = 25, known: DataFrame | None = None) -> DataFrame:
@@ -336,13 +362,17 @@ def run_bridge_batch(candidates: DataFrame, bridges: DataFrame, now, n: int = 25
     work = select_work(candidates, "identity_discovery_pending", n).join(bridges, "candidate_id")
     unique = F.col("bridge_outcome") == "unique_bridge"
     nothing = F.lit(None).cast("string")
-    decision = lambda revision, kind, state, why, identifier: ("candidate_id", revision.alias("expected_revision"), kind.alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), nothing.alias("occurrence_id"), identifier.alias("identifier"))
-    out = work.select(*decision(F.col("revision"), F.when(unique, "candidate_identifier_attached").otherwise("state_transition"), F.when(unique, F.col("state")).when(F.col("bridge_outcome") == "conflict", "conflicting_identity").otherwise("needs_review"), F.col("bridge_outcome"), F.when(unique, F.col("external_id"))))
+    decision = lambda revision, kind, state, why, identifier: ("candidate_id", revision.alias("expected_revision"), kind.alias("event_type"),
+        state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), nothing.alias("occurrence_id"), identifier.alias("identifier"))
+    out = work.select(*decision(F.col("revision"), F.when(unique, "candidate_identifier_attached").otherwise("state_transition"),
+        F.when(unique, F.col("state")).when(F.col("bridge_outcome") == "conflict", "conflicting_identity").otherwise("needs_review"),
+            F.col("bridge_outcome"), F.when(unique, F.col("external_id"))))
     if known is None:
         return out
     held = known.where("external_id is not null").groupBy("external_id").agg(F.collect_set("holder").alias("_holders"))
     first = F.min(F.struct("queue_place", "candidate_id")).over(Window.partitionBy("external_id"))["candidate_id"]
     found = work.where(unique).withColumn("_first", first).join(held, "external_id", "left")
     other = (F.size(F.array_remove(F.coalesce("_holders", F.array().cast("array<string>")), F.col("candidate_id"))) > 0) | (F.col("_first") != F.col("candidate_id"))
-    after = found.select(*decision(F.col("revision") + 1, F.lit("state_transition"), F.when(other, "duplicate").otherwise("identity_pending"), F.when(other, "exact_identifier_duplicate").otherwise("exact_spotify_bridge_ready_for_corroboration"), nothing))
+    after = found.select(*decision(F.col("revision") + 1, F.lit("state_transition"), F.when(other, "duplicate").otherwise("identity_pending"),
+        F.when(other, "exact_identifier_duplicate").otherwise("exact_spotify_bridge_ready_for_corroboration"), nothing))
     return out.unionByName(after)

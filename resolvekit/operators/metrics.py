@@ -10,7 +10,8 @@ from .lifecycle import states_as_of
 PENDING = ("identity_pending", "identity_discovery_pending", "retry_wait")
 TERMINAL = ("identity_coherent", "needs_review", "conflicting_identity", "failed_match")
 REVIEW = ("needs_review", "conflicting_identity", "failed_match", "retry_wait", "identity_coherent", "validation_pending")
-COUNTERS = ("requests", "successes", "cache_hits", "retries", "errors", "retry_after_waits", "permanent_absences", "authentication_failures", "transient_failures", "skipped_lane_open")
+COUNTERS = ("requests", "successes", "cache_hits", "retries", "errors", "retry_after_waits", "permanent_absences", "authentication_failures",
+    "transient_failures", "skipped_lane_open")
 
 
 def in_period(df: DataFrame, column: str, start, end) -> DataFrame:
@@ -38,7 +39,8 @@ def queue_ages(candidates: DataFrame, as_of, by: str | None = None) -> DataFrame
     age = F.greatest(F.lit(0.0), (F.lit(as_of).cast("timestamp").cast("double") - F.col("created_at").cast("double")) / 3600)
     df = candidates.withColumn("age", age)
     p = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by age)"), 4)
-    return df.groupBy(*([by] if by else [])).agg(*(p(q).alias(f"p{int(q * 100)}_hours") for q in (0.5, 0.75, 0.9, 0.95)), F.round(F.coalesce(F.max("age"), F.lit(0.0)), 4).alias("max_hours"), F.count("*").alias("candidates"))
+    return df.groupBy(*([by] if by else [])).agg(*(p(q).alias(f"p{int(q * 100)}_hours") for q in (0.5, 0.75, 0.9, 0.95)),
+        F.round(F.coalesce(F.max("age"), F.lit(0.0)), 4).alias("max_hours"), F.count("*").alias("candidates"))
 
 
 def time_to_terminal(events: DataFrame, start, end) -> DataFrame:
@@ -54,7 +56,8 @@ def provider_rollup(runs: DataFrame) -> DataFrame:
     """Sums of each provider's counters over runs(run_id, updated_at, providers map<string, struct<metrics map<string,bigint>, breaker string, stop_reason string>>), its last breaker and its stop reasons."""
     df = runs.select("updated_at", F.explode("providers").alias("provider", "x"))
     sums = (F.coalesce(F.sum(F.coalesce(F.try_element_at("x.metrics", F.lit(c)), F.lit(0))), F.lit(0)).alias(c) for c in COUNTERS)
-    return df.groupBy("provider").agg(*sums, F.max_by("x.breaker", F.when(F.col("x.breaker").isNotNull(), F.col("updated_at"))).alias("breaker"), F.array_sort(F.collect_set("x.stop_reason")).alias("stop_reasons"))
+    return df.groupBy("provider").agg(*sums, F.max_by("x.breaker", F.when(F.col("x.breaker").isNotNull(), F.col("updated_at"))).alias("breaker"),
+        F.array_sort(F.collect_set("x.stop_reason")).alias("stop_reasons"))
 
 
 def budget_rollup(runs: DataFrame) -> DataFrame:
@@ -74,7 +77,8 @@ def worker_metrics(events: DataFrame, start, end) -> DataFrame:
         F.count_if(of("identity_resolving") & to("identity_coherent")).alias("coherent"), F.count_if(of("identity_resolving") & to("failed_match")).alias("failed_match"),
         F.count_if(of("identity_resolving", "identity_discovering") & to("needs_review", "conflicting_identity")).alias("review"),
         F.count_if(entry).alias("retry_entries"), F.count_if(back).alias("retry_recoveries"), F.count_if(out).alias("retry_exhaustions"),
-        F.countDistinct(F.when(entry | back | out, F.col("candidate_id"))).alias("retry_candidates"), F.count_if(F.col("event_type") == "candidate_identifier_attached").alias("exact_bridges"),
+        F.countDistinct(F.when(entry | back | out, F.col("candidate_id"))).alias("retry_candidates"),
+            F.count_if(F.col("event_type") == "candidate_identifier_attached").alias("exact_bridges"),
     )
 
 
@@ -89,14 +93,17 @@ def daily_summary(events: DataFrame, occurrences: DataFrame, associations: DataF
     day = lambda c: F.date_format(F.date_trunc("day", F.col(c)), "yyyy-MM-dd").alias("day")
     is_, move = lambda t: F.col("event_type") == t, F.col("event_type") == "state_transition"
     a = events.groupBy(day("occurred_at")).agg(
-        F.count_if(is_("candidate_discovered")).alias("new_candidates"), F.count_if(is_("discovery_attached")).alias("attachments"), F.count_if(move & (F.col("next_state") == "identity_resolving")).alias("selections"),
+        F.count_if(is_("candidate_discovered")).alias("new_candidates"), F.count_if(is_("discovery_attached")).alias("attachments"),
+            F.count_if(move & (F.col("next_state") == "identity_resolving")).alias("selections"),
         F.count_if(move & (F.col("previous_state") == "identity_resolving") & (F.col("next_state") == "identity_coherent")).alias("coherent"),
     )
     b = occurrences.groupBy(day("discovered_at")).agg(F.count("*").alias("occurrences"))
     c = associations.where("target_type = 'live_artist'").groupBy(day("created_at")).agg(F.count("*").alias("rediscoveries"))
     df = a.join(b, "day", "full").join(c, "day", "full").fillna(0)
     df = df.withColumn("prevented", F.col("rediscoveries") + F.col("attachments"))
-    return df.select("day", "occurrences", "new_candidates", "attachments", "rediscoveries", "selections", "coherent", rate("new_candidates", "occurrences").alias("discovery_yield"), rate("rediscoveries", "occurrences").alias("rediscovery_rate"), rate("prevented", "occurrences").alias("duplicate_prevention_rate"), rate("coherent", "selections").alias("coherent_rate"))
+    return df.select("day", "occurrences", "new_candidates", "attachments", "rediscoveries", "selections", "coherent",
+        rate("new_candidates", "occurrences").alias("discovery_yield"), rate("rediscoveries", "occurrences").alias("rediscovery_rate"),
+            rate("prevented", "occurrences").alias("duplicate_prevention_rate"), rate("coherent", "selections").alias("coherent_rate"))
 
 
 def blockers(candidates: DataFrame, events: DataFrame, loose_same_name: bool = True) -> DataFrame:
@@ -107,7 +114,8 @@ def blockers(candidates: DataFrame, events: DataFrame, loose_same_name: bool = T
     why = events.groupBy("candidate_id").agg(F.collect_set("reason_code").alias("_why"))
     df = candidates.join(why, "candidate_id", "left")
     has = lambda f: F.coalesce(F.exists("_why", f), F.lit(False))
-    same = (F.col("same_name").isNotNull() if loose_same_name else F.coalesce(F.col("same_name") > 0, F.lit(False))) | F.coalesce(F.col("outcome") == "coherent_identity_with_same_name_ambiguity", F.lit(False))
+    same = (F.col("same_name").isNotNull() if loose_same_name else F.coalesce(F.col("same_name") > 0,
+        F.lit(False))) | F.coalesce(F.col("outcome") == "coherent_identity_with_same_name_ambiguity", F.lit(False))
     group = (
         F.when(has(lambda r: r == "retry_budget_exhausted"), "retry_budget_exhausted")
         .when(F.coalesce(F.col("outcome") == "semantic_identity_conflict", F.lit(False)) | (F.col("state") == "conflicting_identity"), "semantic_identity_conflict")
@@ -134,7 +142,8 @@ def action_metrics(results: DataFrame) -> DataFrame:
     """(action, results, targets, cross_source) of results(action, target_id, provider); cross_source are targets that several providers lead to."""
     wide = results.groupBy("target_id").agg((F.countDistinct("provider") > 1).alias("cross"))
     df = results.join(wide, "target_id")
-    return df.groupBy("action").agg(F.count("*").alias("results"), F.countDistinct("target_id").alias("targets"), F.countDistinct(F.when(F.col("cross"), F.col("target_id"))).alias("cross_source"))
+    return df.groupBy("action").agg(F.count("*").alias("results"), F.countDistinct("target_id").alias("targets"),
+        F.countDistinct(F.when(F.col("cross"), F.col("target_id"))).alias("cross_source"))
 
 
 def oldest_pending(candidates: DataFrame, k: int = 10) -> DataFrame:
@@ -146,7 +155,8 @@ def ops_status(runs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(item, name, value): requests of the last run of each provider, its breaker, and candidates by state."""
     lanes = runs.select("updated_at", F.explode("providers").alias("provider", "x"))
     last = lanes.groupBy("provider").agg(F.max_by("x", "updated_at").alias("x"))
-    a = last.select(F.lit("last_requests").alias("item"), F.col("provider").alias("name"), F.coalesce(F.try_element_at("x.metrics", F.lit("requests")), F.lit(0)).cast("string").alias("value"))
+    a = last.select(F.lit("last_requests").alias("item"), F.col("provider").alias("name"),
+        F.coalesce(F.try_element_at("x.metrics", F.lit("requests")), F.lit(0)).cast("string").alias("value"))
     b = last.where("x.breaker is not null").select(F.lit("breaker").alias("item"), F.col("provider").alias("name"), F.col("x.breaker").alias("value"))
     c = candidates.groupBy("state").agg(F.count("*").cast("string").alias("value")).select(F.lit("queue").alias("item"), F.col("state").alias("name"), "value")
     return a.unionByName(b).unionByName(c)

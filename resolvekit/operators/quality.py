@@ -39,7 +39,8 @@ def table_digest(df: DataFrame) -> DataFrame:
     """
     row = F.substring(content_id(*df.columns), 8, 64)
     parts = [F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") for k in range(4)]
-    sums = df.select(*(p.alias(f"p{k}") for k, p in enumerate(parts))).agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0)).cast("string").alias(f"s{k}") for k in range(4)))
+    sums = df.select(*(p.alias(f"p{k}") for k, p in enumerate(parts))).agg(F.count("*").alias("rows"),
+        *(F.coalesce(F.sum(f"p{k}"), F.lit(0)).cast("string").alias(f"s{k}") for k in range(4)))
     return sums.select("rows", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.col("rows").cast("string"), "s0", "s1", "s2", "s3"), 256)).alias("digest"))
 
 

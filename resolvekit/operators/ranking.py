@@ -66,7 +66,8 @@ def resolve_names(requests: DataFrame, candidates: DataFrame, k: int = 10, unico
 
 def identity_review(ranking: DataFrame, matches: DataFrame) -> DataFrame:
     """ranking(id, name) with its exact candidates(request_id, candidate_id, name, image): the first, how many, and why it is ambiguous."""
-    best = matches.groupBy(F.col("request_id").alias("id")).agg(F.min_by(F.struct("candidate_id", "name", "image"), "position").alias("match"), F.count("*").alias("exact_count"))
+    best = matches.groupBy(F.col("request_id").alias("id")).agg(F.min_by(F.struct("candidate_id", "name", "image"), "position").alias("match"),
+        F.count("*").alias("exact_count"))
     df = ranking.join(best, "id", "left")
     key = name_key("name")
     why = reasons(
@@ -105,16 +106,21 @@ def first_stage(df: DataFrame) -> DataFrame:
         F.when(~has, "unresolved").when(verified, "verified_existing").when(conflict, "conflicting_identity")
         .when(F.size(why) > 0, "manual_review_required").when(points >= 90, "high_confidence_candidate").otherwise("manual_review_required")
     )
-    level = F.when(~has, 0).when(verified, 100).when(conflict, F.least(points, F.lit(49))).when(F.size(why) > 0, F.least(points, F.lit(79))).when(points >= 90, F.least(points, F.lit(95))).otherwise(points)
-    shown_why = F.when(verified | ~has, F.array().cast("array<string>")).when(~conflict & (F.size(why) == 0) & (points < 90), F.array(F.lit("insufficient_independent_evidence"))).otherwise(why)
-    return df.withColumn("status", status).withColumn("confidence", level.cast("long")).withColumn("review_reasons", shown_why).withColumn("requires_review", ~status.isin("verified_existing", "high_confidence_candidate"))
+    level = F.when(~has, 0).when(verified, 100).when(conflict, F.least(points, F.lit(49))).when(F.size(why) > 0,
+        F.least(points, F.lit(79))).when(points >= 90, F.least(points, F.lit(95))).otherwise(points)
+    shown_why = F.when(verified | ~has, F.array().cast("array<string>")).when(~conflict & (F.size(why) == 0) & (points < 90),
+        F.array(F.lit("insufficient_independent_evidence"))).otherwise(why)
+    return df.withColumn("status", status).withColumn("confidence", level.cast("long")).withColumn("review_reasons",
+        shown_why).withColumn("requires_review", ~status.isin("verified_existing", "high_confidence_candidate"))
 
 
 def review_priority(df: DataFrame) -> DataFrame:
     """df(status, requires_review, review_reasons) with priority 0 to 100."""
     has = lambda r, n: F.when(F.array_contains("review_reasons", r), n).otherwise(0)
-    base = F.when(F.col("requires_review"), 50).otherwise(0) + has("multiple_exact_name_profiles", 30) + has("returned_name_difference", 15) + has("punctuation_or_symbol_risk", 10) + has("short_or_common_name_without_verified_id", 5)
-    return df.withColumn("priority", F.when(F.col("status") == "conflicting_identity", 100).when(F.col("status") == "unresolved", 95).otherwise(F.least(base, F.lit(100))).cast("long"))
+    base = F.when(F.col("requires_review"), 50).otherwise(0) + has("multiple_exact_name_profiles", 30) + has("returned_name_difference",
+        15) + has("punctuation_or_symbol_risk", 10) + has("short_or_common_name_without_verified_id", 5)
+    return df.withColumn("priority", F.when(F.col("status") == "conflicting_identity", 100).when(F.col("status") == "unresolved",
+        95).otherwise(F.least(base, F.lit(100))).cast("long"))
 
 
 def review_queue(df: DataFrame, rank: str = "rank") -> DataFrame:

@@ -30,9 +30,11 @@ PROVIDERS = ("spotify", "musicbrainz", "ticketmaster", "bandsintown", "appleMusi
 GEO_CONFIDENCE = ("unknown", "reported", "corroborated", "verified", "conflicting")
 EVIDENCE_TYPES = ("identity", "mainstream", "catalog", "geographic", "user_engagement")
 REVIEW_STATUS = ("review_only", "reviewed", "verified", "conflicting", "rejected")
-SOURCE_TYPES = ("manual_curated_list", "playlist", "chart", "festival_lineup", "venue_calendar", "ticketmaster_event", "public_music_database", "related_artist", "local_scene_submission")
+SOURCE_TYPES = ("manual_curated_list", "playlist", "chart", "festival_lineup", "venue_calendar", "ticketmaster_event", "public_music_database",
+    "related_artist", "local_scene_submission")
 ACTORS = ("system", "command", "worker", "human")
-OUTCOMES = ("coherent_identity_evidence", "coherent_identity_with_same_name_ambiguity", "provider_profile_multiplicity", "insufficient_corroboration", "semantic_identity_conflict", "unresolved_identity")
+OUTCOMES = ("coherent_identity_evidence", "coherent_identity_with_same_name_ambiguity", "provider_profile_multiplicity", "insufficient_corroboration",
+    "semantic_identity_conflict", "unresolved_identity")
 DUPLICATE_STATUS = ("not_duplicate", "existing_live_artist", "queued_candidate")
 APPROVAL, RESERVATION = ("not_approved", "approved"), ("not_reserved", "reserved", "promoted", "released")
 CONTROL = ("running", "paused", "stopped", "completed")
@@ -79,55 +81,80 @@ _SPOTIFY_URL = "open[.]spotify[.]com/artist/"
 RULES: dict[str, dict[str, str]] = {
     "registry": {"artist_id": _form("artist_id", "artist"), "external_id": _text("external_id")},
     "artist_v2": {
-        "schema_version": "schema_version = 2", "artist_id": _form("artist_id", "artist"), "stage": _one_of("stage", STAGES), "stage_confidence": _optional("stage_confidence", "stage_confidence BETWEEN 0 AND 100"),
-        "genres_given": "size(genres) > 0", "genres_distinct": "size(array_distinct(genres)) = size(genres)", "genre_is_primary": "genre = primary_genre", "first_genre_is_primary": "element_at(genres, 1) = primary_genre",
-        "tier_is_stage": "tier = stage", "providers_known": _each("external_providers", f"({'|'.join(PROVIDERS)})"), "other_ids_have_evidence": "array_join(external_providers, ',') = 'spotify' OR size(identity_evidence) > 0",
-        "spotify_id": "spotify_id = external_spotify_id", "spotify_url": _same("spotify_url", "external_spotify_url"), "image": _same("image", "primary_image_url"), "geo_confidence": _one_of("geo_confidence", GEO_CONFIDENCE), **_PLACE,
-        "coordinates_confident": "latitude IS NULL OR geo_confidence IN ('corroborated', 'verified')", "coordinates_have_evidence": "latitude IS NULL OR size(geo_evidence) > 0", "scenes_given": "scene_associations IS NOT NULL",
+        "schema_version": "schema_version = 2", "artist_id": _form("artist_id", "artist"), "stage": _one_of("stage", STAGES),
+            "stage_confidence": _optional("stage_confidence", "stage_confidence BETWEEN 0 AND 100"),
+        "genres_given": "size(genres) > 0", "genres_distinct": "size(array_distinct(genres)) = size(genres)",
+            "genre_is_primary": "genre = primary_genre", "first_genre_is_primary": "element_at(genres, 1) = primary_genre",
+        "tier_is_stage": "tier = stage", "providers_known": _each("external_providers", f"({'|'.join(PROVIDERS)})"),
+            "other_ids_have_evidence": "array_join(external_providers, ',') = 'spotify' OR size(identity_evidence) > 0",
+        "spotify_id": "spotify_id = external_spotify_id", "spotify_url": _same("spotify_url", "external_spotify_url"),
+            "image": _same("image", "primary_image_url"), "geo_confidence": _one_of("geo_confidence", GEO_CONFIDENCE), **_PLACE,
+        "coordinates_confident": "latitude IS NULL OR geo_confidence IN ('corroborated', 'verified')",
+            "coordinates_have_evidence": "latitude IS NULL OR size(geo_evidence) > 0", "scenes_given": "scene_associations IS NOT NULL",
     },
     "live_event": {
-        "schema_version": "schema_version = 1", "event_id": _form("event_id", "event"), "artists_given": "size(artist_ids) > 0", "artist_ids": _each("artist_ids", FORMS["artist"].strip("^$")), "provider": _text("provider"),
-        "external_event_id": _text("external_event_id"), "starts_at": _time("starts_at"), "retrieved_at": _time("retrieved_at"), "provenance": "provenance IS NOT NULL", **_PLACE,
+        "schema_version": "schema_version = 1", "event_id": _form("event_id", "event"), "artists_given": "size(artist_ids) > 0",
+            "artist_ids": _each("artist_ids", FORMS["artist"].strip("^$")), "provider": _text("provider"),
+        "external_event_id": _text("external_event_id"), "starts_at": _time("starts_at"), "retrieved_at": _time("retrieved_at"),
+            "provenance": "provenance IS NOT NULL", **_PLACE,
     },
     "evidence": {
-        "schema_version": "schema_version = 1", "evidence_id": _form("evidence_id", "evidence"), "artist_id": _form("artist_id", "artist"), "evidence_type": _one_of("evidence_type", EVIDENCE_TYPES), "source_class": _text("source_class"),
+        "schema_version": "schema_version = 1", "evidence_id": _form("evidence_id", "evidence"), "artist_id": _form("artist_id", "artist"),
+            "evidence_type": _one_of("evidence_type", EVIDENCE_TYPES), "source_class": _text("source_class"),
         "observed_at": _time("observed_at"), "payload": "payload IS NOT NULL", "review_status": _one_of("review_status", REVIEW_STATUS),
     },
     "discovery": {
-        "discovery_id": _form("discovery_id", "digest"), "source_type": _one_of("source_type", SOURCE_TYPES), "source_name": _text("source_name"), "raw_name": _text("raw_name"), **_NAME, "discovered_at": _time("discovered_at"),
-        "spotify_id": _optional("spotify_id", _form("spotify_id", "spotify")), "spotify_url": _optional("spotify_url", f"regexp_like(spotify_url, '{_SPOTIFY_URL}[A-Za-z0-9]{{22}}')"),
+        "discovery_id": _form("discovery_id", "digest"), "source_type": _one_of("source_type", SOURCE_TYPES), "source_name": _text("source_name"),
+            "raw_name": _text("raw_name"), **_NAME, "discovered_at": _time("discovered_at"),
+        "spotify_id": _optional("spotify_id", _form("spotify_id", "spotify")),
+            "spotify_url": _optional("spotify_url", f"regexp_like(spotify_url, '{_SPOTIFY_URL}[A-Za-z0-9]{{22}}')"),
         "url_agrees": f"spotify_url IS NULL OR spotify_id IS NULL OR regexp_extract(spotify_url, '{_SPOTIFY_URL}([A-Za-z0-9]{{22}})', 1) = spotify_id", "asserted_id": _optional("asserted_id", _form("asserted_id", "artist")),
     },
     "candidate": {
-        "schema_version": "schema_version = 1", "candidate_id": _form("candidate_id", "candidate"), "revision": "revision >= 1", "state": _one_of("state", TRANSITIONS), "created_at": _time("created_at"), "updated_at": _time("updated_at"),
-        "state_entered_at": _time("state_entered_at"), **_NAME, "discoveries_given": "size(discovery_ids) > 0", "discoveries_distinct": "size(array_distinct(discovery_ids)) = size(discovery_ids)",
+        "schema_version": "schema_version = 1", "candidate_id": _form("candidate_id", "candidate"), "revision": "revision >= 1",
+            "state": _one_of("state", TRANSITIONS), "created_at": _time("created_at"), "updated_at": _time("updated_at"),
+        "state_entered_at": _time("state_entered_at"), **_NAME, "discoveries_given": "size(discovery_ids) > 0",
+            "discoveries_distinct": "size(array_distinct(discovery_ids)) = size(discovery_ids)",
         "spotify_id": _optional("spotify_id", _form("spotify_id", "spotify")), "asserted_id": _optional("asserted_id", _form("asserted_id", "artist")),
-        **{f"{k}_confidence": _optional(f"{k}_confidence", f"{k}_confidence BETWEEN 0 AND 100") for k in ("identity", "stage", "geo")}, "identity_outcome": _one_of("identity_outcome", OUTCOMES),
-        "duplicate_status": _one_of("duplicate_status", DUPLICATE_STATUS), "duplicate_has_evidence": "state <> 'duplicate' OR duplicate_status <> 'not_duplicate'", "approval_status": _one_of("approval_status", APPROVAL),
-        "approved_before_live": "state NOT IN ('approved', 'migration_pending', 'migrated') OR approval_status = 'approved'", "reservation_status": _one_of("reservation_status", RESERVATION),
+        **{f"{k}_confidence": _optional(f"{k}_confidence", f"{k}_confidence BETWEEN 0 AND 100") for k in ("identity", "stage", "geo")},
+            "identity_outcome": _one_of("identity_outcome", OUTCOMES),
+        "duplicate_status": _one_of("duplicate_status", DUPLICATE_STATUS),
+            "duplicate_has_evidence": "state <> 'duplicate' OR duplicate_status <> 'not_duplicate'", "approval_status": _one_of("approval_status", APPROVAL),
+        "approved_before_live": "state NOT IN ('approved', 'migration_pending', 'migrated') OR approval_status = 'approved'",
+            "reservation_status": _one_of("reservation_status", RESERVATION),
         "retry_at": _optional("retry_at", _time("retry_at")), "last_event_id": _form("last_event_id", "candidate_event"),
     },
     "candidate_event": {
-        "schema_version": "schema_version = 1", "event_id": _form("event_id", "candidate_event"), "candidate_id": _form("candidate_id", "candidate"), "event_type": _one_of("event_type", EVENT_TYPES),
-        "previous_state": _optional("previous_state", _one_of("previous_state", TRANSITIONS)), "next_state": _one_of("next_state", TRANSITIONS), "previous_revision": "previous_revision >= 0", "sequential": "candidate_revision = previous_revision + 1",
-        "reason_code": _form("reason_code", "reason"), "actor_type": _one_of("actor_type", ACTORS), "actor_id": _text("actor_id"), "occurred_at": _time("occurred_at"), "evidence_refs": "evidence_refs IS NOT NULL", "payload": "payload IS NOT NULL",
+        "schema_version": "schema_version = 1", "event_id": _form("event_id", "candidate_event"), "candidate_id": _form("candidate_id", "candidate"),
+            "event_type": _one_of("event_type", EVENT_TYPES),
+        "previous_state": _optional("previous_state", _one_of("previous_state", TRANSITIONS)), "next_state": _one_of("next_state", TRANSITIONS),
+            "previous_revision": "previous_revision >= 0", "sequential": "candidate_revision = previous_revision + 1",
+        "reason_code": _form("reason_code", "reason"), "actor_type": _one_of("actor_type", ACTORS), "actor_id": _text("actor_id"),
+            "occurred_at": _time("occurred_at"), "evidence_refs": "evidence_refs IS NOT NULL", "payload": "payload IS NOT NULL",
         "first_event": "event_type <> 'candidate_discovered' OR (previous_state IS NULL AND previous_revision = 0 AND next_state = 'discovered')",
-        "attachment_keeps_state": "event_type NOT IN ('discovery_attached', 'candidate_identifier_attached') OR previous_state = next_state", "transition_has_a_past": "event_type <> 'state_transition' OR previous_state IS NOT NULL",
+        "attachment_keeps_state": "event_type NOT IN ('discovery_attached', 'candidate_identifier_attached') OR previous_state = next_state",
+            "transition_has_a_past": "event_type <> 'state_transition' OR previous_state IS NOT NULL",
     },
     "occurrence": {
-        "schema_version": "schema_version = 1", "occurrence_id": _form("occurrence_id", "digest"), "provider": _form("provider", "provider"), "source_type": _one_of("source_type", SOURCE_TYPES), "source_name": _text("source_name"),
-        "source_record_id": _text("source_record_id"), **_NAME, "entity_provider": "entity_provider = provider", "entity_type": _form("entity_type", "entity"), "entity_id": _form("entity_id", "entity"), "legacy_ids": "legacy_ids IS NOT NULL",
-        "spotify_id": _optional("spotify_id", _form("spotify_id", "spotify")), "asserted_id": _optional("asserted_id", _form("asserted_id", "artist")), "bridges": "bridges IS NOT NULL", "source_context": "source_context IS NOT NULL",
+        "schema_version": "schema_version = 1", "occurrence_id": _form("occurrence_id", "digest"), "provider": _form("provider", "provider"),
+            "source_type": _one_of("source_type", SOURCE_TYPES), "source_name": _text("source_name"),
+        "source_record_id": _text("source_record_id"), **_NAME, "entity_provider": "entity_provider = provider",
+            "entity_type": _form("entity_type", "entity"), "entity_id": _form("entity_id", "entity"), "legacy_ids": "legacy_ids IS NOT NULL",
+        "spotify_id": _optional("spotify_id", _form("spotify_id", "spotify")),
+            "asserted_id": _optional("asserted_id", _form("asserted_id", "artist")), "bridges": "bridges IS NOT NULL", "source_context": "source_context IS NOT NULL",
         "discovered_at": _time("discovered_at"), "review_only": "review_only",
     },
     "association": {
-        "schema_version": "schema_version = 1", "association_id": _form("association_id", "digest"), "occurrence_id": _form("occurrence_id", "digest"), "target_type": _one_of("target_type", ("candidate", "live_artist")),
+        "schema_version": "schema_version = 1", "association_id": _form("association_id", "digest"),
+            "occurrence_id": _form("occurrence_id", "digest"), "target_type": _one_of("target_type", ("candidate", "live_artist")),
         "target_id": f"(target_type = 'candidate' AND {_form('target_id', 'candidate')}) OR (target_type <> 'candidate' AND {_form('target_id', 'artist')})", "matched_by": "matched_by IS NOT NULL", "evidence_refs": "evidence_refs IS NOT NULL",
         "created_at": _time("created_at"), "review_only": "review_only",
     },
     "run": {
-        "schema_version": "schema_version = 1", "run_id": _form("run_id", "run"), "revision": "revision >= 1", "created_at": _time("created_at"), "started_at": _time("started_at"), "completed_at": _optional("completed_at", _time("completed_at")),
-        "configuration_hash": _form("configuration_hash", "digest"), "last_phase": _one_of("last_phase", PHASES), "status": _one_of("status", CONTROL), "last_event_id": _form("last_event_id", "run_event"),
+        "schema_version": "schema_version = 1", "run_id": _form("run_id", "run"), "revision": "revision >= 1", "created_at": _time("created_at"),
+            "started_at": _time("started_at"), "completed_at": _optional("completed_at", _time("completed_at")),
+        "configuration_hash": _form("configuration_hash", "digest"), "last_phase": _one_of("last_phase", PHASES),
+            "status": _one_of("status", CONTROL), "last_event_id": _form("last_event_id", "run_event"),
         "completed_is_complete": f"status <> 'completed' OR (last_phase = '{PHASES[-1]}' AND completed_at IS NOT NULL)", "requests": "requests >= 0",
     },
 }

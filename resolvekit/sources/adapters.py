@@ -32,6 +32,7 @@ def occurrences(adapter_id: str, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"adapter {adapter_id} lacks {missing}")
     out = out.withColumn("name_key", name_key("raw_name")).withColumn("adapter", F.lit(f"{adapter_id}:{version}"))
     out = out.withColumn("occurrence_id", content_id("provider", "source_type", "source_name", "source_record_id", "entity_type", "entity_id", "raw_name"))
-    rules = {"provider": F.col("provider") == provider, "name": F.trim("raw_name") != "", "entity": F.col("entity_id").isNotNull(), "time": F.col("discovered_at").isNotNull()}
+    rules = {"provider": F.col("provider") == provider, "name": F.trim("raw_name") != "", "entity": F.col("entity_id").isNotNull(),
+        "time": F.col("discovered_at").isNotNull()}
     bad = violations(out, "occurrence_id", rules)
     return out.join(bad.select(F.col("key").alias("occurrence_id")).distinct(), "occurrence_id", "left_anti"), bad

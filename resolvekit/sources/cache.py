@@ -19,8 +19,10 @@ def lookup_cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     last = cache.groupBy(*key).agg(F.max_by(F.struct("value", "status_code"), "retrieved_at").alias("c"))
     df = requests.join(last, key, "left")
     negative = F.col("c.status_code").isin(*NEGATIVE)
-    status = F.when(F.col("c").isNull(), "miss").when(negative, "negative").when(F.col("c.status_code").isNotNull() & (F.col("c.status_code") >= 400), "miss").otherwise("hit")
-    return df.select(*requests.columns, F.when(status == "hit", F.col("c.value")).alias("value"), F.when(status == "negative", F.col("c.status_code")).alias("status_code"), status.alias("status"))
+    status = F.when(F.col("c").isNull(), "miss").when(negative, "negative").when(F.col("c.status_code").isNotNull() & (F.col("c.status_code") >= 400),
+        "miss").otherwise("hit")
+    return df.select(*requests.columns, F.when(status == "hit", F.col("c.value")).alias("value"),
+        F.when(status == "negative", F.col("c.status_code")).alias("status_code"), status.alias("status"))
 
 
 def freshness(df: DataFrame, now, ttl_hours: dict[str, int] = TTL_HOURS) -> DataFrame:

@@ -10,8 +10,10 @@ from ..operators.quality import table_digest
 #: Header names of a ranking, and of the nine columns of a discovery file.
 RANKING_ALIASES = {"rank": ("rank", "ranking"), "name": ("artist_name", "artist", "name"), "value": ("monthly_listeners", "listeners", "value")}
 DISCOVERY_COLUMNS = {
-    "source_type": ("source_type", "sourceType"), "source_name": ("source_name", "sourceName"), "source_record_id": ("source_record_id", "sourceRecordId"), "source_url": ("source_url", "sourceUrl"),
-    "raw_name": ("raw_artist_name", "rawArtistName", "name"), "spotify_id": ("spotify_artist_id", "spotifyArtistId"), "spotify_url": ("spotify_artist_url", "spotifyArtistUrl"),
+    "source_type": ("source_type", "sourceType"), "source_name": ("source_name", "sourceName"),
+        "source_record_id": ("source_record_id", "sourceRecordId"), "source_url": ("source_url", "sourceUrl"),
+    "raw_name": ("raw_artist_name", "rawArtistName", "name"), "spotify_id": ("spotify_artist_id", "spotifyArtistId"),
+        "spotify_url": ("spotify_artist_url", "spotifyArtistUrl"),
     "discovered_at": ("discovered_at", "discoveredAt"), "asserted_id": ("asserted_id", "assertedId"),
 }
 SPOTIFY_ID = "^[A-Za-z0-9]{22}$"
@@ -37,7 +39,9 @@ def read_ranking_csv(spark: SparkSession, path: str, aliases: dict = RANKING_ALI
     raw = raw.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
     raw = raw.withColumn("_row", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")).drop("_at")
     df = _alias(raw, aliases, ("rank", "name"))
-    return df.select(F.trim("rank").try_cast("long").alias("rank"), blank_to_null("name").alias("name"), F.regexp_replace("value", ",", "").try_cast("long").alias("value"), name_key("name").alias("name_key"), F.col("_file").alias("file"), F.col("_row").alias("source_row"))
+    return df.select(F.trim("rank").try_cast("long").alias("rank"), blank_to_null("name").alias("name"),
+        F.regexp_replace("value", ",", "").try_cast("long").alias("value"), name_key("name").alias("name_key"), F.col("_file").alias("file"),
+            F.col("_row").alias("source_row"))
 
 
 def normalise_discoveries(df: DataFrame, columns: dict[str, tuple[str, ...]] = DISCOVERY_COLUMNS) -> DataFrame:
@@ -46,11 +50,14 @@ def normalise_discoveries(df: DataFrame, columns: dict[str, tuple[str, ...]] = D
     df = df.select(*(blank_to_null(F.col(c).cast("string")).alias(c) for c in columns))
     of_url = id_from_url("spotify_url", r"open\.spotify\.com/artist/([A-Za-z0-9]{22})")
     df = df.withColumn("_url_id", of_url).withColumn("faults", F.array_compact(F.array(
-        F.when(F.col("raw_name").isNull(), "name_missing"), F.when(F.col("source_type").isNull(), "source_type_missing"), F.when(F.try_to_timestamp("discovered_at").isNull(), "discovered_at_invalid"),
-        F.when(F.col("spotify_id").isNotNull() & ~F.col("spotify_id").rlike(SPOTIFY_ID), "spotify_id_invalid"), F.when((F.col("spotify_id") != F.col("_url_id")), "spotify_id_and_url_differ"),
+        F.when(F.col("raw_name").isNull(), "name_missing"), F.when(F.col("source_type").isNull(), "source_type_missing"),
+            F.when(F.try_to_timestamp("discovered_at").isNull(), "discovered_at_invalid"),
+        F.when(F.col("spotify_id").isNotNull() & ~F.col("spotify_id").rlike(SPOTIFY_ID), "spotify_id_invalid"),
+            F.when((F.col("spotify_id") != F.col("_url_id")), "spotify_id_and_url_differ"),
     )))
     df = df.withColumn("spotify_id", F.coalesce("spotify_id", "_url_id")).drop("_url_id").withColumn("discovered_at", F.try_to_timestamp("discovered_at"))
-    return df.withColumn("name_key", name_key("raw_name")).withColumn("discovery_id", content_id("source_name", "source_record_id", "source_type", "name_key", "spotify_id"))
+    return df.withColumn("name_key", name_key("raw_name")).withColumn("discovery_id",
+        content_id("source_name", "source_record_id", "source_type", "name_key", "spotify_id"))
 
 
 def read_discoveries(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]] = DISCOVERY_COLUMNS) -> tuple[DataFrame, DataFrame]:
@@ -67,17 +74,28 @@ def read_discoveries(spark: SparkSession, path: str, columns: dict[str, tuple[st
 
 def read_event_lake(spark: SparkSession, root: str, schema: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
     """All JSON documents below a folder (one a file, or one a line), with the file each came from; the schema is given, never inferred."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", multi_line).json(root).withColumn("file", F.col("_metadata.file_path"))
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine",
+        multi_line).json(root).withColumn("file", F.col("_metadata.file_path"))
 
 
 #: Kind of artifact -> its column -> where the value stands in the JSON document, and its type.
 ARTIFACTS = {
-    "runs": {"run_id": ("runId", "string"), "revision": ("revision", "bigint"), "status": ("control.status", "string"), "stop_reason": ("control.stopReason", "string"), "last_phase": ("lastCompletedPhase", "string"), "started_at": ("startedAt", "timestamp"), "completed_at": ("completedAt", "timestamp")},
-    "events": {"event_id": ("eventId", "string"), "candidate_id": ("candidateId", "string"), "event_type": ("eventType", "string"), "previous_state": ("previousState", "string"), "next_state": ("nextState", "string"), "candidate_revision": ("candidateRevision", "bigint"), "reason_code": ("reasonCode", "string"), "occurred_at": ("occurredAt", "timestamp")},
-    "occurrences": {"occurrence_id": ("occurrenceId", "string"), "provider": ("provider", "string"), "source_type": ("sourceType", "string"), "source_name": ("sourceName", "string"), "source_record_id": ("sourceRecordId", "string"), "raw_name": ("artist.rawName", "string"), "entity_type": ("providerEntity.type", "string"), "entity_id": ("providerEntity.id", "string"), "discovered_at": ("discoveredAt", "timestamp")},
-    "associations": {"association_id": ("associationId", "string"), "occurrence_id": ("occurrenceId", "string"), "target_type": ("targetType", "string"), "target_id": ("targetId", "string"), "created_at": ("createdAt", "timestamp")},
-    "checkpoints": {"checkpoint_id": ("checkpointId", "string"), "revision": ("revision", "bigint"), "provider": ("provider", "string"), "source_name": ("sourceName", "string"), "page": ("position.page", "bigint"), "item_offset": ("position.itemOffset", "bigint"), "updated_at": ("updatedAt", "timestamp")},
-    "evidence": {"evidence_id": ("evidenceId", "string"), "artist_id": ("musicRollArtistId", "string"), "evidence_type": ("evidenceType", "string"), "source_class": ("sourceClass", "string"), "observed_at": ("observedAt", "timestamp"), "review_status": ("reviewStatus", "string")},
+    "runs": {"run_id": ("runId", "string"), "revision": ("revision", "bigint"), "status": ("control.status", "string"),
+        "stop_reason": ("control.stopReason", "string"), "last_phase": ("lastCompletedPhase", "string"), "started_at": ("startedAt", "timestamp"),
+            "completed_at": ("completedAt", "timestamp")},
+    "events": {"event_id": ("eventId", "string"), "candidate_id": ("candidateId", "string"), "event_type": ("eventType", "string"),
+        "previous_state": ("previousState", "string"), "next_state": ("nextState", "string"), "candidate_revision": ("candidateRevision", "bigint"),
+            "reason_code": ("reasonCode", "string"), "occurred_at": ("occurredAt", "timestamp")},
+    "occurrences": {"occurrence_id": ("occurrenceId", "string"), "provider": ("provider", "string"), "source_type": ("sourceType", "string"),
+        "source_name": ("sourceName", "string"), "source_record_id": ("sourceRecordId", "string"), "raw_name": ("artist.rawName", "string"),
+            "entity_type": ("providerEntity.type", "string"), "entity_id": ("providerEntity.id", "string"), "discovered_at": ("discoveredAt", "timestamp")},
+    "associations": {"association_id": ("associationId", "string"), "occurrence_id": ("occurrenceId", "string"),
+        "target_type": ("targetType", "string"), "target_id": ("targetId", "string"), "created_at": ("createdAt", "timestamp")},
+    "checkpoints": {"checkpoint_id": ("checkpointId", "string"), "revision": ("revision", "bigint"), "provider": ("provider", "string"),
+        "source_name": ("sourceName", "string"), "page": ("position.page", "bigint"), "item_offset": ("position.itemOffset", "bigint"),
+            "updated_at": ("updatedAt", "timestamp")},
+    "evidence": {"evidence_id": ("evidenceId", "string"), "artist_id": ("musicRollArtistId", "string"), "evidence_type": ("evidenceType", "string"),
+        "source_class": ("sourceClass", "string"), "observed_at": ("observedAt", "timestamp"), "review_status": ("reviewStatus", "string")},
 }
 
 
@@ -125,7 +143,8 @@ def build_snapshot(records: DataFrame, snapshot_id: str, path: str | None = None
     repeated = records.groupBy(key).count().where("count > 1").agg(F.count("*").alias("repeated_ids")) if key else None
     checks = records.agg(F.count_if(F.col("name").isNull()).alias("blank_names"), F.countDistinct("name").alias("names"))
     about = about.crossJoin(checks)
-    about = (about.crossJoin(repeated) if key else about.withColumn("repeated_ids", F.lit(None).cast("long"))).withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("source", F.lit(source))
+    about = (about.crossJoin(repeated) if key else about.withColumn("repeated_ids", F.lit(None).cast("long"))).withColumn("snapshot_id",
+        F.lit(snapshot_id)).withColumn("source", F.lit(source))
     if path is not None:
         stamped = records.crossJoin(F.broadcast(about.select(F.col("digest").alias("input_digest"), "source", "snapshot_id")))  # one row
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)

@@ -35,7 +35,8 @@ def candidate_states(events: DataFrame) -> DataFrame:
         state.update((revision, now, json.dumps(waiting)))
         yield pd.DataFrame({"candidate_id": [key[0]], "revision": [revision], "state": [now]})
 
-    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, revision long, state string", "revision long, state string, waiting string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, revision long, state string",
+        "revision long, state string, waiting string", "update", GroupStateTimeout.NoTimeout)
 
 
 def retry_timers(failures: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -57,7 +58,8 @@ def retry_timers(failures: DataFrame, delay: str = "2 days") -> DataFrame:
         state.update((attempt, first))
         yield pd.DataFrame(out, columns=["candidate_id", "attempt", "due_at", "exhausted"])
 
-    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, attempt long, due_at timestamp, exhausted string", "attempt long, first long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, attempt long, due_at timestamp, exhausted string",
+        "attempt long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stalled_work(events: DataFrame, working: tuple[str, ...], minutes: int = 5, delay: str = "2 days") -> DataFrame:
@@ -99,23 +101,27 @@ def breaker_states(calls: DataFrame, threshold: int = 2, probe_seconds: float =
         text = lambda x: x if isinstance(x, str) else None
         for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.occurred_at):
             if r.occurred_at >= seen:
-                breaker, _ = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after, text(r.run_id), threshold, probe_seconds)
+                breaker, _ = breaker_step(breaker, r.occurred_at, text(r.kind), 0.0 if pd.isna(r.retry_after) else r.retry_after, text(r.run_id),
+                    threshold, probe_seconds)
                 seen = r.occurred_at
         state.update((*breaker, seen))
         yield pd.DataFrame({"provider": [key[0]], "state": [breaker[0]], "failures": [breaker[1]], "next_probe_at": pd.Series([breaker[2]], dtype="float64")})
 
-    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, state string, failures long, next_probe_at double", "state string, failures long, probe double, cause string, run string, seen double", "update", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, state string, failures long, next_probe_at double",
+        "state string, failures long, probe double, cause string, run string, seen double", "update", GroupStateTimeout.NoTimeout)
 
 
 def behaviour_counts(events: DataFrame, types: tuple[str, ...] = BEHAVIOUR_TYPES, id_pattern: str = ".*", delay: str = "2 days") -> DataFrame:
     """(day, artist_id, type, events) of a stream of events(ts, artist_id, type); other types and ids that don't match are ignored."""
     good = events.where(F.col("type").isin(*types) & F.col("artist_id").rlike(f"^(?:{id_pattern})$"))
-    return good.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "artist_id", "type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("day"), "artist_id", "type", "events")
+    return good.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "artist_id",
+        "type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("day"), "artist_id", "type", "events")
 
 
 def period_counts(events: DataFrame, length: str = "7 days", offset: str = "0 days", delay: str = "2 days") -> DataFrame:
     """(start, state, events) of a stream of events(occurred_at, next_state) by half-open periods."""
-    return events.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", length, length, offset), "next_state").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), F.col("next_state").alias("state"), "events")
+    return events.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", length, length, offset),
+        "next_state").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), F.col("next_state").alias("state"), "events")
 
 
 def ingest(occurrences: DataFrame, path: str, checkpoint: str, key: str = "occurrence_id"):
