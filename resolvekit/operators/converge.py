@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, entity_key, name_key
-from .numbering import shared_folder
+from .graph import components
 
 #: States whose candidates no longer take duplicates.
 INACTIVE = ("duplicate", "migrated", "rejected")
@@ -136,20 +136,12 @@ def _in_order(batches):
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(occurrence_id, component) of occurrences linked by shared keys, by spreading the smallest id until it is stable."""
-    spark = edges.sparkSession
-    shared_folder(spark)
-    edges = edges.select("occurrence_id", "shared").checkpoint()
-    label = edges.select("occurrence_id", F.col("occurrence_id").alias("component")).distinct()
-    while True:
-        low = edges.join(label, "occurrence_id").groupBy("shared").agg(F.min("component").alias("low"))
-        after = edges.join(low, "shared").groupBy("occurrence_id").agg(F.min("low").alias("component"))
-        # a step up the label's own label halves long chains
-        jump = after.select(F.col("occurrence_id").alias("component"), F.col("component").alias("next"))
-        after = after.join(jump, "component", "left").select("occurrence_id", F.coalesce("next", "component").alias("component")).checkpoint()
-        if after.join(label, ["occurrence_id", "component"], "left_anti").isEmpty():
-            return after
-        label = after
+    """(occurrence_id, component) of occurrences linked by shared keys; occurrences are nodes by their hash."""
+    nodes = edges.select("occurrence_id", "shared", F.xxhash64("occurrence_id").alias("a"))
+    low = nodes.groupBy("shared").agg(F.min("a").alias("b"))
+    roots = components(nodes.join(low, "shared").select("a", "b"))
+    own = edges.select("occurrence_id").distinct()
+    return own.join(roots, F.xxhash64("occurrence_id") == F.col("node"), "left").select("occurrence_id", F.coalesce("root", F.xxhash64("occurrence_id")).alias("component"))
 
 
 def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue: DataFrame, directory: DataFrame) -> DataFrame:
