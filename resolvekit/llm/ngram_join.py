@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.graph import components, forest, merged
 from .filters import bit_table, contains, slot_of, without
-from .graph import components, forest, merged
 from .store import keep, release, share, small_batches, unused
 from .text import Words, mix, ngrams, pieces, windows_in
 

@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from resolvekit.llm import decontaminate, filters, graph, langid, lm_score, ngram_join, packing, pii, quality, quality_rules, substring, text, warc
+from resolvekit.llm import decontaminate, filters, langid, lm_score, ngram_join, packing, pii, quality, quality_rules, substring, text, warc
 from resolvekit.llm.queries import tokenizer_paths
+from resolvekit.operators import graph
 
 DOCS = "doc_id long, text string, lang string, key string, row string, score string"
 
@@ -644,6 +645,35 @@ def test_quality_rules(spark, corpus, docs):
     assert quality_rules.apply_rules(docs.limit(0), good).count() == 0
 
 
+def test_rules_where_cutoffs_bind(spark, tmp_path):
+    """The whole query against its SQL on strata with enough labels that cutoffs reject."""
+    import duckdb
+
+    from resolvekit.llm.oracles import ORACLES
+
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(900)]
+    rows = []
+    for i in range(3200):
+        text = [r.choice(words) for _ in range(r.randrange(50, 70))]
+        if i % 9 == 0:
+            text = [f"{w}#*" if r.random() < i % 50 / 60 else w.upper() if i % 2 else w for w in text]
+        sep = "\n" if i % 4 == 0 else " "
+        rows.append((i, sep.join(text) + (sep + "the end" * (i % 11 == 0)) * (i % 7), "en" if i % 5 < 4 else "de"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(3200)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_rules.apply_rules(docs, labels.where("quality = 1"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(ORACLES["op9_quality_rules"])
+    at = [[d[0] for d in cur.description].index(c) for c in got.columns]
+    want = sorted(tuple(x[k] for k in at) for x in cur.fetchall())
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert 50 < sum(not x[6] and not x[7] for x in want) < 1000
+
+
 def test_cutoffs_keep_their_promise(spark):
     n = 4000
     rows = [(i, "en", False, 0 if i % 1000 else 500, 0, i % 7 * 10, 0) for i in range(n)] + [(n + i, "rare", False, 900, 0, 0, 0) for i in range(20)]
