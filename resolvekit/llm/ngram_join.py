@@ -67,28 +67,42 @@ def _print(grams: np.ndarray) -> tuple[int, int]:
         return int(mix(grams + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)), int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-def column_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """How many n-grams fall into each of 2**bits cells, over all texts, in eighths of a power of two: at most 16 MB, whatever the input."""
-    seg = 1 << 16
+#: Cells of a row of column counts.
+SEGMENT = 1 << 16
+_ROWS = "doc_id long, n_shingles long, p1 long, p2 long, seg int, counts binary"
 
-    def count(batches):
+
+def describe_rows(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """A row (doc_id, n_shingles, p1, p2) for each text, and from each task rows (seg, counts) of how many n-grams fall into each of 2**bits cells."""
+
+    def describe(batches):
         total = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            for _, grams, _ in shingle_sets(batch, n):
+            for part, grams, at in shingle_sets(batch, n):
                 np.add.at(total, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
-        for k, x in enumerate(total.reshape(-1, seg)):
+                prints = np.array([_print(grams[at[i] : at[i + 1]]) for i in range(part.num_rows)], np.int64).reshape(-1, 2)
+                none = part.num_rows
+                columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "p1", "p2", "seg", "counts"])
+        for k, x in enumerate(total.reshape(-1, SEGMENT)):
             if x.any():
-                kind = np.uint16 if x.max() < 1 << 16 else np.int32
-                yield pa.RecordBatch.from_pydict({"seg": pa.array([k], pa.int32()), "counts": pa.array([x.astype(kind).tobytes()], pa.binary())})
+                data = x.astype(np.uint16 if x.max() < 1 << 16 else np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["doc_id", "n_shingles", "p1", "p2", "seg", "counts"])
+
+    return docs.mapInArrow(describe, _ROWS)
+
+
+def column_counts(counts: DataFrame, bits: int) -> np.ndarray:
+    """The sums of counts(seg, counts), in eighths of a power of two: at most 16 MB, whatever the input."""
 
     def add(key, pdf):
-        total = np.zeros(seg, np.int64)
+        total = np.zeros(SEGMENT, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint16 if len(x) == 2 * seg else np.int32)
+            total += np.frombuffer(x, np.uint16 if len(x) == 2 * SEGMENT else np.int32)
         return pd.DataFrame({"seg": [key[0]], "sums": [np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8).tobytes()]})
 
-    out = np.zeros(1 << bits, np.uint8).reshape(-1, seg)
-    for row in docs.select("text").mapInArrow(count, "seg int, counts binary").groupBy("seg").applyInPandas(add, "seg int, sums binary").collect():
+    out = np.zeros(1 << bits, np.uint8).reshape(-1, SEGMENT)
+    for row in counts.groupBy("seg").applyInPandas(add, "seg int, sums binary").collect():
         out[row.seg] = np.frombuffer(row.sums, np.uint8)
     return out.ravel()
 
@@ -241,18 +255,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def describe(batches):
-        for batch in batches:
-            for part, grams, at in shingle_sets(batch, n):
-                prints = [_print(grams[at[i] : at[i + 1]]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(at), pa.int64()),
-                    "p1": pa.array([p[0] for p in prints], pa.int64()), "p2": pa.array([p[1] for p in prints], pa.int64())})
-
-    rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, p1 long, p2 long"), "rows")
+    bits = min(max(math.ceil(math.log2(docs.count() + 1)) + 4, CELLS[0]), CELLS[1])
+    described = keep(describe_rows(docs, n, bits), "rows")
+    rows = described.where("seg is null").drop("seg", "counts")
+    sums = column_counts(described.where("seg is not null").select("seg", "counts"), bits)
     full = rows.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one row of the incidence: that of their smallest doc_id
     first = keep(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node")), "first")
-    blocks = keep(components(candidate_edges(docs, first, n, num, den)), "blocks")
+    blocks = keep(components(candidate_edges(docs, first, sums, bits, n, num, den)), "blocks")
     links = block_links(docs, keep(first.join(blocks, "node").withColumnRenamed("root", "block"), "members"), n, num, den)
     # a doc_id with several texts links them
     same = full.join(first, ["p1", "p2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -265,13 +275,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     return out.select("doc_id", "n_shingles", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def candidate_edges(docs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b) doc_ids that share a key, of those in first(node): enough edges for the blocks."""
+def candidate_edges(docs: DataFrame, first: DataFrame, sums: np.ndarray, bits: int, n: int, num: int, den: int) -> DataFrame:
+    """(a, b) doc_ids that share a key, of those in first(node): enough edges for the blocks. sums are the column counts of 2**bits cells."""
     spark = docs.sparkSession
     n_rows = first.count()
     flags = share(spark, bit_table(first.select(slot_of("node").alias("slot"))))
-    bits = min(max(math.ceil(math.log2(n_rows + 1)) + 4, CELLS[0]), CELLS[1])
-    sums = column_counts(docs, n, bits)
     mean = float(np.bincount(sums, minlength=256) @ (np.exp2(np.arange(256) / 8) - 1)) / len(sums)
     common = int(min(255, 8 * math.log2(COMMON * (mean + 4) + 1)))
     counts, windows = share(spark, sums), Windows(num, den)
