@@ -54,6 +54,15 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def union_unique(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    """The rows of all tables, each key once: that of the first table that has it, of several rows there the smallest."""
+    rest = [c for c in tables[0].columns if c not in key]
+    every = tables[0].withColumn("_table", F.lit(0))
+    for i, t in enumerate(tables[1:], 1):
+        every = every.unionByName(t.withColumn("_table", F.lit(i)))
+    return every.groupBy(*key).agg(F.min(F.struct("_table", *rest)).alias("_r")).select(*(F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in tables[0].columns))
+
+
 #: Keys whose values are secret, and where a secret stands in a text.
 SECRET_KEYS = "(?i)(api[_-]?key|client[_-]?secret|access[_-]?token|authorization|bearer)"
 SECRET_URL, SECRET_BEARER = r"(?i)([?&](?:apikey|api_key|access_token|client_secret)=)[^&\s]+", r"(?i)Bearer\s+\S+"

@@ -1062,6 +1062,15 @@ def u4_multiset_difference(spark, sf_dir):
     return quality.multiset_difference(get(spark, sf_dir, "customers").select(*cols), get(spark, sf_dir, "customers_later").select(*cols))
 
 
+@query("""SELECT artist_id, l.name, l.tier FROM @customers_later l UNION ALL SELECT artist_id, name, tier FROM @customers WHERE artist_id NOT IN (SELECT artist_id FROM @customers_later)
+    UNION ALL SELECT -1 - s_suppkey::BIGINT, s_name, cast(s_nationkey AS string) FROM supplier""")
+def u1_union_unique(spark, sf_dir):
+    cols = ["artist_id", "name", "tier"]
+    supplier = read(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("artist_id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("tier"))
+    later, now = get(spark, sf_dir, "customers_later").select(*cols), get(spark, sf_dir, "customers").select(*cols)
+    return quality.union_unique([later, now, supplier.unionByName(supplier)], ["artist_id"])
+
+
 # Pages.
 @query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1) AS h FROM pages) SELECT page_id,
         unnest(range(0, len(h))) AS position, unnest(h) AS href FROM a""")
