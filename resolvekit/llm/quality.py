@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     within = F.lit(False)
     for y, last in fits.items():
         within = within | ((F.col("quality") == y) & (F.col("key") <= last))
-    rows = sorted(sample.where(within).collect(), key=lambda r: (r.key, r.i))
+    rows = sorted(sample.where(within).toLocalIterator(), key=lambda r: (r.key, r.i))
     model = Ftrl()
     n = np.bincount([r.quality for r in rows], minlength=2)
     rare = n.sum() / np.maximum(2 * n, 1)
