@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (spark.checkpoint.dir); only where none is set, as in tests, a new one."""
+    """The session's checkpoint folder (spark.checkpoint.dir). Where none is set, a local session gets a new one; a cluster needs one that all its machines see."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
