@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder (spark.checkpoint.dir); only where none is set, as in tests, a new one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+from ..operators.numbering import shared_folder as shared_dir
 
 
 def small_batches(spark: SparkSession) -> None:
