@@ -34,7 +34,7 @@ def bit_table(members: DataFrame) -> np.ndarray:
     """The set of a column `slot` (0 to 2**BITS - 1). At most 2048 pages of 4 kB come to the driver."""
     bits = _bits(members)
     table = np.zeros(((1 << bits) // PAGE, PAGE // 8), np.uint8)
-    for row in _pages(members, bits, "page", "bits").toLocalIterator():
+    for row in _pages(members, bits, "page", "bits").collect():
         table[row.page] = np.frombuffer(row.bits, np.uint8)
     return table.ravel()
 

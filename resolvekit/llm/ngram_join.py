@@ -263,7 +263,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     # equal sets are one row of the incidence: that of their smallest doc_id
     first = keep(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("node")), "first")
     blocks = keep(components(candidate_edges(docs, first, sums, bits, n, num, den)), "blocks")
-    links = block_links(docs, keep(first.join(blocks, "node").withColumnRenamed("root", "block"), "members"), n, num, den)
+    links = block_links(docs, first.join(blocks, "node").withColumnRenamed("root", "block"), n, num, den)
     # a doc_id with several texts links them
     same = full.join(first, ["p1", "p2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = full.groupBy("doc_id").agg(F.countDistinct("p1", "p2", "n_shingles").alias("k")).where("k > 1").select("doc_id")
@@ -346,7 +346,7 @@ def block_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     block's largest component then meet all others, in pairs of panels by size class.
     """
     totals = members.groupBy("block").agg(F.count("*").alias("total")).where("total > 1")
-    members = members.join(totals, "block")
+    members = keep(members.join(totals, "block"), "members")
     # sets of the members alone: a bit table says which texts can be one, the joins decide
     flags = share(docs.sparkSession, bit_table(members.select(slot_of("node").alias("slot"))))
 

@@ -147,11 +147,11 @@ def test_join_block(few, columns, products, monkeypatch):
 
 
 def test_large_block_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PANEL", 60)
+    monkeypatch.setattr(ngram_join, "PANEL", 40)
     monkeypatch.setattr(ngram_join, "PIVOTS", 8)
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
-    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if k in hit else w for k, w in enumerate(base))) for i in range(500) for hit in [set(r.sample(range(120), 2))]]
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if k in hit else w for k, w in enumerate(base))) for i in range(260) for hit in [set(r.sample(range(120), 2))]]
     rows += [(2000 + i, " ".join(base[:60] + [f"y{i}" if k == 50 else f"z{i // 2}-{k}" for k in range(60)])) for i in range(40)]
     got = {x.doc_id: x.component_id for x in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
     assert sorted(got.items()) == [(i, c) for i, _, c in sorted(_near_fast(rows))]
