@@ -91,6 +91,42 @@ def op10_substring_dedup(spark, sf_dir):
     return remove_repeats(_read(spark, sf_dir, "documents"), width=50, text=False)
 
 
+#: Words are split at these.
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs):
+    """docs(doc_id, text): by a checksum of doc_id, one text in ten goes on in periods of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"))
+    words = F.filter(F.split(F.col("text"), BLANKS), lambda w: w != "")
+    g, n = F.expr("h div 10"), F.size("w")
+    chosen = rows.where("h % 10 = 0").withColumn("w", words).withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    period = F.expr("cast(1 + (size(w) - a) div (3 + (h div 10) % 8) as int)")
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a")), F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    chosen = chosen.withColumn("p", period).select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    return rows.where("h is null or h % 10 <> 0").select("doc_id", "text").unionByName(chosen)
+
+
+def op11_periodic_runs(spark, sf_dir):
+    from .periodic import collapse_runs
+
+    return collapse_runs(with_planted_runs(_read(spark, sf_dir, "documents")), text=False)
+
+
+def op12_simhash(spark, sf_dir):
+    from .simhash import simhash_groups
+
+    return simhash_groups(_read(spark, sf_dir, "documents"), n=4, radius=4)
+
+
+def op13_conversation_repair(spark, sf_dir):
+    from .conversations import damage, repair_report
+
+    conversations = _read(spark, sf_dir, "conversations")
+    return repair_report(conversations, damage(conversations))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
