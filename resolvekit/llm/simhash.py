@@ -7,7 +7,7 @@ those that meet on a variant are linked.
 There are 2,081 variants for a radius of 4. They are dealt by their leading bits, and a fingerprint is sent to each
 value of these bits that one of its variants has, once: with b bits that is 1 + b + b * (b - 1) / 2 rows of 16 bytes
 instead of 2,081. The task that has such a value lists the variants with it, sorts them, and verifies what collides.
-b grows with the logarithm of the number of fingerprints, so a value has some thousand of them whatever the input;
+b grows with the logarithm of the number of fingerprints, so a value has some hundreds of them whatever the input;
 where fingerprints lie close together (a group of near copies), values with too many variants get further bits,
 again and again. With all 64 bits a value is one variant, which 2,081 fingerprints can have at most.
 """
@@ -26,8 +26,9 @@ from ..operators.graph import components, forest
 from .store import keep, small_batches
 
 SEED, BITS = 42, 64
-#: Fingerprints of a value of the leading bits, about; variants that a task sorts at once; bits that a full value gets more.
-NEAR, MOST, MORE = 1024, 2_000_000, 4
+#: Fingerprints of a value of the leading bits, about; variants that a task sorts at once, four times those of a usual
+#: value; bits that a full value gets more.
+NEAR, MOST, MORE = 512, 4_000_000, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Hashes whose bits are counted at once.
 SLICE = 1 << 14
