@@ -56,10 +56,12 @@ def same_name_audit(expected: DataFrame, candidates: DataFrame, details: DataFra
 
 
 def select_exact_url(lookup: DataFrame) -> DataFrame:
-    """(url, outcome, entity_id) of lookup(url, entity_id): one entity behind a URL is selected, several are not."""
-    out = lookup.groupBy("url").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
-    return out.select("url", F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "multiple").otherwise("not_found").alias("outcome"),
-        F.when(F.col("n") == 1, F.col("one")).alias("entity_id"))
+    """(url, outcome, entity_id) of lookup(url, found, entity_id): a single entity behind a URL is selected; found says whether the URL is known at all."""
+    out = lookup.groupBy("url").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("one"), F.max(F.coalesce("found", F.lit(True))).alias("found"))
+    # fixed values
+    outcome = F.when(F.col("n") == 1, "unique_exact_url_relationship").when(F.col("n") > 1, "multiple_exact_url_relationships")
+    outcome = outcome.when(~F.col("found"), "exact_url_not_found").otherwise("no_artist_relationship")
+    return out.select("url", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("one")).alias("entity_id"))
 
 
 def candidate_occurrences(associations: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -68,98 +70,6 @@ def candidate_occurrences(associations: DataFrame, occurrences: DataFrame) -> Da
     return own.join(occurrences, "occurrence_id")
 
 
-def classify_bridges(paths: DataFrame) -> DataFrame:
-    """(candidate_id, bridge_outcome, external_id) of paths(candidate_id, origin, external_id, contradiction, alternate).
-
-    Contradictions, or different single ids of independent origins, conflict; alternates or several ids go to review.
-    """
-    per = paths.groupBy("candidate_id", "origin").agg(F.collect_set("external_id").alias("ids"),
-        F.max(F.coalesce("contradiction", F.lit(False))).alias("bad"), F.max(F.coalesce("alternate", F.lit(False))).alias("alt"))
-    single = F.when(F.size("ids") == 1, F.element_at("ids", 1))
-    out = per.groupBy("candidate_id").agg(F.max("bad").alias("bad"), F.max("alt").alias("alt"), F.countDistinct(single).alias("singles"),
-        F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    outcome = F.when(F.col("bad") | (F.col("singles") > 1), "conflict").when(F.col("alt") | (F.size("ids") > 1), "review").when(F.size("ids") == 1,
-        "unique_bridge").otherwise("no_bridge")
-    return out.select("candidate_id", outcome.alias("bridge_outcome"), F.when(outcome == "unique_bridge", F.element_at("ids", 1)).alias("external_id"))
-
-
-def discover_bridges(occurrences: DataFrame, local: DataFrame, external: DataFrame) -> DataFrame:
-    """Bridges of candidates' occurrences(candidate_id, entity_key): those of local(entity_key, external_id) first, the external(entity_key, origin, external_id, contradiction, alternate, deprecated) only for candidates without one."""
-    near = occurrences.join(local.select("entity_key", "external_id"), "entity_key").select("candidate_id", F.lit("local").alias("origin"),
-        "external_id", F.lit(False).alias("contradiction"), F.lit(False).alias("alternate"))
-    rest = occurrences.join(near.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    far = rest.join(external.where(~F.coalesce("deprecated", F.lit(False))), "entity_key").select("candidate_id", "origin", "external_id", "contradiction", "alternate")
-    found = classify_bridges(near.unionByName(far))
-    out = occurrences.select("candidate_id").distinct().join(found, "candidate_id", "left")
-    return out.withColumn("bridge_outcome", F.coalesce("bridge_outcome", F.lit("no_bridge")))
-
-
-def batch_outcome(agreement: DataFrame, records: DataFrame, audit: DataFrame) -> DataFrame:
-    """(entity, outcome, missing): claim statuses, records(entity, source, present, error) and audit(entity, competitors)."""
-    state = agreement.groupBy("entity").agg(F.max(F.col("status") == "conflict").alias("conflict"),
-        F.count_if(F.col("status") == "agreement").alias("agreed"), F.array_sort(F.collect_set(F.when(F.col("status") == "not_observed",
-            F.col("identifier_type")))).alias("missing"))
-    got = records.groupBy("entity").agg(F.max(F.coalesce("error", F.lit(False))).alias("error"), F.min("present").alias("complete"))
-    df = state.join(got, "entity", "left").join(audit.select("entity", "competitors"), "entity", "left")
-    outcome = (
-        F.when(F.coalesce("error", F.lit(True)), "unresolved_identity").when(F.col("conflict"), "conflicting_identity")
-        .when(~F.col("complete") | (F.size("missing") > 0), "insufficient_corroboration").when(F.coalesce("competitors", F.lit(0)) > 0,
-            "coherent_identity_with_same_name_ambiguity").otherwise("coherent_identity_evidence")
-    )
-    return df.select("entity", outcome.alias("outcome"), "missing", "agreed")
-
-
-def identity_outcome(df: DataFrame) -> DataFrame:
-    """df with the outcome of the first rule that holds.
-
-    Columns: url_entities, semantic_conflict, authority_ids, discography_ids, graph_ids, claim_conflict, qualifies,
-    links_back, complete, optional_absent, audited, competitors, blocked.
-    """
-    many = (F.col("authority_ids") > 1) | (F.col("discography_ids") > 1) | (F.col("graph_ids") > 1) | F.col("claim_conflict")
-    enough = F.col("links_back") & (F.col("complete") | F.col("optional_absent")) & F.col("audited")
-    outcome = (
-        F.when(F.col("url_entities") > 1, "unresolved_identity").when(F.col("semantic_conflict"), "semantic_identity_conflict")
-        .when(many & F.col("qualifies"), "provider_profile_multiplicity").when(many, "unresolved_identity")
-        .when((F.col("authority_ids") == 0) & (F.col("graph_ids") == 0), "unresolved_identity").when(~enough, "insufficient_corroboration")
-        .when(F.col("competitors") > 0, "coherent_identity_with_same_name_ambiguity").otherwise("coherent_identity_evidence")
-    )
-    return df.withColumn("outcome", F.when(F.col("blocked"), "unresolved_identity").otherwise(outcome))
-
-
-def multiplicity(profiles: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """(entity, interpretation, reasons) of profiles(entity, profile_id, kind, begin_date, real_name, asserter, redirected, deprecated, resolved) and their title overlaps (group_id, left_id, right_id, overlap).
-
-    Profiles that differ in kind or begin date contradict; precedence: semantic, then, unless an id is unresolved,
-    redirected, deprecated, multiplicity.
-    """
-    kinds = profiles.groupBy("entity").agg(
-        F.countDistinct("kind").alias("kinds"), F.countDistinct("begin_date").alias("begins"), F.countDistinct("real_name").alias("names"),
-            F.countDistinct("asserter").alias("asserters"), F.countDistinct("profile_id").alias("profiles"),
-        F.max("redirected").alias("redirected"), F.max("deprecated").alias("deprecated"), F.min("resolved").alias("resolved"),
-    )
-    shared = overlaps.groupBy(F.col("group_id").alias("entity")).agg(F.max("overlap").alias("overlap"))
-    df = kinds.join(shared, "entity", "left")
-    semantic = (F.col("kinds") > 1) | (F.col("begins") > 1)
-    signs = reasons(("kind_contradiction", F.col("kinds") > 1), ("begin_date_contradiction", F.col("begins") > 1),
-        ("title_overlap", F.coalesce("overlap", F.lit(0)) >= 2), ("one_asserter", F.col("asserters") == 1), ("shared_real_name", F.col("names") == 1),
-            ("redirected", F.col("redirected")), ("deprecated", F.col("deprecated")), ("unresolved_id", ~F.col("resolved")))
-    linked = (F.coalesce("overlap", F.lit(0)) >= 2) | (F.col("asserters") == 1) | (F.col("names") == 1)
-    meaning = F.when(semantic, "semantic_conflict").when(~F.col("resolved"), "unresolved").when(F.col("redirected"),
-        "redirected_profile").when(F.col("deprecated"), "deprecated_profile").when((F.col("profiles") > 1) & linked, "provider_multiplicity").otherwise("unresolved")
-    return df.select("entity", meaning.alias("interpretation"), signs.alias("reasons"))
-
-
-def close_and_route(df: DataFrame) -> DataFrame:
-    """df(outcome, competitors, unresolved_ids, kinds, linked_back) with the reasons that keep a multiplicity open, and the next state."""
-    open_ = reasons(("same_name_competitors", F.col("competitors") > 0), ("unresolved_ids", F.col("unresolved_ids") > 0),
-        ("kind_contradiction", F.col("kinds") > 1), ("no_link_back", ~F.col("linked_back")))
-    closed = (F.col("outcome") == "provider_profile_multiplicity") & (F.size(open_) == 0)
-    state = F.when(closed | (F.col("outcome") == "coherent_identity_evidence"),
-        "identity_coherent").when(F.col("outcome") == "semantic_identity_conflict",
-            "conflicting_identity").when(F.col("outcome") == "unresolved_identity", "failed_match").otherwise("needs_review")
-    return df.withColumn("open_reasons", open_).withColumn("mechanically_closed", closed).withColumn("next_state", state)
-
-
 def build_evidence(names: DataFrame, releases: DataFrame, authority: DataFrame) -> DataFrame:
     """Evidence of names(artist_id, name, external_id) from releases(artist_id, year) and authority(authority_id, name, alias, linked_id, begin_year), joined by name key or alias."""
     both = authority.select("authority_id", "linked_id", "begin_year",

@@ -10,6 +10,8 @@ from .graph import components
 
 #: States whose candidates no longer take duplicates.
 INACTIVE = ("duplicate", "migrated", "rejected")
+#: Codes for an asserted id. Those of the format name a product, so these words stand for them; all other codes are fixed values.
+ASSERTED_UNKNOWN, ASSERTED_ELSEWHERE, ASSERTED_LIVE = "asserted_id_not_found", "asserted_binding_conflict", "asserted_binding_reused"
 
 
 def duplicate_preflight(candidates: DataFrame, registry: DataFrame, queue: DataFrame, directory: DataFrame) -> DataFrame:
@@ -42,14 +44,14 @@ def duplicate_preflight(candidates: DataFrame, registry: DataFrame, queue: DataF
     clash = F.coalesce("n", F.lit(0)) - F.coalesce("n_own", F.lit(0)) - F.coalesce("n_self", F.lit(0)) > 0
     has, id_ = F.col("asserted_id").isNotNull(), F.col("external_id").isNotNull()
     unknown, bound = has & F.col("known").isNull(), has & id_ & (F.col("bound") != F.col("external_id"))
-    decided = F.when(unknown, "asserted_id_not_found").when(bound, "asserted_binding_conflict").when(has,
-        "live_by_asserted_id").when(F.col("by_external").isNotNull(), "live_by_external_id").when(F.col("queued_id").isNotNull(), "queued_duplicate")
+    decided = F.when(unknown, ASSERTED_UNKNOWN).when(bound, ASSERTED_ELSEWHERE).when(has,
+        ASSERTED_LIVE).when(F.col("by_external").isNotNull(), "existing_live_spotify_binding_reused").when(F.col("queued_id").isNotNull(), "queued_spotify_duplicate_detected")
     warn = decided.isNull() & clash
     reason = F.coalesce(decided, F.concat(F.when(id_, "identity_queued").otherwise("identity_discovery_queued"), F.when(warn, "_with_name_warning").otherwise("")))
     state = F.when(unknown | bound, "needs_review").when(decided.isNotNull(), "duplicate").when(id_, "identity_pending").otherwise("identity_discovery_pending")
     return df.select("candidate_id", state.alias("next_state"), reason.alias("reason_code"),
-        F.when(reason == "queued_duplicate", F.col("queued_id")).alias("duplicate_of"),
-            F.when(reason == "live_by_asserted_id", F.col("asserted_id")).when(reason == "live_by_external_id",
+        F.when(reason == "queued_spotify_duplicate_detected", F.col("queued_id")).alias("duplicate_of"),
+            F.when(reason == ASSERTED_LIVE, F.col("asserted_id")).when(reason == "existing_live_spotify_binding_reused",
                 F.col("by_external")).alias("live_id"), warn.alias("name_warning"))
 
 
@@ -95,9 +97,9 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     several = (F.size("external_ids") > 1) | (F.size(targets) > 1) | wrong
     one = F.try_element_at(targets, F.lit(1))
     made = F.concat(F.lit("candidate:"), F.col("occurrence_id"))
-    action = F.when(several, "ambiguous_to_review").when(one["t"] == "live_artist", "associate_live_artist").when(one["t"] == "candidate",
-        "attach_candidate").when(F.size("external_ids") == 1, "create_candidate").otherwise("create_identity_discovery_candidate")
-    fresh = action.isin("ambiguous_to_review", "create_candidate", "create_identity_discovery_candidate")
+    action = F.when(several, "route_ambiguous_exact_convergence_to_review").when(one["t"] == "live_artist", "associate_existing_live_artist").when(one["t"] == "candidate",
+        "attach_existing_candidate").when(F.size("external_ids") == 1, "create_new_candidate").otherwise("create_identity_discovery_candidate")
+    fresh = action.isin("route_ambiguous_exact_convergence_to_review", "create_new_candidate", "create_identity_discovery_candidate")
     routed = alone.select("occurrence_id", action.alias("action"), F.when(fresh, "candidate").otherwise(one["t"]).alias("target_type"),
         F.when(fresh, made).otherwise(one["i"]).alias("target_id"))
     together = new.join(grouped, "occurrence_id").select("occurrence_id", "component", "key", "external_ids",
@@ -121,13 +123,13 @@ def _in_order(batches):
             for e in r.external_ids:
                 targets |= by_external.get(e, set())
             if len(r.external_ids) > 1 or len(targets) > 1 or wrong:
-                action, target = "ambiguous_to_review", ("candidate", f"candidate:{r.occurrence_id}")
+                action, target = "route_ambiguous_exact_convergence_to_review", ("candidate", f"candidate:{r.occurrence_id}")
             elif targets:
                 target = next(iter(targets))
-                action = "associate_live_artist" if target[0] == "live_artist" else "attach_candidate"
+                action = "associate_existing_live_artist" if target[0] == "live_artist" else "attach_existing_candidate"
             else:
                 target = ("candidate", f"candidate:{r.occurrence_id}")
-                action = "create_candidate" if len(r.external_ids) else "create_identity_discovery_candidate"
+                action = "create_new_candidate" if len(r.external_ids) else "create_identity_discovery_candidate"
                 for e in r.external_ids:
                     by_external.setdefault(e, set()).add(target)
             by_key.setdefault(r.key, set()).add(target)
@@ -160,7 +162,7 @@ def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue:
     out = out.join(own, "candidate_id", "left")
     late = out["next_state"].isin("identity_pending") & (F.col("first_id") != F.col("candidate_id"))
     return out.select("candidate_id", F.when(late, "duplicate").otherwise(F.col("next_state")).alias("next_state"),
-        F.when(late, "queued_duplicate").otherwise(F.col("reason_code")).alias("reason_code"),
+        F.when(late, "queued_spotify_duplicate_detected").otherwise(F.col("reason_code")).alias("reason_code"),
             F.when(late, F.col("first_id")).otherwise(F.col("duplicate_of")).alias("duplicate_of"), "live_id", "name_warning")
 
 

@@ -41,6 +41,16 @@ ROUTES = {
     "semantic_identity_conflict": "conflicting_identity",
     "unresolved_identity": "failed_match",
 }
+#: Reasons of these routes, and of several profiles that are closed.
+ROUTE_REASONS = {
+    "coherent_identity_evidence": "identity_evidence_coherent",
+    "coherent_identity_with_same_name_ambiguity": "identity_same_name_ambiguity_requires_review",
+    "insufficient_corroboration": "identity_corroboration_insufficient",
+    "provider_profile_multiplicity": "identity_provider_multiplicity_requires_review",
+    "semantic_identity_conflict": "semantic_identity_conflict_detected",
+    "unresolved_identity": "no_safe_exact_identity_resolved",
+}
+CLOSED_REASON = "identity_provider_multiplicity_mechanically_closed"
 
 
 def transition_table(spark) -> DataFrame:
@@ -335,6 +345,8 @@ def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int =
     those with an outcome are routed by it; without one they stay as they are. An outcome that isn't known goes to review
     as unrouted_outcome.
     """
+    from .resolution import route_outcome
+
     t = F.lit(now).cast("timestamp")
     row = lambda df, state, why: df.select("candidate_id", F.col("revision").alias("expected_revision"),
         F.lit("state_transition").alias("event_type"), state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"),
@@ -343,36 +355,39 @@ def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int =
         "identity_discovering") & (F.col("updated_at") <= t - F.expr(f"interval {lease_minutes} minutes")))
     due = candidates.where((F.col("state") == "retry_wait") & (F.col("retry_at") <= t))
     picked = select_work(candidates, "identity_pending", n).join(outcomes, "candidate_id")
-    routes = candidates.sparkSession.createDataFrame(list(ROUTES.items()), "outcome string, route string")
-    picked = picked.where("outcome is not null").join(F.broadcast(routes), "outcome", "left")
-    route = F.when((F.col("outcome") == "provider_profile_multiplicity") & F.col("mechanically_closed"),
-        "identity_coherent").otherwise(F.coalesce("route", F.lit("needs_review")))
-    why = F.when(F.col("route").isNull(), "unrouted_outcome").otherwise(F.col("outcome"))
-    return row(expired, F.lit("retry_wait"), F.lit("lease_expired")).unionByName(row(due, F.coalesce("resume_state", F.lit("identity_pending")),
-        F.lit("retry_due"))).unionByName(row(picked, route, why))
+    picked = route_outcome(picked.where("outcome is not null"))
+    route, why = F.coalesce("next_state", F.lit("needs_review")), F.coalesce("reason_code", F.lit("unrouted_outcome"))
+    # fixed values: reasons of the two workers
+    late = F.when(F.col("state") == "identity_resolving", "identity_worker_lease_expired").otherwise("identity_discovery_lease_expired")
+    resume = F.coalesce("resume_state", F.lit("identity_pending"))
+    again = F.when(resume == "identity_pending", "identity_retry_became_eligible").otherwise("identity_discovery_retry_became_eligible")
+    return row(expired, F.lit("retry_wait"), late).unionByName(row(due, resume, again)).unionByName(row(picked, route, why))
 
 
 def run_bridge_batch(candidates: DataFrame, bridges: DataFrame, now, n: int = 25, known: DataFrame | None = None) -> DataFrame:
     """Decisions of one batch of the bridge worker: a unique bridge attaches its id, a conflict or several go to review; without a bridge row a candidate stays.
 
-    known(external_id, holder) says who has an id already. A bridge attaches its id first; then, by what is known and by
+    bridges: candidate_id, status, external_id, as classify_bridges has them.
+    known(external_id, holder, live) says who has an id already; live: an artist that is published. A bridge attaches its id first; then, by what is known and by
     the batch's own earlier bridges, the candidate is a duplicate of a holder, or its identity is pending.
     """
     t = F.lit(now).cast("timestamp")
     work = select_work(candidates, "identity_discovery_pending", n).join(bridges, "candidate_id")
-    unique = F.col("bridge_outcome") == "unique_bridge"
+    unique, conflict = F.col("status") == "unique_exact_bridge", F.col("status") == "conflicting_identity"
     nothing = F.lit(None).cast("string")
     decision = lambda revision, kind, state, why, identifier: ("candidate_id", revision.alias("expected_revision"), kind.alias("event_type"),
         state.alias("next_state"), why.alias("reason_code"), t.alias("occurred_at"), nothing.alias("occurrence_id"), identifier.alias("identifier"))
     out = work.select(*decision(F.col("revision"), F.when(unique, "candidate_identifier_attached").otherwise("state_transition"),
-        F.when(unique, F.col("state")).when(F.col("bridge_outcome") == "conflict", "conflicting_identity").otherwise("needs_review"),
-            F.col("bridge_outcome"), F.when(unique, F.col("external_id"))))
+        F.when(unique, F.col("state")).when(conflict, "conflicting_identity").otherwise("needs_review"),
+        # fixed values
+        F.when(unique, "exact_spotify_bridge_discovered").when(conflict, "identity_discovery_semantic_or_exact_conflict").otherwise("identity_discovery_requires_review"),
+        F.when(unique, F.col("external_id"))))
     if known is None:
         return out
-    held = known.where("external_id is not null").groupBy("external_id").agg(F.collect_set("holder").alias("_holders"))
+    held = known.where("external_id is not null").groupBy("external_id").agg(F.collect_set("holder").alias("_holders"), F.max(F.coalesce("live", F.lit(False))).alias("_live"))
     first = F.min(F.struct("queue_place", "candidate_id")).over(Window.partitionBy("external_id"))["candidate_id"]
     found = work.where(unique).withColumn("_first", first).join(held, "external_id", "left")
     other = (F.size(F.array_remove(F.coalesce("_holders", F.array().cast("array<string>")), F.col("candidate_id"))) > 0) | (F.col("_first") != F.col("candidate_id"))
     after = found.select(*decision(F.col("revision") + 1, F.lit("state_transition"), F.when(other, "duplicate").otherwise("identity_pending"),
-        F.when(other, "exact_identifier_duplicate").otherwise("exact_spotify_bridge_ready_for_corroboration"), nothing))
+        F.when(other & F.coalesce("_live", F.lit(False)), "existing_live_spotify_binding_reused").when(other, "queued_spotify_duplicate_detected").otherwise("exact_spotify_bridge_ready_for_corroboration"), nothing))
     return out.unionByName(after)

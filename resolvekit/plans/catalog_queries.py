@@ -12,29 +12,21 @@ from ..operators.numbering import shared_folder
 from ..sources import adapters, cache, html, listings, readers
 from ..streaming import streams
 from . import inputs
-from .inputs import duck, get, read
+from .inputs import get, read
+from .registry import ORACLES, QUERIES, query
 
 NOW = "2001-01-01"
 START, END = "2024-01-08", "2024-01-15"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = duck(sql)
-        return f
-
-    return register
 
 
 def queries() -> dict:
+    from . import resolution_queries  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
@@ -413,11 +405,11 @@ def w9_select_work(spark, sf_dir):
 
 
 @query(f"""{_LAST}, w AS (SELECT *, row_number() OVER (ORDER BY updated_at, candidate_id) AS p FROM c WHERE state = 'identity_pending')
-    SELECT candidate_id, revision AS expected_revision, 'retry_wait' AS next_state, 'lease_expired' AS reason_code FROM c
+    SELECT candidate_id, revision AS expected_revision, 'retry_wait' AS next_state, 'identity_worker_lease_expired' AS reason_code FROM c
         WHERE state = 'identity_resolving'
-    UNION ALL SELECT candidate_id, revision, 'identity_pending', 'retry_due' FROM c WHERE state = 'retry_wait' AND updated_at <= TIMESTAMP '2024-01-30'
+    UNION ALL SELECT candidate_id, revision, 'identity_pending', 'identity_retry_became_eligible' FROM c WHERE state = 'retry_wait' AND updated_at <= TIMESTAMP '2024-01-30'
     UNION ALL SELECT candidate_id, revision, CASE WHEN cast(candidate_id AS bigint) % 2 = 0 THEN 'identity_coherent' ELSE 'failed_match' END, CASE
-        WHEN cast(candidate_id AS bigint) % 2 = 0 THEN 'coherent_identity_evidence' ELSE 'unresolved_identity' END FROM w WHERE p <= 25""")
+        WHEN cast(candidate_id AS bigint) % 2 = 0 THEN 'identity_evidence_coherent' ELSE 'no_safe_exact_identity_resolved' END FROM w WHERE p <= 25""")
 def l6_identity_batch(spark, sf_dir):
     now = lifecycle.replay(get(spark, sf_dir, "log")).withColumn("retry_at",
         F.col("updated_at") + F.expr("interval 1 day")).withColumn("resume_state", F.lit("identity_pending"))
@@ -439,8 +431,8 @@ def l7_bridge_batch(spark, sf_dir):
         F.when(F.col("state") == "identity_pending", "identity_discovery_pending").otherwise(F.col("state")))
     id_ = F.floor(F.col("candidate_id").cast("long") / 8)
     found = now.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 2 == 0,
-        "unique_bridge").otherwise("conflict").alias("bridge_outcome"), id_.cast("string").alias("external_id"))
-    known = now.select(id_.cast("string").alias("external_id"), F.lit("someone").alias("holder")).where(id_ % 5 == 0)
+        "unique_exact_bridge").otherwise("conflicting_identity").alias("status"), id_.cast("string").alias("external_id"))
+    known = now.select(id_.cast("string").alias("external_id"), F.lit("someone").alias("holder"), (id_ % 2 == 0).alias("live")).where(id_ % 5 == 0)
     return lifecycle.run_bridge_batch(now.drop("external_id"), found, "2024-01-31", known=known).select("candidate_id", "expected_revision", "event_type", "next_state")
 
 
@@ -627,41 +619,10 @@ def j6_same_name_audit(spark, sf_dir):
     return claims.same_name_audit(asked, p.select("name", "candidate_id"), links).select("entity", F.col("competitors").cast("long").alias("competitors"))
 
 
-@query("""SELECT cast(l_orderkey AS string) AS url, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'selected' ELSE 'multiple' END AS outcome, CASE
+@query("""SELECT cast(l_orderkey AS string) AS url, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'unique_exact_url_relationship' ELSE 'multiple_exact_url_relationships' END AS outcome, CASE
         WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS entity_id FROM lineitem GROUP BY 1""")
 def j8_select_exact_url(spark, sf_dir):
-    return claims.select_exact_url(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("url"), F.col("l_suppkey").alias("entity_id")))
-
-
-_PATHS = """WITH p AS (SELECT l_orderkey AS candidate_id, l_returnflag AS origin, l_suppkey % 5 AS external_id, l_linenumber = 7 AS contradiction,
-        l_tax > 0.07 AS alternate FROM lineitem),
-    o AS (SELECT candidate_id, origin, CASE WHEN count(DISTINCT external_id) = 1 THEN min(external_id) END AS single, bool_or(contradiction) AS bad,
-        bool_or(alternate) AS alt FROM p GROUP BY 1, 2),
-    n AS (SELECT candidate_id, count(DISTINCT external_id) AS ids, min(external_id) AS one FROM p GROUP BY 1), c AS (SELECT candidate_id,
-        bool_or(bad) AS bad, bool_or(alt) AS alt, count(DISTINCT single) AS singles FROM o GROUP BY 1),
-    r AS (SELECT candidate_id, CASE WHEN bad OR singles > 1 THEN 'conflict' WHEN alt OR ids > 1 THEN 'review'
-        ELSE 'unique_bridge' END AS bridge_outcome, one FROM c JOIN n USING (candidate_id))
-"""
-
-
-def _paths(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_returnflag").alias("origin"),
-        (F.col("l_suppkey") % 5).alias("external_id"), (F.col("l_linenumber") == 7).alias("contradiction"), (F.col("l_tax") > 0.07).alias("alternate"))
-
-
-@query(f"{_PATHS} SELECT candidate_id, bridge_outcome, CASE WHEN bridge_outcome = 'unique_bridge' THEN one END AS external_id FROM r")
-def e10_classify_bridges(spark, sf_dir):
-    return claims.classify_bridges(_paths(spark, sf_dir))
-
-
-@query(f"""{_PATHS}, k AS (SELECT o_orderkey AS candidate_id, o_custkey FROM orders), f AS (SELECT candidate_id, o_custkey % 2 = 0 AS near FROM k)
-        SELECT f.candidate_id, CASE WHEN near THEN 'unique_bridge' ELSE coalesce(bridge_outcome, 'no_bridge') END AS bridge_outcome FROM f LEFT
-        JOIN r USING (candidate_id)""")
-def j9_discover_bridges(spark, sf_dir):
-    occ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderkey").alias("entity_key"), "o_custkey")
-    local = occ.where("o_custkey % 2 = 0").select("entity_key", F.col("o_custkey").alias("external_id"))
-    far = _paths(spark, sf_dir).withColumnRenamed("candidate_id", "entity_key").withColumn("deprecated", F.lit(False))
-    return claims.discover_bridges(occ.select("candidate_id", "entity_key"), local, far).select("candidate_id", "bridge_outcome")
+    return claims.select_exact_url(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("url"), F.lit(True).alias("found"), F.col("l_suppkey").alias("entity_id")))
 
 
 @query("""SELECT l_orderkey AS occurrence_id, l_suppkey AS candidate_id, o_custkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
@@ -672,78 +633,6 @@ def j7_candidate_occurrences(spark, sf_dir):
     return claims.candidate_occurrences(links, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("occurrence_id"), "o_custkey"))
 
 
-@query("""WITH k AS (SELECT DISTINCT identifier_type FROM @claims), e AS (SELECT DISTINCT entity FROM @claims), g AS (SELECT entity, identifier_type,
-        count(DISTINCT value) AS n FROM @claims GROUP BY 1, 2), s AS (SELECT e.entity, bool_or(n > 1) AS conflict, count(*) FILTER (n = 1) AS agreed,
-        count(*) FILTER (n IS NULL) AS missing FROM e CROSS JOIN k LEFT JOIN g ON g.entity = e.entity AND g.identifier_type = k.identifier_type
-        GROUP BY 1)
-    SELECT entity, CASE WHEN entity % 50 = 0 THEN 'unresolved_identity' WHEN conflict THEN 'conflicting_identity' WHEN entity % 9 = 0
-        OR missing > 0 THEN 'insufficient_corroboration' WHEN entity % 4 = 0 THEN 'coherent_identity_with_same_name_ambiguity'
-        ELSE 'coherent_identity_evidence' END AS outcome, agreed FROM s""")
-def e6_batch_outcome(spark, sf_dir):
-    df = get(spark, sf_dir, "claims")
-    entity = df.select("entity").distinct()
-    got = entity.select("entity", F.lit("a").alias("source"), (F.col("entity") % 9 != 0).alias("present"), (F.col("entity") % 50 == 0).alias("error"))
-    audit = entity.select("entity", F.when(F.col("entity") % 4 == 0, 1).otherwise(0).alias("competitors"))
-    return claims.batch_outcome(claims.claim_agreement(df, df.select("identifier_type").distinct()), got, audit).select("entity", "outcome", "agreed")
-
-
-_IDENTITY = """WITH g AS (SELECT l_orderkey AS entity, count(DISTINCT l_suppkey) AS a, count(DISTINCT l_partkey % 3) AS d,
-        count(DISTINCT l_returnflag) AS q, bool_or(l_tax > 0.07) AS sem, bool_or(l_discount > 0.08) AS cc, max(l_linenumber) AS m FROM lineitem
-        GROUP BY 1),
-    i AS (SELECT *, CASE WHEN m = 6 THEN 'unresolved_identity' WHEN entity % 10 = 0 THEN 'unresolved_identity'
-        WHEN sem THEN 'semantic_identity_conflict' WHEN (a > 1 OR d > 1 OR q > 1 OR cc) AND entity % 3 = 0 THEN 'provider_profile_multiplicity'
-        WHEN a > 1 OR d > 1 OR q > 1 OR cc THEN 'unresolved_identity'
-    WHEN NOT (entity % 2 = 0 AND (entity % 5 > 0 OR entity % 7 = 0)) THEN 'insufficient_corroboration'
-        WHEN entity % 4 = 0 THEN 'coherent_identity_with_same_name_ambiguity' ELSE 'coherent_identity_evidence' END AS outcome FROM g)
-"""
-
-
-def _outcomes(spark, sf_dir):
-    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entity")).agg(F.countDistinct("l_suppkey").alias("authority_ids"),
-        F.countDistinct(F.col("l_partkey") % 3).alias("discography_ids"), F.countDistinct("l_returnflag").alias("graph_ids"),
-            F.max(F.col("l_tax") > 0.07).alias("semantic_conflict"), F.max(F.col("l_discount") > 0.08).alias("claim_conflict"), F.max("l_linenumber").alias("m"))
-    e = F.col("entity")
-    g = g.withColumn("url_entities", F.when(e % 10 == 0, 2).otherwise(1)).withColumn("qualifies", e % 3 == 0).withColumn("links_back",
-        e % 2 == 0).withColumn("complete", e % 5 > 0).withColumn("optional_absent", e % 7 == 0).withColumn("audited", F.lit(True))
-    return claims.identity_outcome(g.withColumn("competitors", F.when(e % 4 == 0, 1).otherwise(0)).withColumn("blocked", F.col("m") == 6))
-
-
-@query(f"{_IDENTITY} SELECT entity, outcome FROM i")
-def e7_identity_outcome(spark, sf_dir):
-    return _outcomes(spark, sf_dir).select("entity", "outcome")
-
-
-@query(f"""{_IDENTITY} SELECT entity, outcome = 'provider_profile_multiplicity' AND entity % 4 <> 0 AND entity % 6 <> 0 AND d = 1
-        AND entity % 2 = 0 AS mechanically_closed,
-    CASE WHEN (outcome = 'provider_profile_multiplicity' AND entity % 4 <> 0 AND entity % 6 <> 0 AND d = 1 AND entity % 2 = 0)
-        OR outcome = 'coherent_identity_evidence' THEN 'identity_coherent' WHEN outcome = 'semantic_identity_conflict' THEN 'conflicting_identity'
-        WHEN outcome = 'unresolved_identity' THEN 'failed_match' ELSE 'needs_review' END AS next_state FROM i""")
-def e9_close_and_route(spark, sf_dir):
-    df = _outcomes(spark, sf_dir).withColumn("unresolved_ids", F.when(F.col("entity") % 6 == 0, 1).otherwise(0)).withColumn("kinds",
-        F.col("discography_ids")).withColumn("linked_back", F.col("links_back"))
-    return claims.close_and_route(df).select("entity", "mechanically_closed", "next_state")
-
-
-@query("""WITH p AS (SELECT p_brand AS entity, p_partkey AS profile_id, p_name, p_type AS kind, p_size % 2 AS begin_date, p_size % 50 = 0 AS redirected,
-        p_size % 49 = 0 AS deprecated, p_size % 47 <> 0 AS resolved FROM part),
-    o AS (SELECT entity, max(n) AS overlap FROM (SELECT a.entity, count(*) AS n FROM p a JOIN p b ON a.entity = b.entity AND a.p_name = b.p_name
-        AND a.profile_id < b.profile_id GROUP BY a.entity, a.profile_id, b.profile_id) GROUP BY 1),
-    k AS (SELECT entity, count(DISTINCT kind) AS kinds, count(DISTINCT begin_date) AS begins, count(DISTINCT p_name) AS names,
-        count(DISTINCT profile_id) AS profiles, bool_or(redirected) AS redirected, bool_or(deprecated) AS deprecated, bool_and(resolved) AS resolved
-        FROM p GROUP BY 1)
-    SELECT entity, CASE WHEN kinds > 1 OR begins > 1 THEN 'semantic_conflict' WHEN NOT resolved THEN 'unresolved'
-        WHEN redirected THEN 'redirected_profile' WHEN deprecated THEN 'deprecated_profile' WHEN profiles > 1 AND (coalesce(overlap, 0) >= 2
-        OR names = 1 OR TRUE) THEN 'provider_multiplicity' ELSE 'unresolved' END AS interpretation FROM k LEFT JOIN o USING (entity)""")
-def e8_multiplicity(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    size = F.col("p_size")
-    prof = p.select(F.col("p_brand").alias("entity"), F.col("p_partkey").alias("profile_id"), F.col("p_type").alias("kind"),
-        (size % 2).alias("begin_date"), F.col("p_name").alias("real_name"), F.lit("one").alias("asserter"), (size % 50 == 0).alias("redirected"),
-            (size % 49 == 0).alias("deprecated"), (size % 47 != 0).alias("resolved"))
-    shared = catalog.pairwise_overlap(p.select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("profile_id"), F.col("p_name").alias("title")))
-    return claims.multiplicity(prof, shared).select("entity", "interpretation")
-
-
 _SECOND = f"""{_FIRST.strip()}, e AS (SELECT *, CASE id % 6 WHEN 0 THEN 35 WHEN 1 THEN 40 ELSE 0 END AS ids, (CASE WHEN id % 5 <= 1 THEN 7
         ELSE 0 END + CASE WHEN id % 5 <= 1 AND id % 67 <> 0 THEN 5 ELSE 0 END + CASE WHEN id % 5 = 1 THEN 8 ELSE 0 END) AS meta, id % 4 AS overlap,
         CASE id % 9 WHEN 0 THEN 'conflict' WHEN 1 THEN 'compatible' ELSE 'unknown' END AS chrono, id % 8 = 0 AS alt, CASE id % 3 WHEN 1 THEN 2
@@ -819,13 +708,13 @@ def e4_build_evidence(spark, sf_dir):
         LEFT JOIN kn ON kn.k = lower(c.name) LEFT JOIN ke ON ke.k = lower(c.name) AND ke.e = c.external_id LEFT JOIN kc ON kc.k = lower(c.name)
         AND kc.c = c.candidate_id AND c.external_id IS NULL),
     y AS (SELECT *, CASE WHEN asserted_id IS NOT NULL AND known IS NULL THEN 'asserted_id_not_found' WHEN asserted_id IS NOT NULL
-        AND external_id IS NOT NULL AND bound <> external_id THEN 'asserted_binding_conflict' WHEN asserted_id IS NOT NULL THEN 'live_by_asserted_id'
-        WHEN a IS NOT NULL THEN 'live_by_external_id' WHEN qid IS NOT NULL THEN 'queued_duplicate' END AS d FROM x)
+        AND external_id IS NOT NULL AND bound <> external_id THEN 'asserted_binding_conflict' WHEN asserted_id IS NOT NULL THEN 'asserted_binding_reused'
+        WHEN a IS NOT NULL THEN 'existing_live_spotify_binding_reused' WHEN qid IS NOT NULL THEN 'queued_spotify_duplicate_detected' END AS d FROM x)
     SELECT candidate_id, CASE WHEN d IN ('asserted_id_not_found', 'asserted_binding_conflict') THEN 'needs_review' WHEN d IS NOT NULL THEN 'duplicate'
         WHEN external_id IS NOT NULL THEN 'identity_pending' ELSE 'identity_discovery_pending' END AS next_state,
     coalesce(d, (CASE WHEN external_id IS NOT NULL THEN 'identity_queued' ELSE 'identity_discovery_queued' END) || (CASE
-        WHEN clash THEN '_with_name_warning' ELSE '' END)) AS reason_code, CASE WHEN d = 'queued_duplicate' THEN qid END AS duplicate_of,
-    CASE WHEN d = 'live_by_asserted_id' THEN asserted_id WHEN d = 'live_by_external_id' THEN a END AS live_id, d IS NULL AND clash AS name_warning
+        WHEN clash THEN '_with_name_warning' ELSE '' END)) AS reason_code, CASE WHEN d = 'queued_spotify_duplicate_detected' THEN qid END AS duplicate_of,
+    CASE WHEN d = 'asserted_binding_reused' THEN asserted_id WHEN d = 'existing_live_spotify_binding_reused' THEN a END AS live_id, d IS NULL AND clash AS name_warning
         FROM y""")
 def j4_duplicate_preflight(spark, sf_dir):
     return converge.duplicate_preflight(*(get(spark, sf_dir, n) for n in ("candidates", "registry", "queue", "live_names")))

@@ -178,6 +178,8 @@ def duck(sql: str) -> str:
     used = [n for n in INPUTS if re.search(rf"@{n}\b", sql)]
     with_ = ", ".join(f"in_{n} AS ({re.sub(r'[{}]', '', INPUTS[n])})" for n in used)
     body = re.sub(r"@(\w+)", r"in_\1", sql).strip()
+    if with_ and body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {with_}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {with_}, {body[5:]}" if with_ else body
     return f"WITH {with_} {body}" if with_ else body

@@ -106,12 +106,12 @@ def _sequential(occ, links, candidates, registry):
                 wrong = True
         made = ("candidate", f"candidate:{o}")
         if len(set(ext)) > 1 or len(targets) > 1 or wrong:
-            out[o], t = ("ambiguous_to_review", *made), made
+            out[o], t = ("route_ambiguous_exact_convergence_to_review", *made), made
         elif targets:
             t = next(iter(targets))
-            out[o] = ("associate_live_artist" if t[0] == "live_artist" else "attach_candidate", *t)
+            out[o] = ("associate_existing_live_artist" if t[0] == "live_artist" else "attach_existing_candidate", *t)
         else:
-            out[o], t = ("create_candidate" if ext else "create_identity_discovery_candidate", *made), made
+            out[o], t = ("create_new_candidate" if ext else "create_identity_discovery_candidate", *made), made
             for e in ext:
                 by_ext.setdefault(e, set()).add(made)
         by_key.setdefault(key, set()).add(t)
