@@ -86,4 +86,69 @@ k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM x AN
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_lm_score": LM_SCORE, "op4_warc": WARC, "op5_ngram_jaccard": JACCARD, "op9_quality_rules": RULES_SQL, "op10_substring_dedup": REPEATS}
+# CRC-32 bit by bit: each byte is xored in and followed by seven steps without one.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))))"
+
+RUNS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, {_CRC.format("cast(doc_id AS varchar)")} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a FROM g),
+q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p),
+v AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM q),
+t AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM v),
+e AS (SELECT s.doc_id, s.i, r.i - s.i AS lag FROM t s JOIN t r ON s.doc_id = r.doc_id AND s.x = r.x AND s.i < r.i AND 4 * (r.i - s.i) <= s.n),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM e),
+c AS (SELECT doc_id, min(i) AS start, count(*) + lag AS length, lag AS period FROM k GROUP BY doc_id, lag, island HAVING count(*) + lag >= greatest(6, 4 * lag)),
+r AS (SELECT doc_id, start, length, min(period) AS period FROM c GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+o AS (SELECT doc_id, start, length, period, 1000 * length // period AS exponent_milli FROM r
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cast(length AS double) / period DESC, start, period) = 1),
+m AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND i >= start + period AND i < start + length) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+_INK = r"[^\x20\x09-\x0D]"
+# One row of a conversation after another: costs to go from each state from the last one back, then the least way forward.
+REPAIR = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC.format("coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ')")} % 20 AS f FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+z AS (SELECT *, NOT regexp_matches(text, '{_INK}') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '({_INK})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS k FROM o),
+e AS (SELECT conv_id, i, role, text, turn, k, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, blank OR again AS dead,
+    CASE WHEN NOT blank AND NOT again AND cut THEN 5 ELSE 0 END AS fault, coalesce(lag(k) OVER w || k NOT IN ('su', 'ua', 'au'), false) AS illegal FROM z
+    WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+s AS (SELECT conv_id, max(i) AS n FROM e GROUP BY conv_id),
+b AS (SELECT conv_id, n + 1 AS i, 0::BIGINT AS c0, 10::BIGINT AS c1, 5::BIGINT AS c2, 0::BIGINT AS c3 FROM s UNION ALL
+    SELECT conv_id, i, least(r0, 5 + least(r2, 5 + r3)), least(r1, 5 + least(r2, 5 + r3)), least(r2, 5 + r3), least(r3, 5 + r2) FROM (SELECT e.conv_id, e.i,
+        CASE WHEN dead THEN 2 + c0 ELSE least(2 + c0, 1 + fault + c2, CASE k WHEN 's' THEN fault + c1 WHEN 'u' THEN fault + c2 END) END AS r0,
+        CASE WHEN dead THEN 2 + c1 ELSE least(2 + c1, 1 + fault + c2, CASE k WHEN 'u' THEN fault + c2 END) END AS r1,
+        CASE WHEN dead THEN 2 + c2 ELSE least(2 + c2, 1 + fault + c3, CASE k WHEN 'a' THEN fault + c3 END) END AS r2,
+        CASE WHEN dead THEN 2 + c3 ELSE least(2 + c3, 1 + fault + c2, CASE k WHEN 'u' THEN fault + c2 END) END AS r3
+        FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i - 1)),
+v AS (SELECT conv_id, i, [c0, c1, c2, c3] AS v FROM b),
+t AS (SELECT conv_id, 0 AS step, 1::BIGINT AS i, 1 AS q, NULL::VARCHAR AS edit, NULL::VARCHAR AS line FROM s UNION ALL
+    SELECT conv_id, step + 1, CASE WHEN act = 'I' THEN i ELSE i + 1 END, CASE act WHEN 'D' THEN q WHEN 'K' THEN same ELSE other END, act,
+        CASE act WHEN 'K' THEN role || ':' || text WHEN 'R' THEN name || ':' || text WHEN 'I' THEN name || ':' END FROM (
+        SELECT *, CASE WHEN dead OR v[q] = 2 + after[q] THEN CASE WHEN role IS NULL THEN 'I' ELSE 'D' END WHEN v[q] = 5 + v[other] THEN 'I' WHEN v[q] = fault + after[same] THEN 'K' ELSE 'R' END AS act
+        FROM (SELECT t.*, e.role, e.text, e.dead, e.fault, v.v, u.v AS after, CASE WHEN q = 3 THEN 4 ELSE 3 END AS other, CASE WHEN q = 3 THEN 'assistant' ELSE 'user' END AS name,
+            CASE WHEN k = 's' AND q = 1 THEN 2 WHEN k = 'u' AND q <> 3 THEN 3 WHEN k = 'a' AND q = 3 THEN 4 END AS same
+            FROM t JOIN v ON v.conv_id IS NOT DISTINCT FROM t.conv_id AND v.i = t.i LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id AND e.i = t.i
+            LEFT JOIN v u ON u.conv_id IS NOT DISTINCT FROM t.conv_id AND u.i = t.i + 1 WHERE e.i IS NOT NULL OR q IN (2, 3)))),
+a AS (SELECT conv_id, string_agg(edit, '' ORDER BY step) AS audit, string_agg(line, chr(10) ORDER BY step) AS lines FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM e GROUP BY conv_id),
+y AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT y.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(v[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256 FROM y
+LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM y.conv_id
+LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM y.conv_id AND v.i = 1
+"""
+
+ORACLES = {
+    "op2_lm_score": LM_SCORE, "op4_warc": WARC, "op5_ngram_jaccard": JACCARD, "op9_quality_rules": RULES_SQL, "op10_substring_dedup": REPEATS, "op11_periodic_runs": RUNS,
+    "op13_conversation_repair": REPAIR,
+}
