@@ -1219,24 +1219,35 @@ def x1_adapter(spark, sf_dir):
     return adapters.occurrences("supplier_list", read(spark, sf_dir, "supplier"))[0].select("entity_id", "name_key")
 
 
-@query("SELECT DISTINCT cast(user_id AS string) AS occurrence_id, user_id % 7 AS place FROM events")
+@query("""WITH e AS (SELECT cast(user_id AS string) AS occurrence_id, event_type AS label, ts FROM events), f AS (SELECT occurrence_id, arg_min(label, ts) AS first FROM e GROUP BY 1)
+    SELECT occurrence_id, first AS label, false AS collision FROM f UNION ALL SELECT DISTINCT occurrence_id, label, true FROM e JOIN f USING (occurrence_id) WHERE label <> first""")
 def t2_ingest(spark, sf_dir):
     folder = _folder(spark)
-    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("occurrence_id"), (F.col("user_id") % 7).alias("place"))
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("occurrence_id"), F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("discovered_at"))
     for _ in range(2):  # the second run finds nothing new
-        streams.ingest(e, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("occurrence_id", "place")
-
-
-@query(f"""{_RETRY} SELECT candidate_id, cast(attempt AS bigint) AS attempt, CASE WHEN late THEN 'time'
-        WHEN attempt > 3 THEN 'attempts' END AS exhausted, CASE WHEN NOT (late OR attempt > 3) THEN round(epoch(occurred_at) + greatest(CASE attempt
-        WHEN 1 THEN 900.0 WHEN 2 THEN 7200.0 ELSE 86400.0 END, coalesce(cast(retry_after AS double), 0.0)), 3) END AS due FROM g""")
+        streams.ingest(e, folder, f"{folder}/checkpoint").awaitTermination()
+    kinds = {"table": False, "collisions": True}
+    found = [spark.read.parquet(f"{folder}/{k}").select("occurrence_id", "label", F.lit(v).alias("collision")) for k, v in kinds.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("""WITH RECURSIVE f AS (SELECT candidate_id, epoch_us(occurred_at) AS t, coalesce(cast(retry_after AS double), 0.0) AS wait, row_number() OVER (PARTITION BY candidate_id
+        ORDER BY occurred_at, coalesce(cast(retry_after AS double), 0.0)) AS n FROM @failures),
+    r AS (SELECT candidate_id, n, t, wait, t AS first, 1 AS attempt, n AS head FROM f WHERE n = 1 UNION ALL SELECT candidate_id, n, t, wait, CASE WHEN old THEN first ELSE t END,
+        CASE WHEN old THEN attempt + 1 ELSE 1 END, CASE WHEN old THEN head ELSE n END FROM (SELECT f.*, r.first, r.attempt, r.head, f.t - r.first < 72 * 3600000000 AS old FROM r
+        JOIN f ON f.candidate_id = r.candidate_id AND f.n = r.n + 1)),
+    d AS (SELECT *, first + 72 * 3600000000 AS until, CASE WHEN attempt <= 3 THEN t + cast(round(1000000 * greatest(CASE attempt WHEN 1 THEN 900.0 WHEN 2 THEN 7200.0 ELSE 86400.0 END,
+        wait)) AS bigint) END AS due, coalesce(lead(t) OVER (PARTITION BY candidate_id ORDER BY n), 9000000000000000) AS later FROM r),
+    m AS (SELECT (max(t) // 1000 - 2 * 86400000) * 1000 AS mark FROM f)
+    SELECT candidate_id, 'failure' AS kind, attempt, t AS at, due, CASE WHEN attempt > 3 THEN 'retry_attempts_exhausted' END AS exhausted FROM d
+    UNION ALL SELECT candidate_id, 'due', attempt, due, NULL, NULL FROM d, m WHERE due < until AND due <= later AND (due <= mark OR later < 9000000000000000)
+    UNION ALL SELECT candidate_id, 'ended', attempt, until, NULL, 'retry_elapsed_time_exhausted' FROM d, m WHERE later >= until AND (until <= mark OR later < 9000000000000000)""")
 def t3_retry_timers(spark, sf_dir):
     e = _stream(spark, sf_dir).where("event_type = 'error'")
     wait = F.when(F.col("event_id") % 5 == 0, F.floor(F.col("value") * 100).cast("double"))
     e = e.select(F.col("user_id").cast("string").alias("candidate_id"), F.col("ts").cast("timestamp").alias("occurred_at"), wait.alias("retry_after"))
-    out = streams.run_now(streams.retry_timers(e), ["candidate_id", "attempt"], _folder(spark), "append")
-    return out.select("candidate_id", "attempt", "exhausted", F.round(F.col("due_at").cast("double"), 3).alias("due"))
+    out = streams.run_now(streams.retry_timers(e), ["candidate_id", "kind", "attempt", "at"], _folder(spark), "append")
+    return out.select("candidate_id", "kind", "attempt", F.unix_micros("at").alias("at"), F.unix_micros("due_at").alias("due"), "exhausted")
 
 
 @query("""WITH l AS (SELECT cast(user_id AS string) AS item, max(ts) AS last, arg_max(event_type, ts) AS state FROM events GROUP BY 1),

@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.lifecycle import CLOSED, RETRY_HOURS, RETRY_MINUTES, breaker_step
+from ..operators.lifecycle import CLOSED, breaker_step
+from .keyed import candidate_states, first_of_each, retry_timers
+
+__all__ = ["behaviour_counts", "backward_moves", "breaker_states", "candidate_states", "ingest", "period_counts", "retry_timers", "run_now", "stalled_work"]
 
 #: Behaviour events that count.
 BEHAVIOUR_TYPES = ("artist_impression", "artist_saved", "artist_unsaved", "spotify_clicked", "roll_again", "artist_skipped")
 
 
-def candidate_states(events: DataFrame) -> DataFrame:
-    """(candidate_id, revision, state) after each batch, from a stream of events(candidate_id, candidate_revision, next_state).
-
-    Events apply in order of revision; one that comes early waits in the state until those before it are there, one
-    that comes again is inert.
-    """
-
-    def run(key, batches, state):
-        revision, now, waiting = state.get if state.exists else (0, None, "{}")
-        waiting = json.loads(waiting)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.candidate_revision > revision:
-                    waiting[str(r.candidate_revision)] = r.next_state
-        while str(revision + 1) in waiting:
-            revision += 1
-            now = waiting.pop(str(revision))
-        state.update((revision, now, json.dumps(waiting)))
-        yield pd.DataFrame({"candidate_id": [key[0]], "revision": [revision], "state": [now]})
-
-    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, revision long, state string",
-        "revision long, state string, waiting string", "update", GroupStateTimeout.NoTimeout)
-
-
-def retry_timers(failures: DataFrame, delay: str = "2 days") -> DataFrame:
-    """(candidate_id, attempt, due_at, exhausted) for each failure of a stream (candidate_id, occurred_at, retry_after seconds).
-
-    By the fixed delays, or retry_after if that is longer; exhausted (attempts or time) after the third failure, and 72
-    hours after the first. Within a batch failures count in order of time; batches count as they come.
-    """
-    events = failures.withWatermark("occurred_at", delay)
-
-    def run(key, batches, state):
-        attempt, first = state.get if state.exists else (0, None)
-        out = []
-        for t, wait in sorted(((r.occurred_at, r.retry_after) for pdf in batches for r in pdf.itertuples(index=False)), key=lambda x: x[0]):
-            attempt, first = attempt + 1, t.value if first is None else first
-            why = "time" if t.value - first >= RETRY_HOURS * 3_600_000_000_000 else "attempts" if attempt > len(RETRY_MINUTES) else None
-            seconds = 0.0 if why else max(60.0 * RETRY_MINUTES[attempt - 1], 0.0 if pd.isna(wait) else wait)
-            out.append((key[0], attempt, pd.NaT if why else t + pd.Timedelta(seconds=seconds), why))
-        state.update((attempt, first))
-        yield pd.DataFrame(out, columns=["candidate_id", "attempt", "due_at", "exhausted"])
-
-    return events.groupBy("candidate_id").applyInPandasWithState(run, "candidate_id string, attempt long, due_at timestamp, exhausted string",
-        "attempt long, first long", "append", GroupStateTimeout.NoTimeout)
-
-
 def stalled_work(events: DataFrame, working: tuple[str, ...], minutes: int = 5, delay: str = "2 days") -> DataFrame:
     """(item, since) of items of a stream (item, state, occurred_at) that entered a working state and had no event for so many minutes of event time.
 
@@ -124,18 +78,21 @@ def period_counts(events: DataFrame, length: str = "7 days", offset: str = "0 da
         "next_state").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), F.col("next_state").alias("state"), "events")
 
 
-def ingest(occurrences: DataFrame, path: str, checkpoint: str, key: str = "occurrence_id"):
-    """Append a stream of occurrences to a parquet table, each key once, also over restarts from the checkpoint.
+def ingest(occurrences: DataFrame, path: str, checkpoint: str, key: str = "occurrence_id", time: str = "discovered_at", horizon_seconds: float = 30 * 86400.0, delay: str = "2 days"):
+    """Append a stream of occurrences to parquet tables: path/table has each key once, path/collisions what came later under a key with other content.
 
-    The keys seen are the stream's state, so no batch reads the table. A batch has a folder of its own, which a
-    repeated attempt writes anew.
+    Also over restarts from the checkpoint. A repeat is inert; a key is known for so many seconds of event time. A batch
+    has a folder of its own, which a repeated attempt writes anew, and no batch reads the tables.
     """
 
     def append(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batch.persist()
+        for name, rows in (("table", batch.where("not collision")), ("collisions", batch.where("collision"))):
+            rows.drop("collision").write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+        batch.unpersist()
 
-    stream = occurrences.dropDuplicates([key])
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = first_of_each(occurrences, key, time, horizon_seconds, delay)
+    return stream.writeStream.foreachBatch(append).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def backward_moves(positions: DataFrame) -> DataFrame:

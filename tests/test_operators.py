@@ -252,5 +252,5 @@ def test_intake(spark):
     ids = {r.source_record_id: "candidate:" + r.i for r in d.select("source_record_id", content_id("source_name", "source_record_id", "source_type").alias("i")).collect()}
     got = {r.candidate_id: r for r in converge.intake(d, known, registry, queue, directory).collect()}
     assert set(got) == {ids[k] for k in "1235"}
-    assert (got[ids["2"]].next_state, got[ids["2"]].reason_code, got[ids["2"]].duplicate_of) == ("duplicate", "queued_duplicate", ids["1"])
+    assert (got[ids["2"]].next_state, got[ids["2"]].reason_code, got[ids["2"]].duplicate_of) == ("duplicate", "queued_spotify_duplicate_detected", ids["1"])
     assert got[ids["1"]].next_state == "identity_pending" and got[ids["3"]].next_state == "duplicate" and got[ids["3"]].live_id == "artist_1"
