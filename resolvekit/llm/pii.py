@@ -19,21 +19,27 @@ _IN, _OUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     # with the lengths that addresses may have, and from a boundary on, so that long runs of letters cost no more than others
     "email": _IN + r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,63}" + _OUT,
+    # in one piece before secrets, which may have the same letters and digits; with blanks after them
+    "account": _IN + r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}" + _OUT,
     "secret": _IN + r"(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-fA-F])[0-9a-fA-F]{16,64})" + _OUT,
     "iban": _IN + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _OUT,
     "address": _IN + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])" + _OUT,
-    "date": _IN + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + _OUT,
+    # also the date of a timestamp
+    "date": _IN + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:(?=T[0-9]{2}:)|" + _OUT + r")|(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + _OUT + ")",
     "card": _IN + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _OUT,
     "ssn": _IN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _OUT,
 }
 #: A digit of a phone number with a mark before it, unless another kind begins there; numbers have 15 digits at most.
 _MORE = r"(?:[ \u00A0\u202F./-](?!" + "|".join(PATTERNS[k] for k in ("address", "date", "card", "ssn")) + r"))?[0-9]"
+#: A number that such a word names is no phone number.
+_NAMES = "ISBN ISSN order invoice ref reference number no nr id Bestellung Bestellnummer Rechnung Nummer commande facture numéro pedido factura número".split()
+_UNNAMED = r"(?<!(?<![\p{L}])(?i:" + "|".join(_NAMES) + r")(?:-1[03])?[ .:#]{0,3})(?<!#)"
 _PLUS = r"(?<![\p{L}\p{N}+])\+"
 _PHONES = [
     _PLUS + r"1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}",
     _PLUS + rf"[1-9](?:{_MORE}){{6,14}}",
     _PLUS + rf"[1-9][0-9]{{0,2}}[ .-]?(?:\(0\) ?[0-9](?:{_MORE}){{5,10}}|\([0-9]{{2,3}}\)(?:{_MORE}){{4,9}}|\([0-9]{{4,5}}\)(?:{_MORE}){{3,7}})",
-    _IN + rf"(?<![0-9][./-])0[0-9](?:{_MORE}){{5,13}}",
+    _IN + _UNNAMED + rf"(?<![0-9][./-])0[0-9](?:{_MORE}){{5,13}}",
     _IN + rf"\(0[0-9]{{1,5}}\)(?:{_MORE}){{3,9}}",
     r"(?:(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|" + _IN + r"(?<![0-9][.-])[0-9]{2,4}[ .-])[0-9]{3}[ .-]?[0-9]{4}",
 ]
@@ -213,7 +219,8 @@ def _email(key: str, m: Column) -> Column:
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of one match of EVERY, or the match itself where it isn't valid."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
-    out = F.when(m.contains("@"), _email(key, m)).when(whole("secret"), _secret(key, m)).when(whole("iban"), _iban(key, m))
+    account = whole("iban") & (iban_rest(F.regexp_replace(m, " ", "")) == 1)
+    out = F.when(m.contains("@"), _email(key, m)).when(account, _iban(key, m)).when(whole("secret"), _secret(key, m)).when(whole("iban"), m)
     out = out.when(whole("address"), _address(key, m)).when(whole("date"),
         _date(key, m)).when(whole("card") & (~m.startswith("0") | (luhn_sum(_digits(m)) % 10 == 0)), _card(key, m))
     return out.when(whole("ssn"), _plain(key, "ssn", m, 9, 9)).otherwise(_plain(key, "phone", m, 7, 15))
@@ -224,8 +231,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str | N
 
     count names a column for the number of replaced values (none if None). A null text stays null (count 0), an
     empty one empty. Text without a match is returned byte for byte; values that fail their check stay as they
-    are. Texts of any length are read whole. Repeated rows get equal pseudonyms. A column named as the count is
-    replaced.
+    are. Texts of any length are read whole. Repeated rows, and ties of one value in several forms (an account with and
+    without blanks), get equal pseudonyms. An empty table gives an empty result. A column named as the count is replaced.
     """
     text = F.col(f"`{column}`")
     found = F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
