@@ -7,6 +7,9 @@ windows occur in a document, the values in the placeholders must correspond: an
 value of the document, as in a question whose names and numbers were changed throughout. This is judged for each
 occurrence alone, so that a document may hold an item several times, each time with other values.
 
+In languages that write every noun with a capital (NOUN_WORDS tell) most names are nouns, and texts that share only
+their grammar have other ones. There half of the names must be the item's own.
+
 An item with fewer than SURE windows (short, or dense in numbers, names and units) is also looked for as it stands:
 the hash of its whole token sequence, values included, is joined to the documents' sequences of that length.
 """
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import BITS, bit_table, contains, without
-from .store import keep, share, small_batches, unused
+from .store import keep, release, share, small_batches, unused
 from .text import Words, mix, ngrams, pieces, powers
 
 WIDTH = 8
@@ -28,8 +31,17 @@ WIDTH = 8
 COVER, CONSISTENT = 1 / 3, 0.8
 #: From as many windows on, an item keeps a COVER of them where one word is read as another kind than in the document.
 SURE = 3 * WIDTH // 2
-#: Unit words that are placeholders after a number.
+#: Share of the names that must stay where nouns have capitals; such words of theirs that a text has at least.
+SAME_NOUNS, LEAST_NOUN_WORDS = 0.5, 2
+#: Tokens that an item has at least for what holds it, as it stands, to be removed; shorter ones are only reported.
+LEAST_TOKENS = 4
+#: Words that tell a language that writes nouns with capitals (German).
+NOUN_WORDS = "der das dem ein eine einen einem einer und ist nicht zum zur mit auf für hat haben wie viele wird".split()
+#: Unit words that are placeholders after a number, in English, German, French and Spanish.
 UNITS = "km m cm mm miles mile feet foot inches inch kg g mg tons pounds ounces liters litres l ml hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents percent degrees meters metres kilometers kilograms grams".split()
+UNITS += "stunde stunden minuten sekunde sekunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren cent prozent grad meter metern kilometer kilometern kilogramm gramm liter".split()
+UNITS += "heure heures seconde secondes jour jours semaine semaines mois an ans année années centimes degrés mètre mètres kilomètre kilomètres gramme grammes kilogrammes litre".split()
+UNITS += "hora horas minuto minutos segundo segundos día días semana semanas mes meses año años dólares céntimos grados metro metros kilómetro kilómetros gramo gramos kilogramos litro litros".split()
 NUM, NAME, UNIT = (np.uint64(k) for k in (0x11, 0x22, 0x33))
 _WHOLE = np.uint64(1 << 32)  # sets the hashes of sequences apart from those of windows
 KINDS = {int(NUM): "num", int(NAME): "name", int(UNIT): "unit"}
@@ -74,7 +86,7 @@ class Template:
         name = capital & ~begins & ~number
         unit = np.zeros(len(h), bool)
         if len(h) > 1:
-            unit[1:] = np.isin(h[1:], unit_hashes()) & number[:-1] & (self.doc[1:] == self.doc[:-1])
+            unit[1:] = np.isin(h[1:], word_hashes(UNITS)) & number[:-1] & (self.doc[1:] == self.doc[:-1])
         self.literal = ~(number | name | unit)
         self.hash = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
         self.low, self.start, self.end, self.plain = low, start, end, h
@@ -109,30 +121,34 @@ class Template:
             at + width) if not self.literal[i]]
 
 
-_units: list[np.ndarray] = []
+_hashes: dict[str, np.ndarray] = {}
 
 
-def unit_hashes() -> np.ndarray:
-    if not _units:
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of lower-case words, as Template has them."""
+    name = words[0]
+    if name not in _hashes:
         with np.errstate(over="ignore"):
             out = []
-            for w in UNITS:
+            for w in words:
                 b = np.frombuffer(w.encode(), np.uint8).astype(np.uint64)
                 out.append(mix(np.array([((b + np.uint64(1)) * powers(len(b))[0]).sum(dtype=np.uint64) + np.uint64(len(b))])))
-        _units.append(np.concatenate(out))
-    return _units[0]
+        _hashes[name] = np.concatenate(out)
+    return _hashes[name]
 
 
-_WINDOWS = "id long, th long, h long, at int, windows int, slots array<struct<kind:string,value:string>>"
+_WINDOWS = "id long, th long, h long, at int, windows int, nouns boolean, slots array<struct<kind:string,value:string>>"
 
 
 def _emit(template: Template, ids: pa.Array, th: pa.Array, at: np.ndarray, h: np.ndarray, width: int, total: np.ndarray | None) -> pa.RecordBatch:
     doc = template.doc[at]
+    tells = np.isin(template.plain, word_hashes(NOUN_WORDS)) if total is not None else np.zeros(0, np.int64)  # asked of items alone
+    nouns = np.bincount(template.doc[tells], minlength=len(ids)) >= LEAST_NOUN_WORDS
     slots = [[{"kind": k, "value": v} for k, v in template.slots(i, width)] for i in at.tolist()]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
     return pa.RecordBatch.from_pydict({
         "id": ids.take(pa.array(doc)), "th": th.take(pa.array(doc)), "h": pa.array(h.view(np.int64)), "at": pa.array((at - template.first[doc]).astype(np.int32)),
-        "windows": pa.array(total[doc].astype(np.int32) if total is not None else np.zeros(len(at), np.int32)), "slots": pa.array(slots, kind),
+        "windows": pa.array(total[doc].astype(np.int32) if total is not None else np.zeros(len(at), np.int32)), "nouns": pa.array(nouns[doc]), "slots": pa.array(slots, kind),
     })
 
 
@@ -192,8 +208,8 @@ def _whole(t: Template, lengths: list[int], flags: np.ndarray) -> tuple[np.ndarr
     return rows[new], keys[new]
 
 
-def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: int) -> tuple[int, int] | None:
-    """(windows, changed values) of a document's best occurrence of an item, None if it has none.
+def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: int, nouns: bool = False) -> tuple[int, int] | None:
+    """(windows, changed values) of a document's best occurrence of an item, None if it has none. nouns: the item's nouns have capitals.
 
     matches has (token of the item, token of the document, pairs of kind, item's and document's value) for each window
     that they share. An occurrence is read from an alignment outwards: matches join it by how far they are shifted
@@ -205,6 +221,9 @@ def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: i
         values = {p[:2] for p in pairs}
         if len(tokens) < COVER * windows or len(values) < CONSISTENT * len(pairs):
             return None
+        names = [value == own for kind, value, own in pairs if kind == "name"]
+        if nouns and sum(names) < SAME_NOUNS * len(names):
+            return None
         return len(tokens), -sum(value != own for _, value, own in pairs)
 
     best = verdict({m[0] for m in matches}, {p for m in matches for p in m[2]})
@@ -225,30 +244,31 @@ def judge(matches: list[tuple[int, int, list[tuple[str, str, str]]]], windows: i
     return best and (best[0], -best[1])
 
 
-_LEAKS = "doc_id long, item_id long, th long, n_windows long, item_windows long, n_changed long"
+_LEAKS = "doc_id long, item_id long, th long, n_windows long, item_windows long, n_changed long, item_tokens long"
 
 
 def _judged(batches):
-    """Rows of _LEAKS for rows (doc_id, item_id, th, windows, matches) with an occurrence."""
+    """Rows of _LEAKS for rows (doc_id, item_id, th, windows, nouns, n, matches) with an occurrence."""
     schema = pa.schema([(field.split()[0], pa.int64()) for field in _LEAKS.split(", ")])
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             matches = [(m["at"], m["place"], [(p["kind"], p["value"], p["own"]) for p in m["pairs"]]) for m in row["matches"] if m["at"] >= 0]
-            found = judge(matches, row["windows"]) if matches else None
+            found = judge(matches, row["windows"], row["nouns"]) if matches else None
             if found is None and len(matches) < len(row["matches"]):  # the item as it stands
                 found = len({m[0] for m in matches}), 0
             if found:
-                out.append((row["doc_id"], row["item_id"], row["th"], found[0], row["windows"], found[1]))
+                out.append((row["doc_id"], row["item_id"], row["th"], found[0], row["windows"], found[1], row["n"]))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(schema))], schema=schema)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, th, n_windows, item_windows, n_changed) for documents that hold a benchmark item.
+    """(doc_id, item_id, th, n_windows, item_windows, n_changed, item_tokens) for documents that hold a benchmark item.
 
     docs has doc_id and text, items item_id and text. n_windows of the item's item_windows windows are in the
     document's best occurrence (COVER of them at least, or any number if the document holds the item as it stands),
-    n_changed counts slot values that differ there; th is xxhash64 of the text.
+    n_changed counts slot values that differ there; th is xxhash64 of the text. item_tokens is known for items that are
+    also looked for as they stand.
 
     Null and empty texts hold nothing and match nothing, as do items without a letter or digit. A window needs words
     (no placeholders) for half of its tokens at least; an item without such a window, as any with fewer than WIDTH
@@ -279,22 +299,25 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield found.set_column(3, "at", pa.array(np.full(len(rows), -1, np.int32)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = texts.mapInArrow(run, _WINDOWS).select(F.col("id").alias("doc_id"), "th", "h", F.col("at").alias("place"), F.col("slots").alias("own"))
-    as_is = whole.select("id", "h", F.lit(-1).alias("at"), "windows", F.array().cast(wanted.schema["slots"].dataType).alias("slots"))
-    item = wanted.select("id", "h", "at", "windows", "slots").unionByName(as_is).withColumnRenamed("id", "item_id")
+    found = keep(texts.mapInArrow(run, _WINDOWS), "found")
+    release(flags)
+    found = found.select(F.col("id").alias("doc_id"), "th", "h", F.col("at").alias("place"), F.col("slots").alias("own"))
+    as_is = whole.select("id", "h", F.lit(-1).alias("at"), "windows", F.lit(False).alias("nouns"), F.array().cast(wanted.schema["slots"].dataType).alias("slots"), "n")
+    item = wanted.select("id", "h", "at", "windows", "nouns", "slots", F.lit(None).cast("int").alias("n")).unionByName(as_is).withColumnRenamed("id", "item_id")
     pairs = F.zip_with("slots", "own", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("value"), b["value"].alias("own")))
-    met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows",
+    met = found.join(item, "h").where(F.size("slots") == F.size("own")).select("doc_id", "th", "item_id", "windows", "nouns", "n",
         F.struct("at", "place", pairs.alias("pairs")).alias("match"))
-    met = met.groupBy("doc_id", "item_id", "th").agg(F.max("windows").alias("windows"), F.collect_set("match").alias("matches"))
+    met = met.groupBy("doc_id", "item_id", "th").agg(F.max("windows").alias("windows"), F.max("nouns").alias("nouns"), F.max("n").alias("n"), F.collect_set("match").alias("matches"))
     enough = F.array_contains("matches.at", -1) | (F.size(F.array_distinct("matches.at")) >= COVER * F.col("windows"))
-    return met.where(enough).mapInArrow(_judged, _LEAKS).select("doc_id", "item_id", "th", "n_windows", "item_windows", "n_changed")
+    return met.where(enough).mapInArrow(_judged, _LEAKS).select("doc_id", "item_id", "th", "n_windows", "item_windows", "n_changed", "item_tokens")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay.
 
-    Null and empty texts are kept, as is every row where the benchmark is empty. Repeated rows share their fate.
+    An item of fewer than LEAST_TOKENS tokens removes nothing, as many clean texts have its words. Null and empty texts are kept, as is every row where the benchmark is empty. Repeated rows share their fate.
     """
     name = unused(docs.columns, "text_hash")
-    bad = keep(find_leaks(docs, items).select(F.col("th").alias(name)), "leaks")
+    long = F.coalesce(F.col("item_tokens") >= LEAST_TOKENS, F.lit(True))
+    bad = keep(find_leaks(docs, items).where(long).select(F.col("th").alias(name)), "leaks")
     return without(docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))), bad, name).drop(name)

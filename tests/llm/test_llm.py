@@ -689,3 +689,52 @@ def test_cutoffs_keep_their_promise(spark):
 def test_bit_tables(spark, docs):
     ids = docs.where("doc_id % 2 = 0").select("doc_id").distinct()
     assert filters.without(docs, ids, "doc_id").count() == docs.where("doc_id is null or doc_id % 2 = 1").count()
+
+
+#: An item in each language, with places for two names, two numbers and two nouns, and values for them.
+LANGUAGES = {
+    "de": ("Nach dem Essen hat {0} im Garten {1} {2} in die Kiste gelegt, und der Nachbar {3} hat danach {4} {5} in den Korb am Fluss gelegt, bis die Arbeit nach {6} Stunden zu Ende war.", ["Äpfel", "Birnen", "Nüsse"]),
+    "fr": ("Après le repas, on dit que {0} a mis {1} {2} dans la caisse du jardin, et que son voisin {3} a mis ensuite {4} {5} dans le panier au bord du fleuve, avant la fin du travail en {6} heures.", ["pommes", "poires", "noix"]),
+    "es": ("Después de comer se dice que {0} puso {1} {2} en la caja del jardín, y que su vecino {3} puso luego {4} {5} en la cesta junto al río, antes de acabar el trabajo en {6} horas.", ["manzanas", "peras", "nueces"]),
+    "en": ("After the meal it is said that {0} put {1} {2} into the box in the garden, and that the neighbour {3} then put {4} {5} into the basket by the river, before the work was over in {6} hours.", ["apples", "pears", "nuts"]),
+}
+UNRELATED = [
+    "Nach dem Spiel hat der Lehrer 30 Hefte in die Tasche gelegt und der Schüler hat danach 4 Stifte in den Schrank am Fenster gelegt.",
+    "Nach dem Spiel hat Udo im Keller 30 Hefte in die Tasche gelegt, und der Lehrer Kurt hat danach 4 Stifte in den Schrank am Fenster gelegt, bis die Stunde nach 9 Minuten zu Ende war.",
+    "Après la pluie, on voit que le chat a dormi dans la cour et que le chien a couru ensuite 4 fois vers le pont avant la nuit, en 3 heures.",
+    "Después de la lluvia se ve que el gato durmió en el patio y que el perro corrió luego 4 veces hacia el puente antes de la noche, en 3 horas.",
+    "After the rain it is seen that the cat slept in the yard and that the dog then ran 4 times to the bridge before the night, in 3 hours.",
+]
+
+
+def test_decontaminate_in_four_languages(spark):
+    r = random.Random(5)
+    names = ["Anna", "Emil", "Karla", "Hugo", "Ida", "Otto"]
+    fill = lambda t, nouns: t.format(*(x for pair in ((r.choice(names), r.randrange(2, 99)), (nouns[0], r.choice(names)), (r.randrange(2, 99), nouns[1]), (r.randrange(2, 30),)) for x in pair))
+    items = [(k, fill(*LANGUAGES[lang])) for k, lang in enumerate(LANGUAGES)] + [(9, "Nach dem Essen hat der Bauer 12 Äpfel in die Kiste gelegt und der Nachbar hat danach 7 Birnen in den Korb am Fluss gelegt.")]
+    docs = [(100 * (k + 1) + i, "Es folgt ein Text. " + fill(*LANGUAGES[lang]) + " Ende.") for k, lang in enumerate(LANGUAGES) for i in range(25)] + list(enumerate(UNRELATED))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in found}
+    for k in range(4):
+        assert len({d for d, i in got if i == k and d // 100 == k + 1}) >= 0.9 * 25
+    assert not {d for d, _ in got if d < 100}
+
+
+def test_short_items_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "They went to Paris in spring."), (2, "New York is far"), (3, "So what is 3 + 4 then")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Paris"), (2, "New York is"), (3, "What is 3 + 4?")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.item_tokens) for x in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(1, 1, 1), (2, 2, 3), (3, 3, 4)} and [x.doc_id for x in decontaminate.decontaminate(docs, items).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_accounts_before_secrets(spark):
+    """A valid account keeps its format and one pseudonym, with blanks or without; what is no account but hexadecimal is a secret."""
+    texts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "BE68539007547034", "BE68 5390 0754 7034", "AB12CD34EF567890AB", "AB12CD34EF567890AB 2024", "2024-02-29T10:00:00Z",
+        "ISBN 0306406152", "order no. 0123456789", "Bestellung 0123456789", "ref: 0123456789", "tel 0306406152", "#0123456789", "casino 0306406152"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    assert got[0] == got[1].replace(" ", "") and got[2] == got[3].replace(" ", "") and re.fullmatch(r"DE\d\d(?: \d{4}){4} \d\d", got[1]) and re.fullmatch(r"BE\d{14}", got[2])
+    value = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    assert got[0] != texts[0] and value(got[0]) == 1 and got[2] != texts[2] and value(got[2]) == 1
+    assert re.fullmatch("[0-9A-F]{18}", got[4]) and got[4] != texts[4] and got[5] == got[4] + " 2024"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT10:00:00Z", got[6]) and got[6] != texts[6]
+    assert [got[i] for i in (7, 8, 9, 10, 12)] == [texts[i] for i in (7, 8, 9, 10, 12)] and got[11] != texts[11] and got[13] != texts[13]
