@@ -16,7 +16,8 @@ def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int]
 
     A page is a request. Items are admitted in order of position up to the first that a cap stops: requests, then
     pages, occurrences, new candidates, and the queue size of its state (queue(state, n) and what was admitted since).
-    budgets has the limits in which a provider differs.
+    budgets has the limits in which a provider differs. Windows see a provider's first rows alone, one more than may be
+    admitted; those are taken before the shuffle too.
     """
 
     def cap(name: str):
@@ -28,10 +29,13 @@ def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int]
 
     w = Window.partitionBy("provider").orderBy("position")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # the row after the occurrence cap stops, whatever it is: a provider's first rows tell where it stops
+    first_rows = items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limits["occurrences"] + 1)
+    first_rows = first_rows.withColumn("_occ", F.col("_n") - 1).drop("_n")
     fresh = F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True))
-    df = items.withColumn("_fresh", fresh.cast("long"))
+    df = first_rows.withColumn("_fresh", fresh.cast("long"))
     new = F.col("creates_candidate").cast("long")
-    df = df.withColumn("_pages", F.coalesce(F.sum("_fresh").over(before), F.lit(0))).withColumn("_occ", F.row_number().over(w) - 1).withColumn("_new",
+    df = df.withColumn("_pages", F.coalesce(F.sum("_fresh").over(before), F.lit(0))).withColumn("_new",
         F.coalesce(F.sum(new).over(before), F.lit(0)))
     own = Window.partitionBy("provider", "target_state").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     marks = items.sparkSession.createDataFrame(list(high_water.items()), "target_state string, high_water long")
@@ -47,6 +51,6 @@ def admit_with_budget(items: DataFrame, queue: DataFrame, limits: dict[str, int]
     )
     df = df.withColumn("_stop", stop)
     first = df.where("_stop is not null").groupBy("provider").agg(F.min(F.struct("position", "_stop")).alias("_first"))
-    df = df.join(first, "provider", "left")
+    df = items.join(first, "provider", "left")
     return df.select(*items.columns, (F.col("_first").isNull() | (F.col("position") < F.col("_first.position"))).alias("admitted"),
         F.col("_first._stop").alias("stop_reason"))

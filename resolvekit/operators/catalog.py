@@ -76,18 +76,42 @@ def fingerprint(releases: DataFrame, unicode: bool = True) -> DataFrame:
         F.min("year").alias("earliest_year"), F.max("year").alias("latest_year"))
 
 
+#: Profiles of a title that meet in a task, twice.
+PANEL = 1000
+
+
 def pairwise_overlap(titles: DataFrame, least: int = 1, common: int | None = None) -> DataFrame:
     """(group_id, left_id, right_id, overlap) of titles(group_id, profile_id, title): how many titles two profiles of a group share.
 
-    Pairs are counted at the title, so only profiles that share one meet. `common` leaves out titles that more
-    profiles of a group have (generic ones); None leaves out none.
+    Only profiles that share a title meet, at titles. With `least` above 1 a pair also shares one that isn't among the
+    least - 1 most frequent ones of either profile, so these make no pairs, and a title that all have costs nothing; the
+    pairs that are left are counted by their whole titles. Profiles of a title go in panels of PANEL, and a task has two
+    panels, not the title. `common` leaves out titles that more profiles of a group have (generic ones); None leaves out none.
     """
     df = titles.where("title is not null and title <> ''").select("group_id", "profile_id", "title").distinct()
     if common is not None:
         df = df.withColumn("_n", F.count("*").over(Window.partitionBy("group_id", "title"))).where(F.col("_n") <= common).drop("_n")
-    right = df.select("group_id", "title", F.col("profile_id").alias("right_id"))
-    pairs = df.join(right, ["group_id", "title"]).where("profile_id < right_id")
-    return pairs.groupBy("group_id", F.col("profile_id").alias("left_id"), "right_id").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    sizes = df.groupBy("group_id", "title").agg(F.count("*").alias("_m")).where("_m > 1")
+    shared = df.join(sizes, ["group_id", "title"])
+    if least > 1:  # of a profile's shared titles, all but the most frequent ones
+        place = Window.partitionBy("group_id", "profile_id").orderBy(F.desc("_m"), "title")
+        meet = shared.withColumn("_place", F.row_number().over(place)).where(F.col("_place") >= least).drop("_place")
+        sizes = meet.groupBy("group_id", "title").agg(F.count("*").alias("_m"))
+        meet = meet.drop("_m").join(sizes.where("_m > 1"), ["group_id", "title"])
+    else:
+        meet = shared
+    panels = F.ceil(F.col("_m") / PANEL).cast("int")
+    own, every = F.pmod(F.xxhash64("profile_id"), panels).cast("int"), F.explode(F.sequence(F.lit(0), panels - 1))
+    left = meet.select("group_id", "title", F.col("profile_id").alias("left_id"), own.alias("_i"), every.alias("_j"))
+    right = meet.select("group_id", "title", F.col("profile_id").alias("right_id"), every.alias("_i"), own.alias("_j"))
+    pairs = left.join(right, ["group_id", "title", "_i", "_j"]).where("left_id < right_id")
+    if least == 1:
+        return pairs.groupBy("group_id", "left_id", "right_id").agg(F.count("*").alias("overlap"))
+    whole = shared.groupBy("group_id", "profile_id").agg(F.collect_list("title").alias("_titles"))
+    of = lambda side: whole.select("group_id", F.col("profile_id").alias(f"{side}_id"), F.col("_titles").alias(f"_{side}"))
+    found = pairs.select("group_id", "left_id", "right_id").distinct().join(of("left"), ["group_id", "left_id"]).join(of("right"), ["group_id", "right_id"])
+    found = found.withColumn("overlap", F.size(F.array_intersect("_left", "_right")).cast("long"))
+    return found.where(F.col("overlap") >= least).select("group_id", "left_id", "right_id", "overlap")
 
 
 def enrich_catalog(editorial: DataFrame, identity: DataFrame, releases: DataFrame, now) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, entity_key, name_key
-from .graph import components
+from .numbering import shared_folder
 
 #: States whose candidates no longer take duplicates.
 INACTIVE = ("duplicate", "migrated", "rejected")
+#: Actions.
+AMBIGUOUS, LIVE, ATTACH = "route_ambiguous_exact_convergence_to_review", "associate_existing_live_artist", "attach_existing_candidate"
+CREATE, DISCOVER = "create_new_candidate", "create_identity_discovery_candidate"
 #: Codes for an asserted id. Those of the format name a product, so these words stand for them; all other codes are fixed values.
 ASSERTED_UNKNOWN, ASSERTED_ELSEWHERE, ASSERTED_LIVE = "asserted_id_not_found", "asserted_binding_conflict", "asserted_binding_reused"
 
@@ -63,9 +65,14 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     external_id. registry: artist_id, external_id.
 
     The result is that of routing one occurrence after another by (discovered_at, occurrence_id): a candidate that
-    one creates is a target for later ones that share its entity key or external id. Occurrences that share no key
-    with others of the batch are routed by joins; those that do are grouped by connected keys, and a group is routed
-    in order. A new candidate's id is made of the id of the occurrence that creates it.
+    one creates is a target for later ones that share its entity key or external id. A new candidate's id is made of the
+    id of the occurrence that creates it.
+
+    Order is kept without a loop, as only three occurrences of a kind decide for all others: the first of each key (any
+    later one has a target and creates nothing), of these the first with an external id that nothing is known of (it
+    makes the only candidate that this id ever gets), and of each key the first later one that has another target than the
+    key's first (it adds a second target, so all after it are ambiguous). These are minima by group, and the rest are
+    joins, so a key or id that a third of the batch has is no task of its own.
     """
     occ = occurrences.dropDuplicates(["occurrence_id"]).withColumn("key", entity_key("provider", "entity_type", "entity_id"))
     occ = occ.withColumn("external_ids", F.array_sort(F.array_distinct(F.coalesce("external_ids", F.array().cast("array<string>")))))
@@ -87,63 +94,40 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
         F.col("asserted_id").alias("i")).alias("x"))
     found = by_key.unionByName(by_candidate).unionByName(by_registry).unionByName(by_assertion).groupBy("occurrence_id").agg(F.array_sort(F.collect_set("x")).alias("found"))
     new = new.join(found, "occurrence_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<t:string,i:string>>")))
-    keys = F.concat(F.array(F.concat(F.lit("k:"), F.col("key"))), F.transform("external_ids", lambda e: F.concat(F.lit("e:"), e)))
-    edges = new.select("occurrence_id", F.explode(F.array_distinct(keys)).alias("shared"))
-    shared = edges.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
-    edges = edges.join(shared, "shared")
-    grouped = _components(edges)
-    alone = new.join(grouped.select("occurrence_id"), "occurrence_id", "left_anti")
     targets, wrong = F.filter("found", lambda x: x["t"] != "unresolved"), F.exists("found", lambda x: x["t"] == "unresolved")
-    several = (F.size("external_ids") > 1) | (F.size(targets) > 1) | wrong
-    one = F.try_element_at(targets, F.lit(1))
-    made = F.concat(F.lit("candidate:"), F.col("occurrence_id"))
-    action = F.when(several, "route_ambiguous_exact_convergence_to_review").when(one["t"] == "live_artist", "associate_existing_live_artist").when(one["t"] == "candidate",
-        "attach_existing_candidate").when(F.size("external_ids") == 1, "create_new_candidate").otherwise("create_identity_discovery_candidate")
-    fresh = action.isin("route_ambiguous_exact_convergence_to_review", "create_new_candidate", "create_identity_discovery_candidate")
-    routed = alone.select("occurrence_id", action.alias("action"), F.when(fresh, "candidate").otherwise(one["t"]).alias("target_type"),
-        F.when(fresh, made).otherwise(one["i"]).alias("target_id"))
-    together = new.join(grouped, "occurrence_id").select("occurrence_id", "component", "key", "external_ids",
-        F.col("discovered_at").cast("double").alias("at"), F.transform("found", lambda x: F.concat(x["t"], F.lit("|"), x["i"])).alias("found"))
-    schema = "occurrence_id string, action string, target_type string, target_id string"
-    together = together.repartition("component").sortWithinPartitions("component", "at", "occurrence_id").mapInPandas(_in_order, schema)
-    return done.unionByName(routed).unionByName(together)
-
-
-def _in_order(batches):
-    """Route the occurrences of each component in order; what the component has created so far is carried along."""
-    component, by_key, by_external = None, {}, {}
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.component != component:
-                component, by_key, by_external = r.component, {}, {}
-            targets = {tuple(x.split("|", 1)) for x in r.found}
-            wrong = {t for t in targets if t[0] == "unresolved"}
-            targets = (targets - wrong) | by_key.get(r.key, set())
-            for e in r.external_ids:
-                targets |= by_external.get(e, set())
-            if len(r.external_ids) > 1 or len(targets) > 1 or wrong:
-                action, target = "route_ambiguous_exact_convergence_to_review", ("candidate", f"candidate:{r.occurrence_id}")
-            elif targets:
-                target = next(iter(targets))
-                action = "associate_existing_live_artist" if target[0] == "live_artist" else "attach_existing_candidate"
-            else:
-                target = ("candidate", f"candidate:{r.occurrence_id}")
-                action = "create_new_candidate" if len(r.external_ids) else "create_identity_discovery_candidate"
-                for e in r.external_ids:
-                    by_external.setdefault(e, set()).add(target)
-            by_key.setdefault(r.key, set()).add(target)
-            out.append((r.occurrence_id, action, *target))
-        yield pd.DataFrame(out, columns=["occurrence_id", "action", "target_type", "target_id"])
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    """(occurrence_id, component) of occurrences linked by shared keys; occurrences are nodes by their hash."""
-    nodes = edges.select("occurrence_id", "shared", F.xxhash64("occurrence_id").alias("a"))
-    low = nodes.groupBy("shared").agg(F.min("a").alias("b"))
-    roots = components(nodes.join(low, "shared").select("a", "b"))
-    own = edges.select("occurrence_id").distinct()
-    return own.join(roots, F.xxhash64("occurrence_id") == F.col("node"), "left").select("occurrence_id", F.coalesce("root", F.xxhash64("occurrence_id")).alias("component"))
+    new = new.select(
+        "occurrence_id", "key", "external_ids", targets.alias("targets"), F.struct(F.col("discovered_at").alias("at"), F.col("occurrence_id").alias("id")).alias("place"),
+        ((F.size("external_ids") > 1) | (F.size(targets) > 1) | wrong).alias("several"), F.try_element_at("external_ids", F.lit(1)).alias("external_id"),
+    )
+    shared_folder(new.sparkSession)
+    new = new.checkpoint()
+    own = F.struct(F.lit("candidate").alias("t"), F.concat(F.lit("candidate:"), F.col("occurrence_id")).alias("i"))
+    # the first occurrence of a key that nothing is known of makes the candidate of its external id
+    head = new.groupBy("key").agg(F.min("place").alias("place")).join(new, ["key", "place"])
+    free = head.where((F.size("targets") == 0) & ~F.col("several") & F.col("external_id").isNotNull())
+    creators = free.groupBy("external_id").agg(F.min("place").alias("since")).select(
+        "external_id", "since", F.struct(F.lit("candidate").alias("t"), F.concat(F.lit("candidate:"), F.col("since.id")).alias("i")).alias("made"))
+
+    def known_to(rows: DataFrame) -> DataFrame:
+        """rows with the targets of before the batch and that of their external id, if it was made earlier."""
+        rows = rows.join(creators, "external_id", "left")
+        earlier = F.when(F.col("since") < F.col("place"), F.array("made")).otherwise(F.array().cast("array<struct<t:string,i:string>>"))
+        return rows.withColumn("known", F.array_union("targets", earlier)).drop("since", "made")
+
+    head = known_to(head)
+    action = F.when(F.col("several") | (F.size("known") > 1), AMBIGUOUS).when(F.size("known") == 1, F.when(F.col("known")[0]["t"] == "live_artist", LIVE).otherwise(ATTACH))
+    action = action.when(F.col("external_id").isNotNull(), CREATE).otherwise(DISCOVER)
+    head = head.withColumn("action", action).withColumn("target", F.when(F.size("known") == 1, F.when(~F.col("several"), F.col("known")[0])))
+    head = head.withColumn("target", F.coalesce("target", own)).checkpoint()
+    # later ones of a key go to its target, up to the first that something else is known of; from there on the key is ambiguous
+    rest = known_to(new.join(head.select("key", F.col("place").alias("first"), F.col("target").alias("held")), "key").where(F.col("place") > F.col("first")))
+    rest = rest.withColumn("breaks", F.col("several") | (F.size(F.array_union("known", F.array("held"))) > 1)).checkpoint()
+    broken = rest.where("breaks").groupBy("key").agg(F.min("place").alias("broken"))
+    rest = rest.join(broken, "key", "left").withColumn("lost", F.coalesce(F.col("place") >= F.col("broken"), F.lit(False)))
+    later = F.when(F.col("lost"), AMBIGUOUS).when(F.col("held.t") == "live_artist", LIVE).otherwise(ATTACH)
+    rest = rest.select("occurrence_id", later.alias("action"), F.when(F.col("lost"), own).otherwise(F.col("held")).alias("target"))
+    routed = head.select("occurrence_id", "action", "target").unionByName(rest)
+    return done.unionByName(routed.select("occurrence_id", "action", F.col("target.t").alias("target_type"), F.col("target.i").alias("target_id")))
 
 
 def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue: DataFrame, directory: DataFrame) -> DataFrame:

@@ -118,14 +118,19 @@ def _is_small(table: DataFrame) -> bool:
     return table.limit(10_001).count() <= 10_000
 
 
-def states_as_of(events: DataFrame, instants: DataFrame, inclusive: bool = False) -> DataFrame:
+#: Instants of a time range, about; shares that the candidates of a range are dealt into.
+PER_RANGE, SHARES = 64, 32
+
+
+def states_as_of(events: DataFrame, instants: DataFrame, inclusive: bool = False, small: int | None = None) -> DataFrame:
     """(instant, candidate_id, state, created_at): the state of each candidate at each instant.
 
-    A small table of instants is broadcast. One of any other size is joined to the intervals between a candidate's
-    events, each with the state so far, so that no more than one interval meets an instant.
+    Up to `small` instants (10,000) are broadcast. More of them are dealt into time ranges, and so are the intervals
+    between a candidate's events, each with the state so far: an interval goes to the ranges that it touches, in the
+    candidate's share, and meets the instants there by an equi-join.
     """
-    instants = instants.select("instant").distinct()
-    if _is_small(instants):
+    instants = instants.select("instant").where("instant is not null").distinct()
+    if _is_small(instants) if small is None else instants.limit(small + 1).count() <= small:
         at = F.col("occurred_at") <= F.col("instant") if inclusive else F.col("occurred_at") < F.col("instant")
         seen = events.join(F.broadcast(instants), at)
         return seen.groupBy("instant", "candidate_id").agg(F.max_by("next_state", "candidate_revision").alias("state"), F.min("occurred_at").alias("created_at"))
@@ -136,7 +141,20 @@ def states_as_of(events: DataFrame, instants: DataFrame, inclusive: bool = False
     )
     since, until, now = F.col("occurred_at"), F.col("_until"), F.col("instant")
     within = (since <= now) & (until.isNull() | (now < until)) if inclusive else (since < now) & (until.isNull() | (now <= until))
-    return spans.join(instants, within).select("instant", "candidate_id", "state", "created_at")
+    tick = F.unix_micros if instants.schema["instant"].dataType.typeName() == "timestamp" else lambda c: F.col(c).cast("long")  # times may be numbers too
+    low, high, n = instants.agg(F.min(tick("instant")), F.max(tick("instant")), F.count("*")).first()
+    if not n:
+        return spans.select(F.lit(None).cast(instants.schema["instant"].dataType).alias("instant"), "candidate_id", "state", "created_at").limit(0)
+    ranges = max(1, n // PER_RANGE)
+    width = max(1, -(-(high - low + 1) // ranges))
+    range_of = lambda t: F.least(F.greatest(F.floor((t - low) / width), F.lit(0)), F.lit(ranges - 1))
+    touched = F.sequence(range_of(tick("occurred_at")), range_of(F.coalesce(tick("_until"), F.lit(high))))
+    share = F.pmod(F.xxhash64("candidate_id"), F.lit(SHARES))
+    spans = spans.where((tick("occurred_at") <= high) & (F.col("_until").isNull() | (tick("_until") >= low)))
+    spans = spans.withColumn("_share", share).withColumn("_range", F.explode(touched))
+    shares = F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))
+    instants = instants.withColumn("_range", range_of(tick("instant"))).withColumn("_share", F.explode(shares))
+    return spans.join(instants, ["_range", "_share"]).where(within).select("instant", "candidate_id", "state", "created_at")
 
 
 def emit_events(decisions: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .lifecycle import states_as_of
+from .ranks import nearest_ranks
 
 #: States that wait, that end identity work, and that a person reviews.
 PENDING = ("identity_pending", "identity_discovery_pending", "retry_wait")
@@ -35,12 +36,20 @@ def queue_growth(events: DataFrame, start, end) -> DataFrame:
 
 
 def queue_ages(candidates: DataFrame, as_of, by: str | None = None) -> DataFrame:
-    """Nearest-rank percentiles of candidates' age in hours, and the largest (0 for none)."""
+    """Nearest-rank percentiles of candidates' age in hours, and the largest (0 for none). No task holds the ages of a state."""
     age = F.greatest(F.lit(0.0), (F.lit(as_of).cast("timestamp").cast("double") - F.col("created_at").cast("double")) / 3600)
     df = candidates.withColumn("age", age)
-    p = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by age)"), 4)
-    return df.groupBy(*([by] if by else [])).agg(*(p(q).alias(f"p{int(q * 100)}_hours") for q in (0.5, 0.75, 0.9, 0.95)),
-        F.round(F.coalesce(F.max("age"), F.lit(0.0)), 4).alias("max_hours"), F.count("*").alias("candidates"))
+    group = by or "_all"
+    df = df if by else df.withColumn(group, F.lit(0))
+    total = df.groupBy(group).agg(F.round(F.coalesce(F.max("age"), F.lit(0.0)), 4).alias("max_hours"), F.count("*").alias("candidates"))
+    if not by:  # a row also where there are no candidates
+        total = total.select(group, "max_hours", "candidates").unionByName(df.sparkSession.sql("select 0 as _all, 0.0d as max_hours, 0L as candidates")).groupBy(group).agg(
+            F.max("max_hours").alias("max_hours"), F.max("candidates").alias("candidates"))
+    names = {q: f"p{int(q * 100)}_hours" for q in (0.5, 0.75, 0.9, 0.95)}
+    ranks = nearest_ranks(df, "age", group, tuple(names))
+    wide = ranks.groupBy(F.col(group).alias("_g")).agg(*(F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 4).alias(n) for q, n in names.items()))
+    out = total.join(wide, total[group].eqNullSafe(wide["_g"]), "left").drop("_g")
+    return out.select(*([by] if by else []), *names.values(), "max_hours", "candidates")
 
 
 def time_to_terminal(events: DataFrame, start, end) -> DataFrame:

@@ -119,6 +119,20 @@ def j13_pairwise_overlap(spark, sf_dir):
     return catalog.pairwise_overlap(get(spark, sf_dir, "titles"))
 
 
+@query("""WITH t AS (SELECT DISTINCT o_custkey AS profile_id, o_orderpriority AS title, o_orderkey % 7 AS more FROM orders), u AS (SELECT 1 AS group_id, profile_id, title FROM t
+        UNION SELECT 1, profile_id, 'm' || (profile_id % 97 * 7 + more) FROM t UNION SELECT 1, profile_id, 'all' FROM t),
+    p AS (SELECT a.group_id, a.profile_id AS left_id, b.profile_id AS right_id, count(*) AS overlap FROM u a JOIN u b ON a.group_id = b.group_id AND a.title = b.title AND a.profile_id < b.profile_id GROUP BY ALL)
+    SELECT * FROM p WHERE overlap >= 10""")
+def j13_overlap_of_hot_titles(spark, sf_dir):
+    """Customers of one group that share ten titles: six titles that nearly all of them have make no pairs."""
+    o = read(spark, sf_dir, "orders")
+    profile = F.col("o_custkey").alias("profile_id")
+    narrow = F.concat(F.lit("m"), (F.col("o_custkey") % 97 * 7 + F.col("o_orderkey") % 7).cast("string"))
+    titles = [o.select(profile, t.alias("title")) for t in (F.col("o_orderpriority"), narrow, F.lit("all"))]
+    found = titles[0].unionByName(titles[1]).unionByName(titles[2]).withColumn("group_id", F.lit(1))
+    return catalog.pairwise_overlap(found, least=10)
+
+
 # Rankings and names.
 @query("""SELECT 'missing' AS finding, k AS rank, 0::BIGINT AS rows FROM range(1, 61) t(k) WHERE k NOT IN (SELECT rank FROM @ranking)
     UNION ALL SELECT 'duplicate', rank, count(*) FROM @ranking GROUP BY rank HAVING count(*) > 1
@@ -260,6 +274,17 @@ def l3_states_as_of(spark, sf_dir):
     return lifecycle.states_as_of(get(spark, sf_dir, "log"), at).select(F.date_format("instant", "yyyy-MM-dd").alias("instant"), "candidate_id", "state")
 
 
+@query("""WITH i AS (SELECT DISTINCT date_trunc('hour', occurred_at) AS instant FROM @log), x AS (SELECT candidate_id, occurred_at, arg_max(next_state, candidate_revision) OVER w AS state,
+        min(occurred_at) OVER w AS created_at, lead(occurred_at) OVER (PARTITION BY candidate_id ORDER BY occurred_at, candidate_revision) AS until FROM @log
+        WINDOW w AS (PARTITION BY candidate_id ORDER BY occurred_at))
+    SELECT instant, candidate_id, state, epoch_us(created_at) AS created FROM x JOIN i ON occurred_at < instant AND (until IS NULL OR instant <= until)""")
+def l3_states_each_hour(spark, sf_dir):
+    """All candidates at every full hour of the log: by time ranges, not by a broadcast."""
+    log = get(spark, sf_dir, "log")
+    hours = log.select(F.date_trunc("hour", "occurred_at").alias("instant"))
+    return lifecycle.states_as_of(log, hours, small=0).select("instant", "candidate_id", "state", F.unix_micros("created_at").alias("created"))
+
+
 @query(f"""{_LAST}, d AS (SELECT candidate_id, revision, state, CASE WHEN cast(candidate_id AS bigint) % 3 = 0 THEN revision - 1
         ELSE revision END AS expected FROM c), t AS (SELECT * FROM (VALUES {_PAIRS}) v(a, b))
     SELECT candidate_id, revision + 1 AS candidate_revision, state AS previous_state, 'needs_review' AS next_state FROM d WHERE expected = revision
@@ -730,7 +755,31 @@ def _occurrences(spark, sf_dir):
                     F.lit(None).cast("string").alias("asserted_id"), F.col("o_orderdate").cast("timestamp").alias("discovered_at"))
 
 
-@query()
+_CONVERGED = """WITH occ AS (SELECT 'o' || o_orderkey AS id, o_orderdate AS day, 'p:artist:' || CASE WHEN o_orderkey % 6 = 0 THEN 'c' || o_custkey ELSE 'k' || o_orderkey END AS key,
+        CASE WHEN o_orderkey % 4 = 0 THEN ['s' || o_custkey] WHEN o_orderkey % 35 = 1 THEN ['s1', 's2'] ELSE [] END AS ext FROM orders),
+    link AS (SELECT id, key, 't' || id AS target FROM occ WHERE id LIKE '%0'),
+    fresh AS (SELECT * FROM occ WHERE id NOT IN (SELECT id FROM link)),
+    way AS (SELECT f.id, 'candidate' AS t, target AS i FROM fresh f JOIN link USING (key) UNION SELECT id, 'candidate', 'old' || c_custkey
+        FROM (SELECT id, unnest(ext) AS e FROM fresh) JOIN customer ON e = 's' || c_custkey WHERE c_custkey % 3 = 1
+        UNION SELECT id, 'live_artist', artist_id FROM (SELECT id, unnest(ext) AS e FROM fresh) JOIN @registry ON e = external_id WHERE cast(external_id[2:] AS int) % 3 <> 1),
+    base AS (SELECT f.*, count(t) AS n, min(t || '|' || i) AS one, ext[1] AS e, len(ext) > 1 OR count(t) > 1 AS several,
+        row_number() OVER (PARTITION BY key ORDER BY day, f.id) = 1 AS head FROM fresh f LEFT JOIN way ON way.id = f.id GROUP BY f.id, day, key, ext),
+    maker AS (SELECT e, id AS made, day AS made_at FROM base WHERE head AND n = 0 AND NOT several AND e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY e ORDER BY day, id) = 1),
+    told AS (SELECT b.*, CASE WHEN made IS NOT NULL AND (made_at, made) < (day, id) AND one IS DISTINCT FROM 'candidate|candidate:' || made THEN 'candidate|candidate:' || made END AS late
+        FROM base b LEFT JOIN maker USING (e)),
+    fixed AS (SELECT *, n + (late IS NOT NULL)::INT AS k, coalesce(one, late) AS best FROM told),
+    first AS (SELECT key, id, CASE WHEN several OR k > 1 THEN 'route_ambiguous_exact_convergence_to_review' WHEN k = 1 THEN CASE WHEN best LIKE 'live%' THEN 'associate_existing_live_artist'
+        ELSE 'attach_existing_candidate' END WHEN e IS NOT NULL THEN 'create_new_candidate' ELSE 'create_identity_discovery_candidate' END AS action,
+        CASE WHEN NOT several AND k = 1 THEN best ELSE 'candidate|candidate:' || id END AS target FROM fixed WHERE head),
+    later AS (SELECT f.id, f.key, f.day, target, several OR k > 1 OR (k = 1 AND best <> target) AS breaks FROM fixed f JOIN first USING (key) WHERE NOT head),
+    lost AS (SELECT *, bool_or(breaks) OVER (PARTITION BY key ORDER BY day, id) AS gone FROM later),
+    every AS (SELECT id, action, target FROM first UNION ALL SELECT id, CASE WHEN gone THEN 'route_ambiguous_exact_convergence_to_review' WHEN target LIKE 'live%' THEN 'associate_existing_live_artist'
+        ELSE 'attach_existing_candidate' END, CASE WHEN gone THEN 'candidate|candidate:' || id ELSE target END FROM lost
+        UNION ALL SELECT id, 'idempotent_existing_occurrence', 'candidate|' || target FROM link)
+"""
+
+
+@query(f"{_CONVERGED} SELECT id AS occurrence_id, action, split_part(target, '|', 1) AS target_type, split_part(target, '|', 2) AS target_id FROM every")
 def j5_converge(spark, sf_dir):
     occ = _occurrences(spark, sf_dir)
     c = read(spark, sf_dir, "customer")
@@ -741,6 +790,15 @@ def j5_converge(spark, sf_dir):
     return converge.converge(occ, linked, known, registry)
 
 
+@query(f"""{_CONVERGED} SELECT action, count(*) AS results, count(DISTINCT target) AS targets, count(DISTINCT CASE WHEN w > 1 THEN target END) AS cross_source
+    FROM (SELECT *, max(p) OVER (PARTITION BY target) AS w FROM (SELECT *, dense_rank() OVER (PARTITION BY target ORDER BY CASE WHEN cast(id[2:] AS int) % 2 = 0 THEN 'a' ELSE 'b' END) AS p FROM every)) GROUP BY 1""")
+def a16_actions_of_convergence(spark, sf_dir):
+    """What the actions of a batch come to: their names are those that convergence gives."""
+    routed = j5_converge(spark, sf_dir)
+    source = F.when(F.substring("occurrence_id", 2, 20).cast("long") % 2 == 0, "a").otherwise("b")
+    return metrics.action_metrics(routed.select(source.alias("provider"), "action", F.concat_ws("|", "target_type", "target_id").alias("target_id")))
+
+
 @query()
 def l5_intake(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.lit("manual").alias("source_type"), F.col("source").alias("source_name"),

@@ -198,7 +198,7 @@ def test_unknown_outcome_goes_to_review(spark):
     c = c.withColumns({"updated_at": F.lit("2024-01-01").cast("timestamp"), "retry_at": F.lit(None).cast("timestamp"), "resume_state": F.lit(None).cast("string")})
     o = spark.createDataFrame([("a", "coherent_identity_evidence", False), ("b", "never_heard_of", False), ("c", None, False)], "candidate_id string, outcome string, mechanically_closed boolean")
     got = {r.candidate_id: (r.next_state, r.reason_code) for r in lifecycle.run_identity_batch(c, o, "2024-01-02").collect()}
-    assert got == {"a": ("identity_coherent", "coherent_identity_evidence"), "b": ("needs_review", "unrouted_outcome")}
+    assert got == {"a": ("identity_coherent", "identity_evidence_coherent"), "b": ("needs_review", "unrouted_outcome")}
 
 
 def test_numbers_are_consecutive(spark):
