@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, entity_key, name_key
+from .metrics import REVIEW
 from .numbering import shared_folder
 
 #: States whose candidates no longer take duplicates.
@@ -159,3 +160,10 @@ def build_indexes(associations: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_key = associations.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("target_type", "target_id"))).alias("targets"))
     by_target = associations.select("target_type", "target_id", "occurrence_id").distinct()
     return by_key, by_target.repartitionByRange("target_type", "target_id", "occurrence_id").sortWithinPartitions("target_type", "target_id", "occurrence_id")
+
+
+def queue_index(candidates: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(entries, counts) of candidates(candidate_id, state, columns): the queue, whether an entry is for review, and how many there are by state."""
+    entries = candidates.select("candidate_id", "state", *columns, F.col("state").isin(*REVIEW).alias("for_review"))
+    counts = entries.groupBy("state").agg(F.count("*").alias("candidates"), F.count_if("for_review").alias("for_review"))
+    return entries, counts

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import nearest_ranks
+
 
 def project_directory(df: DataFrame) -> DataFrame:
     """A flat view of rows of two versions, with the fields that drift.
@@ -67,3 +69,25 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> D
 def preserved(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Violations of "nothing of `before` is lost or changed": parity() without what is new."""
     return parity(before, after, key, columns).where("difference <> 'right_only'")
+
+
+#: Where in a group picks are compared.
+DRAWS = (0.0, 0.19, 0.5, 0.81, 0.999999)
+
+
+def pick_parity(left: DataFrame, right: DataFrame, filters: list[str], columns: list[str], draws: tuple[float, ...] = DRAWS) -> DataFrame:
+    """(filters, draw, equal): for each combination of filter values on either side, whether a draw picks equal rows.
+
+    left and right have a position, the order of the directory. A draw r of a group of n picks the row at place
+    floor(r * n); a group that is empty on one side differs from any row. Picks come from counts, no task ranks a group.
+    """
+
+    def picked(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("_g", F.struct(*filters)).withColumn("_p", F.col("position").cast("double"))
+        at = nearest_ranks(df, "_p", "_g", draws, above=True)
+        rows = df.select("_g", "_p", F.struct(*columns).alias("_row"))
+        return at.join(rows, at["_g"].eqNullSafe(rows["_g"]) & (at["value"] == rows["_p"])).select(at["_g"], "q", F.col("_row").alias(name))
+
+    a, b = picked(left, "row_a").alias("a"), picked(right, "row_b").alias("b")
+    both = a.join(b, F.col("a._g").eqNullSafe(F.col("b._g")) & (F.col("a.q") == F.col("b.q")), "full")
+    return both.select(F.coalesce("a._g", "b._g").alias("_g"), F.coalesce("a.q", "b.q").alias("draw"), F.col("row_a").eqNullSafe(F.col("row_b")).alias("equal")).select("_g.*", "draw", "equal")

@@ -211,6 +211,15 @@ def retry_schedule(failures: DataFrame) -> DataFrame:
     return df.withColumn("next_retry_at", F.when(~exhausted, F.timestamp_seconds(t + F.greatest(policy, server))))
 
 
+def evaluate_retries(schedule: DataFrame, now) -> DataFrame:
+    """The last row of each record of retry_schedule, as it stands at an instant: 72 h after its first failure it has ended, also without another one."""
+    key, t = ["candidate_id", "provider", "operation"], F.lit(now).cast("timestamp").cast("double")
+    last = latest_by(schedule, key, "attempt")
+    old = t - F.col("first_failure_at").cast("double") >= RETRY_HOURS * 3600
+    reason = F.when(F.col("exhausted"), F.col("exhaustion_reason")).when(old, "retry_elapsed_time_exhausted")
+    return last.withColumn("exhaustion_reason", reason).withColumn("next_retry_at", F.when(~(F.col("exhausted") | old), F.col("next_retry_at"))).withColumn("exhausted", F.col("exhausted") | old)
+
+
 def route_exhausted(candidates: DataFrame, retries: DataFrame) -> DataFrame:
     """Decisions that put candidates in retry_wait on review hold where a retry of theirs is exhausted."""
     done = retries.where("exhausted").groupBy("candidate_id").agg(F.max("occurred_at").alias("occurred_at"))

@@ -10,8 +10,9 @@ from .numbering import shared_folder
 RANGES, FEW = 1024, 10_000
 
 
-def nearest_ranks(df: DataFrame, value: str, group: str, shares: tuple[float, ...], few: int = FEW) -> DataFrame:
+def nearest_ranks(df: DataFrame, value: str, group: str, shares: tuple[float, ...], few: int = FEW, above: bool = False) -> DataFrame:
     """(group, q, value) for each group of df and each share q: the least value that at least q of the group's values don't exceed.
+    above: the least one that more than q of them don't exceed (the place floor(q * n) counted from 0).
 
     Nulls don't count, and a group without values has no row; a group of null is one of its own. A round counts values
     by range between the least and the largest that are still open; the range that holds the rank goes on. Ranges
@@ -23,7 +24,8 @@ def nearest_ranks(df: DataFrame, value: str, group: str, shares: tuple[float, ..
     q = spark.createDataFrame([(float(s),) for s in shares], "q double")
     whole = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).join(F.broadcast(q))
     # ceil of a product that is whole but for rounding
-    rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - 1e-9)).cast("long")
+    nearest = F.floor(F.col("q") * F.col("n") + 1e-9) + 1 if above else F.ceil(F.col("q") * F.col("n") - 1e-9)
+    rank = F.least(F.greatest(F.lit(1), nearest), F.col("n")).cast("long")
     open_ = whole.select("k", "q", rank.alias("rank"), "n", "low", "high").checkpoint()
     done = open_.where("low = high").select("k", "q", F.col("low").alias("v"))
     open_ = open_.where("low < high")

@@ -20,7 +20,7 @@ START, END = "2024-01-08", "2024-01-15"
 
 
 def queries() -> dict:
-    from . import resolution_queries  # noqa: F401  (registers its own)
+    from . import operations_queries, resolution_queries  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
@@ -491,38 +491,6 @@ def a13_outcomes_by_state(spark, sf_dir):
     return metrics.outcomes_by_state(get(spark, sf_dir, "log"), START, END)
 
 
-@query(f"""SELECT count(*) FILTER (m AND next_state = 'identity_resolving') AS identity_selections, count(*) FILTER (m
-        AND next_state = 'identity_discovering') AS bridge_selections, count(*) FILTER (m AND previous_state = 'identity_resolving'
-        AND next_state = 'identity_coherent') AS coherent,
-    count(*) FILTER (m AND next_state = 'failed_match') AS failed_match, count(*) FILTER (m AND next_state IN ('needs_review',
-        'conflicting_identity')) AS review, count(*) FILTER (m AND next_state = 'retry_wait') AS retry_entries, count(*) FILTER (m
-        AND previous_state = 'retry_wait' AND next_state <> 'needs_review') AS retry_recoveries,
-    count(*) FILTER (reason_code = 'retry_budget_exhausted') AS retry_exhaustions, count(DISTINCT CASE WHEN (m AND next_state = 'retry_wait') OR (m
-        AND previous_state = 'retry_wait' AND next_state <> 'needs_review')
-        OR reason_code = 'retry_budget_exhausted' THEN candidate_id END) AS retry_candidates, 0::BIGINT AS exact_bridges
-    FROM (SELECT *, event_type = 'state_transition' AS m FROM @log WHERE occurred_at >= TIMESTAMP '{START}' AND occurred_at < TIMESTAMP '{END}')""")
-def a13_worker_metrics(spark, sf_dir):
-    return metrics.worker_metrics(get(spark, sf_dir, "log"), START, END)
-
-
-@query("""WITH e AS (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'candidate_discovered') AS new_candidates,
-        count(*) FILTER (event_type = 'discovery_attached') AS attachments, count(*) FILTER (event_type = 'state_transition'
-        AND next_state = 'identity_resolving') AS selections,
-    count(*) FILTER (event_type = 'state_transition' AND previous_state = 'identity_resolving' AND next_state = 'identity_coherent') AS coherent,
-        count(*) FILTER (event_type <> 'state_transition') AS occurrences, count(*) FILTER (event_type <> 'state_transition'
-        AND cast(candidate_id AS bigint) % 4 = 0) AS rediscoveries FROM @log GROUP BY 1)
-    SELECT day, occurrences, new_candidates, attachments, rediscoveries, selections, coherent, round(new_candidates / nullif(occurrences, 0),
-        4) AS discovery_yield, round(rediscoveries / nullif(occurrences, 0), 4) AS rediscovery_rate,
-        round((rediscoveries + attachments) / nullif(occurrences, 0), 4) AS duplicate_prevention_rate, round(coherent / nullif(selections, 0),
-        4) AS coherent_rate FROM e""")
-def a14_daily_summary(spark, sf_dir):
-    log = get(spark, sf_dir, "log")
-    found = log.where("event_type <> 'state_transition'")
-    linked = found.select(F.when(F.col("candidate_id").cast("long") % 4 == 0, "live_artist").otherwise("candidate").alias("target_type"),
-        F.col("occurred_at").alias("created_at"))
-    return metrics.daily_summary(log, found.select(F.col("occurred_at").alias("discovered_at")), linked)
-
-
 _BLOCK = f"""{_LAST}, y AS (SELECT candidate_id, bool_or(reason_code = 'retry_budget_exhausted') AS spent,
         bool_or(reason_code = 'bridge_not_found') AS missing FROM @log GROUP BY 1), x AS (SELECT candidate_id, arg_max(identifier,
         candidate_revision) FILTER (identifier IS NOT NULL) AS e FROM @log GROUP BY 1),
@@ -578,14 +546,6 @@ def a12_budget_rollup(spark, sf_dir):
     return metrics.budget_rollup(_runs(spark, sf_dir))
 
 
-@query(f"""{_RUNS}, s AS (SELECT provider, arg_max(requests, t) AS r, arg_max(CASE WHEN requests > 15 THEN 'open' ELSE 'closed' END, t) AS b FROM l
-        JOIN u USING (user_id) GROUP BY 1), c AS (SELECT candidate_id, arg_max(next_state, candidate_revision) AS state FROM @log GROUP BY 1)
-    SELECT 'last_requests' AS item, provider AS name, cast(r AS string) AS value FROM s UNION ALL SELECT 'breaker', provider, b FROM s UNION ALL
-        SELECT 'queue', state, cast(count(*) AS string) FROM c GROUP BY state""")
-def a19_ops_status(spark, sf_dir):
-    return metrics.ops_status(_runs(spark, sf_dir), lifecycle.replay(get(spark, sf_dir, "log")))
-
-
 @query("""WITH r AS (SELECT event_type AS provider, CASE event_id % 3 WHEN 0 THEN 'create' ELSE 'attach' END AS action, user_id AS target_id
         FROM events), w AS (SELECT target_id, count(DISTINCT provider) > 1 AS x FROM r GROUP BY 1)
     SELECT action, count(*) AS results, count(DISTINCT target_id) AS targets, count(DISTINCT CASE WHEN x THEN target_id END) AS cross_source FROM r
