@@ -286,22 +286,27 @@ def l3_states_each_hour(spark, sf_dir):
 
 
 @query(f"""{_LAST}, d AS (SELECT candidate_id, revision, state, CASE WHEN cast(candidate_id AS bigint) % 3 = 0 THEN revision - 1
-        ELSE revision END AS expected FROM c), t AS (SELECT * FROM (VALUES {_PAIRS}) v(a, b))
-    SELECT candidate_id, revision + 1 AS candidate_revision, state AS previous_state, 'needs_review' AS next_state FROM d WHERE expected = revision
-        AND EXISTS (SELECT 1 FROM t WHERE a = state AND b = 'needs_review')""")
+        ELSE revision END AS expected FROM c), t AS (SELECT * FROM (VALUES {_PAIRS}) v(a, b)), e AS (SELECT *, EXISTS (SELECT 1 FROM t WHERE a = state AND b = 'needs_review') AS legal FROM d)
+    SELECT candidate_id, CASE WHEN expected = revision AND legal THEN revision + 1 END AS candidate_revision, state AS previous_state, CASE WHEN expected <> revision THEN 'stale'
+        WHEN NOT legal THEN 'illegal' END AS refused FROM e""")
 def l4_emit_events(spark, sf_dir):
     now = lifecycle.replay(get(spark, sf_dir, "log"))
     late = F.when(F.col("candidate_id").cast("long") % 3 == 0, F.col("revision") - 1).otherwise(F.col("revision"))
     decisions = now.select("candidate_id", late.alias("expected_revision"), F.lit("state_transition").alias("event_type"),
         F.lit("needs_review").alias("next_state"), F.lit("held").alias("reason_code"), F.col("updated_at").alias("occurred_at"),
             F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
-    return lifecycle.emit_events(decisions, now)[0].select("candidate_id", "candidate_revision", "previous_state", "next_state")
+    events, refused = lifecycle.emit_events(decisions, now)
+    no = refused.join(now.select("candidate_id", F.col("state").alias("previous_state")), "candidate_id")
+    return events.select("candidate_id", "candidate_revision", "previous_state", F.lit(None).cast("string").alias("refused")).unionByName(
+        no.select("candidate_id", F.lit(None).cast("long").alias("candidate_revision"), "previous_state", "refused"))
 
 
-@query("SELECT candidate_id, state, side FROM (SELECT '' AS candidate_id, '' AS state, '' AS side) WHERE false")
+@query(f"""{_LAST}, s AS (SELECT candidate_id, CASE WHEN cast(candidate_id AS bigint) % 5 = 0 THEN 'changed' ELSE state END AS state FROM c)
+    SELECT candidate_id, state, 'snapshot' AS side FROM s WHERE state = 'changed' UNION ALL SELECT candidate_id, state, 'replay' FROM c WHERE cast(candidate_id AS bigint) % 5 = 0""")
 def j18_verify_snapshot(spark, sf_dir):
     log = get(spark, sf_dir, "log")
-    return lifecycle.verify_snapshot(lifecycle.replay(log).select("candidate_id", "state"), log)
+    stored = F.when(F.col("candidate_id").cast("long") % 5 == 0, "changed").otherwise(F.col("state"))
+    return lifecycle.verify_snapshot(lifecycle.replay(log).select("candidate_id", stored.alias("state")), log)
 
 
 _RETRY = """WITH f AS (SELECT *, row_number() OVER w AS attempt, min(occurred_at) OVER w AS first_at
@@ -776,13 +781,16 @@ def s14_build_indexes(spark, sf_dir):
     return converge.build_indexes(links)[0].select("key", F.size("targets").cast("long").alias("targets"))
 
 
-@query("""WITH h AS (SELECT md5(coalesce(text, '')) AS k, source, lang FROM documents), o AS (SELECT DISTINCT md5(coalesce(text, '')) AS k
-        FROM documents WHERE doc_id % 5 = 0), b AS (SELECT k FROM h WHERE k NOT IN (SELECT k FROM o) GROUP BY k HAVING count(DISTINCT (source,
-        lang)) = 1) SELECT count(*) AS appended FROM b""")
+@query("""WITH h AS (SELECT md5(coalesce(text, '')) AS k, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'x' END AS lang, doc_id % 5 = 0 AS old FROM documents),
+    b AS (SELECT k, count(DISTINCT lang) AS n, min(lang) AS lang, max(lang) AS top FROM h GROUP BY k), o AS (SELECT DISTINCT k, lang FROM h WHERE old),
+    c AS (SELECT k FROM b WHERE n > 1 UNION SELECT b.k FROM b JOIN o USING (k) JOIN h ON h.k = b.k WHERE h.lang <> o.lang)
+    SELECT k, lang, false AS collision FROM b WHERE k NOT IN (SELECT k FROM o) AND k NOT IN (SELECT k FROM c) UNION ALL SELECT k, NULL, true FROM c""")
 def s12_append_new(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "source", "lang", "doc_id")
-    new, _ = readers.append_new(d.where("doc_id % 5 = 0").select("k", "source", "lang"), d.select("k", "source", "lang"), "k")
-    return new.agg(F.count("*").alias("appended"))
+    """What is appended to the texts of every fifth document, and which texts come with other content."""
+    lang = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("x").alias("lang")
+    d = read(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), lang, (F.col("doc_id") % 5 == 0).alias("old"))
+    new, bad = readers.append_new(d.where("old").select("k", "lang"), d.select("k", "lang"), "k")
+    return new.select("k", "lang", F.lit(False).alias("collision")).unionByName(bad.select("k", F.lit(None).cast("string").alias("lang"), F.lit(True).alias("collision")))
 
 
 # Admission, cache, directory, cohorts and quality.
@@ -940,9 +948,10 @@ def q2_ref_violations(spark, sf_dir):
     return quality.ref_violations(read(spark, sf_dir, "orders"), "o_custkey", read(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), "c_custkey")
 
 
-@query("SELECT cast(doc_id AS string) AS key, 'n_chars' AS \"column\" FROM documents WHERE n_chars IS DISTINCT FROM length(text)")
+@query("SELECT cast(doc_id AS string) AS key, 'n_chars' AS \"column\" FROM documents WHERE n_chars IS DISTINCT FROM octet_length(encode(text))")
 def q3_key_drift(spark, sf_dir):
-    return quality.key_drift(read(spark, sf_dir, "documents"), "doc_id", {"n_chars": F.length("text").cast("long")})
+    """Counts of characters against those of bytes: texts with marks drift."""
+    return quality.key_drift(read(spark, sf_dir, "documents"), "doc_id", {"n_chars": F.octet_length("text").cast("long")})
 
 
 @query("""SELECT true AS unchanged, count(*) AS rows_before, count(*) AS rows_after FROM orders UNION ALL SELECT false, count(*), (SELECT count(*)

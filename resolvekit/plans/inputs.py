@@ -61,8 +61,9 @@ INPUTS = {
         o_custkey % 2 = 0 AS creates_candidate, CASE o_custkey % 3 WHEN 0 THEN 'needs_review' ELSE 'identity_pending' END AS target_state FROM {orders}""",
     "cache": """SELECT event_type AS provider, 'get' AS operation, cast(user_id AS string) AS identifier, cast(ts AS timestamp) AS retrieved_at,
         props AS value, cast(CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 503 END AS int) AS status_code, CASE event_id % 4 WHEN 0 THEN 'listing'
-        WHEN 1 THEN 'events' WHEN 2 THEN 'exact_identity' ELSE 'other' END AS kind FROM {events} WHERE value < 50""",
-    "requests": "SELECT DISTINCT event_type AS provider, 'get' AS operation, cast(user_id AS string) AS identifier FROM {events}",
+        WHEN 1 THEN 'events' WHEN 2 THEN 'exact_identity' ELSE 'other' END AS kind FROM {events}""",
+    "requests": """SELECT DISTINCT event_type AS provider, 'get' AS operation, cast(user_id AS string) AS identifier FROM {events}
+        UNION ALL SELECT DISTINCT 'view', 'get', concat('new', cast(user_id AS string)) FROM {events}""",
 }
 
 
