@@ -8,7 +8,9 @@ the runs through it: backward search gives, at each word, the longest match up t
 of full width the smallest doc_id that has the window. Where these statistics reach the width, intervals go back
 to every document that has the run.
 
-A key with more words than a shard is cut: its windows are runs of their own, keyed by all their words.
+A key with more words than a shard (a phrase that very many documents have, each in a context of its own) is dealt
+again: its windows get the smallest gram under another order besides, so that they go to shards by their contexts, and
+are searched there like any others. Only what LEVELS such orders don't tell apart is keyed by all words of a window.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .store import keep, release, share, small_batches
 from .text import Words, mix, ngrams, pieces, powers, windows_in
 
 GRAM = 10
-#: Words of the different runs in a shard, about, and of one key in a shard at most.
-SHARD = 1_000_000
+#: Words of the different runs in a shard, about, and of one key in a shard at most; times that larger keys are dealt again.
+SHARD, LEVELS = 1_000_000, 4
 #: Windows that are streamed in one go; longer runs are cut, with width - 1 words more on the right.
 LANE = 256
 NONE = np.iinfo(np.int64).max
@@ -35,23 +37,30 @@ def _place(key: np.ndarray) -> np.ndarray:
     return (mix(key) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _runs(part: pa.RecordBatch, width: int, hot: np.ndarray | None):
-    """(words, h, start, windows, key, mark) of each run in a batch; start in the batch's words. Runs of hot keys are cut into windows."""
+def _least_gram(h: np.ndarray, width: int, order: int) -> np.ndarray:
+    """The smallest hash of the grams of each window, by one of several orders."""
+    low, size, reach = ngrams(h, GRAM), 1, width - GRAM + 1
+    if order:
+        low = mix(low ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+    while 2 * size <= reach:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    k = len(h) - width + 1
+    return np.minimum(low[:k], low[reach - size :][:k])
+
+
+def _runs(part: pa.RecordBatch, width: int, hot: list[np.ndarray]):
+    """(words, h, start, windows, key, mark) of each run in a batch; start in the batch's words. hot has the keys that are dealt again, by level."""
     words = Words(part.column("text"))
     h, at = words.hashes(), windows_in(words, width)
     if not len(at):
         none = np.zeros(0, np.int64)
         return words, h, none, none, none.view(np.uint64), none.view(np.uint64)
-    low, size, reach = ngrams(h, GRAM), 1, width - GRAM + 1
-    while 2 * size <= reach:
-        low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    k = len(h) - width + 1
-    low = np.minimum(low[:k], low[reach - size :][:k])[at]
+    low = _least_gram(h, width, 0)[at]
+    for level, keys in enumerate(hot, 1):
+        again = contains(keys, _place(low))
+        if again.any():
+            low = np.where(again, mix(low ^ _least_gram(h, width, level)[at]) if level < LEVELS else ngrams(h, width)[at], low)
     new = np.append(True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1))
-    if hot is not None:
-        cut = contains(hot, _place(low))
-        low = np.where(cut, ngrams(h, width)[at], low)
-        new |= cut | np.append(False, cut[:-1])
     first = np.flatnonzero(new)
     start, windows = at[first], np.diff(np.append(first, len(at)))
     with np.errstate(over="ignore"):
@@ -196,10 +205,12 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     docs = docs.where("doc_id is not null")
 
     def described(hot):
+        hot = tuple(hot)
+
         def describe(batches):
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    words, _, start, windows, key, mark = _runs(part, width, hot and hot.value)
+                    words, _, start, windows, key, mark = _runs(part, width, [x.value for x in hot])
                     doc = words.doc[start]
                     doc_id, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "th"))
                     own = start - words.first[doc]
@@ -215,11 +226,10 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
             (F.col("own.windows") + width - 1).alias("size"), "last", "words")
         return runs, keep(owned, "owned")
 
-    hot = None
-    runs, owned = described(None)
-    large = owned.where(F.col("words") > SHARD)
-    if not large.isEmpty():
-        hot = share(docs.sparkSession, bit_table(large.select(F.col("place").alias("slot"))))
+    hot = []
+    runs, owned = described(hot)
+    while len(hot) < LEVELS and not (large := owned.where(F.col("words") > SHARD)).isEmpty():
+        hot.append(share(docs.sparkSession, bit_table(large.select(F.col("place").alias("slot")))))
         runs, owned = described(hot)
     flags = share(docs.sparkSession, bit_table(owned.select("slot")))
 
@@ -227,7 +237,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         seen = set()  # repeated rows go on once a task
         for batch in batches:
             for part in pieces(batch, "text"):
-                words, h, start, windows, key, mark = _runs(part, width, hot and hot.value)
+                words, h, start, windows, key, mark = _runs(part, width, [x.value for x in hot])
                 doc = words.doc[start]
                 doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
                 new = [x not in seen and not seen.add(x) for x in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), strict=True)]
@@ -261,7 +271,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     found = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(search,
         "key long, mark long, spans array<struct<offset:long,windows:long,owner:long>>")
     found = keep(found, "found")
-    release(hot, flags)
+    release(*hot, flags)
     spots = runs.select("key", "mark", "doc_id", "th", "start").join(found, ["key", "mark"]).select("doc_id", "th", "start", F.explode("spans").alias("s"))
     return spots.where("s.owner < doc_id").select("doc_id", "th", (F.col("start") + F.col("s.offset")).alias("start"), "s.windows")
 
