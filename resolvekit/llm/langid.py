@@ -18,8 +18,9 @@ from .text import pieces
 
 #: Places of the hashed n-grams.
 DIM = 8192
-#: Labelled texts of each language that the model is fitted on, and those of them that are landmarks.
+#: Labelled texts of each language that the model is fitted on, and those of them that are landmarks; both in all; languages.
 SAMPLE, LANDMARKS = 400, 60
+MOST_SAMPLE, MOST_LANDMARKS, LANGUAGES = 16_000, 1_600, 400
 RIDGE = 1e-2
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -65,15 +66,22 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Fit on at most SAMPLE texts of each language, those with the smallest hash of their id.
 
+    The model is bounded for any number of languages: the LANGUAGES most frequent ones are learned, each with its share
+    of MOST_SAMPLE texts and MOST_LANDMARKS landmarks (so 40 languages have SAMPLE texts each, 26 all their landmarks).
+
     docs: doc_id, text, lang; rows with a null text or lang are left out, and of rows that repeat a doc_id one is
     taken. Only the hashed presence rows of the sample (DIM bits each) come to the driver, never a text.
     """
     small_batches(docs.sparkSession)
+    labelled = docs.where("lang is not null and text is not null")
+    known = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    per, marks = min(SAMPLE, MOST_SAMPLE // max(1, len(known))), min(LANDMARKS, MOST_LANDMARKS // max(1, len(known)))
+    labelled = labelled.where(F.col("lang").isin(known))
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
     some = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "doc_id")  # so that no task ranks a whole language
-    ids = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    ids = ids.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= SAMPLE)
-    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
+    ids = ids.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= per)
+    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per)
     chosen = ids.select("doc_id", "lang", "rank").dropDuplicates(["doc_id"])
 
     def bits(batches):
@@ -82,8 +90,8 @@ def fit(docs: DataFrame) -> Model:
                 rows = np.packbits(presence(part.column("text")).astype(bool), axis=1)
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "rank": part.column("rank"), "bits": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    # chosen has at most SAMPLE rows a language, so its side is small whatever the input
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen),
+    # chosen has at most MOST_SAMPLE rows, so its side is small whatever the input
+    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen),
         ["doc_id", "lang"]).select("text", "lang", "rank")
     sample = sample.mapInArrow(bits, "lang string, rank int, bits binary").groupBy("lang", "rank").agg(F.min("bits").alias("bits"))
     rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank, r.bits))
@@ -92,7 +100,7 @@ def fit(docs: DataFrame) -> Model:
         return Model(np.zeros((1, DIM), np.float32), np.zeros((1, 0), np.float32), [])
     x = _scaled(np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in rows]), axis=1).astype(np.float32))
     y = np.array([[1.0 if r.lang == lang else -1.0 for lang in langs] for r in rows])
-    z = x[[i for i, r in enumerate(rows) if r.rank <= LANDMARKS]]
+    z = x[[i for i, r in enumerate(rows) if r.rank <= marks]]
     weight = np.array([1 / sum(q.lang == r.lang for q in rows) for r in rows])
     knm, kmm = (x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64)
     left = knm.T @ (weight[:, None] * knm) + RIDGE * kmm + 1e-8 * np.eye(len(z))

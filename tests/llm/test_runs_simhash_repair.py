@@ -255,3 +255,45 @@ def test_machine():
     rows = bytes(r.choice([0, 1, 2, 5, 6, 8]) for _ in range(400))
     assert len(set(m.start(rows))) == 1  # vectors of a usual chunk come to differ by constants
     assert len(set(m.start(bytes([conversations.CUT + 1] * 400)))) > 1  # those of truncated rows alone don't
+
+
+def test_a_common_phrase_is_dealt_again(spark, monkeypatch):
+    """A phrase in very many contexts: its key is dealt again by other grams, its repeated passages are still found by the index."""
+    from resolvekit.llm import substring
+
+    monkeypatch.setattr(substring, "SHARD", 400)
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(4000)}"
+    import pyarrow as pa
+
+    least = lambda p: int(text.ngrams(text.Words(pa.array([" ".join(p)])).hashes(), substring.GRAM).min())
+    phrase = min(([f"p{r.randrange(99)}" for _ in range(14)] for _ in range(300)), key=least)  # one that gives most windows around it their key
+    around = lambda: ([word() for _ in range(r.randrange(30, 60))], [word() for _ in range(r.randrange(30, 60))])
+    contexts = [around() for _ in range(150)]
+    rows = [(i, " ".join(a + phrase + b)) for i, (a, b) in enumerate(contexts)] + [(1000 + i, " ".join([word() for _ in range(9)] + contexts[i][0] + phrase + contexts[i][1])) for i in range(0, 150, 3)]
+    first, want = {}, []
+    for i, t in sorted(rows):
+        w, gone = t.split(), set()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone.update(range(k, k + 50))
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    levels = []
+    table = substring.bit_table
+    monkeypatch.setattr(substring, "bit_table", lambda df: levels.append(1) or table(df))
+    got = [(x.doc_id, x.n_words, x.n_removed, x.kept) for x in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == want and sum(x[2] > 0 for x in want) == 50 and len(levels) >= 2
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    from resolvekit.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 6)
+    monkeypatch.setattr(langid, "MOST_SAMPLE", 60)
+    monkeypatch.setattr(langid, "MOST_LANDMARKS", 18)
+    rows = [(100 * k + i, f"{'abcdefghij'[k] * 3} {'abcdefghij'[k] * 5} x{i}", f"l{k}") for k in range(10) for i in range(30 - 2 * k)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == [f"l{k}" for k in range(6)] and model.landmarks.shape[0] == 18
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model)
+    assert got.where("doc_id < 600").count() == got.where("doc_id < 600 and lang_pred = concat('l', cast(floor(doc_id / 100) as string))").count()
+    assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
