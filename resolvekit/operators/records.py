@@ -160,6 +160,53 @@ RULES: dict[str, dict[str, str]] = {
 }
 
 
+#: Types of a run's events, states of a breaker, what a finished phase was, and the rates of a day.
+RUN_EVENTS = ("run_created", "phase_completed", "provider_execution_recorded", "run_paused", "run_resumed", "run_stopped")
+BREAKER, DISPOSITION = ("closed", "open", "half_open"), ("completed", "skipped")
+RATES = ("discovery_yield", "rediscovery_rate", "duplicate_prevention_rate", "coherent_rate", "review_rate", "failed_match_rate", "exact_bridge_rate", "retry_recovery_rate", "retry_exhaustion_rate")
+GROUPS = ("same_name_ambiguity", "provider_profile_multiplicity", "missing_exact_bridge", "unresolved_identifiers", "semantic_identity_conflict", "retry_budget_exhausted", "editorial_input_missing")
+_NAMESPACE = """concat('sha256:', sha2(concat('{"provider":"', provider, '","adapterId":"', adapter_id, '","adapterVersion":"', adapter_version, '","stableConfigurationHash":"', configuration_hash, '"}'), 256))"""
+_CONTROL_EVENT = "event_type IN ('run_paused', 'run_resumed', 'run_stopped')"
+#: Checkpoints, events of runs, retries, breakers and summaries.
+RULES |= {
+    "checkpoint": {
+        "schema_version": "schema_version = 1", "checkpoint_id": _form("checkpoint_id", "digest"), "provider": "regexp_like(provider, '^[a-z][a-z0-9_]*$')",
+        "adapter_id": "regexp_like(adapter_id, '^[a-z][a-z0-9_]*$')", "adapter_version": "regexp_like(adapter_version, '^v[1-9][0-9]*$')",
+        "configuration_hash": _form("configuration_hash", "digest"), "namespace": f"checkpoint_id = {_NAMESPACE}", "revision": "revision >= 1", "page": "page >= 0", "item_offset": "item_offset >= 0",
+        "exhausted": "exhausted IS NOT NULL", "last_run_id": _optional("last_run_id", _form("last_run_id", "run")), "evidence_ref": _optional("evidence_ref", _text("evidence_ref")),
+        "created_at": _time("created_at"), "updated_at": _time("updated_at"), "time_order": "try_cast(updated_at AS timestamp) >= try_cast(created_at AS timestamp)",
+    },
+    "run_event": {
+        "schema_version": "schema_version = 1", "event_id": _form("event_id", "run_event"), "run_id": _form("run_id", "run"), "event_type": _one_of("event_type", RUN_EVENTS),
+        "previous_revision": "previous_revision >= 0", "run_revision": "run_revision = previous_revision + 1", "occurred_at": _time("occurred_at"), "actor_type": _one_of("actor_type", ACTORS),
+        "created_first": f"event_type <> 'run_created' OR (previous_revision = 0 AND phase = '{PHASES[0]}' AND disposition = 'completed')",
+        "phase": f"event_type <> 'phase_completed' OR ({_one_of('phase', PHASES[1:])} AND {_one_of('disposition', DISPOSITION)})",
+        "execution": "event_type <> 'provider_execution_recorded' OR (phase IS NULL AND disposition IS NULL AND " + _text("provider") + f" AND breaker_provider = provider AND {_one_of('breaker_state', BREAKER)})",
+        "control": f"NOT ({_CONTROL_EVENT}) OR (phase IS NULL AND {_text('reason')})",
+    },
+    "retry": {
+        "schema_version": "schema_version = 1", "candidate_id": _text("candidate_id"), "provider": _text("provider"), "operation": _text("operation"), "attempt_count": "attempt_count >= 1",
+        "first_failure_at": _time("first_failure_at"), "last_failure_at": _time("last_failure_at"), "next_retry_at": _optional("next_retry_at", _time("next_retry_at")),
+        "failure_category": _text("failure_category"), "evidence_refs": "evidence_refs IS NOT NULL", "exhausted": "exhausted IS NOT NULL",
+    },
+    "breaker": {
+        "schema_version": "schema_version = 1", "provider": _text("provider"), "state": _one_of("state", BREAKER), "revision": "revision >= 0", "failure_count": "failure_count >= 0",
+        "created_at": _time("created_at"), "updated_at": _time("updated_at"), "opened_at": _optional("opened_at", _time("opened_at")), "next_probe_at": _optional("next_probe_at", _time("next_probe_at")),
+        "open_says_why": "state <> 'open' OR (opened_at IS NOT NULL AND next_probe_at IS NOT NULL AND length(reason) > 0)",
+    },
+    "daily_summary": {
+        "schema_version": "schema_version = 1", "summary_type": "summary_type = 'daily_operational'", "day": "regexp_like(day, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')", "start": _time("start"), "end": _time("`end`"),
+        "run_ids": "run_ids IS NOT NULL", "queue_before": "forall(map_values(queue_before), n -> n >= 0)", "queue_after": "forall(map_values(queue_after), n -> n >= 0)", "net_growth": "net_growth IS NOT NULL",
+        **{r: _optional(r, f"{r} BETWEEN 0 AND 1") for r in RATES}, "median_hours": _optional("median_hours", "median_hours >= 0"), "review_only": "review_only AND NOT mutates_state",
+    },
+    "weekly_summary": {
+        "schema_version": "schema_version = 1", "summary_type": "summary_type = 'weekly_human_review'", "start": _time("start"), "end": _time("`end`"),
+        "groups": "size(array_except(array(" + ", ".join(repr(g) for g in GROUPS) + "), map_keys(`groups`))) = 0", "actionable": "actionable >= 0", "net_growth": "net_growth IS NOT NULL",
+        "review_only": "review_only AND NOT mutates_state AND advisory",
+    },
+}
+
+
 def record_violations(df: DataFrame, kind: str, key: str) -> DataFrame:
     """(key, rule) for each rule of its type that a record breaks; df has the flat columns that RULES[kind] names.
 

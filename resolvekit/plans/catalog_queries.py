@@ -20,7 +20,7 @@ START, END = "2024-01-08", "2024-01-15"
 
 
 def queries() -> dict:
-    from . import operations_queries, resolution_queries  # noqa: F401  (they register their own)
+    from . import operations_queries, record_queries, resolution_queries  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
@@ -933,7 +933,7 @@ def _record_query(kind):
     return query(f"WITH r AS (SELECT {named} FROM @record_{kind}) {union}")(run)
 
 
-for _kind in records.RULES:
+for _kind in inputs.RECORDS:
     _record_query(_kind)
 
 
