@@ -61,15 +61,6 @@ def reconcile_cohort(source: DataFrame, enriched: DataFrame, live: DataFrame, re
     return df.select("key", "external_id", "artist_id", status.alias("status"), F.array_join(drift, ",").alias("drift"))
 
 
-def to_v2(df: DataFrame) -> DataFrame:
-    """Nested version-2 rows of df(artist_id, name, genre, tier, spotify_id, image)."""
-    return df.select(
-        "artist_id", F.lit(2).alias("schema_version"), F.struct("name").alias("identity"), F.struct("genre", "tier").alias("editorial"),
-        F.map_from_entries(F.array_compact(F.array(F.when(F.col("spotify_id").isNotNull(),
-            F.struct(F.lit("spotify"), F.col("spotify_id")))))).alias("external_ids"), F.struct("image").alias("media"),
-    )
-
-
 def review_package(reports: DataFrame, accounting: DataFrame, proposed: DataFrame, live: DataFrame, outcomes: list[str]) -> DataFrame:
     """(artist_id, external_id, outcome, origin): selected reports with their accounting and proposed id, less the live ones, and the live rows."""
     picked = reports.where(F.col("outcome").isin(*outcomes)).join(accounting.select("key", "external_id"),
@@ -78,12 +69,6 @@ def review_package(reports: DataFrame, accounting: DataFrame, proposed: DataFram
     return live.select("artist_id", "external_id", F.lit(None).cast("string").alias("outcome"), F.lit("live").alias("origin")).unionByName(new)
 
 
-def promote(preview: DataFrame, approvals: DataFrame, live: DataFrame) -> DataFrame:
-    """live and the approved rows of preview that it lacks, with `promoted`."""
-    new = preview.join(approvals.where("approved").select("artist_id").distinct(), "artist_id", "left_semi").join(live.select("artist_id"), "artist_id", "left_anti")
-    return live.withColumn("promoted", F.lit(False)).unionByName(new.select(*live.columns).withColumn("promoted", F.lit(True)))
-
-
 def evidence_notes(df: DataFrame) -> DataFrame:
     """df(conflicts, evidence_refs, competitor_ids, profile_ids) with a text for each."""
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("string")

@@ -20,7 +20,7 @@ START, END = "2024-01-08", "2024-01-15"
 
 
 def queries() -> dict:
-    from . import operations_queries, record_queries, resolution_queries  # noqa: F401  (they register their own)
+    from . import operations_queries, promotion_queries, record_queries, resolution_queries  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
@@ -901,20 +901,6 @@ def j11_review_package(spark, sf_dir):
     return cohort.review_package(reports, reg, reg, reg.where("key % 8 = 0"), ["coherent_identity_evidence"]).select("artist_id", "origin")
 
 
-@query("SELECT artist_id, artist_id % 2 <> 0 AS promoted FROM @customers WHERE artist_id % 2 = 0 OR artist_id % 3 = 0")
-def j12_promote(spark, sf_dir):
-    c = get(spark, sf_dir, "customers")
-    return cohort.promote(c, c.select("artist_id", (F.col("artist_id") % 3 == 0).alias("approved")), c.where("artist_id % 2 = 0")).select("artist_id", "promoted")
-
-
-@query("SELECT artist_id, name AS identity_name, genre, CASE WHEN artist_id % 3 = 0 THEN NULL ELSE 's' || artist_id END AS spotify_id FROM @customers")
-def p4_to_v2(spark, sf_dir):
-    c = get(spark, sf_dir, "customers").withColumn("spotify_id", F.when(F.col("artist_id") % 3 != 0,
-        F.concat(F.lit("s"), "artist_id"))).withColumn("image", F.lit(None).cast("string"))
-    return cohort.to_v2(c).select("artist_id", F.col("identity.name").alias("identity_name"), "editorial.genre",
-        F.try_element_at("external_ids", F.lit("spotify")).alias("spotify_id"))
-
-
 @query("""SELECT cast(o_orderkey AS string) AS key, 'price_positive' AS rule FROM orders WHERE NOT coalesce(o_totalprice > 1000, false) UNION ALL
         SELECT cast(o_orderkey AS string), 'status_known' FROM orders WHERE NOT coalesce(o_orderstatus IN ('F', 'O'), false)""")
 def q1_violations(spark, sf_dir):
