@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import id_from_url, name_key, reasons
+from .numbering import shared_folder
 
 #: Outcomes of an identity.
 COHERENT, SAME_NAME = "coherent_identity_evidence", "coherent_identity_with_same_name_ambiguity"
@@ -60,7 +61,9 @@ def gather_claims(stored: DataFrame, claims: DataFrame, authorities: DataFrame,
     one = lookups.groupBy("entity").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
     exact = row(one, F.lit("musicbrainz"), "id", F.lit("musicbrainz"), F.col("id"), by(4, "id"))
     out = own.unionByName(given).unionByName(records).unionByName(linked).unionByName(profile).unionByName(exact).where("value is not null")
-    return out.groupBy("entity", "identifier_type", "value", "source", "asserted_by").agg(F.min("position").alias("position"))
+    shared_folder(out.sparkSession)
+    # written once, as all that follows reads it
+    return out.groupBy("entity", "identifier_type", "value", "source", "asserted_by").agg(F.min("position").alias("position")).checkpoint()
 
 
 def mutual_links(links: DataFrame) -> DataFrame:

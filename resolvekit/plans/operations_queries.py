@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import converge, directory, lifecycle, metrics
+from ..operators import converge, directory, lifecycle, metrics, positions
+from ..streaming import streams
 from .inputs import INPUTS, get, read
 from .registry import query
 
@@ -173,3 +174,40 @@ def _by_candidate():
     from pyspark.sql import Window
 
     return Window.partitionBy("candidate_id")
+
+
+# an order is an item of a listing of its priority, ten to a page; checkpoints stand in the middle of a page
+INPUTS["listing"] = """SELECT provider, cast(floor(n / 10) AS bigint) AS page, cast(n % 10 AS bigint) AS item_offset, id FROM (SELECT concat(o_orderpriority, cast(o_custkey % 20 AS string)) AS provider,
+    o_orderkey AS id, row_number() OVER (PARTITION BY concat(o_orderpriority, cast(o_custkey % 20 AS string)) ORDER BY o_orderkey) - 1 AS n FROM {orders})"""
+INPUTS["positions"] = """SELECT concat('c', provider) AS checkpoint_id, provider, CASE WHEN k % 9 = 0 THEN 'old' ELSE 'h' END AS configuration_hash, cast(k % 5 + 1 AS bigint) AS revision,
+    CASE WHEN k % 7 = 0 THEN 9000 ELSE cast(k % 6 AS bigint) END AS page, cast(k % 10 AS bigint) AS item_offset, k % 7 = 0 AND k % 2 = 0 AS exhausted FROM (SELECT provider, min(id) AS k FROM
+    (SELECT concat(o_orderpriority, cast(o_custkey % 20 AS string)) AS provider, o_orderkey AS id FROM {orders}) GROUP BY provider)"""
+_ACQUIRED = """WITH e AS (SELECT provider, max(page * 10 + item_offset) AS last FROM @listing GROUP BY 1), c AS (SELECT p.*, last, CASE WHEN configuration_hash <> 'h' THEN 'configuration_changed'
+        WHEN NOT exhausted AND p.page * 10 + p.item_offset > last THEN 'position_beyond_listing' END AS reason FROM @positions p JOIN e USING (provider)),
+    t AS (SELECT checkpoint_id, i.*, row_number() OVER (PARTITION BY checkpoint_id ORDER BY i.page, i.item_offset) AS n FROM c JOIN @listing i USING (provider)
+        WHERE reason IS NULL AND i.page * 10 + i.item_offset >= c.page * 10 + c.item_offset), k AS (SELECT * FROM t WHERE n <= 25),
+    s AS (SELECT checkpoint_id, max(page * 10 + item_offset) AS top FROM k GROUP BY 1)"""
+
+
+@query(f"""{_ACQUIRED} SELECT 'taken' AS item, checkpoint_id, page, item_offset, cast(id AS string) AS what FROM k UNION ALL SELECT 'refused', checkpoint_id, NULL, NULL, reason FROM c WHERE reason IS NOT NULL
+    UNION ALL SELECT 'next', checkpoint_id, CASE WHEN top IS NULL THEN page WHEN top = last THEN top // 10 + 1 ELSE (top + 1) // 10 END, CASE WHEN top IS NULL THEN item_offset WHEN top = last THEN 0
+        ELSE (top + 1) % 10 END, (revision + 1) || CASE WHEN coalesce(top = last, true) THEN ' exhausted' ELSE ' open' END FROM c LEFT JOIN s USING (checkpoint_id) WHERE reason IS NULL""")
+def x1_acquire(spark, sf_dir):
+    """Up to 25 items from where each checkpoint stands, the next checkpoints, and those that are refused."""
+    known = get(spark, sf_dir, "positions")
+    taken, after, refused = positions.acquire(get(spark, sf_dir, "listing"), known, known.select("provider", F.lit("h").alias("configuration_hash")), 25)
+    state = F.concat(F.col("revision"), F.when(F.col("exhausted"), " exhausted").otherwise(" open"))
+    null = F.lit(None).cast("long")
+    out = taken.select(F.lit("taken").alias("item"), "checkpoint_id", "page", "item_offset", F.col("id").cast("string").alias("what"))
+    out = out.unionByName(refused.select(F.lit("refused").alias("item"), "checkpoint_id", null.alias("page"), null.alias("item_offset"), F.col("reason").alias("what")))
+    return out.unionByName(after.select(F.lit("next").alias("item"), "checkpoint_id", "page", "item_offset", state.alias("what")))
+
+
+@query("""WITH p AS (SELECT cast(user_id AS string) AS checkpoint_id, event_id AS revision, value AS page FROM events), b AS (SELECT *,
+        max(page) OVER (PARTITION BY checkpoint_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) SELECT checkpoint_id, revision FROM b WHERE page < m""")
+def t8_backward_stream(spark, sf_dir):
+    from .catalog_queries import _folder, _stream
+
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("checkpoint_id"), F.col("event_id").alias("revision"), F.col("value").alias("page"), F.lit(0).alias("item_offset"))
+    found = streams.backward_positions(e).withColumn("seen", F.lit(True))
+    return streams.run_now(found, ["checkpoint_id", "revision"], _folder(spark), "append").select("checkpoint_id", "revision")

@@ -179,3 +179,34 @@ def candidate_states(events: DataFrame) -> DataFrame:
     with_state_store(events.sparkSession)
     return events.select("candidate_id", "candidate_revision", "next_state").groupBy("candidate_id").transformWithStateInPandas(
         CandidateLog(), "candidate_id string, revision long, state string", "Update", "None")
+
+
+class Furthest(StatefulProcessor):
+    """The furthest position that a checkpoint has had."""
+
+    def init(self, handle) -> None:
+        self.furthest = handle.getValueState("furthest", "revision long, page double, item_offset long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known, out = self.furthest.get() if self.furthest.exists() else None, []
+        moves = sorted(x for pdf in rows for x in zip(pdf["revision"].tolist(), pdf["page"].tolist(), pdf["item_offset"].tolist(), strict=True))
+        for revision, page, offset in moves:
+            if known is not None and (page, offset) < tuple(known[1:]):
+                out.append(revision)
+            else:
+                known = (revision, page, offset)
+        self.furthest.update(known)
+        yield pd.DataFrame({"checkpoint_id": pd.Series([key[0]] * len(out), dtype="object"), "revision": pd.Series(out, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def backward_positions(positions: DataFrame) -> DataFrame:
+    """(checkpoint_id, revision) of a stream of positions(checkpoint_id string, revision, page, item_offset) that are behind an earlier one.
+
+    Within a batch positions count in order of revision, batches as they come. State is one row for each checkpoint.
+    """
+    with_state_store(positions.sparkSession)
+    rows = positions.select("checkpoint_id", F.col("revision").cast("long"), F.col("page").cast("double"), F.col("item_offset").cast("long"))
+    return rows.groupBy("checkpoint_id").transformWithStateInPandas(Furthest(), "checkpoint_id string, revision long", "Append", "None")

@@ -8,9 +8,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.lifecycle import CLOSED, breaker_step
-from .keyed import candidate_states, first_of_each, retry_timers
+from .keyed import backward_positions, candidate_states, first_of_each, retry_timers
 
-__all__ = ["behaviour_counts", "backward_moves", "breaker_states", "candidate_states", "ingest", "period_counts", "retry_timers", "run_now", "stalled_work"]
+__all__ = ["behaviour_counts", "backward_moves", "backward_positions", "breaker_states", "candidate_states", "ingest", "period_counts", "retry_timers", "run_now", "stalled_work"]
 
 #: Behaviour events that count.
 BEHAVIOUR_TYPES = ("artist_impression", "artist_saved", "artist_unsaved", "spotify_clicked", "roll_again", "artist_skipped")

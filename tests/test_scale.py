@@ -88,3 +88,29 @@ def test_admission_of_a_hot_provider(spark):
     got = admission.admit_with_budget(items, spark.createDataFrame([], "state string, n long"))
     assert [tuple(x) for x in got.groupBy("admitted", "stop_reason").count().orderBy("admitted").collect()] == [(False, "occurrence_budget_reached", 39_985), (True, "occurrence_budget_reached", 15)]
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_acquire_goes_on_where_it_stopped(spark):
+    """Turns of a bounded number of items, in the middle of pages too: every item once, in order."""
+    from resolvekit.operators import positions
+
+    pages = {"a": [3, 4, 1, 5], "b": [2], "c": []}
+    items = spark.createDataFrame([(p, k, i, f"{p}{k}.{i}") for p, sizes in pages.items() for k, n in enumerate(sizes) for i in range(n)], "provider string, page long, item_offset long, name string")
+    schema = "checkpoint_id string, provider string, configuration_hash string, revision long, page long, item_offset long, exhausted boolean"
+    now = spark.createDataFrame([(p, "h") for p in "abcd"], "provider string, configuration_hash string")
+    state = spark.createDataFrame([(p, p, "h", 1, 0, 0, False) for p in "ab"], schema)
+    seen, places = {"a": [], "b": []}, []
+    for _ in range(4):
+        taken, state, refused = positions.acquire(items, state, now, 5)
+        for r in sorted(taken.collect(), key=lambda r: (r.page, r.item_offset)):
+            seen[r.checkpoint_id].append(r.name)
+        state = spark.createDataFrame(state.collect(), state.schema)
+        places.append({r.checkpoint_id: (r.revision, r.page, r.item_offset, r.exhausted) for r in state.collect()})
+        assert refused.count() == 0
+    assert seen == {p: [f"{p}{k}.{i}" for k, n in enumerate(pages[p]) for i in range(n)] for p in "ab"}
+    assert [x["a"] for x in places] == [(2, 1, 2, False), (3, 3, 2, False), (4, 4, 0, True), (5, 4, 0, True)] and places[0]["b"] == (2, 1, 0, True)
+    odd = [("old", "a", "g", 1, 0, 0, False), ("far", "a", "h", 1, 9, 0, False), ("done", "a", "h", 1, 9, 0, True), ("empty", "c", "h", 1, 0, 0, False), ("unknown", "z", "h", 1, 0, 0, False)]
+    taken, after, refused = positions.acquire(items, spark.createDataFrame(odd, schema), now, 5)
+    assert taken.count() == 0 and [r.checkpoint_id for r in after.collect()] == ["done"]
+    assert {r.checkpoint_id: r.reason for r in refused.collect()} == {"old": positions.STALE, "far": positions.AHEAD, "empty": positions.AHEAD, "unknown": positions.STALE}
+    assert positions.acquire(items.limit(0), state.limit(0), now, 5)[1].count() == 0

@@ -76,3 +76,11 @@ def test_early_events_wait(spark, tmp_path):
         _add(spark, tmp_path, i, rows, schema)
         out = streams.run_now(streams.candidate_states(_stream(spark, tmp_path, schema)), ["candidate_id"], f"{tmp_path}/run").where(F.col("candidate_id") == "c").first()
         assert (out.revision, out.state) == [(1, "s1"), (1, "s1"), (3, "s3"), (5, "s5")][i]
+
+
+def test_positions_that_go_back(spark, tmp_path):
+    schema = "checkpoint_id string, revision long, page double, item_offset long"
+    for i, rows in enumerate([[("c", 1, 1.0, 5), ("c", 3, 1.0, 4), ("c", 2, 2.0, 0)], [("c", 4, 2.0, 0), ("c", 5, 1.9, 9), ("d", 1, 0.0, 0)], [("c", 6, 3.0, 0), ("d", 2, 0.0, 1), ("d", 3, 0.0, 0)]]):
+        _add(spark, tmp_path, i, rows, schema)
+    out = streams.run_now(streams.backward_positions(_stream(spark, tmp_path, schema)).withColumn("seen", F.lit(True)), ["checkpoint_id", "revision"], f"{tmp_path}/run", "append")
+    assert sorted((r.checkpoint_id, r.revision) for r in out.collect()) == [("c", 3), ("c", 5), ("d", 3)]
