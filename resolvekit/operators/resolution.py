@@ -45,7 +45,7 @@ def gather_claims(stored: DataFrame, claims: DataFrame, authorities: DataFrame,
     """(entity, identifier_type, value, source, asserted_by, position): the given claims and those that the records make.
 
     The stored id comes first (source stored), then the given claims, those of authority records and their URLs, those
-    of profiles, and the authority behind the exact URL if it is the only one.
+    of profiles, and the authority behind the exact URL if it is the only one. A claim made twice is there twice.
     """
     null, at = F.lit(None).cast("string"), lambda n: F.struct(F.lit(n).alias("a"), F.col("position").cast("long").alias("b"), F.lit("").alias("c"))
     by = lambda n, id_: F.struct(F.lit(n).alias("a"), F.lit(0).cast("long").alias("b"), F.col(id_).cast("string").alias("c"))
@@ -58,12 +58,9 @@ def gather_claims(stored: DataFrame, claims: DataFrame, authorities: DataFrame,
     urls = authorities.select("entity", "id", F.explode("urls").alias("url")).select("entity", "id", found.alias("f")).select("entity", "id", "f.*")
     linked = row(urls, F.col("identifier_type"), "value", F.lit("musicbrainz"), F.col("id"), by(2, "id"))
     profile = row(profiles, F.lit("discogs"), "id", F.lit("discogs"), F.col("id"), by(3, "id"))
-    one = lookups.groupBy("entity").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
+    one = lookups.groupBy("entity").agg(F.min("id").alias("id"), F.max("id").alias("_last")).where("id = _last")
     exact = row(one, F.lit("musicbrainz"), "id", F.lit("musicbrainz"), F.col("id"), by(4, "id"))
-    out = own.unionByName(given).unionByName(records).unionByName(linked).unionByName(profile).unionByName(exact).where("value is not null")
-    shared_folder(out.sparkSession)
-    # written once, as all that follows reads it
-    return out.groupBy("entity", "identifier_type", "value", "source", "asserted_by").agg(F.min("position").alias("position")).checkpoint()
+    return own.unionByName(given).unionByName(records).unionByName(linked).unionByName(profile).unionByName(exact).where("value is not null")
 
 
 def mutual_links(links: DataFrame) -> DataFrame:
@@ -86,110 +83,204 @@ def shared_titles(catalogs: DataFrame) -> DataFrame:
     return pairwise_overlap(titles).withColumnRenamed("group_id", "entity")
 
 
-def interpret(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
-    """A row for each entity of claims: what several ids of a provider mean.
-
-    entity, interpretation, contradictions, multiplicity_evidence, unresolved (arrays of codes; unresolved also has
-    provider:id), anchored (whether a catalog has releases), qualifies. claims as gather_claims has them, t the tables.
-    Precedence: contradiction; then, unless an id is unresolved, redirected, deprecated, multiplicity.
+#: What is known of an id (or a begin, a title, a page) of an entity, as rows that are added up by id.
+_ID = {
+    "claimed": "boolean", "position": "struct<a:int,b:bigint,c:string>", "known": "boolean", "retired": "boolean", "stored": "boolean", "by_authority": "boolean", "by_graph": "boolean",
+    "kind": "string", "name": "string", "key": "string", "named": "boolean", "lo": "string", "hi": "string", "links": "array<string>", "profile": "string", "says": "string",
+}
+#: What is known of an entity as a whole.
+_ENTITY = {
+    "redirected": "boolean", "deprecated": "boolean", "anchored": "boolean", "joint_pair": "boolean", "own": "struct<id:string>", "competitors": "bigint", "audited": "boolean",
+    "linked_lo": "string", "linked_hi": "string", "errors": "bigint", "blocked": "string", "covered": "array<string>",
+}
+
+
+def _rows(df: DataFrame, names: dict, *keys: Column, **given: Column) -> DataFrame:
+    return df.select(*keys, *(given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in names.items()))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _id_rows(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
+    at = lambda part, provider, id_: ("entity", F.lit(part).alias("part"), provider.alias("provider"), id_.cast("string").alias("id"))
+    kind, none, yes = F.col("identifier_type"), F.lit(""), F.lit(True)
+    # a claim tells of its id and, if an authority makes it, of that authority
+    said = (F.col("source") == "musicbrainz") & F.col("asserted_by").isNotNull() & kind.isin("discogs", "spotify")
+    both = F.explode(F.when(said, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_by")
+    c = claims.select("*", both)
+    own, by = F.col("_by") == 0, F.col("_by") == 1
+    out = [_rows(c, _ID, *at("id", F.when(own, kind).otherwise("musicbrainz"), F.when(own, F.col("value")).otherwise(F.col("asserted_by"))), claimed=F.when(own, yes), position=F.when(own, F.col("position")),
+        stored=own & (F.col("source") == "stored"), by_authority=own & (F.col("source") == "musicbrainz"), by_graph=own & (F.col("source") == "wikidata"),
+        profile=F.when(by & (kind == "discogs"), F.col("value")), says=F.when(by & (kind == "spotify"), F.col("value")))]
+    a = t["authorities"].select("*", F.explode(F.when(F.col("begin").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("_at"))
+    record, begun = F.col("_at") == 0, F.when(F.col("_at") == 1, F.col("id"))
+    out.append(_rows(a, _ID, "entity", F.when(record, "id").otherwise("begin").alias("part"), F.when(record, "musicbrainz").otherwise("").alias("provider"),
+        F.when(record, F.col("id")).otherwise(F.col("begin")).cast("string").alias("id"), known=F.when(record, yes), kind=F.when(record, F.col("artist_type")), links=F.when(record, F.col("homepages")), lo=begun, hi=begun))
+    key = name_key("real_name")
+    out.append(_rows(t["profiles"], _ID, *at("id", F.lit("discogs"), F.col("id")), known=yes, links=F.col("aliases"), name=F.when(F.col("real_name") != "", F.col("real_name")),
+        key=F.when(key != "", key), named=F.coalesce(key != "", F.lit(False))))
+    out.append(_rows(t["retired"], _ID, *at("id", F.col("provider"), F.col("id")), retired=yes))
+    titles = F.array_distinct(F.filter(F.coalesce("titles", F.expr(NONE)), lambda x: x.isNotNull() & (x != "")))
+    each = t["catalogs"].select("entity", "id", F.explode(F.concat(F.array(F.struct(F.lit("catalog").alias("p"), F.col("id").cast("string").alias("x"))),
+        F.transform(titles, lambda x: F.struct(F.lit("title").alias("p"), x.alias("x"))))).alias("e"))
+    out.append(_rows(each, _ID, "entity", F.col("e.p").alias("part"), none.alias("provider"), F.col("e.x").alias("id"), lo=F.col("id"), hi=F.col("id")))
+    out.append(_rows(t["lookups"].where("id is not null"), _ID, *at("lookup", none, F.col("id"))))
+    return _union(out)
+
+
+def _entity_rows(t: dict[str, DataFrame], relations: DataFrame | None) -> list[DataFrame]:
+    linked = F.coalesce("linked_ids", F.expr(NONE))
+    out = [
+        _rows(t["stored"], _ENTITY, "entity", own=F.struct(F.col("external_id").cast("string").alias("id"))),
+        _rows(t["retired"], _ENTITY, "entity", redirected=F.col("state") == "redirected", deprecated=F.col("state") == "deprecated"),
+        _rows(t["catalogs"], _ENTITY, "entity", anchored=F.col("releases") > 0),
+        _rows(t["audit"], _ENTITY, "entity", competitors=F.col("competitors"), audited=F.lit(True), linked_lo=F.array_min(linked), linked_hi=F.array_max(linked)),
+        _rows(t["errors"], _ENTITY, "entity", errors=F.lit(1)), _rows(t["blocked"], _ENTITY, "entity", blocked=F.col("code")),
+    ]
+    if relations is not None:
+        given = lambda c: F.coalesce(c != "", F.lit(False))
+        other = F.exists("corroborations", lambda x: given(x["source"]) & (x["source"] != F.col("source")) & given(x["evidence_ref"]))
+        told = relations.where(F.col("relationship_type").isin(*LEGAL_RELATIONS) & given(F.col("source")) & given(F.col("evidence_ref")) & F.coalesce(other, F.lit(False)))
+        out.append(_rows(told, _ENTITY, "entity", covered=F.array_sort(F.array_distinct("ids"))))
+    # two catalogs share what their titles say; only of three and more are pairs counted
+    shared_folder(t["stored"].sparkSession)
+    several = t["catalogs"].groupBy("entity").agg(F.count("*").alias("n")).where("n > 2").select("entity")
+    if not several.isEmpty():
+        pairs = shared_titles(t["catalogs"].join(several, "entity", "left_semi"))
+        out.append(_rows(pairs, _ENTITY, "entity", joint_pair=F.col("overlap") >= 2))
+    return out
+
+
+def entity_facts(t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """A row for each entity with all that its tables say, by which interpret, identity_facts and close_multiplicity decide.
+
+    Tables aren't joined: their rows are added up, first by id, then (aliases, homepages and stored ids that point at
+    other ids) by the id that is pointed at, then by entity. So no step depends on how many tables there are, and
+    each row is shuffled three times at most.
     """
-    ids = claims.groupBy("entity", "identifier_type", "value").agg(F.min("position").alias("position"))
-    several = ids.groupBy("entity").agg(*(F.count_if(F.col("identifier_type") == p).alias(f"n_{p}") for p in ("musicbrainz", "discogs", "wikidata")))
-    of = lambda p: ids.where(F.col("identifier_type") == p).select("entity", F.col("value").alias("id"), "position")
-    retired = t["retired"].groupBy("entity", "provider", "id").agg(F.lit(True).alias("retired"))
-    gone = t["retired"].groupBy("entity").agg(F.max(F.col("state") == "redirected").alias("redirected"), F.max(F.col("state") == "deprecated").alias("deprecated"))
-
-    known = t["authorities"].select("entity", "id", F.lit("musicbrainz").alias("provider")).unionByName(t["profiles"].select("entity", "id", F.lit("discogs").alias("provider")))
-    asked = ids.where(F.col("identifier_type").isin("musicbrainz", "discogs")).select("entity", F.col("identifier_type").alias("provider"), F.col("value").alias("id"))
-    lost = asked.join(known.distinct(), ["entity", "provider", "id"], "left_anti").join(retired, ["entity", "provider", "id"], "left_anti")
-    lost = lost.groupBy("entity").agg(F.array_sort(F.collect_set(F.concat_ws(":", "provider", "id"))).alias("lost"))
-
-    # authority records: contradictions, and begins that two of them share
-    begins = t["authorities"].groupBy("entity", "begin").agg(F.countDistinct("id").alias("n")).where("begin is not null")
-    begins = begins.groupBy("entity").agg(F.count("*").alias("begins"), F.max("n").alias("same_begin"))
-    kinds = t["authorities"].groupBy("entity").agg(F.countDistinct("artist_type").alias("kinds"))
-    mutual = mutual_links(t["profiles"].select("entity", "id", F.col("aliases").alias("others")))
-    overlap = shared_titles(t["catalogs"]).groupBy("entity").agg(F.max("overlap").alias("overlap"))
-    anchor = t["catalogs"].groupBy("entity").agg(F.max(F.col("releases") > 0).alias("anchored"))
-
-    # one authority that asserts every profile; all authorities that assert the stored id
-    said = claims.where("source = 'musicbrainz' and asserted_by is not null")
-    asserted = said.where("identifier_type = 'discogs'").groupBy("entity", "asserted_by").agg(F.countDistinct("value").alias("n")).groupBy("entity").agg(F.max("n").alias("most_profiles"))
-    common = claims.where("identifier_type = 'spotify' and source = 'stored'").groupBy("entity").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).where("n = 1")
-    agree = said.where("identifier_type = 'spotify'").select("entity", "value", F.col("asserted_by").alias("id")).join(common.select("entity", "value"), ["entity", "value"])
-    agree = agree.join(of("musicbrainz").select("entity", "id"), ["entity", "id"]).groupBy("entity").agg(F.countDistinct("id").alias("agreeing"))
-    named = of("discogs").join(t["profiles"].select("entity", "id", F.when(F.col("real_name") != "", F.col("real_name")).alias("real_name")), ["entity", "id"])
-    named = named.groupBy("entity").agg(F.countDistinct("id").alias("found_profiles"), F.countDistinct("real_name").alias("real_names"))
-
-    # homepages: of the first authority, and of others
-    pages = of("musicbrainz").join(t["authorities"].select("entity", "id", "homepages"), ["entity", "id"]).where(F.size("homepages") > 0)
-    lead = of("musicbrainz").groupBy("entity").agg(F.min_by("id", F.struct("position", "id")).alias("lead"))
-    pages = pages.join(lead, "entity").select("entity", "id", "lead", F.explode("homepages").alias("url"))
-    own = pages.where("id = lead").select("entity", "url").distinct().withColumn("own", F.lit(True))
-    pages = pages.join(own, ["entity", "url"], "left").groupBy("entity").agg(F.countDistinct("id").alias("with_pages"), F.max(F.coalesce(F.col("own") & (F.col("id") != F.col("lead")), F.lit(False))).alias("linked_pages"))
-    firsts = of("wikidata").groupBy("entity").agg(F.min_by("id", F.struct("position", "id")).alias("lead"))
-    active = of("wikidata").join(firsts, "entity").where("id <> lead").join(retired.where("provider = 'wikidata'").drop("provider"), ["entity", "id"], "left_anti")
-    active = active.groupBy("entity").agg(F.count("*").alias("active_others"))
-
-    df = several
-    for part in (gone, lost, begins, kinds, mutual, overlap, anchor, asserted, agree, named, pages, active):
-        df = df.join(part, "entity", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    is_ = lambda c: F.coalesce(c, F.lit(False))
-    profiles, authorities = F.col("n_discogs"), F.col("n_musicbrainz")
-    contradictions = reasons(("different_artist_type", n("kinds") > 1), ("different_birth_or_begin_date", n("begins") > 1))
-    joint = n("overlap") >= 2
+    ids = _id_rows(t, claims).groupBy("entity", "part", "provider", "id").agg(
+        *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("claimed", "known", "retired", "stored", "by_authority", "by_graph")), F.min("position").alias("position"),
+        F.min("kind").alias("kind_lo"), F.max("kind").alias("kind_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("key").alias("key_lo"), F.max("key").alias("key_hi"),
+        F.min("named").alias("named"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
+        F.size(F.collect_set("profile")).alias("profiles"), F.collect_set("says").alias("says"),
+    )
+    of = lambda p: (F.col("part") == "id") & (F.col("provider") == p)
+    first, many = F.struct("position", "id", "retired"), F.col("lo") != F.col("hi")
+    # a row tells of its own id, and of those that it points at
+    point = lambda part, provider, x, **more: F.struct(F.lit(part).alias("part"), F.lit(provider).alias("provider"), x.alias("id"), more.get("lead", F.lit(None)).cast(_LEAD).alias("lead"),
+        more.get("linked", F.lit(0)).alias("in_known"), more.get("claimed", F.lit(0)).alias("in_claimed"), more.get("agrees", F.lit(0)).alias("agrees"), F.lit(False).alias("self"))
+    own = F.struct("part", "provider", "id", F.lit(None).cast(_LEAD).alias("lead"), F.lit(0).alias("in_known"), F.lit(0).alias("in_claimed"), F.lit(0).alias("agrees"), F.lit(True).alias("self"))
+    nothing = F.array().cast(_POINTS)
+    other = F.filter("links", lambda x: x.isNotNull() & (x != F.col("id")))
+    aliases = F.when(of("discogs") & F.col("known"), F.transform(other, lambda x: point("id", "discogs", x, linked=F.lit(1), claimed=F.col("claimed").cast("int")))).otherwise(nothing)
+    paged = of("musicbrainz") & F.col("claimed") & F.col("known") & (F.size("links") > 0)
+    pages = F.when(paged, F.transform("links", lambda x: point("page", "", x, lead=F.struct("position", "id")))).otherwise(nothing)
+    stored = F.when(of("musicbrainz") & F.col("claimed"), F.transform("says", lambda x: point("id", "spotify", x, agrees=F.lit(1)))).otherwise(nothing)
+    ids = ids.withColumn("paged", paged).withColumn("_p", F.explode(F.concat(F.array(own.cast(_POINT)), aliases, pages, stored)))
+    mine = F.col("_p.self")
+    keep = ("claimed", "known", "retired", "stored", "by_authority", "by_graph", "paged", "named", "position", "kind_lo", "kind_hi", "name_lo", "name_hi", "key_lo", "key_hi", "lo", "hi", "profiles")
+    ids = ids.select("entity", "_p.part", "_p.provider", "_p.id", "_p.lead", "_p.in_known", "_p.in_claimed", "_p.agrees", *(F.when(mine, F.col(c)).alias(c) for c in keep))
+    flags = ("claimed", "known", "retired", "stored", "by_authority", "by_graph", "paged")
+    ids = ids.groupBy("entity", "part", "provider", "id").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in flags), F.min("named").alias("named"),
+        *(F.max(c).alias(c) for c in keep if c not in flags and c != "named"), F.min("lead").alias("lead"), F.max("lead").alias("last_lead"),
+        *(F.sum(c).alias(c) for c in ("in_known", "in_claimed", "agrees")))
+    mb, dg, wd, sp = (of(p) & F.col("claimed") for p in ("musicbrainz", "discogs", "wikidata", "spotify"))
+    lost = (mb | dg) & ~F.col("known")
+    part = lambda name: F.col("part") == name
+    when, yes = F.when, lambda c: F.when(c, F.lit(True))
+    n = {"mb": mb, "dg": dg, "wd": wd, "sp": sp, "mb_records": mb & F.col("known"), "dg_records": dg & F.col("known"), "found_all": of("discogs") & F.col("known"), "begins": part("begin"), "titles": part("title") & many,
+        "catalogs": part("catalog"), "url_entities": part("lookup"), "with_pages": mb & F.col("paged"), "active": wd & ~F.col("retired"), "stored_ids": sp & F.col("stored")}
+    ids = ids.select(
+        "entity", *(c.cast("int").alias(k) for k, c in n.items()), when(wd, first).alias("graph_lead"), when(mb, F.struct("position", "id")).alias("lead_id"),
+        when(part("page") & (F.col("lead") != F.col("last_lead")), F.col("lead")).alias("page_lead"), yes(part("begin") & many).alias("same_begin"),
+        when(of("musicbrainz"), F.col("kind_lo")).alias("kind_lo"), when(of("musicbrainz"), F.col("kind_hi")).alias("kind_hi"), when(of("musicbrainz"), F.col("profiles")).alias("most_profiles"),
+        *(when(dg, F.col(c)).alias(c) for c in ("name_lo", "name_hi", "key_lo", "key_hi")), when(dg, F.coalesce("named", F.lit(False))).alias("every_name"),
+        when(of("discogs") & F.col("known"), F.col("in_known")).alias("in_known"), when(dg, F.col("in_claimed")).alias("in_claimed"), when(sp & F.col("stored"), F.col("agrees")).alias("agreeing"),
+        yes(sp & F.col("stored") & F.col("by_authority")).alias("confirmed"), yes(sp & F.col("stored") & F.col("by_graph")).alias("graph_asserts"), yes(wd & F.col("by_graph")).alias("graph_says"),
+        when(lost, F.struct(F.col("provider").alias("p"), F.col("id").alias("i"), F.col("retired").alias("r"))).alias("lost"), when(dg, F.col("id")).alias("dg_id"),
+    )
+    df = ids
+    for rows in _entity_rows(t, relations):
+        df = df.unionByName(rows, allowMissingColumns=True)
+    top = ("same_begin", "confirmed", "graph_asserts", "graph_says", "redirected", "deprecated", "anchored", "joint_pair", "audited")
+    df = df.groupBy("entity").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*n, "in_known", "in_claimed", "errors")), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in top),
+        *(F.min(c).alias(c) for c in ("graph_lead", "lead_id", "page_lead", "kind_lo", "name_lo", "key_lo", "linked_lo", "blocked", "every_name")),
+        *(F.max(c).alias(c) for c in ("kind_hi", "name_hi", "key_hi", "linked_hi", "competitors")), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("most_profiles", "agreeing")),
+        F.array_sort(F.collect_set("lost")).alias("lost"), F.array_sort(F.collect_set("dg_id")).alias("dg_ids"), F.collect_set("covered").alias("covered"), F.collect_list("own").alias("own"),
+    )
+    one = lambda lo, hi: F.coalesce(F.col(lo) == F.col(hi), F.lit(False))
+    of_lost = lambda keep, text: F.transform(F.filter("lost", keep), text)
+    missing = lambda p: of_lost(lambda x: x["p"] == p, lambda x: F.concat(F.lit(f"missing_{p}_record:"), x["i"]))
+    return df.withColumns({
+        "mutual": (F.col("found_all") > 1) & (F.col("in_known") == F.col("found_all") * (F.col("found_all") - 1)), "linked": (F.col("dg") > 1) & (F.col("in_claimed") == F.col("dg") * (F.col("dg") - 1)),
+        "kinds": F.coalesce(F.col("kind_lo") != F.col("kind_hi"), F.lit(False)), "joint": F.col("joint_pair") | ((F.col("catalogs") <= 2) & (F.col("titles") >= 2)),
+        "linked_pages": F.coalesce(F.col("page_lead") == F.col("lead_id"), F.lit(False)), "one_name": one("name_lo", "name_hi"),
+        "shared_name": F.coalesce("every_name", F.lit(False)) & one("key_lo", "key_hi"), "corroborated": F.array_contains("covered", F.col("dg_ids")),
+        "active_others": F.col("active") - F.when(F.col("graph_lead.retired"), 0).when(F.col("graph_lead").isNull(), 0).otherwise(1), "agreeing": F.when(F.col("stored_ids") == 1, F.col("agreeing")).otherwise(0),
+        "lost_ids": of_lost(lambda x: ~x["r"], lambda x: F.concat_ws(":", x["p"], x["i"])),
+        "lost_records": F.concat(missing("musicbrainz"), missing("discogs")),
+    })
+
+
+_LEAD = "struct<position:struct<a:int,b:bigint,c:string>,id:string>"
+_POINT = f"struct<part:string,provider:string,id:string,lead:{_LEAD},in_known:int,in_claimed:int,agrees:int,self:boolean>"
+_POINTS = f"array<{_POINT}>"
+
+
+def _interpreted(df: DataFrame) -> DataFrame:
+    """entity_facts with contradictions, multiplicity_evidence, unresolved, interpretation and qualifies."""
+    profiles, authorities, joint = F.col("dg"), F.col("mb"), F.col("joint")
+    contradictions = reasons(("different_artist_type", F.col("kinds")), ("different_birth_or_begin_date", F.col("begins") > 1))
     first = reasons(
-        ("mutually_linked_discogs_alias_profiles", is_("mutual")), ("compatible_alias_chronology", is_("mutual") & (n("same_begin") > 1)), ("musicbrainz_catalog_overlap", joint),
-        ("multiple_discogs_profiles_asserted_by_one_musicbrainz_entity", (profiles > 1) & (n("most_profiles") >= profiles)),
-        ("shared_discogs_real_name", (profiles > 1) & (n("found_profiles") == profiles) & (n("real_names") == 1)),
+        ("mutually_linked_discogs_alias_profiles", F.col("mutual")), ("compatible_alias_chronology", F.col("mutual") & F.col("same_begin")), ("musicbrainz_catalog_overlap", joint),
+        ("multiple_discogs_profiles_asserted_by_one_musicbrainz_entity", (profiles > 1) & (F.col("most_profiles") >= profiles)),
+        ("shared_discogs_real_name", (profiles > 1) & (F.col("dg_records") == profiles) & F.col("one_name")),
     )
-    second = reasons(("multiple_musicbrainz_profiles_assert_same_spotify_entity", (authorities > 1) & (n("agreeing") == authorities)))
-    evidence = F.concat(first, second)
-    unresolved = F.concat(F.coalesce("lost", F.expr(NONE)), reasons(
-        ("unexplained_multiple_discogs_ids", (profiles > 1) & (F.size(first) == 0)),
-        ("incompatible_or_unlinked_official_urls", (authorities > 1) & (n("with_pages") > 1) & ~is_("linked_pages") & ~joint),
-        ("unexplained_multiple_musicbrainz_ids", (authorities > 1) & (F.size(evidence) == 0)), ("multiple_active_wikidata_qids", n("active_others") > 0)))
+    second = reasons(("multiple_musicbrainz_profiles_assert_same_spotify_entity", (authorities > 1) & (F.col("agreeing") == authorities)))
+    df = df.withColumns({"contradictions": contradictions, "_first": first}).withColumn("multiplicity_evidence", F.concat("_first", second))
+    df = df.withColumn("unresolved", F.concat("lost_ids", reasons(
+        ("unexplained_multiple_discogs_ids", (profiles > 1) & (F.size("_first") == 0)),
+        ("incompatible_or_unlinked_official_urls", (authorities > 1) & (F.col("with_pages") > 1) & ~F.col("linked_pages") & ~joint),
+        ("unexplained_multiple_musicbrainz_ids", (authorities > 1) & (F.size("multiplicity_evidence") == 0)), ("multiple_active_wikidata_qids", F.col("active_others") > 0))))
     clear = F.size("unresolved") == 0
-    df = df.withColumns({"contradictions": contradictions, "multiplicity_evidence": evidence, "unresolved": unresolved, "anchored": is_("anchored")})
     meaning = (
-        F.when(F.size("contradictions") > 0, SEMANTIC).when(clear & is_("redirected"), REDIRECTED).when(clear & is_("deprecated"), DEPRECATED)
+        F.when(F.size("contradictions") > 0, SEMANTIC).when(clear & F.col("redirected"), REDIRECTED).when(clear & F.col("deprecated"), DEPRECATED)
         .when(clear & (F.size("multiplicity_evidence") > 0), MULTIPLICITY).otherwise(OPEN)
     )
-    df = df.withColumn("interpretation", meaning)
-    return df.select("entity", "interpretation", "contradictions", "multiplicity_evidence", "unresolved", "anchored",
-        (F.col("interpretation").isin(MULTIPLICITY, REDIRECTED, DEPRECATED) & F.col("anchored")).alias("qualifies"), is_("mutual").alias("mutual"))
+    df = df.withColumn("interpretation", meaning).drop("_first")
+    return df.withColumn("qualifies", F.col("interpretation").isin(MULTIPLICITY, REDIRECTED, DEPRECATED) & F.col("anchored"))
 
 
-def identity_facts(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
+def interpret(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
+    """A row for each entity of claims: what several ids of a provider mean.
+
+    entity, interpretation, contradictions, multiplicity_evidence, unresolved (arrays of codes; unresolved also has
+    provider:id), anchored (whether a catalog has releases), qualifies. claims as gather_claims has them, t the tables.
+    Precedence: contradiction; then, unless an id is unresolved, redirected, deprecated, multiplicity.
+    """
+    df = _interpreted(entity_facts(t, claims)).where("mb + dg + wd + sp > 0")
+    return df.select("entity", "interpretation", "contradictions", "multiplicity_evidence", "unresolved", "anchored", "qualifies", "mutual")
+
+
+def identity_facts(t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """What claims, records and audit say of each entity of t['stored']: the facts that its outcome is decided by.
 
     url_entities, mb, dg, wd (ids of each kind), conflict (a kind with several values), confirmed (an authority links back
     to the stored id), graph_asserts, graph_unique, mb_records, dg_records (ids with a record), audited, competitors,
-    foreign_links (an entity of the same name has another stored id), errors, and what interpret says.
+    foreign_links (an entity of the same name has another stored id), errors, what interpret says, and what
+    close_multiplicity needs (with relations, see there).
     """
-    stored = t["stored"].select("entity", "external_id")
-    held = claims.join(stored, "entity")
-    kind, value, source = F.col("identifier_type"), F.col("value"), F.col("source")
-    per = held.groupBy("entity").agg(
-        *(F.countDistinct(F.when(kind == p, value)).alias(c) for p, c in (("musicbrainz", "mb"), ("discogs", "dg"), ("wikidata", "wd"), ("spotify", "sp"))),
-        *(F.max((kind == "spotify") & (value == F.col("external_id")) & (source == s)).alias(c) for s, c in (("musicbrainz", "confirmed"), ("wikidata", "graph_asserts"))),
-        F.max((kind == "wikidata") & (source == "wikidata")).alias("graph_says"), F.min(F.when(kind == "musicbrainz", value)).alias("authority"),
-    )
-    ids = claims.select("entity", "identifier_type", F.col("value").alias("id")).distinct()
-    found = lambda p, table, c: ids.where(kind == p).join(t[table].select("entity", "id").distinct(), ["entity", "id"]).groupBy("entity").agg(F.count("*").alias(c))
-    urls = t["lookups"].groupBy("entity").agg(F.countDistinct("id").alias("url_entities"))
-    audit = t["audit"].groupBy("entity").agg(F.max("competitors").alias("competitors"), F.flatten(F.collect_list(F.coalesce("linked_ids", F.expr(NONE)))).alias("linked_ids"), F.lit(True).alias("audited"))
-    errors = t["errors"].groupBy("entity").agg(F.count("*").alias("errors"))
-    blocked = t["blocked"].groupBy("entity").agg(F.min("code").alias("blocked"))
-    df = stored
-    for part in (per, found("musicbrainz", "authorities", "mb_records"), found("discogs", "profiles", "dg_records"), urls, audit, errors, blocked, interpret(t, claims)):
-        df = df.join(part, "entity", "left")
-    df = df.fillna(0, ["mb_records", "dg_records", "url_entities", "errors"])
+    df = _interpreted(entity_facts(t, claims, relations)).withColumn("own", F.explode("own")).withColumn("external_id", F.col("own.id")).drop("own")
     df = df.withColumn("graph_unique", (F.col("wd") == 1) & F.col("graph_says")).withColumn("conflict", F.greatest("mb", "dg", "wd", "sp") > 1)
     # an audit needs the one authority that it sets others against
-    df = df.withColumn("audited", F.coalesce("audited", F.lit(False)) & ((F.col("mb") == 1) | (F.col("url_entities") == 1)))
-    foreign = F.exists(F.coalesce("linked_ids", F.expr(NONE)), lambda x: x != F.col("external_id"))
+    df = df.withColumn("audited", F.col("audited") & ((F.col("mb") == 1) | (F.col("url_entities") == 1)))
+    foreign = F.coalesce((F.col("linked_lo") != F.col("external_id")) | (F.col("linked_hi") != F.col("external_id")), F.lit(False))
     return df.withColumn("foreign_links", foreign & F.col("audited")).withColumn("competitors", F.when(F.col("audited"), F.coalesce("competitors", F.lit(0))))
 
 
@@ -221,33 +312,14 @@ def identity_outcome(facts: DataFrame) -> DataFrame:
     return df.withColumn("outcome", F.when(F.col("blocked").isNotNull(), UNRESOLVED).otherwise(outcome)).withColumn("missing_evidence", F.array_union(missing, more))
 
 
-def legal_names(t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame) -> DataFrame:
-    """(entity, linked, every_name, shared_name, corroborated) for each entity that claims several profiles.
+def close_multiplicity(facts: DataFrame) -> DataFrame:
+    """facts with open_reasons (all that keep several profiles from being one identity), mechanically_closed and explanation.
 
-    linked: they name each other as aliases. every_name, shared_name: each has a legal name, and it is the same one.
-    corroborated: one of relations(entity, relationship_type, ids array, source, evidence_ref, corroborations array of
-    struct<source, evidence_ref>) covers just these profiles and another source than its own confirms it.
+    facts as identity_facts has them, with relations(entity, relationship_type, ids array, source, evidence_ref,
+    corroborations array of struct<source, evidence_ref>): a relation of legal names that covers just the claimed profiles
+    and that another source than its own confirms stands for an equal legal name.
     """
-    ids = claims.where("identifier_type = 'discogs'").select("entity", F.col("value").alias("id")).distinct()
-    size = ids.groupBy("entity").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("id")).alias("ids")).where("n > 1")
-    have = ids.join(size.select("entity"), "entity", "left_semi").join(t["profiles"].select("entity", "id", "aliases", name_key("real_name").alias("name")), ["entity", "id"], "left")
-    linked = mutual_links(have.select("entity", "id", F.col("aliases").alias("others")))
-    names = have.groupBy("entity").agg(F.min(F.coalesce(F.col("name") != "", F.lit(False))).alias("every_name"), F.countDistinct(F.when(F.col("name") != "", F.col("name"))).alias("names"))
-    given = lambda c: F.coalesce(c != "", F.lit(False))
-    other = F.exists("corroborations", lambda x: given(x["source"]) & (x["source"] != F.col("source")) & given(x["evidence_ref"]))
-    told = relations.where(F.col("relationship_type").isin(*LEGAL_RELATIONS) & given(F.col("source")) & given(F.col("evidence_ref")) & F.coalesce(other, F.lit(False)))
-    told = told.select("entity", F.array_sort(F.array_distinct("ids")).alias("covered")).join(size, "entity").where("covered = ids").select("entity").distinct()
-    df = size.select("entity").join(linked, "entity").join(names, "entity").join(told.withColumn("corroborated", F.lit(True)), "entity", "left")
-    return df.select("entity", F.col("mutual").alias("linked"), "every_name", (F.col("every_name") & (F.col("names") == 1)).alias("shared_name"), F.coalesce("corroborated", F.lit(False)).alias("corroborated"))
-
-
-def close_multiplicity(facts: DataFrame, t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame) -> DataFrame:
-    """facts with open_reasons (all that keep several profiles from being one identity), mechanically_closed and explanation."""
-    df = facts.join(legal_names(t, claims, relations), "entity", "left")
-    for p, table, c in (("musicbrainz", "authorities", "lost_mb"), ("discogs", "profiles", "lost_dg")):
-        ids = claims.where(F.col("identifier_type") == p).select("entity", F.col("value").alias("id")).distinct()
-        lost = ids.join(t[table].select("entity", "id"), ["entity", "id"], "left_anti").groupBy("entity").agg(F.array_sort(F.collect_set(F.concat(F.lit(f"missing_{p}_record:"), "id"))).alias(c))
-        df = df.join(lost, "entity", "left")
+    df = facts
     several = F.col("dg") > 1
     explained = F.col("shared_name") | F.col("corroborated")
     head = reasons(
@@ -261,10 +333,10 @@ def close_multiplicity(facts: DataFrame, t: dict[str, DataFrame], claims: DataFr
         ("discogs_alternates_not_mutually_linked", several & ~F.col("linked")), ("discogs_alternates_have_missing_legal_name", several & ~F.col("every_name") & ~F.col("corroborated")),
         ("discogs_alternates_lack_shared_legal_name", several & F.col("every_name") & ~explained), ("discogs_alternates_lack_corroborated_legal_name_relationship", several & ~explained),
     )
-    df = df.withColumn("open_reasons", F.concat(head, F.coalesce("lost_mb", F.expr(NONE)), F.coalesce("lost_dg", F.expr(NONE)), tail))
+    df = df.withColumn("open_reasons", F.concat(head, "lost_records", tail))
     why = F.when(several & F.col("linked") & F.col("shared_name"), "mutual_alias_and_shared_nonempty_legal_name").when(several & F.col("linked") & F.col("corroborated"),
         "mutual_alias_and_independently_corroborated_legal_name_relationship")
-    return df.withColumn("mechanically_closed", F.size("open_reasons") == 0).withColumn("explanation", why).drop("lost_mb", "lost_dg")
+    return df.withColumn("mechanically_closed", F.size("open_reasons") == 0).withColumn("explanation", why)
 
 
 def route_outcome(df: DataFrame) -> DataFrame:
@@ -279,8 +351,7 @@ def route_outcome(df: DataFrame) -> DataFrame:
 def resolve_identities(t: dict[str, DataFrame], relations: DataFrame) -> DataFrame:
     """From raw tables to outcome, what is missing, what keeps profiles open, and the next state of each stored entity."""
     claims = gather_claims(t["stored"], t["claims"], t["authorities"], t["profiles"], t["lookups"])
-    facts = identity_outcome(identity_facts(t, claims))
-    return route_outcome(close_multiplicity(facts, t, claims, relations))
+    return route_outcome(close_multiplicity(identity_outcome(identity_facts(t, claims, relations))))
 
 
 def review_multiplicity(reports: DataFrame, catalogs: DataFrame, authorities: DataFrame, profiles: DataFrame) -> DataFrame:

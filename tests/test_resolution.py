@@ -140,3 +140,28 @@ def test_stored_ids_without_anything(spark):
     assert (row.outcome, row.next_state, row.mechanically_closed) == ("unresolved_identity", "failed_match", False)
     assert row.missing_evidence == ["wikidata_qid", "musicbrainz_artist_id", "discogs_artist_id", "musicbrainz_same_name_audit"]
     assert resolution.resolve_identities(t | {"stored": t["stored"].where(F.lit(False))}, legal).count() == 0
+
+
+def test_facts_need_no_joins(spark):
+    """Three catalogs of which no two share two titles, and two that do; whatever the tables are, they are added up."""
+    schema = {
+        "stored": "entity string, external_id string", "claims": "entity string, identifier_type string, value string, source string, asserted_by string, position long",
+        "authorities": "entity string, id string, artist_type string, begin string, homepages array<string>, urls array<string>", "profiles": "entity string, id string, real_name string, aliases array<string>",
+        "catalogs": "entity string, id string, titles array<string>, releases long", "retired": "entity string, provider string, id string, state string", "lookups": "entity string, id string",
+        "audit": "entity string, competitors long, linked_ids array<string>", "errors": "entity string, provider string", "blocked": "entity string, code string",
+    }
+    rows = {
+        "stored": [(e, "x") for e in "abc"],
+        "claims": [("c", "discogs", "p1", "musicbrainz", "m1", 1), ("c", "discogs", "p1", "musicbrainz", "m1", 2), ("c", "discogs", "p2", "musicbrainz", "m1", 3), ("c", "musicbrainz", "m2", "wikidata", None, 1)],
+        "authorities": [("c", "m1", "Person", "1990", ["h", "g"], []), ("c", "m2", "Person", "1990", ["g"], []), ("c", "m2", None, None, [], [])],
+        "profiles": [("c", "p1", "Ann", ["p2", "p2", None, "p1"]), ("c", "p1", "", []), ("c", "p2", "Ann", ["p1"])],
+        "catalogs": [("a", "1", ["s", "t"], 0), ("a", "2", ["s", "u"], 0), ("a", "3", ["t", "u"], 0), ("b", "1", ["s", "t", "s"], 1), ("b", "2", ["t", "s"], 0), ("c", "1", None, None)],
+    }
+    t = {n: spark.createDataFrame(rows.get(n, []), s) for n, s in schema.items()}
+    got = resolution.interpret(t, resolution.gather_claims(t["stored"], t["claims"], t["authorities"], t["profiles"], t["lookups"]))
+    found = {x.entity: (x.multiplicity_evidence, x.contradictions, x.unresolved, x.anchored, x.mutual) for x in got.collect()}
+    assert found["a"] == ([], [], [], False, False) and found["b"] == (["musicbrainz_catalog_overlap"], [], [], True, False)
+    assert found["c"] == (["mutually_linked_discogs_alias_profiles", "compatible_alias_chronology", "multiple_discogs_profiles_asserted_by_one_musicbrainz_entity", "shared_discogs_real_name"], [], [], False, True)
+    small = t | {"catalogs": t["catalogs"].where("entity = 'b'")}
+    plan = resolution.identity_facts(small, t["claims"].withColumn("position", F.struct(F.lit(1), F.col("position"), F.lit("")))).select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
