@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, reasons
+from .numbering import numbered
 
 #: States, what may follow each, and the classes that other operators use.
 TRANSITIONS = {
@@ -229,11 +230,25 @@ def route_exhausted(candidates: DataFrame, retries: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("occurrence_id"), F.lit(None).cast("string").alias("identifier"))
 
 
+#: Candidates of a state up to which a task may take all that are picked of it.
+FEW_WORK = 10_000
+
+
 def select_work(candidates: DataFrame, state: str | None, n: int) -> DataFrame:
-    """The n oldest candidates of a state (of each state if None) by (updated_at, candidate_id)."""
+    """The n oldest candidates of a state (of each state if None) by (updated_at, candidate_id), with queue_place.
+
+    For few, each task keeps the first n of a state before they meet. A larger batch is numbered by ranges, so that no
+    task has a whole state.
+    """
     df = candidates if state is None else candidates.where(F.col("state") == state)
-    w = Window.partitionBy("state").orderBy("updated_at", "candidate_id")
-    return df.withColumn("queue_place", F.row_number().over(w)).where(F.col("queue_place") <= n)
+    if n <= FEW_WORK:
+        w = Window.partitionBy("state").orderBy("updated_at", "candidate_id")
+        return df.withColumn("queue_place", F.row_number().over(w)).where(F.col("queue_place") <= n)
+    df = numbered(df, [F.col(c).asc_nulls_first() for c in ("state", "updated_at", "candidate_id")], "_place")
+    # one row a state
+    before = df.groupBy("state").agg((F.min("_place") - 1).alias("_before")).withColumnRenamed("state", "_state")
+    df = df.join(F.broadcast(before), F.col("state").eqNullSafe(F.col("_state"))).withColumn("queue_place", (F.col("_place") - F.col("_before")).cast("int"))
+    return df.where(F.col("queue_place") <= n).drop("_place", "_before", "_state")
 
 
 def failure_class(code: str = "status_code"):

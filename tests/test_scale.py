@@ -114,3 +114,16 @@ def test_acquire_goes_on_where_it_stopped(spark):
     assert taken.count() == 0 and [r.checkpoint_id for r in after.collect()] == ["done"]
     assert {r.checkpoint_id: r.reason for r in refused.collect()} == {"old": positions.STALE, "far": positions.AHEAD, "empty": positions.AHEAD, "unknown": positions.STALE}
     assert positions.acquire(items.limit(0), state.limit(0), now, 5)[1].count() == 0
+
+
+def test_a_large_batch_of_work_is_numbered_by_ranges(spark, monkeypatch):
+    """More than a task may take: the same places, and no window over a whole state."""
+    r = random.Random(1)
+    rows = [(f"c{i}", r.choice(["a", "b", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randrange(50)) if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "candidate_id string, state string, updated_at timestamp").repartition(5)
+    want = {(s, n): sorted(map(str, lifecycle.select_work(df, s, n).collect())) for s in (None, "b", "none") for n in (40, 1000)}
+    monkeypatch.setattr(lifecycle, "FEW_WORK", 30)
+    for (s, n), rows in want.items():
+        got = lifecycle.select_work(df, s, n)
+        assert sorted(map(str, got.collect())) == rows
+        assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
