@@ -71,17 +71,27 @@ def candidate_occurrences(associations: DataFrame, occurrences: DataFrame) -> Da
 
 
 def build_evidence(names: DataFrame, releases: DataFrame, authority: DataFrame) -> DataFrame:
-    """Evidence of names(artist_id, name, external_id) from releases(artist_id, year) and authority(authority_id, name, alias, linked_id, begin_year), joined by name key or alias."""
+    """Evidence of names(artist_id, name, external_id) from releases(artist_id, year) and authority(authority_id, name, alias, linked_id, begin_year), joined by name key or alias.
+
+    Authorities are counted by key, and by key and linked id, before names meet them, so a name that many artists and many
+    authorities have makes no pairs. Only where an artist has several keys are authorities counted by set of keys.
+    """
     both = authority.select("authority_id", "linked_id", "begin_year",
-        F.explode(F.array_distinct(F.array(name_key("name"), name_key(F.coalesce("alias", "name"))))).alias("k"))
-    df = names.select("artist_id", "external_id", name_key("name").alias("k")).join(both, "k", "left")
+        F.explode(F.array_distinct(F.array(name_key("name"), name_key(F.coalesce("alias", "name"))))).alias("k")).where("k is not null")
+    by_key = both.groupBy("k").agg(F.countDistinct("authority_id").alias("n"), F.count("linked_id").alias("n_linked"), F.max("begin_year").alias("last_begin"))
+    by_link = both.where("linked_id is not null").groupBy("k", F.col("linked_id").alias("external_id")).agg(F.count("*").alias("linked"))
     first = releases.groupBy("artist_id").agg(F.min("year").alias("first_year"), F.count("*").alias("releases"))
-    df = df.join(first, "artist_id", "left")
-    return df.groupBy("artist_id").agg(
-        F.countDistinct("authority_id").alias("authority_ids"), F.count_if(F.col("linked_id") == F.col("external_id")).alias("linked"),
-            F.count_if(F.col("linked_id") != F.col("external_id")).alias("conflicting_links"),
-        F.max(F.coalesce(F.col("first_year") < F.col("begin_year"), F.lit(False))).alias("chronology_conflict"),
-            F.max(F.coalesce("releases", F.lit(0))).alias("releases"),
+    df = names.select("artist_id", "external_id", name_key("name").alias("k")).join(by_key, "k", "left").join(by_link, ["k", "external_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    df = df.withColumn("linked", zero("linked")).withColumn("apart", F.when(F.col("external_id").isNotNull(), zero("n_linked") - F.col("linked")).otherwise(0))
+    df = df.groupBy("artist_id").agg(F.max(zero("n")).alias("n"), F.array_sort(F.collect_set("k")).alias("keys"), F.sum("linked").alias("linked"), F.sum("apart").alias("conflicting_links"),
+        F.max("last_begin").alias("last_begin"))
+    sets = df.where(F.size("keys") > 1).select("keys").distinct().select("keys", F.explode("keys").alias("k")).join(both.select("k", "authority_id"), "k")
+    sets = sets.groupBy("keys").agg(F.countDistinct("authority_id").alias("n_set"))
+    df = df.join(sets, "keys", "left").join(first, "artist_id", "left")
+    return df.select(
+        "artist_id", F.coalesce("n_set", "n").alias("authority_ids"), "linked", "conflicting_links",
+        F.coalesce(F.col("first_year") < F.col("last_begin"), F.lit(False)).alias("chronology_conflict"), zero("releases").alias("releases"),
     )
 
 

@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from resolvekit.operators import admission, catalog, converge, lifecycle, metrics, ranks
+from resolvekit.operators import admission, catalog, claims, converge, lifecycle, metrics, ranking, ranks
 
 from test_operators import _sequential
 
@@ -127,3 +128,33 @@ def test_a_large_batch_of_work_is_numbered_by_ranges(spark, monkeypatch):
         got = lifecycle.select_work(df, s, n)
         assert sorted(map(str, got.collect())) == rows
         assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_of_a_name_that_many_have(spark):
+    """100,000 artists and 100,000 authorities of one name make no pairs; artists with several names against a plain version."""
+    many = spark.range(100_000)
+    names = many.selectExpr("id as artist_id", "'One Name' as name", "concat('s', id % 1000) as external_id")
+    auth = many.selectExpr("concat('a', id) as authority_id", "'one  name' as name", "cast(null as string) as alias", "concat('s', id % 500) as linked_id", "cast(1990 + id % 12 as int) as begin_year")
+    got = claims.build_evidence(names, many.selectExpr("id as artist_id", "cast(1995 + id % 9 as int) as year"), auth)
+    want = Counter((100_000, 200 * (i % 1000 < 500), 100_000 - 200 * (i % 1000 < 500), 1995 + i % 9 < 2001, 1) for i in range(100_000))
+    counts = got.groupBy("authority_ids", "linked", "conflicting_links", "chronology_conflict", "releases").count().collect()
+    assert {tuple(x)[:5]: x[5] for x in counts} == want
+    r = random.Random(5)
+    few = [(r.randrange(12), r.choice(["a", "B", "c", None]), r.choice(["s1", "s2", None])) for _ in range(30)]
+    known = [(f"a{r.randrange(6)}", r.choice(["A", "b", None]), r.choice(["c", "a", None]), r.choice(["s1", "s2", None]), r.choice([1990, 2000, None])) for _ in range(20)]
+    years = [(r.randrange(12), r.choice([1985, 1995, 2005, None])) for _ in range(20)]
+    got = claims.build_evidence(spark.createDataFrame(few, "artist_id int, name string, external_id string"), spark.createDataFrame(years, "artist_id int, year int"),
+        spark.createDataFrame(known, "authority_id string, name string, alias string, linked_id string, begin_year int"))
+    want = {}
+    for a in {x[0] for x in few}:
+        met = [(e, y) for i, n, e in few if i == a and n for y in known if n.lower() in {(y[1] or "").lower(), (y[2] or y[1] or "").lower()}]
+        since = min((y for i, y in years if i == a and y), default=None)
+        want[a] = (len({y[0] for _, y in met}), sum(e is not None and e == y[3] for e, y in met), sum(None not in (e, y[3]) and e != y[3] for e, y in met),
+            since is not None and any(y[4] is not None and since < y[4] for _, y in met), sum(i == a for i, _ in years))
+    assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
+
+
+def test_review_of_a_name_that_many_have(spark):
+    many = spark.range(100_000).selectExpr("id", "'x' as external_id", "'One Name' as name")
+    got = ranking.identity_review(many, many.selectExpr("external_id", "name", "id as candidate_id", "id as position", "cast(null as string) as image"))
+    assert [tuple(x) for x in got.groupBy("exact_count", "match.candidate_id", "review_status").count().collect()] == [(100_000, 0, "needs_review", 100_000)]
