@@ -64,11 +64,15 @@ def resolve_names(requests: DataFrame, candidates: DataFrame, k: int = 10, unico
     return found.select("request_id", "candidate_id", "score", "rank")
 
 
-def identity_review(ranking: DataFrame, matches: DataFrame) -> DataFrame:
-    """ranking(id, name) with its exact candidates(request_id, candidate_id, name, image): the first, how many, and why it is ambiguous."""
-    best = matches.groupBy(F.col("request_id").alias("id")).agg(F.min_by(F.struct("candidate_id", "name", "image"), "position").alias("match"),
-        F.count("*").alias("exact_count"))
-    df = ranking.join(best, "id", "left")
+def identity_review(ranking: DataFrame, candidates: DataFrame, by: tuple[str, ...] = ("external_id", "name")) -> DataFrame:
+    """ranking(id, name, and the columns `by`) with its exact candidates(candidate_id, name, image, position, and `by`), those with equal `by`: the first, how many, and why it is ambiguous.
+
+    Candidates are counted by their key before rows meet them, so many rows with the key of many candidates make no pairs.
+    """
+    keys = [F.col(c).alias(f"_by_{c}") for c in by]
+    best = candidates.groupBy(*keys).agg(F.min_by(F.struct("candidate_id", "name", "image"), "position").alias("match"), F.count("*").alias("exact_count"))
+    same = [F.col(c) == F.col(f"_by_{c}") for c in by]
+    df = ranking.join(best, same, "left").drop(*(f"_by_{c}" for c in by))
     key = name_key("name")
     why = reasons(
         ("no_exact_candidate", F.col("match").isNull()),

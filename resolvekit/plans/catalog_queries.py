@@ -233,8 +233,7 @@ def a4_status_summary(spark, sf_dir):
 def e2_identity_review(spark, sf_dir):
     df = get(spark, sf_dir, "names")
     found = df.where("id % 2 = 0").select("external_id", "name", F.col("id").alias("candidate_id"), "position", F.lit(None).cast("string").alias("image"))
-    matches = df.select(F.col("id").alias("request_id"), "external_id", "name").join(found, ["external_id", "name"])
-    return ranking.identity_review(df.select("id", "name"), matches).select("id", F.coalesce("exact_count", F.lit(0)).alias("exact_count"), "review_status")
+    return ranking.identity_review(df.select("id", "external_id", "name"), found).select("id", F.coalesce("exact_count", F.lit(0)).alias("exact_count"), "review_status")
 
 
 # Event logs.
