@@ -53,6 +53,22 @@ def test_bridge_outcomes(spark):
     assert bridges.discover_bridges(*nothing)[0].count() == 0
 
 
+def test_bridges_of_an_id_that_many_ask(spark, monkeypatch):
+    """2,000 candidates ask an id that 2,000 entities state: a decision each, and ways are followed from the id once."""
+    follow, followed = bridges.follow, []
+    monkeypatch.setattr(bridges, "follow", lambda starts, edges: followed.append(starts.count()) or follow(starts, edges))
+    many = spark.range(2000)
+    asked = many.select(F.col("id").cast("string").alias("candidate_id"))
+    occurrences = asked.select("candidate_id", F.concat(F.lit("o"), "candidate_id").alias("occurrence_id"), F.expr("array(named_struct('kind', 'legacy', 'value', 'l'))").alias("ids"), F.expr("array('u')").alias("urls"))
+    statements = many.selectExpr("'legacy' as kind", "'l' as value", "concat('Q', id) as entity_id", "array('normal') as ranks", "array(if(id = 7, 'person', 'group')) as types",
+        "array(concat('m', id)) as authority_ids", "array(concat('x', id)) as external_ids")
+    none = spark.createDataFrame([], "occurrence_id string, external_id string, asserted_by string")
+    lookups = spark.createDataFrame([("u", "m1")], "url string, authority_id string")
+    found, paths = bridges.discover_bridges(asked, occurrences, none, statements, lookups, spark.createDataFrame([], "authority_id string, artist_type string, external_ids array<string>"))
+    assert [tuple(x) for x in found.groupBy("status", "alternates").count().collect()] == [(bridges.REVIEW, sorted([bridges.SEVERAL_ENTITIES, bridges.SEVERAL_AUTHORITIES]), 2000)]
+    assert followed == [2] and paths.where("candidate_id = '5'").count() == 2000
+
+
 def test_mutual_links(spark):
     r = random.Random(2)
     rows = []
