@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import clamp_round, partial_date, title_key
+from .numbering import shared_folder
 
 DAY = 86_400.0
 
@@ -80,17 +81,8 @@ def fingerprint(releases: DataFrame, unicode: bool = True) -> DataFrame:
 PANEL = 1000
 
 
-def pairwise_overlap(titles: DataFrame, least: int = 1, common: int | None = None) -> DataFrame:
-    """(group_id, left_id, right_id, overlap) of titles(group_id, profile_id, title): how many titles two profiles of a group share.
-
-    Only profiles that share a title meet, at titles. With `least` above 1 a pair also shares one that isn't among the
-    least - 1 most frequent ones of either profile, so these make no pairs, and a title that all have costs nothing; the
-    pairs that are left are counted by their whole titles. Profiles of a title go in panels of PANEL, and a task has two
-    panels, not the title. `common` leaves out titles that more profiles of a group have (generic ones); None leaves out none.
-    """
-    df = titles.where("title is not null and title <> ''").select("group_id", "profile_id", "title").distinct()
-    if common is not None:
-        df = df.withColumn("_n", F.count("*").over(Window.partitionBy("group_id", "title"))).where(F.col("_n") <= common).drop("_n")
+def _meeting(df: DataFrame, least: int) -> DataFrame:
+    """(group_id, left_id, right_id, overlap) of different profiles, left below right, of distinct df(group_id, profile_id, title)."""
     sizes = df.groupBy("group_id", "title").agg(F.count("*").alias("_m")).where("_m > 1")
     shared = df.join(sizes, ["group_id", "title"])
     if least > 1:  # of a profile's shared titles, all but the most frequent ones
@@ -114,6 +106,40 @@ def pairwise_overlap(titles: DataFrame, least: int = 1, common: int | None = Non
     return found.where(F.col("overlap") >= least).select("group_id", "left_id", "right_id", "overlap")
 
 
+def pairwise_overlap(titles: DataFrame, least: int = 1, common: int | None = None) -> DataFrame:
+    """(group_id, left_id, right_id, overlap) of titles(group_id, profile_id, title): how many titles two profiles of a group share.
+
+    Profiles of a group with the same titles are compared once, by the least of them; what that one shares holds for all of
+    them, and they meet in panels of PANEL, without a shuffle of their pairs. Of these, only profiles that share a title meet,
+    at titles. With `least` above 1 a pair also shares one that isn't among the least - 1 most frequent ones of either profile,
+    so these make no pairs, and a title that all have costs nothing; the pairs that are left are counted by their whole titles.
+    Profiles of a title go in panels of PANEL, and a task has two panels, not the title. `common` leaves out titles that more
+    profiles of a group have (generic ones); None leaves out none.
+    """
+    df = titles.where("title is not null and title <> ''").select("group_id", "profile_id", "title").distinct()
+    if common is not None:
+        df = df.withColumn("_n", F.count("*").over(Window.partitionBy("group_id", "title"))).where(F.col("_n") <= common).drop("_n")
+    shared_folder(df.sparkSession)
+    sets = df.groupBy("group_id", "profile_id").agg(F.array_sort(F.collect_list("title")).alias("_set"))
+    same = sets.groupBy("group_id", "_set").agg(F.min("profile_id").alias("_rep"), F.count("*").alias("_k"))
+    # written once, as several steps read them; few where many profiles are alike
+    same = same.checkpoint()
+    pairs = _meeting(same.select("group_id", F.col("_rep").alias("profile_id"), F.explode("_set").alias("title")), least)
+    alike = same.where("_k > 1")
+    if alike.isEmpty():
+        return pairs
+    own = alike.where(F.size("_set") >= least).select("group_id", F.col("_rep").alias("left_id"), F.col("_rep").alias("right_id"), F.size("_set").cast("long").alias("overlap"))
+    # members of a set, in panels
+    members = sets.join(same.select("group_id", "_set", "_rep", "_k"), ["group_id", "_set"])
+    panel = F.pmod(F.xxhash64("profile_id"), F.ceil(F.col("_k") / PANEL)).alias("_panel")
+    members = members.groupBy("group_id", "_rep", panel).agg(F.collect_list("profile_id").alias("_members")).drop("_panel").checkpoint()
+    side = lambda c: members.select("group_id", F.col("_rep").alias(f"{c}_id"), F.col("_members").alias(f"_{c}"))
+    met = pairs.unionByName(own).join(side("left"), ["group_id", "left_id"]).join(side("right"), ["group_id", "right_id"])
+    met = met.select("group_id", (F.col("left_id") == F.col("right_id")).alias("_own"), "overlap", F.explode("_left").alias("_a"), "_right")
+    met = met.select("group_id", "_own", "overlap", "_a", F.explode("_right").alias("_b")).where(~F.col("_own") | (F.col("_a") < F.col("_b")))
+    return met.select("group_id", F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), "overlap")
+
+
 def enrich_catalog(editorial: DataFrame, identity: DataFrame, releases: DataFrame, now) -> DataFrame:
     """editorial(name) x identity(name, artist_id) x catalog_metrics; a row without identity says so in `error`."""
     found = editorial.join(identity.select("name", "artist_id").dropDuplicates(["name"]), "name", "left")

@@ -83,6 +83,17 @@ def test_overlap_in_panels(spark, monkeypatch):
         assert sorted(map(tuple, catalog.pairwise_overlap(df, least=least).collect())) == want
 
 
+def test_overlap_of_profiles_that_are_alike(spark, monkeypatch):
+    """Of 1,500 profiles with the same titles one is compared; the others have what it has."""
+    meeting, compared = catalog._meeting, []
+    monkeypatch.setattr(catalog, "_meeting", lambda df, least: compared.append(df.count()) or meeting(df, least))
+    titles = spark.range(1500).selectExpr("1 as group_id", "id * 2 as profile_id", "explode(array('a', 'b', 'c')) as title")
+    titles = titles.unionByName(spark.createDataFrame([(1, 701, "a"), (1, 701, "b"), (2, 1, "a")], "group_id int, profile_id long, title string"))
+    got = catalog.pairwise_overlap(titles, least=2)
+    assert got.where("left_id < right_id").distinct().groupBy("overlap").count().orderBy("overlap").collect() == [(2, 1500), (3, 1500 * 1499 // 2)]
+    assert got.count() == 1500 + 1500 * 1499 // 2 and compared == [6]
+
+
 def test_admission_of_a_hot_provider(spark):
     """Windows see the first rows alone; the rest of a provider is refused by the same reason."""
     items = spark.range(40_000).select(F.floor(F.col("id") / 40_000).cast("string").alias("provider"), F.col("id").alias("position"), F.floor(F.col("id") / 100).alias("page"), F.lit(False).alias("creates_candidate"), F.lit("x").alias("target_state"))
