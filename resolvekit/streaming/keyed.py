@@ -5,8 +5,10 @@ They need the RocksDB state store, which keeps state on disk and changes only wh
 
 from __future__ import annotations
 
+from math import isnan
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.lifecycle import RETRY_HOURS, RETRY_MINUTES
@@ -24,63 +26,80 @@ def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
-def _stamp(values) -> pd.Series:
-    return pd.to_datetime(pd.Series(values, dtype="float64").astype("Int64"), unit="us").astype("datetime64[us]")
+#: Fixed value: how long a retry record lives, in microseconds.
+_LIFE = RETRY_HOURS * 3600 * _SECOND
+#: What a failure without a time counts as, in microseconds: older than any other.
+_OLDEST = -9_223_372_036_854_776
 
 
 class RetryTimers(StatefulProcessor):
-    """The open record of one candidate: failures so far, the first of them, the retry that is due, and its end."""
+    """The open record of one candidate: failures so far, the first of them, the retry that is due, and its end.
+
+    A batch's failures are counted in memory: state is read and written once a batch, and only timers that are left at
+    its end are set.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
         self.record = handle.getValueState("record", "attempt long, first long, due long")
 
-    def _row(self, key, kind, attempt, at, due=None, why=None):
-        return key[0], kind, attempt, at, due, why
+    def _row(self, key, kind, attempt, at, due=None, why=None) -> Row:
+        return Row(candidate_id=key[0], kind=kind, attempt=attempt, at=at, due_at=due, exhausted=why)
 
-    def _passed(self, key, now: int, rows: list) -> None:
-        """What a record's timers say up to a time; they count whether or not they have fired yet."""
-        if not self.record.exists():
-            return
-        attempt, first, due = self.record.get()
-        end = first + RETRY_HOURS * 3600 * _SECOND
+    def _passed(self, key, record, now: int, out: list):
+        """The record after what its timers say up to a time; they count whether or not they have fired yet."""
+        if record is None:
+            return None
+        attempt, first, due = record
+        end = first + _LIFE
         if due is not None and due < end and due <= now:
-            rows.append(self._row(key, "due", attempt, due))
-            self.record.update((attempt, first, None))
+            out.append(self._row(key, "due", attempt, due))
+            due = None
         if end <= now:
-            rows.append(self._row(key, "ended", attempt, end, why="retry_elapsed_time_exhausted"))
+            out.append(self._row(key, "ended", attempt, end, why="retry_elapsed_time_exhausted"))
+            return None
+        return attempt, first, due
+
+    def _timers(self, record) -> set[int]:
+        if record is None:
+            return set()
+        _, first, due = record
+        end = first + _LIFE
+        return {_millis(end)} | ({_millis(due)} if due is not None and due < end else set())
+
+    def _put(self, old, record) -> None:
+        if record is not None:
+            self.record.update(record)
+        elif old is not None:
             self.record.clear()
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
-        failures = sorted((t.value // 1000, 0.0 if pd.isna(w) else w) for pdf in rows for t, w in zip(pdf["occurred_at"], pdf["retry_after"], strict=True))
-        for t, wait in failures:
-            self._passed(key, t, out)
-            attempt, first, due = self.record.get() if self.record.exists() else (0, t, None)
-            if due is not None:
-                self.handle.deleteTimer(_millis(due))
+        record = old = self.record.get()
+        for t, wait in sorted((r.at, 0.0 if r.retry_after is None or isnan(r.retry_after) else r.retry_after) for r in rows):
+            record = self._passed(key, record, t, out)
+            attempt, first, _ = record or (0, t, None)
             attempt += 1
             spent = attempt > len(RETRY_MINUTES)
             due = None if spent else t + round(max(60.0 * RETRY_MINUTES[attempt - 1], wait) * _SECOND)
-            end = first + RETRY_HOURS * 3600 * _SECOND
-            self.record.update((attempt, first, due))
-            self.handle.registerTimer(_millis(end))
-            if due is not None and due < end:
-                self.handle.registerTimer(_millis(due))
+            record = attempt, first, due
             out.append(self._row(key, "failure", attempt, t, due, "retry_attempts_exhausted" if spent else None))
-        yield self._frame(out)
+        self._put(old, record)
+        before, after = self._timers(old), self._timers(record)
+        for t in before - after:
+            self.handle.deleteTimer(t)
+        for t in after - before:
+            self.handle.registerTimer(t)
+        yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # the timer itself is gone afterwards; a retry that is due before the record's end has fired before it
         out = []
-        self._passed(key, expiredTimerInfo.getExpiryTimeInMs() * 1000, out)
-        yield self._frame(out)
-
-    def _frame(self, rows: list) -> pd.DataFrame:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pd.DataFrame({"candidate_id": pd.Series(cols[0], dtype="object"), "kind": pd.Series(cols[1], dtype="object"), "attempt": pd.Series(cols[2], dtype="int64"),
-            "at": _stamp(cols[3]), "due_at": _stamp(cols[4]), "exhausted": pd.Series(cols[5], dtype="object")})
+        old = self.record.get()
+        record = self._passed(key, old, expiredTimerInfo.getExpiryTimeInMs() * 1000, out)
+        if record != old:
+            self._put(old, record)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -96,9 +115,10 @@ def retry_timers(failures: DataFrame, delay: str = "2 days") -> DataFrame:
     Within a batch failures count in order of time; batches count as they come.
     """
     with_state_store(failures.sparkSession)
-    rows = failures.select("candidate_id", "occurred_at", F.col("retry_after").cast("double").alias("retry_after")).withWatermark("occurred_at", delay)
-    schema = "candidate_id string, kind string, attempt long, at timestamp, due_at timestamp, exhausted string"
-    return rows.groupBy("candidate_id").transformWithStateInPandas(RetryTimers(), schema, "Append", "EventTime")
+    rows = failures.select("candidate_id", "occurred_at", F.coalesce(F.unix_micros("occurred_at"), F.lit(_OLDEST)).alias("at"), F.col("retry_after").cast("double").alias("retry_after"))
+    schema = "candidate_id string, kind string, attempt long, at long, due_at long, exhausted string"
+    out = rows.withWatermark("occurred_at", delay).groupBy("candidate_id").transformWithState(RetryTimers(), schema, "Append", "EventTime")
+    return out.select("candidate_id", "kind", "attempt", F.timestamp_micros("at").alias("at"), F.timestamp_micros("due_at").alias("due_at"), "exhausted")
 
 
 class FirstContent(StatefulProcessor):

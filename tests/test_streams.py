@@ -4,9 +4,9 @@ import datetime as dt
 import os
 from pathlib import Path
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from resolvekit.streaming import streams
+from resolvekit.streaming import keyed, streams
 
 
 def _add(spark, folder, i, rows, schema):
@@ -84,3 +84,37 @@ def test_positions_that_go_back(spark, tmp_path):
         _add(spark, tmp_path, i, rows, schema)
     out = streams.run_now(streams.backward_positions(_stream(spark, tmp_path, schema)).withColumn("seen", F.lit(True)), ["checkpoint_id", "revision"], f"{tmp_path}/run", "append")
     assert sorted((r.checkpoint_id, r.revision) for r in out.collect()) == [("c", 3), ("c", 5), ("d", 3)]
+
+
+class _Calls:
+    """A handle and its states in memory, which count what goes to the store."""
+
+    def __init__(self):
+        self.n, self.value, self.entries, self.timers = 0, None, {}, set()
+
+    def _count(self, out=None):
+        self.n += 1
+        return out
+
+    getValueState = getMapState = lambda self, *_: self
+    exists = lambda self: self._count(self.value is not None)
+    get = lambda self: self._count(self.value)
+    update = lambda self, value: self._count(setattr(self, "value", value))
+    clear = lambda self: self._count(setattr(self, "value", None))
+    containsKey = lambda self, key: self._count(key in self.entries)
+    getValue = lambda self, key: self._count(self.entries.get(key))
+    updateValue = lambda self, key, value: self._count(self.entries.update({key: value}))
+    removeKey = lambda self, key: self._count(self.entries.pop(key))
+    listTimers = lambda self: self._count(sorted(self.timers))
+    registerTimer = lambda self, t: self._count(self.timers.add(t))
+    deleteTimer = lambda self, t: self._count(self.timers.discard(t))
+
+
+def test_a_batch_of_failures_is_one_visit_to_the_state():
+    calls, processor = _Calls(), keyed.RetryTimers()
+    processor.init(calls)
+    hour = 3600 * 1_000_000
+    out = list(processor.handleInputRows(("a",), iter([Row(at=i * hour, retry_after=None) for i in range(1000)]), None))
+    assert calls.n <= 6
+    assert [r.kind for r in out].count("failure") == 1000 and [r.kind for r in out].count("ended") == 999 // 72
+    assert calls.value == (1000 - 72 * 13, 72 * 13 * hour, None) and calls.timers == {72 * 14 * 3_600_000}
