@@ -5,6 +5,7 @@ They need the RocksDB state store, which keeps state on disk and changes only wh
 
 from __future__ import annotations
 
+from itertools import islice
 from math import isnan
 
 import pandas as pd
@@ -164,27 +165,52 @@ def first_of_each(rows: DataFrame, key: str, time: str, horizon_seconds: float,
     return named.withWatermark("first_at", delay).groupBy(key).transformWithStateInPandas(FirstContent(rows.columns, horizon_seconds), f"{fields}, collision boolean", "Append", "EventTime")
 
 
+#: So many revisions of a candidate wait in one entry of its state, and so many of a batch's rows are held at a time.
+BLOCK, ROWS = 64, 10_000
+
+
 class CandidateLog(StatefulProcessor):
-    """Revision and state of a candidate, and events that came before their turn, each an entry of its own."""
+    """Revision and state of a candidate, and events that came before their turn, BLOCK revisions to an entry.
+
+    `blocks` is how many entries there are. A batch reads and writes an entry once for each ROWS of its rows.
+    """
 
     def init(self, handle) -> None:
-        self.now = handle.getValueState("now", "revision long, state string")
-        self.waiting = handle.getMapState("waiting", "revision long", "state string")
+        self.now = handle.getValueState("now", "revision long, state string, blocks long")
+        self.waiting = handle.getMapState("waiting", "block long", "revisions array<long>, states array<string>")
+
+    def _entry(self, held: dict, block: int, blocks: int) -> list:
+        """[what waits in an entry, whether the state has it, whether it changed]; read once."""
+        if block not in held:
+            found = self.waiting.getValue((block,)) if blocks else None
+            held[block] = [dict(zip(*found, strict=True)) if found is not None else {}, found is not None, False]
+        return held[block]
 
     def handleInputRows(self, key, rows, timerValues):
-        revision, state = self.now.get() if self.now.exists() else (0, None)
-        for pdf in rows:
-            for r, s in zip(pdf["candidate_revision"].tolist(), pdf["next_state"].tolist(), strict=True):
+        revision, state, blocks = self.now.get() or (0, None, 0)
+        rows = iter(rows)
+        while some := list(islice(rows, ROWS)):
+            held = {}
+            for row in some:
+                r = row.candidate_revision
+                if r is None:
+                    continue
                 if r == revision + 1:
-                    revision, state = r, s
+                    revision, state = r, row.next_state
                 elif r > revision:
-                    self.waiting.updateValue((r,), (s,))
-                while self.waiting.exists() and self.waiting.containsKey((revision + 1,)):
+                    entry = self._entry(held, r // BLOCK, blocks)
+                    entry[0][r], entry[2] = row.next_state, True
+                while (entry := self._entry(held, (revision + 1) // BLOCK, blocks)) and revision + 1 in entry[0]:
                     revision += 1
-                    state = self.waiting.getValue((revision,))[0]
-                    self.waiting.removeKey((revision,))
-        self.now.update((revision, state))
-        yield pd.DataFrame({"candidate_id": [key[0]], "revision": [revision], "state": [state]})
+                    state, entry[2] = entry[0].pop(revision), True
+            for block, (waits, known, changed) in held.items():
+                if changed and waits:
+                    self.waiting.updateValue((block,), (list(waits), list(waits.values())))
+                elif changed and known:
+                    self.waiting.removeKey((block,))
+                blocks += changed * (bool(waits) - known)
+        self.now.update((revision, state, blocks))
+        yield Row(candidate_id=key[0], revision=revision, state=state)
 
     def close(self) -> None:
         pass
@@ -194,10 +220,11 @@ def candidate_states(events: DataFrame) -> DataFrame:
     """(candidate_id, revision, state) after each batch, from a stream of events(candidate_id, candidate_revision, next_state).
 
     Events apply in order of revision; one that comes early waits in the state until those before it are there, and a
-    batch reads only those whose turn has come. One that comes again is inert. State is one row for each candidate.
+    batch reads only entries that its events or their turn fall into. One that comes again is inert. State is one row for
+    each candidate, and entries of what waits.
     """
     with_state_store(events.sparkSession)
-    return events.select("candidate_id", "candidate_revision", "next_state").groupBy("candidate_id").transformWithStateInPandas(
+    return events.select("candidate_id", "candidate_revision", "next_state").groupBy("candidate_id").transformWithState(
         CandidateLog(), "candidate_id string, revision long, state string", "Update", "None")
 
 

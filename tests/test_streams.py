@@ -118,3 +118,23 @@ def test_a_batch_of_failures_is_one_visit_to_the_state():
     assert calls.n <= 6
     assert [r.kind for r in out].count("failure") == 1000 and [r.kind for r in out].count("ended") == 999 // 72
     assert calls.value == (1000 - 72 * 13, 72 * 13 * hour, None) and calls.timers == {72 * 14 * 3_600_000}
+
+
+def test_a_batch_of_early_events_is_few_visits_to_the_state():
+    calls, processor = _Calls(), keyed.CandidateLog()
+    processor.init(calls)
+    step = lambda revisions: [tuple(x) for x in processor.handleInputRows(("c",), iter([Row(candidate_revision=r, next_state=f"s{r}" if r % 5 else None) for r in revisions]), None)]
+    assert step([*range(1000, 1, -1), 1002]) == [("c", 0, None)] and calls.n <= 20
+    assert step([5000, 7]) == [("c", 0, None)] and step([2000, 1001]) == [("c", 0, None)]
+    calls.n = 0
+    assert step([1]) == [("c", 1002, "s1002")] and calls.n <= 40
+    assert calls.value == (1002, "s1002", 2) and sorted(calls.entries) == [(2000 // 64,), (5000 // 64,)]
+    assert step(range(4999, 1002, -1)) == [("c", 5000, None)] and calls.value == (5000, None, 0) and calls.entries == {}
+
+
+def test_early_events_without_a_state_wait(spark, tmp_path):
+    schema = "candidate_id string, candidate_revision long, next_state string"
+    for i, rows in enumerate([[("c", 130, None), ("c", None, "none"), ("c", 2, None), ("c", 129, "b")], [("c", r, "x") for r in range(3, 129)], [("c", 1, "a")]]):
+        _add(spark, tmp_path, i, rows, schema)
+        out = streams.run_now(streams.candidate_states(_stream(spark, tmp_path, schema)), ["candidate_id"], f"{tmp_path}/run").first()
+        assert (out.revision, out.state) == [(0, None), (0, None), (130, None)][i]
