@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import content_id, entity_key, name_key
 from .metrics import REVIEW
@@ -74,61 +74,79 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     makes the only candidate that this id ever gets), and of each key the first later one that has another target than the
     key's first (it adds a second target, so all after it are ambiguous). These are minima by group, and the rest are
     joins, so a key or id that a third of the batch has is no task of its own.
+
+    Of known targets the least and the greatest are enough, as all that counts is whether there is none, one or several.
+    An occurrence with several external ids is ambiguous whatever they lead to, so only single ones are looked up; those
+    without one have a join key of their own and spread over all tasks.
     """
-    occ = occurrences.dropDuplicates(["occurrence_id"]).withColumn("key", entity_key("provider", "entity_type", "entity_id"))
-    occ = occ.withColumn("external_ids", F.array_sort(F.array_distinct(F.coalesce("external_ids", F.array().cast("array<string>")))))
-    known = associations.groupBy("occurrence_id").agg(F.countDistinct("target_type", "target_id").alias("targets"),
-        F.min("target_type").alias("target_type"), F.min("target_id").alias("target_id"))
-    done = occ.join(known, "occurrence_id").select("occurrence_id", F.when(F.col("targets") == 1,
-        "idempotent_existing_occurrence").otherwise("error_several_targets").alias("action"),
-            F.when(F.col("targets") == 1, F.col("target_type")).alias("target_type"), F.when(F.col("targets") == 1, F.col("target_id")).alias("target_id"))
-    new = occ.join(known.select("occurrence_id"), "occurrence_id", "left_anti")
-    ids = new.select("occurrence_id", F.explode("external_ids").alias("external_id"))
-    target = lambda kind, id_: F.struct(F.lit(kind).alias("t"), F.col(id_).alias("i"))
-    by_key = new.join(associations.select("key", "target_type", "target_id").distinct(), "key").select("occurrence_id",
-        F.struct(F.col("target_type").alias("t"), F.col("target_id").alias("i")).alias("x"))
-    by_candidate = ids.join(candidates.where("external_id is not null"), "external_id").select("occurrence_id", target("candidate", "candidate_id").alias("x"))
-    by_registry = ids.join(registry, "external_id").select("occurrence_id", target("live_artist", "artist_id").alias("x"))
-    live = registry.select("artist_id").distinct()
-    claimed = new.where("asserted_id is not null").join(live.withColumn("ok", F.lit(True)), F.col("asserted_id") == F.col("artist_id"), "left")
-    by_assertion = claimed.select("occurrence_id", F.struct(F.when(F.col("ok"), "live_artist").otherwise("unresolved").alias("t"),
-        F.col("asserted_id").alias("i")).alias("x"))
-    found = by_key.unionByName(by_candidate).unionByName(by_registry).unionByName(by_assertion).groupBy("occurrence_id").agg(F.array_sort(F.collect_set("x")).alias("found"))
-    new = new.join(found, "occurrence_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<t:string,i:string>>")))
-    targets, wrong = F.filter("found", lambda x: x["t"] != "unresolved"), F.exists("found", lambda x: x["t"] == "unresolved")
+    target = lambda kind, id_: F.struct(kind.alias("t"), F.col(id_).alias("i"))
+    given = target(F.col("target_type"), "target_id")
+    known = associations.groupBy("occurrence_id").agg(*_ends(F.when(F.col("target_type").isNotNull() & F.col("target_id").isNotNull(), given)))
+    one = F.col("low") == F.col("high")
+    done = known.join(occurrences, "occurrence_id", "left_semi").select("occurrence_id", F.when(one, "idempotent_existing_occurrence").otherwise("error_several_targets").alias("action"),
+        F.when(one, F.col("low")).alias("target"))
+    ids = F.array_distinct(F.coalesce("external_ids", F.array().cast("array<string>")))
+    new = occurrences.dropDuplicates(["occurrence_id"]).join(known.select("occurrence_id"), "occurrence_id", "left_anti")
+    new = new.select("occurrence_id", entity_key("provider", "entity_type", "entity_id").alias("key"), ids.alias("ids"), "asserted_id", "discovered_at")
+    live = registry.select("artist_id").distinct().withColumn("ok", F.lit(True))
+    claimed = new.where("asserted_id is not null").join(live, F.col("asserted_id") == F.col("artist_id"), "left").select("occurrence_id",
+        F.when(F.col("ok"), target(F.lit("live_artist"), "asserted_id")).alias("claimed"), F.col("ok").isNull().alias("wrong"))
+    new = new.join(claimed, "occurrence_id", "left").withColumn("external_id", F.when(F.size("ids") == 1, F.col("ids")[0]))
+    by_id = candidates.select("external_id", target(F.lit("candidate"), "candidate_id").alias("x")).unionByName(registry.select("external_id", target(F.lit("live_artist"), "artist_id").alias("x")))
+    by_id = by_id.where("external_id is not null").groupBy("external_id").agg(*_ends(F.col("x")))
+    new = _by_external_id(new, by_id, "occurrence_id")
     new = new.select(
-        "occurrence_id", "key", "external_ids", targets.alias("targets"), F.struct(F.col("discovered_at").alias("at"), F.col("occurrence_id").alias("id")).alias("place"),
-        ((F.size("external_ids") > 1) | (F.size(targets) > 1) | wrong).alias("several"), F.try_element_at("external_ids", F.lit(1)).alias("external_id"),
+        "key", F.struct(F.col("discovered_at").alias("at"), F.col("occurrence_id").alias("id")).alias("place"), "external_id",
+        ((F.size("ids") > 1) | F.coalesce("wrong", F.lit(False))).alias("several"), F.least("low", "claimed").alias("low"), F.greatest("high", "claimed").alias("high"),
     )
     shared_folder(new.sparkSession)
     new = new.checkpoint()
-    own = F.struct(F.lit("candidate").alias("t"), F.concat(F.lit("candidate:"), F.col("occurrence_id")).alias("i"))
-    # the first occurrence of a key that nothing is known of makes the candidate of its external id
-    head = new.groupBy("key").agg(F.min("place").alias("place")).join(new, ["key", "place"])
-    free = head.where((F.size("targets") == 0) & ~F.col("several") & F.col("external_id").isNotNull())
-    creators = free.groupBy("external_id").agg(F.min("place").alias("since")).select(
-        "external_id", "since", F.struct(F.lit("candidate").alias("t"), F.concat(F.lit("candidate:"), F.col("since.id")).alias("i")).alias("made"))
+    resolved = F.col("target_type") != "unresolved"
+    by_key = associations.groupBy("key").agg(*_ends(F.when(resolved, given)), F.max(F.coalesce(~resolved, F.lit(False))).alias("wrong"))
+    by_key = by_key.select("key", F.col("low").alias("key_low"), F.col("high").alias("key_high"), "wrong")
+    own = target(F.lit("candidate"), "own")
+
+    def with_key(rows: DataFrame) -> DataFrame:
+        """rows with what is known of their key added to what is known of themselves."""
+        return rows.withColumn("several", F.col("several") | F.coalesce("wrong", F.lit(False))).withColumn("low", F.least("low", "key_low")).withColumn("high", F.greatest("high", "key_high"))
 
     def known_to(rows: DataFrame) -> DataFrame:
         """rows with the targets of before the batch and that of their external id, if it was made earlier."""
-        rows = rows.join(creators, "external_id", "left")
-        earlier = F.when(F.col("since") < F.col("place"), F.array("made")).otherwise(F.array().cast("array<struct<t:string,i:string>>"))
-        return rows.withColumn("known", F.array_union("targets", earlier)).drop("since", "made")
+        rows = _by_external_id(rows, creators, "place.id")
+        made = F.when(F.col("since") < F.col("place"), F.col("made"))
+        rows = rows.withColumn("low", F.least("low", made)).withColumn("high", F.greatest("high", made)).drop("since", "made")
+        return rows.withColumn("several", F.col("several") | F.coalesce(F.col("low") != F.col("high"), F.lit(False)))
 
-    head = known_to(head)
-    action = F.when(F.col("several") | (F.size("known") > 1), AMBIGUOUS).when(F.size("known") == 1, F.when(F.col("known")[0]["t"] == "live_artist", LIVE).otherwise(ATTACH))
+    # the first occurrence of a key that nothing is known of makes the candidate of its external id
+    head = new.groupBy("key").agg(F.min(F.struct("place", "external_id", "several", "low", "high")).alias("first")).select("key", "first.*")
+    head = with_key(head.join(by_key, "key", "left"))
+    free = head.where(F.col("low").isNull() & ~F.col("several") & F.col("external_id").isNotNull())
+    creators = free.groupBy("external_id").agg(F.min("place").alias("since"))
+    creators = creators.withColumn("own", F.concat(F.lit("candidate:"), "since.id")).select("external_id", "since", own.alias("made"))
+    head = known_to(head).withColumn("own", F.concat(F.lit("candidate:"), "place.id"))
+    has = F.col("low").isNotNull()
+    action = F.when(F.col("several"), AMBIGUOUS).when(has, F.when(F.col("low.t") == "live_artist", LIVE).otherwise(ATTACH))
     action = action.when(F.col("external_id").isNotNull(), CREATE).otherwise(DISCOVER)
-    head = head.withColumn("action", action).withColumn("target", F.when(F.size("known") == 1, F.when(~F.col("several"), F.col("known")[0])))
-    head = head.withColumn("target", F.coalesce("target", own)).checkpoint()
+    head = head.select("key", "place", action.alias("action"), F.when(~F.col("several") & has, F.col("low")).otherwise(own).alias("target"), "key_low", "key_high", "wrong").checkpoint()
     # later ones of a key go to its target, up to the first that something else is known of; from there on the key is ambiguous
-    rest = known_to(new.join(head.select("key", F.col("place").alias("first"), F.col("target").alias("held")), "key").where(F.col("place") > F.col("first")))
-    rest = rest.withColumn("breaks", F.col("several") | (F.size(F.array_union("known", F.array("held"))) > 1)).checkpoint()
+    rest = new.join(head.select("key", F.col("place").alias("first"), F.col("target").alias("held"), "key_low", "key_high", "wrong"), "key").where(F.col("place") > F.col("first"))
+    rest = known_to(with_key(rest)).withColumn("breaks", F.col("several") | F.coalesce(F.col("low") != F.col("held"), F.lit(False))).select("key", "place", "held", "breaks").checkpoint()
     broken = rest.where("breaks").groupBy("key").agg(F.min("place").alias("broken"))
-    rest = rest.join(broken, "key", "left").withColumn("lost", F.coalesce(F.col("place") >= F.col("broken"), F.lit(False)))
+    rest = rest.join(broken, "key", "left").withColumn("lost", F.coalesce(F.col("place") >= F.col("broken"), F.lit(False))).withColumn("own", F.concat(F.lit("candidate:"), "place.id"))
     later = F.when(F.col("lost"), AMBIGUOUS).when(F.col("held.t") == "live_artist", LIVE).otherwise(ATTACH)
-    rest = rest.select("occurrence_id", later.alias("action"), F.when(F.col("lost"), own).otherwise(F.col("held")).alias("target"))
-    routed = head.select("occurrence_id", "action", "target").unionByName(rest)
-    return done.unionByName(routed.select("occurrence_id", "action", F.col("target.t").alias("target_type"), F.col("target.i").alias("target_id")))
+    rest = rest.select("place", later.alias("action"), F.when(F.col("lost"), own).otherwise(F.col("held")).alias("target"))
+    routed = head.select("place", "action", "target").unionByName(rest).select(F.col("place.id").alias("occurrence_id"), "action", "target")
+    return done.unionByName(routed).select("occurrence_id", "action", F.col("target.t").alias("target_type"), F.col("target.i").alias("target_id"))
+
+
+def _ends(x: Column) -> tuple[Column, Column]:
+    return F.min(x).alias("low"), F.max(x).alias("high")
+
+
+def _by_external_id(rows: DataFrame, found: DataFrame, own: str) -> DataFrame:
+    """rows with what is found(external_id, ...) of their external id; rows without one meet nothing, each at a place of its own."""
+    rows = rows.withColumn("_way", F.when(F.col("external_id").isNull(), F.concat(F.lit("-"), own)).otherwise(F.concat(F.lit("="), "external_id")))
+    return rows.join(found.withColumn("_way", F.concat(F.lit("="), "external_id")).drop("external_id"), "_way", "left").drop("_way")
 
 
 def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue: DataFrame, directory: DataFrame) -> DataFrame:

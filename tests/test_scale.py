@@ -169,3 +169,24 @@ def test_review_of_a_name_that_many_have(spark):
     many = spark.range(100_000).selectExpr("id", "'x' as external_id", "'One Name' as name")
     got = ranking.identity_review(many, many.selectExpr("external_id", "name", "id as candidate_id", "id as position", "cast(null as string) as image"))
     assert [tuple(x) for x in got.groupBy("exact_count", "match.candidate_id", "review_status").count().collect()] == [(100_000, 0, "needs_review", 100_000)]
+
+
+def test_occurrences_without_an_external_id_are_spread(spark):
+    """Nine of ten occurrences have no external id or two: they take part in no join by it, and no task gets them all."""
+    o = spark.range(40_000).selectExpr("concat('o', id) as occurrence_id", "'p' as provider", "'artist' as entity_type", "cast(id as string) as entity_id",
+        "case when id % 10 = 0 then array(concat('s', id % 3000)) when id % 10 < 5 then array('s1', 's2') end as external_ids", "cast(null as string) as asserted_id",
+        "timestamp_seconds(id) as discovered_at")
+    none = spark.createDataFrame([], "occurrence_id string, target_type string, target_id string, key string")
+    known = spark.createDataFrame([("c", "s30")], "candidate_id string, external_id string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = converge.converge(o, none, known, spark.createDataFrame([], "artist_id string, external_id string"))
+        rows = got.select("action", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert Counter(r.action for r in rows) == {converge.CREATE: 299, converge.ATTACH: 3701, converge.AMBIGUOUS: 16_000, converge.DISCOVER: 20_000}
+    assert max(Counter(r.task for r in rows).values()) < 20_000
