@@ -76,8 +76,8 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     joins, so a key or id that a third of the batch has is no task of its own.
 
     Of known targets the least and the greatest are enough, as all that counts is whether there is none, one or several.
-    An occurrence with several external ids is ambiguous whatever they lead to, so only single ones are looked up; those
-    without one have a join key of their own and spread over all tasks.
+    An occurrence with several external ids is ambiguous whatever they lead to, so only single ones are looked up, and
+    occurrences without one take no part in joins by it.
     """
     target = lambda kind, id_: F.struct(kind.alias("t"), F.col(id_).alias("i"))
     given = target(F.col("target_type"), "target_id")
@@ -94,43 +94,42 @@ def converge(occurrences: DataFrame, associations: DataFrame, candidates: DataFr
     new = new.join(claimed, "occurrence_id", "left").withColumn("external_id", F.when(F.size("ids") == 1, F.col("ids")[0]))
     by_id = candidates.select("external_id", target(F.lit("candidate"), "candidate_id").alias("x")).unionByName(registry.select("external_id", target(F.lit("live_artist"), "artist_id").alias("x")))
     by_id = by_id.where("external_id is not null").groupBy("external_id").agg(*_ends(F.col("x")))
-    new = _by_external_id(new, by_id, "occurrence_id")
     new = new.select(
         "key", F.struct(F.col("discovered_at").alias("at"), F.col("occurrence_id").alias("id")).alias("place"), "external_id",
-        ((F.size("ids") > 1) | F.coalesce("wrong", F.lit(False))).alias("several"), F.least("low", "claimed").alias("low"), F.greatest("high", "claimed").alias("high"),
+        ((F.size("ids") > 1) | F.coalesce("wrong", F.lit(False))).alias("several"), F.col("claimed").alias("low"), F.col("claimed").alias("high"),
     )
     shared_folder(new.sparkSession)
-    new = new.checkpoint()
+    new = _with_targets(new.checkpoint(), by_id.withColumnsRenamed({"low": "id_low", "high": "id_high"}), F.col("id_low"), F.col("id_high"))
     resolved = F.col("target_type") != "unresolved"
     by_key = associations.groupBy("key").agg(*_ends(F.when(resolved, given)), F.max(F.coalesce(~resolved, F.lit(False))).alias("wrong"))
     by_key = by_key.select("key", F.col("low").alias("key_low"), F.col("high").alias("key_high"), "wrong")
     own = target(F.lit("candidate"), "own")
+    differ = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
 
     def with_key(rows: DataFrame) -> DataFrame:
         """rows with what is known of their key added to what is known of themselves."""
-        return rows.withColumn("several", F.col("several") | F.coalesce("wrong", F.lit(False))).withColumn("low", F.least("low", "key_low")).withColumn("high", F.greatest("high", "key_high"))
+        rows = rows.withColumn("low", F.least("low", "key_low")).withColumn("high", F.greatest("high", "key_high"))
+        return rows.withColumn("several", F.col("several") | F.coalesce("wrong", F.lit(False)) | differ)
 
     def known_to(rows: DataFrame) -> DataFrame:
         """rows with the targets of before the batch and that of their external id, if it was made earlier."""
-        rows = _by_external_id(rows, creators, "place.id")
         made = F.when(F.col("since") < F.col("place"), F.col("made"))
-        rows = rows.withColumn("low", F.least("low", made)).withColumn("high", F.greatest("high", made)).drop("since", "made")
-        return rows.withColumn("several", F.col("several") | F.coalesce(F.col("low") != F.col("high"), F.lit(False)))
+        return _with_targets(rows, creators, made, made)
 
     # the first occurrence of a key that nothing is known of makes the candidate of its external id
     head = new.groupBy("key").agg(F.min(F.struct("place", "external_id", "several", "low", "high")).alias("first")).select("key", "first.*")
-    head = with_key(head.join(by_key, "key", "left"))
+    head = with_key(head.join(by_key, "key", "left")).checkpoint()
     free = head.where(F.col("low").isNull() & ~F.col("several") & F.col("external_id").isNotNull())
     creators = free.groupBy("external_id").agg(F.min("place").alias("since"))
     creators = creators.withColumn("own", F.concat(F.lit("candidate:"), "since.id")).select("external_id", "since", own.alias("made"))
-    head = known_to(head).withColumn("own", F.concat(F.lit("candidate:"), "place.id"))
+    head = known_to(head).withColumn("several", F.col("several") | differ).withColumn("own", F.concat(F.lit("candidate:"), "place.id"))
     has = F.col("low").isNotNull()
     action = F.when(F.col("several"), AMBIGUOUS).when(has, F.when(F.col("low.t") == "live_artist", LIVE).otherwise(ATTACH))
     action = action.when(F.col("external_id").isNotNull(), CREATE).otherwise(DISCOVER)
     head = head.select("key", "place", action.alias("action"), F.when(~F.col("several") & has, F.col("low")).otherwise(own).alias("target"), "key_low", "key_high", "wrong").checkpoint()
     # later ones of a key go to its target, up to the first that something else is known of; from there on the key is ambiguous
-    rest = new.join(head.select("key", F.col("place").alias("first"), F.col("target").alias("held"), "key_low", "key_high", "wrong"), "key").where(F.col("place") > F.col("first"))
-    rest = known_to(with_key(rest)).withColumn("breaks", F.col("several") | F.coalesce(F.col("low") != F.col("held"), F.lit(False))).select("key", "place", "held", "breaks").checkpoint()
+    rest = known_to(new).join(head.select("key", F.col("place").alias("first"), F.col("target").alias("held"), "key_low", "key_high", "wrong"), "key").where(F.col("place") > F.col("first"))
+    rest = with_key(rest).withColumn("breaks", F.col("several") | F.coalesce(F.col("low") != F.col("held"), F.lit(False))).select("key", "place", "held", "breaks").checkpoint()
     broken = rest.where("breaks").groupBy("key").agg(F.min("place").alias("broken"))
     rest = rest.join(broken, "key", "left").withColumn("lost", F.coalesce(F.col("place") >= F.col("broken"), F.lit(False))).withColumn("own", F.concat(F.lit("candidate:"), "place.id"))
     later = F.when(F.col("lost"), AMBIGUOUS).when(F.col("held.t") == "live_artist", LIVE).otherwise(ATTACH)
@@ -143,10 +142,10 @@ def _ends(x: Column) -> tuple[Column, Column]:
     return F.min(x).alias("low"), F.max(x).alias("high")
 
 
-def _by_external_id(rows: DataFrame, found: DataFrame, own: str) -> DataFrame:
-    """rows with what is found(external_id, ...) of their external id; rows without one meet nothing, each at a place of its own."""
-    rows = rows.withColumn("_way", F.when(F.col("external_id").isNull(), F.concat(F.lit("-"), own)).otherwise(F.concat(F.lit("="), "external_id")))
-    return rows.join(found.withColumn("_way", F.concat(F.lit("="), "external_id")).drop("external_id"), "_way", "left").drop("_way")
+def _with_targets(rows: DataFrame, found: DataFrame, low: Column, high: Column) -> DataFrame:
+    """rows with the targets that are found(external_id, ...) of their external id among theirs; those without one meet nothing."""
+    met = rows.where("external_id is not null").join(found, "external_id", "left").withColumn("low", F.least("low", low)).withColumn("high", F.greatest("high", high))
+    return met.select(*rows.columns).unionByName(rows.where("external_id is null"))
 
 
 def intake(discoveries: DataFrame, known: DataFrame, registry: DataFrame, queue: DataFrame, directory: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .lifecycle import states_as_of
 from .ranks import nearest_ranks
@@ -224,10 +224,11 @@ def weekly_review(candidates: DataFrame, events: DataFrame, as_of) -> DataFrame:
 
 def action_metrics(results: DataFrame) -> DataFrame:
     """(action, results, targets, cross_source) of results(action, target_id, provider); cross_source are targets that several providers lead to."""
-    wide = results.groupBy("target_id").agg((F.countDistinct("provider") > 1).alias("cross"))
-    df = results.join(wide, "target_id")
-    return df.groupBy("action").agg(F.count("*").alias("results"), F.countDistinct("target_id").alias("targets"),
-        F.countDistinct(F.when(F.col("cross"), F.col("target_id"))).alias("cross_source"))
+    # a row for each target and action, of which a target has few; several providers lead to it if its least and greatest differ
+    each = results.where("target_id is not null").groupBy("target_id", "action").agg(F.count("*").alias("n"), F.min("provider").alias("low"), F.max("provider").alias("high"))
+    one = Window.partitionBy("target_id")
+    each = each.withColumn("cross", F.min("low").over(one) < F.max("high").over(one))
+    return each.groupBy("action").agg(F.sum("n").alias("results"), F.count("*").alias("targets"), F.count_if("cross").alias("cross_source"))
 
 
 def oldest_pending(candidates: DataFrame, k: int = 10) -> DataFrame:

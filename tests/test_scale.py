@@ -190,3 +190,20 @@ def test_occurrences_without_an_external_id_are_spread(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert Counter(r.action for r in rows) == {converge.CREATE: 299, converge.ATTACH: 3701, converge.AMBIGUOUS: 16_000, converge.DISCOVER: 20_000}
     assert max(Counter(r.task for r in rows).values()) < 20_000
+
+
+def test_actions_of_a_hot_target(spark):
+    """A third of the results has one target and every result another target otherwise; no result is copied or joined for a distinct count."""
+    r = random.Random(9)
+    given = [(r.choice(["attach", "create", None]), None if i % 50 == 7 else "hot" if i % 3 == 0 else f"t{r.randrange(3000)}", r.choice(["a", "a", "b", None])) for i in range(9000)]
+    got = metrics.action_metrics(spark.createDataFrame(given, "action string, target_id string, provider string"))
+    by = {}
+    for _, t, p in given:
+        by.setdefault(t, set()).update({p} - {None})
+    want = {}
+    for a in {x[0] for x in given}:
+        targets = [t for b, t, _ in given if b == a and t is not None]
+        want[a] = (len(targets), len(set(targets)), sum(len(by[t]) > 1 for t in set(targets)))
+    assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan
