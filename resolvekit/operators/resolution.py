@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import id_from_url, name_key, reasons
+from . import facts
 from .numbering import shared_folder
 
 #: Outcomes of an identity.
@@ -83,22 +84,6 @@ def shared_titles(catalogs: DataFrame) -> DataFrame:
     return pairwise_overlap(titles).withColumnRenamed("group_id", "entity")
 
 
-#: What is known of an id (or a begin, a title, a page) of an entity, as rows that are added up by id.
-_ID = {
-    "claimed": "boolean", "position": "struct<a:int,b:bigint,c:string>", "known": "boolean", "retired": "boolean", "stored": "boolean", "by_authority": "boolean", "by_graph": "boolean",
-    "kind": "string", "name": "string", "key": "string", "named": "boolean", "lo": "string", "hi": "string", "links": "array<string>", "profile": "string", "says": "string",
-}
-#: What is known of an entity as a whole.
-_ENTITY = {
-    "redirected": "boolean", "deprecated": "boolean", "anchored": "boolean", "joint_pair": "boolean", "own": "struct<id:string>", "competitors": "bigint", "audited": "boolean",
-    "linked_lo": "string", "linked_hi": "string", "errors": "bigint", "blocked": "string", "covered": "array<string>",
-}
-
-
-def _rows(df: DataFrame, names: dict, *keys: Column, **given: Column) -> DataFrame:
-    return df.select(*keys, *(given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in names.items()))
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -106,131 +91,68 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _id_rows(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
-    at = lambda part, provider, id_: ("entity", F.lit(part).alias("part"), provider.alias("provider"), id_.cast("string").alias("id"))
-    kind, none, yes = F.col("identifier_type"), F.lit(""), F.lit(True)
-    # a claim tells of its id and, if an authority makes it, of that authority
-    said = (F.col("source") == "musicbrainz") & F.col("asserted_by").isNotNull() & kind.isin("discogs", "spotify")
-    both = F.explode(F.when(said, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_by")
-    c = claims.select("*", both)
-    own, by = F.col("_by") == 0, F.col("_by") == 1
-    out = [_rows(c, _ID, *at("id", F.when(own, kind).otherwise("musicbrainz"), F.when(own, F.col("value")).otherwise(F.col("asserted_by"))), claimed=F.when(own, yes), position=F.when(own, F.col("position")),
-        stored=own & (F.col("source") == "stored"), by_authority=own & (F.col("source") == "musicbrainz"), by_graph=own & (F.col("source") == "wikidata"),
-        profile=F.when(by & (kind == "discogs"), F.col("value")), says=F.when(by & (kind == "spotify"), F.col("value")))]
-    a = t["authorities"].select("*", F.explode(F.when(F.col("begin").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("_at"))
-    record, begun = F.col("_at") == 0, F.when(F.col("_at") == 1, F.col("id"))
-    out.append(_rows(a, _ID, "entity", F.when(record, "id").otherwise("begin").alias("part"), F.when(record, "musicbrainz").otherwise("").alias("provider"),
-        F.when(record, F.col("id")).otherwise(F.col("begin")).cast("string").alias("id"), known=F.when(record, yes), kind=F.when(record, F.col("artist_type")), links=F.when(record, F.col("homepages")), lo=begun, hi=begun))
-    key = name_key("real_name")
-    out.append(_rows(t["profiles"], _ID, *at("id", F.lit("discogs"), F.col("id")), known=yes, links=F.col("aliases"), name=F.when(F.col("real_name") != "", F.col("real_name")),
-        key=F.when(key != "", key), named=F.coalesce(key != "", F.lit(False))))
-    out.append(_rows(t["retired"], _ID, *at("id", F.col("provider"), F.col("id")), retired=yes))
-    titles = F.array_distinct(F.filter(F.coalesce("titles", F.expr(NONE)), lambda x: x.isNotNull() & (x != "")))
-    each = t["catalogs"].select("entity", "id", F.explode(F.concat(F.array(F.struct(F.lit("catalog").alias("p"), F.col("id").cast("string").alias("x"))),
-        F.transform(titles, lambda x: F.struct(F.lit("title").alias("p"), x.alias("x"))))).alias("e"))
-    out.append(_rows(each, _ID, "entity", F.col("e.p").alias("part"), none.alias("provider"), F.col("e.x").alias("id"), lo=F.col("id"), hi=F.col("id")))
-    out.append(_rows(t["lookups"].where("id is not null"), _ID, *at("lookup", none, F.col("id"))))
-    return _union(out)
-
-
-def _entity_rows(t: dict[str, DataFrame], relations: DataFrame | None) -> list[DataFrame]:
-    linked = F.coalesce("linked_ids", F.expr(NONE))
+def _fact_rows(t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame | None) -> list[DataFrame]:
+    """Rows of the tables as facts.ROWS has them, one for each row of a table."""
+    none, of = F.lit(None).cast("string"), lambda *c: F.array(*(x.cast("string") for x in c))
+    row = lambda df, kind, flags=0, id=none, more=None, numbers=0: df.select("entity", (F.lit(kind).cast("long") + facts.FLAG * flags + numbers).alias("code"), id.cast("string").alias("id"),
+        (F.lit(None) if more is None else more).cast("array<string>").alias("more"))
+    bit = lambda c, n=1: F.when(c, n).otherwise(0)
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+
+    def place(c, names):
+        out = F.lit(len(names))
+        for i, name in reversed([*enumerate(names)]):
+            out = F.when(F.col(c) == name, i).otherwise(out)
+        return out
+
+    def numbers(a, b):
+        """Whether two numbers are too large for a code, and what they are in it."""
+        far = ~F.coalesce((a >= 0) & (a < facts.NUMBER // facts.FIRST), F.lit(False)) | F.coalesce((b < 0) | (b >= 1 << 46), F.lit(False))
+        return far, F.when(far, facts.FAR).otherwise(F.lit(facts.FIRST) * a + F.when(b.isNull(), facts.NULL).otherwise(F.lit(facts.NUMBER) * b))
+
+    # an authority that makes a claim of a profile or stored id says it
+    said = F.when((F.col("source") == "musicbrainz") & F.col("identifier_type").isin("discogs", "spotify"), F.col("asserted_by")).cast("string")
+    at = F.col("position").cast("struct<a:int,b:bigint,c:string>")
+    far, number = numbers(at["a"], at["b"])
+    text = F.when(far, facts.SECOND).when(at["c"].isNull(), facts.NOTHING).when(at["c"] == "", facts.EMPTY).when(at["c"] == F.col("value"), facts.SAME).otherwise(facts.SECOND)
+    more = F.when(far, of(said, at["c"], at["a"], at["b"])).when(text == facts.SECOND, of(said, at["c"])).when(said.isNotNull(), of(said))
+    claim = place("identifier_type", facts.PROVIDERS) + facts.SOURCE // facts.FLAG * place("source", facts.SOURCES)
+    key, linked, named, some = name_key("real_name"), F.coalesce("linked_ids", F.expr(NONE)), F.col("real_name"), lambda c: F.coalesce(c, F.expr(NONE))
+    many, competitors = numbers(F.lit(0), F.col("competitors").cast("long"))
+    greatest = F.array_max(linked)
     out = [
-        _rows(t["stored"], _ENTITY, "entity", own=F.struct(F.col("external_id").cast("string").alias("id"))),
-        _rows(t["retired"], _ENTITY, "entity", redirected=F.col("state") == "redirected", deprecated=F.col("state") == "deprecated"),
-        _rows(t["catalogs"], _ENTITY, "entity", anchored=F.col("releases") > 0),
-        _rows(t["audit"], _ENTITY, "entity", competitors=F.col("competitors"), audited=F.lit(True), linked_lo=F.array_min(linked), linked_hi=F.array_max(linked)),
-        _rows(t["errors"], _ENTITY, "entity", errors=F.lit(1)), _rows(t["blocked"], _ENTITY, "entity", blocked=F.col("code")),
+        row(claims, facts.CLAIM, claim, F.col("value"), more, number + facts.TEXT * text),
+        row(t["authorities"], facts.AUTHORITY, id=F.col("id"), more=F.concat(of(F.col("artist_type"), F.col("begin")), some("homepages"))),
+        row(t["profiles"], facts.PROFILE, id=F.col("id"), more=F.concat(of(F.when(named != "", named), F.when(key != "", key)), some("aliases"))),
+        row(t["retired"], facts.RETIRED, place("provider", facts.PROVIDERS) + bit(F.col("state") == "redirected", 8) + bit(F.col("state") == "deprecated", 16), F.col("id")),
+        row(t["catalogs"], facts.CATALOG, bit(F.col("releases") > 0), F.col("id"), F.col("titles")),
+        row(t["lookups"].where("id is not null"), facts.LOOKUP, id=F.col("id")), row(t["stored"], facts.STORED, id=F.col("external_id")),
+        row(t["audit"], facts.AUDIT, 0, F.array_min(linked), F.when(many, of(greatest, none, F.lit(0), F.col("competitors"))).when(greatest.isNotNull(), of(greatest)), competitors),
+        row(t["errors"], facts.ERROR), row(t["blocked"], facts.BLOCKED, id=F.col("code")),
     ]
     if relations is not None:
-        given = lambda c: F.coalesce(c != "", F.lit(False))
         other = F.exists("corroborations", lambda x: given(x["source"]) & (x["source"] != F.col("source")) & given(x["evidence_ref"]))
         told = relations.where(F.col("relationship_type").isin(*LEGAL_RELATIONS) & given(F.col("source")) & given(F.col("evidence_ref")) & F.coalesce(other, F.lit(False)))
-        out.append(_rows(told, _ENTITY, "entity", covered=F.array_sort(F.array_distinct("ids"))))
+        out.append(row(told.where("ids is not null"), facts.RELATION, more=F.col("ids")))
     # two catalogs share what their titles say; only of three and more are pairs counted
     shared_folder(t["stored"].sparkSession)
-    several = t["catalogs"].groupBy("entity").agg(F.count("*").alias("n")).where("n > 2").select("entity")
+    several = t["catalogs"].select("entity", "id").repartition("entity").distinct().groupBy("entity").agg(F.count("*").alias("n")).where("n > 2").select("entity")
     if not several.isEmpty():
         pairs = shared_titles(t["catalogs"].join(several, "entity", "left_semi"))
-        out.append(_rows(pairs, _ENTITY, "entity", joint_pair=F.col("overlap") >= 2))
+        out.append(row(pairs, facts.PAIR, bit(F.col("overlap") >= 2)))
     return out
 
 
 def entity_facts(t: dict[str, DataFrame], claims: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """A row for each entity with all that its tables say, by which interpret, identity_facts and close_multiplicity decide.
 
-    Tables aren't joined: their rows are added up, first by id, then (aliases, homepages and stored ids that point at
-    other ids) by the id that is pointed at, then by entity. So no step depends on how many tables there are, and
-    each row is shuffled three times at most.
+    Tables aren't joined: each row is dealt by its entity once, and a task reads entity after entity (facts.gathered), the
+    rows of many at a time. So no step depends on how many tables there are, and all that a task holds are the rows at hand.
     """
-    ids = _id_rows(t, claims).groupBy("entity", "part", "provider", "id").agg(
-        *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("claimed", "known", "retired", "stored", "by_authority", "by_graph")), F.min("position").alias("position"),
-        F.min("kind").alias("kind_lo"), F.max("kind").alias("kind_hi"), F.min("name").alias("name_lo"), F.max("name").alias("name_hi"), F.min("key").alias("key_lo"), F.max("key").alias("key_hi"),
-        F.min("named").alias("named"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
-        F.size(F.collect_set("profile")).alias("profiles"), F.collect_set("says").alias("says"),
-    )
-    of = lambda p: (F.col("part") == "id") & (F.col("provider") == p)
-    first, many = F.struct("position", "id", "retired"), F.col("lo") != F.col("hi")
-    # a row tells of its own id, and of those that it points at
-    point = lambda part, provider, x, **more: F.struct(F.lit(part).alias("part"), F.lit(provider).alias("provider"), x.alias("id"), more.get("lead", F.lit(None)).cast(_LEAD).alias("lead"),
-        more.get("linked", F.lit(0)).alias("in_known"), more.get("claimed", F.lit(0)).alias("in_claimed"), more.get("agrees", F.lit(0)).alias("agrees"), F.lit(False).alias("self"))
-    own = F.struct("part", "provider", "id", F.lit(None).cast(_LEAD).alias("lead"), F.lit(0).alias("in_known"), F.lit(0).alias("in_claimed"), F.lit(0).alias("agrees"), F.lit(True).alias("self"))
-    nothing = F.array().cast(_POINTS)
-    other = F.filter("links", lambda x: x.isNotNull() & (x != F.col("id")))
-    aliases = F.when(of("discogs") & F.col("known"), F.transform(other, lambda x: point("id", "discogs", x, linked=F.lit(1), claimed=F.col("claimed").cast("int")))).otherwise(nothing)
-    paged = of("musicbrainz") & F.col("claimed") & F.col("known") & (F.size("links") > 0)
-    pages = F.when(paged, F.transform("links", lambda x: point("page", "", x, lead=F.struct("position", "id")))).otherwise(nothing)
-    stored = F.when(of("musicbrainz") & F.col("claimed"), F.transform("says", lambda x: point("id", "spotify", x, agrees=F.lit(1)))).otherwise(nothing)
-    ids = ids.withColumn("paged", paged).withColumn("_p", F.explode(F.concat(F.array(own.cast(_POINT)), aliases, pages, stored)))
-    mine = F.col("_p.self")
-    keep = ("claimed", "known", "retired", "stored", "by_authority", "by_graph", "paged", "named", "position", "kind_lo", "kind_hi", "name_lo", "name_hi", "key_lo", "key_hi", "lo", "hi", "profiles")
-    ids = ids.select("entity", "_p.part", "_p.provider", "_p.id", "_p.lead", "_p.in_known", "_p.in_claimed", "_p.agrees", *(F.when(mine, F.col(c)).alias(c) for c in keep))
-    flags = ("claimed", "known", "retired", "stored", "by_authority", "by_graph", "paged")
-    ids = ids.groupBy("entity", "part", "provider", "id").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in flags), F.min("named").alias("named"),
-        *(F.max(c).alias(c) for c in keep if c not in flags and c != "named"), F.min("lead").alias("lead"), F.max("lead").alias("last_lead"),
-        *(F.sum(c).alias(c) for c in ("in_known", "in_claimed", "agrees")))
-    mb, dg, wd, sp = (of(p) & F.col("claimed") for p in ("musicbrainz", "discogs", "wikidata", "spotify"))
-    lost = (mb | dg) & ~F.col("known")
-    part = lambda name: F.col("part") == name
-    when, yes = F.when, lambda c: F.when(c, F.lit(True))
-    n = {"mb": mb, "dg": dg, "wd": wd, "sp": sp, "mb_records": mb & F.col("known"), "dg_records": dg & F.col("known"), "found_all": of("discogs") & F.col("known"), "begins": part("begin"), "titles": part("title") & many,
-        "catalogs": part("catalog"), "url_entities": part("lookup"), "with_pages": mb & F.col("paged"), "active": wd & ~F.col("retired"), "stored_ids": sp & F.col("stored")}
-    ids = ids.select(
-        "entity", *(c.cast("int").alias(k) for k, c in n.items()), when(wd, first).alias("graph_lead"), when(mb, F.struct("position", "id")).alias("lead_id"),
-        when(part("page") & (F.col("lead") != F.col("last_lead")), F.col("lead")).alias("page_lead"), yes(part("begin") & many).alias("same_begin"),
-        when(of("musicbrainz"), F.col("kind_lo")).alias("kind_lo"), when(of("musicbrainz"), F.col("kind_hi")).alias("kind_hi"), when(of("musicbrainz"), F.col("profiles")).alias("most_profiles"),
-        *(when(dg, F.col(c)).alias(c) for c in ("name_lo", "name_hi", "key_lo", "key_hi")), when(dg, F.coalesce("named", F.lit(False))).alias("every_name"),
-        when(of("discogs") & F.col("known"), F.col("in_known")).alias("in_known"), when(dg, F.col("in_claimed")).alias("in_claimed"), when(sp & F.col("stored"), F.col("agrees")).alias("agreeing"),
-        yes(sp & F.col("stored") & F.col("by_authority")).alias("confirmed"), yes(sp & F.col("stored") & F.col("by_graph")).alias("graph_asserts"), yes(wd & F.col("by_graph")).alias("graph_says"),
-        when(lost, F.struct(F.col("provider").alias("p"), F.col("id").alias("i"), F.col("retired").alias("r"))).alias("lost"), when(dg, F.col("id")).alias("dg_id"),
-    )
-    df = ids
-    for rows in _entity_rows(t, relations):
-        df = df.unionByName(rows, allowMissingColumns=True)
-    top = ("same_begin", "confirmed", "graph_asserts", "graph_says", "redirected", "deprecated", "anchored", "joint_pair", "audited")
-    df = df.groupBy("entity").agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*n, "in_known", "in_claimed", "errors")), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in top),
-        *(F.min(c).alias(c) for c in ("graph_lead", "lead_id", "page_lead", "kind_lo", "name_lo", "key_lo", "linked_lo", "blocked", "every_name")),
-        *(F.max(c).alias(c) for c in ("kind_hi", "name_hi", "key_hi", "linked_hi", "competitors")), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("most_profiles", "agreeing")),
-        F.array_sort(F.collect_set("lost")).alias("lost"), F.array_sort(F.collect_set("dg_id")).alias("dg_ids"), F.collect_set("covered").alias("covered"), F.collect_list("own").alias("own"),
-    )
-    one = lambda lo, hi: F.coalesce(F.col(lo) == F.col(hi), F.lit(False))
-    of_lost = lambda keep, text: F.transform(F.filter("lost", keep), text)
-    missing = lambda p: of_lost(lambda x: x["p"] == p, lambda x: F.concat(F.lit(f"missing_{p}_record:"), x["i"]))
-    return df.withColumns({
-        "mutual": (F.col("found_all") > 1) & (F.col("in_known") == F.col("found_all") * (F.col("found_all") - 1)), "linked": (F.col("dg") > 1) & (F.col("in_claimed") == F.col("dg") * (F.col("dg") - 1)),
-        "kinds": F.coalesce(F.col("kind_lo") != F.col("kind_hi"), F.lit(False)), "joint": F.col("joint_pair") | ((F.col("catalogs") <= 2) & (F.col("titles") >= 2)),
-        "linked_pages": F.coalesce(F.col("page_lead") == F.col("lead_id"), F.lit(False)), "one_name": one("name_lo", "name_hi"),
-        "shared_name": F.coalesce("every_name", F.lit(False)) & one("key_lo", "key_hi"), "corroborated": F.array_contains("covered", F.col("dg_ids")),
-        "active_others": F.col("active") - F.when(F.col("graph_lead.retired"), 0).when(F.col("graph_lead").isNull(), 0).otherwise(1), "agreeing": F.when(F.col("stored_ids") == 1, F.col("agreeing")).otherwise(0),
-        "lost_ids": of_lost(lambda x: ~x["r"], lambda x: F.concat_ws(":", x["p"], x["i"])),
-        "lost_records": F.concat(missing("musicbrainz"), missing("discogs")),
-    })
-
-
-_LEAD = "struct<position:struct<a:int,b:bigint,c:string>,id:string>"
-_POINT = f"struct<part:string,provider:string,id:string,lead:{_LEAD},in_known:int,in_claimed:int,agrees:int,self:boolean>"
-_POINTS = f"array<{_POINT}>"
+    kind = claims.schema["entity"].dataType.simpleString()
+    rows = _union(_fact_rows(t, claims, relations)).repartition("entity").sortWithinPartitions("entity")
+    columns = [c.split()[0] for c in facts.ROWS.split(", ")]
+    return rows.select(*columns).mapInArrow(facts.gathered, facts.FACTS.format(kind))
 
 
 def _interpreted(df: DataFrame) -> DataFrame:

@@ -181,3 +181,97 @@ def test_facts_need_no_joins(spark):
     small = t | {"catalogs": t["catalogs"].where("entity = 'b'")}
     plan = resolution.identity_facts(small, t["claims"].withColumn("position", F.struct(F.lit(1), F.col("position"), F.lit("")))).select("*")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def _plain(claims, auth, prof, retired, catalogs, relations):
+    """Facts of one entity, one after another."""
+    ids = {p: {c[1] for c in claims if c[0] == p} for p in ("musicbrainz", "discogs", "wikidata", "spotify")}
+    mb, dg = ids["musicbrainz"], ids["discogs"]
+    low = lambda v: (v is not None, v or 0)
+    lead = lambda p: min(((c[4][0], low(c[4][1]), (c[4][2] is not None, c[4][2] or "")), c[1]) for c in claims if c[0] == p)[1] if ids[p] else None
+    gone = {(p, i) for p, i, _ in retired}
+    known = {p[0] for p in prof}
+    names = lambda of, some: {of(p) for p in prof if p[0] in some and of(p)}
+    key = lambda p: " ".join((p[1] or "").lower().split())
+    links = {(p[0], x) for p in prof for x in p[2] or [] if x and x != p[0]}
+    pages = {(a[0], h) for a in auth for h in a[3] or [] if a[0] in mb}
+    both = {(i, h) for i, h in pages if any(j != i and g == h for j, g in pages)}
+    begins = {(a[0], a[2]) for a in auth if a[2] is not None}
+    titles = {(i, x) for i, ts, _ in catalogs for x in ts or [] if x}
+    of_title = {x: {i for i, y in titles if y == x} for _, x in titles}
+    stored = {c[1] for c in claims if c[0] == "spotify" and c[2] == "stored"}
+    says = lambda p: {(c[3], c[1]) for c in claims if c[0] == p and c[2] == "musicbrainz" and c[3]}
+    lost = [("discogs", i) for i in sorted(dg - known)] + [("musicbrainz", i) for i in sorted(mb - {a[0] for a in auth})]
+    named = {i for i in known if all(key(p) for p in prof if p[0] == i)}
+    pairs = [len({x for x in of_title if {i, j} <= of_title[x]}) for i, j in itertools.combinations(sorted({c[0] for c in catalogs}), 2)]
+    return {
+        "mb": len(mb), "dg": len(dg), "wd": len(ids["wikidata"]), "sp": len(ids["spotify"]), "mb_records": len(mb & {a[0] for a in auth}), "dg_records": len(dg & known), "begins": len({b for _, b in begins}),
+        "with_pages": len({i for i, _ in pages}), "most_profiles": max((len({v for b, v in says("discogs") if b == a}) for a, _ in says("discogs")), default=0),
+        "agreeing": max((len({b for b, v in says("spotify") if v == s and b in mb}) for s in stored), default=0) if len(stored) == 1 else 0,
+        "active_others": len([i for i in ids["wikidata"] if ("wikidata", i) not in gone]) - (1 if ids["wikidata"] and ("wikidata", lead("wikidata")) not in gone else 0),
+        "mutual": len(known) > 1 and all((a, b) in links for a, b in itertools.permutations(known, 2)), "linked": len(dg) > 1 and all(a in known and (a, b) in links for a, b in itertools.permutations(dg, 2)),
+        "kinds": len({a[1] for a in auth if a[1]}) > 1, "same_begin": any(len({i for i, c in begins if c == b}) > 1 for _, b in begins), "joint": any(n > 1 for n in pairs),
+        "linked_pages": bool(mb) and any(i == lead("musicbrainz") for i, _ in both), "one_name": len(names(lambda p: p[1], dg)) == 1, "every_name": bool(dg) and dg <= named,
+        "shared_name": bool(dg) and dg <= named and len(names(key, dg)) == 1, "corroborated": any(set(r) == dg for r in relations), "redirected": any(r[2] == "redirected" for r in retired),
+        "anchored": any((c[2] or 0) > 0 for c in catalogs), "confirmed": any(c[0] == "spotify" and c[1] in stored and c[2] == "musicbrainz" for c in claims),
+        "graph_says": any(c[0] == "wikidata" and c[2] == "wikidata" for c in claims),
+        "lost_ids": [f"{p}:{i}" for p, i in lost if (p, i) not in gone], "lost_records": [f"missing_{p}_record:{i}" for p, i in sorted(lost, key=lambda x: (x[0] == "discogs", x[1]))],
+    }
+
+
+def _random_tables(spark, n=120):
+    r = random.Random(11)
+    some = lambda f, most: [f() for _ in range(r.randrange(most))]
+    mbid, dgid, page = lambda: r.choice(["m1", "m2", "m3"]), lambda: r.choice(["p1", "p2", "p3"]), lambda: r.choice(["h", "g", "i", None])
+    pick = lambda: r.choice([("musicbrainz", mbid()), ("discogs", dgid()), ("wikidata", r.choice(["Q1", "Q2"])), ("spotify", r.choice(["x", "y"])), ("else", "z")])
+    place = lambda: (r.choice([0, 1, 2, 90]), r.choice([None, 0, 1, 2, -1, 1 << 50]), r.choice(["", "a", "m1", "m2", None]))
+    claim = lambda: (*pick(), r.choice(["stored", "musicbrainz", "musicbrainz", "wikidata", "discogs", None]), r.choice([None, mbid()]), place())
+    given = {e: {
+        "claims": some(claim, 12), "authorities": some(lambda: (mbid(), r.choice(["Person", "Group", None]), r.choice(["1990", "1991", None]), r.choice([None, some(page, 3)])), 4),
+        "profiles": some(lambda: (dgid(), r.choice(["Ann Lee", "ann  lee", "Bob", "", None]), r.choice([None, some(lambda: r.choice([dgid(), None]), 4)])), 5),
+        "retired": some(lambda: (*pick(), r.choice(["redirected", "deprecated", None])), 3), "catalogs": some(lambda: (mbid(), r.choice([None, some(lambda: r.choice(["s", "t", "u", "", None]), 4)]), r.choice([0, 2, None])), 5),
+        "relations": some(lambda: sorted({dgid(), dgid()}), 3)} for e in range(n)}
+    schema = {
+        "claims": "identifier_type string, value string, source string, asserted_by string, position struct<a:int,b:bigint,c:string>", "authorities": "id string, artist_type string, begin string, homepages array<string>",
+        "profiles": "id string, real_name string, aliases array<string>", "retired": "provider string, id string, state string", "catalogs": "id string, titles array<string>, releases long",
+    }
+    t = {k: spark.createDataFrame([(f"e{e}", *x) for e, tables in given.items() for x in tables[k]], f"entity string, {s}") for k, s in schema.items()}
+    t |= {"stored": spark.createDataFrame([(f"e{e}", "x") for e in given], "entity string, external_id string"), "lookups": spark.createDataFrame([("e1", "m1"), ("e1", "m2"), ("e1", "m2"), ("e2", None)], "entity string, id string"),
+        "audit": spark.createDataFrame([("e1", 2, ["b", None, "a"]), ("e1", None, ["c"]), ("e2", -(1 << 60), None), ("e3", None, [])], "entity string, competitors long, linked_ids array<string>"),
+        "errors": spark.createDataFrame([("e1", "p"), ("e1", "p")], "entity string, provider string"), "blocked": spark.createDataFrame([("e1", "u"), ("e1", "t"), (None, "n")], "entity string, code string")}
+    told = [(f"e{e}", "legal_name_alias", x, "discogs", "ref", [("wikidata", "ref")]) for e, tables in given.items() for x in tables["relations"]]
+    relations = spark.createDataFrame(told, "entity string, relationship_type string, ids array<string>, source string, evidence_ref string, corroborations array<struct<source:string,evidence_ref:string>>")
+    return given, t, relations
+
+
+def test_facts_against_a_plain_version(spark):
+    given, t, relations = _random_tables(spark)
+    got = {x.entity: x for x in resolution.entity_facts(t, t["claims"], relations).collect()}
+    assert set(got) == {*(f"e{e}" for e in given), None} and got[None].blocked == "n" and got[None].own == []
+    for e, tables in given.items():
+        want = _plain(*(tables[k] for k in ("claims", "authorities", "profiles", "retired", "catalogs", "relations")))
+        assert {k: got[f"e{e}"][k] for k in want} == want, e
+    a, b, c = (got[f"e{e}"] for e in (1, 2, 3))
+    assert (a.url_entities, a.competitors, a.audited, a.linked_lo, a.linked_hi, a.errors, a.blocked, [x.id for x in a.own]) == (2, 2, True, "a", "c", 2, "t", ["x"])
+    assert (b.url_entities, b.competitors, b.audited, b.linked_lo) == (0, -(1 << 60), True, None) and (c.competitors, c.audited, c.blocked) == (None, True, None)
+
+
+def test_rows_are_dealt_by_entity_once(spark):
+    """One exchange and no aggregation by id; what a task takes at once doesn't tell in the facts."""
+    _, t, relations = _random_tables(spark, 40)
+    t |= {"catalogs": t["catalogs"].where(F.lit(False))}
+    plan = resolution.entity_facts(t, t["claims"], relations)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(entity" in plan and "Aggregate" not in plan
+
+
+def test_facts_of_few_rows_at_once(spark, monkeypatch):
+    from resolvekit.operators import facts
+
+    _, t, relations = _random_tables(spark, 40)
+    rows = resolution._union(resolution._fact_rows(t, t["claims"], relations)).sort("entity").select("entity", "code", "id", "more").toArrow()
+    rows = rows.replace_schema_metadata(None).combine_chunks()
+    whole = [x for b in facts.gathered(iter(rows.to_batches())) for x in b.to_pylist()]
+    assert len(whole) == 41
+    for taken, size in ((1, 7), (50, 1), (64, 100)):
+        monkeypatch.setattr(facts, "TAKEN", taken)
+        assert [x for b in facts.gathered(iter(rows.to_batches(max_chunksize=size))) for x in b.to_pylist()] == whole
