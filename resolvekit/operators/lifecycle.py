@@ -234,13 +234,16 @@ def route_exhausted(candidates: DataFrame, retries: DataFrame) -> DataFrame:
 FEW_WORK = 10_000
 
 
-def select_work(candidates: DataFrame, state: str | None, n: int) -> DataFrame:
-    """The n oldest candidates of a state (of each state if None) by (updated_at, candidate_id), with queue_place.
+def select_work(candidates: DataFrame, state: str | None, n: int, places: bool = True) -> DataFrame:
+    """The n oldest candidates of a state (of each state if None) by (updated_at, candidate_id), with queue_place if places.
 
     For few, each task keeps the first n of a state before they meet. A larger batch is numbered by ranges, so that no
-    task has a whole state.
+    task has a whole state. Without places a batch that takes all of each state is only counted: nothing is put in order.
     """
     df = candidates if state is None else candidates.where(F.col("state") == state)
+    if not places:
+        most = df.groupBy("state").count().agg(F.max("count")).first()[0] if n > FEW_WORK else None
+        return df if n > FEW_WORK and (most or 0) <= n else select_work(candidates, state, n).drop("queue_place")
     if n <= FEW_WORK:
         w = Window.partitionBy("state").orderBy("updated_at", "candidate_id")
         return df.withColumn("queue_place", F.row_number().over(w)).where(F.col("queue_place") <= n)
@@ -396,7 +399,7 @@ def run_identity_batch(candidates: DataFrame, outcomes: DataFrame, now, n: int =
     expired = candidates.where(F.col("state").isin("identity_resolving",
         "identity_discovering") & (F.col("updated_at") <= t - F.expr(f"interval {lease_minutes} minutes")))
     due = candidates.where((F.col("state") == "retry_wait") & (F.col("retry_at") <= t))
-    picked = select_work(candidates, "identity_pending", n).join(outcomes, "candidate_id")
+    picked = select_work(candidates, "identity_pending", n, places=False).join(outcomes, "candidate_id")
     picked = route_outcome(picked.where("outcome is not null"))
     route, why = F.coalesce("next_state", F.lit("needs_review")), F.coalesce("reason_code", F.lit("unrouted_outcome"))
     # fixed values: reasons of the two workers

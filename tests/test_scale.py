@@ -207,3 +207,22 @@ def test_actions_of_a_hot_target(spark):
     assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "Join" not in plan
+
+
+def test_a_batch_of_the_whole_queue_is_not_ordered(spark, monkeypatch):
+    """The same candidates without places; where all are taken nothing is numbered or shuffled."""
+    r = random.Random(2)
+    rows = [(f"c{i % 380}", r.choice(["a", "identity_pending", None]), dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randrange(50)) if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "candidate_id string, state string, updated_at timestamp").repartition(5)
+    monkeypatch.setattr(lifecycle, "FEW_WORK", 30)
+    for state in (None, "a", "none"):
+        for n in (0, 20, 40, 100, 1000):
+            want = sorted(map(str, lifecycle.select_work(df, state, n).drop("queue_place").collect()))
+            assert sorted(map(str, lifecycle.select_work(df, state, n, places=False).collect())) == want
+    queue = df.selectExpr("*", "1L as revision", "cast(null as timestamp) as retry_at", "cast(null as string) as resume_state")
+    outcomes = spark.createDataFrame([(f"c{i}", "coherent_identity_evidence", False) for i in range(380)], "candidate_id string, outcome string, mechanically_closed boolean")
+    numbered, calls = lifecycle.numbered, []
+    monkeypatch.setattr(lifecycle, "numbered", lambda *a: calls.append(a) or numbered(*a))
+    whole = lifecycle.run_identity_batch(queue, outcomes, "2024-02-01", n=1000)
+    assert not calls and whole.count() == sum(x[1] == "identity_pending" for x in rows)
+    assert lifecycle.run_identity_batch(queue, outcomes, "2024-02-01", n=50).count() == 50 and len(calls) == 1
