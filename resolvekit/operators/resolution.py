@@ -155,18 +155,23 @@ def entity_facts(t: dict[str, DataFrame], claims: DataFrame, relations: DataFram
     return rows.select(*columns).mapInArrow(facts.gathered, facts.FACTS.format(kind))
 
 
+def _codes(*pairs) -> Column:
+    """As reasons, by code that Spark compiles: a filter of an array is interpreted, which took most of the time of a decision."""
+    return F.concat(*(F.when(cond, F.array(F.lit(name))).otherwise(F.expr(NONE)) for name, cond in pairs))
+
+
 def _interpreted(df: DataFrame) -> DataFrame:
     """entity_facts with contradictions, multiplicity_evidence, unresolved, interpretation and qualifies."""
     profiles, authorities, joint = F.col("dg"), F.col("mb"), F.col("joint")
-    contradictions = reasons(("different_artist_type", F.col("kinds")), ("different_birth_or_begin_date", F.col("begins") > 1))
-    first = reasons(
+    contradictions = _codes(("different_artist_type", F.col("kinds")), ("different_birth_or_begin_date", F.col("begins") > 1))
+    first = _codes(
         ("mutually_linked_discogs_alias_profiles", F.col("mutual")), ("compatible_alias_chronology", F.col("mutual") & F.col("same_begin")), ("musicbrainz_catalog_overlap", joint),
         ("multiple_discogs_profiles_asserted_by_one_musicbrainz_entity", (profiles > 1) & (F.col("most_profiles") >= profiles)),
         ("shared_discogs_real_name", (profiles > 1) & (F.col("dg_records") == profiles) & F.col("one_name")),
     )
-    second = reasons(("multiple_musicbrainz_profiles_assert_same_spotify_entity", (authorities > 1) & (F.col("agreeing") == authorities)))
+    second = _codes(("multiple_musicbrainz_profiles_assert_same_spotify_entity", (authorities > 1) & (F.col("agreeing") == authorities)))
     df = df.withColumns({"contradictions": contradictions, "_first": first}).withColumn("multiplicity_evidence", F.concat("_first", second))
-    df = df.withColumn("unresolved", F.concat("lost_ids", reasons(
+    df = df.withColumn("unresolved", F.concat("lost_ids", _codes(
         ("unexplained_multiple_discogs_ids", (profiles > 1) & (F.size("_first") == 0)),
         ("incompatible_or_unlinked_official_urls", (authorities > 1) & (F.col("with_pages") > 1) & ~F.col("linked_pages") & ~joint),
         ("unexplained_multiple_musicbrainz_ids", (authorities > 1) & (F.size("multiplicity_evidence") == 0)), ("multiple_active_wikidata_qids", F.col("active_others") > 0))))
@@ -225,7 +230,7 @@ def identity_outcome(facts: DataFrame) -> DataFrame:
         .when((F.col("mb") == 0) & (F.col("wd") == 0), UNRESOLVED).when(~F.col("confirmed") | ~(complete | F.col("optional_profile")) | ~F.col("audited"), INSUFFICIENT)
         .when(F.col("competitors") > 0, SAME_NAME).otherwise(COHERENT)
     )
-    missing = reasons(
+    missing = _codes(
         ("wikidata_qid", F.col("wd") == 0), ("musicbrainz_artist_id", F.col("mb") == 0), ("musicbrainz_spotify_relationship", (F.col("mb") > 0) & ~F.col("confirmed")),
         ("discogs_artist_id", F.col("dg") == 0), ("musicbrainz_exact_record", F.col("mb_records") < F.col("mb")), ("discogs_exact_record", F.col("dg_records") < F.col("dg")),
         ("musicbrainz_same_name_audit", ~F.col("audited")),
@@ -244,14 +249,14 @@ def close_multiplicity(facts: DataFrame) -> DataFrame:
     df = facts
     several = F.col("dg") > 1
     explained = F.col("shared_name") | F.col("corroborated")
-    head = reasons(
+    head = _codes(
         ("not_provider_profile_multiplicity", F.col("interpretation") != MULTIPLICITY), ("semantic_contradiction_present", F.size("contradictions") > 0),
         ("unresolved_identifier_present", F.size("unresolved") > 0), ("provider_error_present", F.col("errors") > 0),
         ("stored_spotify_not_confirmed_by_musicbrainz", ~F.col("confirmed")), ("no_positive_catalog_anchor", ~F.col("anchored")),
         ("same_name_ambiguity_present_or_not_evaluated", ~F.col("audited") | (F.col("competitors") > 0)), ("wikidata_identifier_not_unique", F.col("wd") != 1),
         ("musicbrainz_identifier_not_unique", F.col("mb") != 1), ("unresolved_alternate_spotify_identifier", F.col("sp") != 1),
     )
-    tail = reasons(
+    tail = _codes(
         ("discogs_alternates_not_mutually_linked", several & ~F.col("linked")), ("discogs_alternates_have_missing_legal_name", several & ~F.col("every_name") & ~F.col("corroborated")),
         ("discogs_alternates_lack_shared_legal_name", several & F.col("every_name") & ~explained), ("discogs_alternates_lack_corroborated_legal_name_relationship", several & ~explained),
     )
