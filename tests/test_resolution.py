@@ -275,3 +275,40 @@ def test_facts_of_few_rows_at_once(spark, monkeypatch):
     for taken, size in ((1, 7), (50, 1), (64, 100)):
         monkeypatch.setattr(facts, "TAKEN", taken)
         assert [x for b in facts.gathered(iter(rows.to_batches(max_chunksize=size))) for x in b.to_pylist()] == whole
+
+
+@pytest.mark.parametrize("many, block", [(0, 2), (2, 3), (8, 2048), (1 << 30, 1)])
+def test_ways_of_starts_with_many_ends(spark, monkeypatch, many, block):
+    """Ways of the result aren't grouped after they met; the same ways whichever starts count as those with many ends."""
+    monkeypatch.setattr(bridges, "MANY", many)
+    monkeypatch.setattr(bridges, "BLOCK", block)
+    r = random.Random(12)
+    kinds = ["discovery", "legacy"]
+    ids = {f"c{i}": [(r.choice(kinds), f"v{r.randrange(6)}") for _ in range(r.randrange(4))] for i in range(30)}
+    urls = {c: [f"u{r.randrange(3)}" for _ in range(r.randrange(2))] for c in ids}
+    statements = [(k, f"v{v}", f"Q{r.randrange(25)}", ["normal"], [], [f"m{r.randrange(4)}" for _ in range(r.randrange(2))], [f"x{r.randrange(12)}" for _ in range(r.randrange(3))]) for k in kinds for v in range(6) for _ in range(r.choice([1, 2, 14]))]
+    lookups, local, records = [("u0", "m0"), ("u1", "m1"), ("u1", "m2")], [("oc3", "x1", "setlist"), ("oc3", "x1", "wikidata")], [(f"m{i}", None, [f"x{i}", f"y{i}", None]) for i in range(3)]
+    df = spark.createDataFrame
+    _, paths = bridges.discover_bridges(df([(c,) for c in ids], "candidate_id string"),
+        df([(c, f"o{c}", ids[c], urls[c]) for c in ids] * 2, "candidate_id string, occurrence_id string, ids array<struct<kind:string,value:string>>, urls array<string>"),
+        df(local, "occurrence_id string, external_id string, asserted_by string"),
+        df(statements, "kind string, value string, entity_id string, ranks array<string>, types array<string>, authority_ids array<string>, external_ids array<string>"),
+        df(lookups, "url string, authority_id string"), df(records, "authority_id string, artist_type string, external_ids array<string>"))
+    edges = {(f"id:{k}:{v}", f"entity:{q}", "wikidata") for k, v, q, *_ in statements} | {(f"entity:{s[2]}", f"{n}:{x}", "wikidata") for s in statements for n, xs in (("authority", s[5]), ("external", s[6])) for x in xs}
+    edges |= {(f"url:{u}", f"authority:{m}", "musicbrainz") for u, m in lookups}
+    want = {("c3", "x1", o, (o,)): (1, ("occurrence:oc3", "external:x1")) for _, _, o in local}
+    for c in ids:
+        front = [] if c == "c3" else [((), (n,)) for n in {*(f"id:{k}:{v}" for k, v in ids[c]), *(f"url:{u}" for u in urls[c])}]
+        ways = []
+        while front:
+            front = [(tuple(sorted({*o, by})), (*p, to)) for o, p in front for at, to, by in edges if p[-1] == at]
+            ways += front
+        heads = {p[-1] for _, p in ways if p[-1].startswith("authority:")}
+        further = [(tuple(sorted({*o, "musicbrainz"})), (*p, f"external:{x}")) for o, p in ways for m, _, xs in records if heads == {p[-1]} == {f"authority:{m}"} for x in xs if x]
+        for origin, found in (("wikidata", [w for w in ways if w[1][-1].startswith("external:")]), ("musicbrainz", further)):
+            for o, p in found:
+                k, way = (c, p[-1][9:], origin, o), (len(p) - 1, p)
+                want[k] = min(want.get(k, way), way)
+    got = [((x.candidate_id, x.external_id, x.origin, tuple(x.origins)), (x.hops, tuple(x.path))) for x in paths.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert paths._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
